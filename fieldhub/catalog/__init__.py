@@ -6,7 +6,7 @@ from importlib import import_module
 
 from fieldhub.catalog.registry import CATALOG, Entry
 
-_AREAS = ["ingest"]
+_AREAS = ["ingest", "geometry", "spatial"]
 
 
 def all_entries() -> dict[str, Entry]:

@@ -89,9 +89,8 @@ JOIN_RADIUS_M = 2000.0
 FALLBACK_BOX_PX = 100
 
 # --- fixed values: detection and embeddings ----------------------------------
-DETECTION_CLASSES = [
-    "poultry_house", "manure_lagoon", "feedlot", "grain_silo", "agricultural_pond",
-]
+DETECTION_CLASSES = ["poultry_house", "barn", "manure_lagoon", "feedlot", "silo"]
+MIN_CONFIDENCE = 0.25
 MIN_MASK_PX = 100
 SIMILARITY_THRESHOLD = 0.70
 NEUTRAL_SIMILARITY = 0.5

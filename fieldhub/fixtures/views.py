@@ -139,7 +139,7 @@ SELECT c_custkey AS id, c_custkey % 3 <> 0 AS matched, c_custkey % 41 = 1 AS mal
   {LON} + 0.001::DOUBLE AS lon, {LAT} + 0.001::DOUBLE AS lat FROM customer"""),
     "edge": (["raster"], "\n" + " UNION ALL ".join(
         f"SELECT tile_id, {pid} AS shape, {a[0]}::DOUBLE AS ax, {a[1]}::DOUBLE AS ay, "
-        f"{b[0]}::DOUBLE AS bx, {b[1]}::DOUBLE AS by FROM (SELECT DISTINCT tile_id FROM raster)"
+        f"{b[0]}::DOUBLE AS bx, {b[1]}::DOUBLE AS b_y FROM (SELECT DISTINCT tile_id FROM raster)"
         for pid, rings in T.SETBACK_RINGS.items()
         for ring in rings
         for a, b in zip(ring, ring[1:])

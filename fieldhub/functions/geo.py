@@ -81,33 +81,42 @@ def box_tiles(b: Column, tile_m: float = K.TILE_SIZE_M) -> Column:
 
 
 # --- projections -------------------------------------------------------------
-def utm18(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """WGS84 degrees to UTM zone 18N metres (transverse Mercator series)."""
-    a, f, k0, lon0, fe = 6378137.0, 1 / 298.257223563, 0.9996, -75.0, 500000.0
-    e2 = f * (2 - f)
-    ep2 = e2 / (1 - e2)
+_UTM_A, _UTM_F, _UTM_K0, _UTM_LON0, _UTM_FE = 6378137.0, 1 / 298.257223563, 0.9996, -75.0, 500000.0
+_UTM_E2 = _UTM_F * (2 - _UTM_F)
+_UTM_EP2 = _UTM_E2 / (1 - _UTM_E2)
+
+
+def _utm_terms(lon: Column, lat: Column) -> dict[str, Column]:
+    """Shared terms of the transverse Mercator series."""
+    phi = F.radians(lat)
+    s, c, tan = F.sin(phi), F.cos(phi), F.tan(phi)
+    return {
+        "phi": phi,
+        "n": F.lit(_UTM_A) / F.sqrt(1 - F.lit(_UTM_E2) * s * s),
+        "tan": tan,
+        "cc": F.lit(_UTM_EP2) * c * c,
+        "aa": F.radians(lon - F.lit(_UTM_LON0)) * c,
+    }
+
+
+def _utm_series(v) -> tuple[Column, Column]:
+    e2, ep2 = _UTM_E2, _UTM_EP2
     m0 = 1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256
     m2 = 3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024
     m4 = 15 * e2**2 / 256 + 45 * e2**3 / 1024
     m6 = 35 * e2**3 / 3072
-
-    phi = F.radians(lat)
-    s, c, tan = F.sin(phi), F.cos(phi), F.tan(phi)
-    n = F.lit(a) / F.sqrt(1 - F.lit(e2) * s * s)
-    t = tan * tan
-    cc = F.lit(ep2) * c * c
-    aa = F.radians(lon - F.lit(lon0)) * c
-    a2 = aa * aa
-    m = F.lit(a) * (
+    phi, n, tan, cc, aa = (v[k] for k in ("phi", "n", "tan", "cc", "aa"))
+    t, a2 = tan * tan, aa * aa
+    m = F.lit(_UTM_A) * (
         F.lit(m0) * phi - F.lit(m2) * F.sin(2 * phi) + F.lit(m4) * F.sin(4 * phi)
         - F.lit(m6) * F.sin(6 * phi)
     )
-    x = F.lit(fe) + F.lit(k0) * n * aa * (
+    x = F.lit(_UTM_FE) + F.lit(_UTM_K0) * n * aa * (
         1
         + (1 - t + cc) * a2 / 6
         + (5 - 18 * t + t * t + 72 * cc - F.lit(58 * ep2)) * a2 * a2 / 120
     )
-    y = F.lit(k0) * (
+    y = F.lit(_UTM_K0) * (
         m
         + n * tan * (
             a2 / 2
@@ -118,6 +127,11 @@ def utm18(lon: Column, lat: Column) -> tuple[Column, Column]:
     return x, y
 
 
+def utm18(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """WGS84 degrees to UTM zone 18N metres (transverse Mercator series)."""
+    return _utm_series(_utm_terms(lon, lat))
+
+
 @dataclass(frozen=True)
 class ConicZone:
     """Lambert conformal conic zone with two standard parallels, in US survey feet."""
@@ -202,15 +216,28 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def _bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` (lambdas share no subexpressions)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _shifted(ring: Column) -> Column:
+    """The ring about its first vertex, which keeps precision far from the origin."""
+    return _bind(
+        F.struct(ring.alias("r"), ring[0].alias("o")),
+        lambda s: F.transform(
+            s["r"], lambda p: point(p["x"] - s["o"]["x"], p["y"] - s["o"]["y"])
+        ),
+    )
+
+
+def _cross(e: Column) -> Column:
+    return e["ax"] * e["by"] - e["bx"] * e["ay"]
+
+
 def ring_signed_area(ring: Column) -> Column:
-    """Shoelace area about the first vertex (keeps precision far from the origin)."""
-    ox, oy = ring[0]["x"], ring[0]["y"]
-    return _total(
-        F.transform(
-            ring_edges(ring),
-            lambda e: (e["ax"] - ox) * (e["by"] - oy) - (e["bx"] - ox) * (e["ay"] - oy),
-        )
-    ) / 2
+    """Shoelace area; positive for a counter-clockwise ring."""
+    return _bind(_shifted(ring), lambda r: _total(F.transform(ring_edges(r), _cross))) / 2
 
 
 def ring_area(ring: Column) -> Column:
@@ -219,24 +246,31 @@ def ring_area(ring: Column) -> Column:
 
 def ring_centroid(ring: Column) -> Column:
     """Area centroid of a closed ring."""
-    ox, oy = ring[0]["x"], ring[0]["y"]
-    parts = F.transform(
-        ring_edges(ring),
-        lambda e: F.struct(
-            ((e["ax"] - ox) * (e["by"] - oy) - (e["bx"] - ox) * (e["ay"] - oy)).alias("c"),
-            (e["ax"] - ox + e["bx"] - ox).alias("sx"),
-            (e["ay"] - oy + e["by"] - oy).alias("sy"),
-        ),
-    )
-    six_a = 6 * ring_signed_area(ring)
-    return point(
-        ox + _total(F.transform(parts, lambda p: p["c"] * p["sx"])) / six_a,
-        oy + _total(F.transform(parts, lambda p: p["c"] * p["sy"])) / six_a,
-    )
+
+    def moments(r: Column) -> Column:
+        edges = ring_edges(r)
+        return F.struct(
+            _total(F.transform(edges, _cross)).alias("a2"),
+            _total(F.transform(edges, lambda e: _cross(e) * (e["ax"] + e["bx"]))).alias("mx"),
+            _total(F.transform(edges, lambda e: _cross(e) * (e["ay"] + e["by"]))).alias("my"),
+        )
+
+    def place(r: Column) -> Column:
+        m = _bind(_shifted(r), moments)
+        return _bind(
+            m, lambda v: point(r[0]["x"] + v["mx"] / (3 * v["a2"]), r[0]["y"] + v["my"] / (3 * v["a2"]))
+        )
+
+    return _bind(ring, place)
 
 
 def project_ring(ring: Column) -> Column:
-    return F.transform(ring, lambda p: point(*utm18(p["x"], p["y"])))
+    """Ring in degrees to UTM 18N metres."""
+    terms = F.transform(
+        ring,
+        lambda p: F.struct(*[c.alias(k) for k, c in _utm_terms(p["x"], p["y"]).items()]),
+    )
+    return F.transform(terms, lambda v: point(*_utm_series(v)))
 
 
 def ring_point_distance(ring: Column, px: Column, py: Column) -> Column:
