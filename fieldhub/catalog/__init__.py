@@ -6,7 +6,7 @@ from importlib import import_module
 
 from fieldhub.catalog.registry import CATALOG, Entry
 
-_AREAS = ["ingest", "geometry", "spatial"]
+_AREAS = ["ingest", "geometry", "spatial", "siting"]
 
 
 def all_entries() -> dict[str, Entry]:

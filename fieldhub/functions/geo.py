@@ -273,30 +273,53 @@ def project_ring(ring: Column) -> Column:
     return F.transform(terms, lambda v: point(*_utm_series(v)))
 
 
-def ring_point_distance(ring: Column, px: Column, py: Column) -> Column:
-    """Distance from a filled ring to a point: 0 inside, else to the nearest edge."""
-    edges = ring_edges(ring)
-
-    def to_edge(e: Column) -> Column:
-        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-        length2 = dx * dx + dy * dy
-        along = ((px - e["ax"]) * dx + (py - e["ay"]) * dy) / length2
-        u = F.when(length2 == 0, F.lit(0.0)).otherwise(
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+def measured_edges(ring: Column) -> Column:
+    """Edges as start, direction and squared length: what distances to many points share."""
+    vectors = F.transform(
+        ring_edges(ring),
+        lambda e: F.struct(
+            e["ax"].alias("ax"), e["ay"].alias("ay"),
+            (e["bx"] - e["ax"]).alias("dx"), (e["by"] - e["ay"]).alias("dy"),
+        ),
+    )
+    return F.transform(
+        vectors,
+        lambda v: F.struct(
+            *[v[k].alias(k) for k in ("ax", "ay", "dx", "dy")],
+            (v["dx"] * v["dx"] + v["dy"] * v["dy"]).alias("l2"),
+        ),
+    )
+
+
+def edges_point_distance(edges: Column, px: Column, py: Column) -> Column:
+    """Distance from a filled ring (``measured_edges``) to a point: 0 inside."""
+
+    def step(acc: Column, e: Column) -> Column:
+        ex, ey = px - e["ax"], py - e["ay"]
+        along = F.greatest(
+            F.lit(0.0), F.least(F.lit(1.0), (ex * e["dx"] + ey * e["dy"]) / e["l2"])
         )
-        return distance(px, py, e["ax"] + u * dx, e["ay"] + u * dy)
+        crosses = ((e["ay"] > py) != (e["ay"] + e["dy"] > py)) & (ex < ey * e["dx"] / e["dy"])
+
+        def square(u: Column) -> Column:
+            gx, gy = ex - u * e["dx"], ey - u * e["dy"]
+            return F.least(acc["best"], gx * gx + gy * gy)
 
-    def crosses(e: Column) -> Column:
-        spans = (e["ay"] > py) != (e["by"] > py)
-        at = e["ax"] + (py - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"])
-        return F.when(spans & (px < at), F.lit(1)).otherwise(F.lit(0))
+        return F.struct(
+            _bind(F.when(e["l2"] == 0, F.lit(0.0)).otherwise(along), square).alias("best"),
+            (acc["odd"] != crosses).alias("odd"),
+        )
 
-    crossings = F.aggregate(edges, F.lit(0), lambda acc, e: acc + crosses(e))
-    return F.when(crossings % 2 == 1, F.lit(0.0)).otherwise(
-        F.array_min(F.transform(edges, to_edge))
+    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(False).alias("odd"))
+    return F.aggregate(
+        edges, start, step, lambda acc: F.when(acc["odd"], F.lit(0.0)).otherwise(F.sqrt(acc["best"]))
     )
 
 
+def ring_point_distance(ring: Column, px: Column, py: Column) -> Column:
+    return edges_point_distance(measured_edges(ring), px, py)
+
+
 # --- pixel grids (north-up affine: lon = west + a*(col+.5), lat = north + e*(row+.5)) ---
 @dataclass(frozen=True)
 class Grid:

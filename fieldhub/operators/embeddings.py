@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,17 +35,15 @@ def reference_vector(means: DataFrame, key: str, value) -> list[float] | None:
 
 
 def cosine(vector: Column, reference: list[float]) -> Column:
-    """Cosine similarity to a fixed vector, 0 when either has no length.
-
-    Unrolled over the dimensions with literal weights, so it stays in generated code.
-    """
+    """Cosine similarity to a fixed vector, 0 when either has no length."""
     norm_ref = math.sqrt(sum(r * r for r in reference))
     if norm_ref == 0:
         return F.when(vector.isNotNull(), F.lit(0.0))
-    at = [vector[i].cast("double") for i in range(len(reference))]
-    dot = reduce(add, [a * F.lit(r) for a, r in zip(at, reference)])
-    norm = F.sqrt(reduce(add, [a * a for a in at]))
-    return F.when(norm == 0, F.lit(0.0)).otherwise(dot / (norm * F.lit(norm_ref)))
+    weights = F.array(*[F.lit(r / norm_ref) for r in reference])
+    zero = F.lit(0.0)
+    dot = F.aggregate(F.zip_with(vector, weights, lambda a, w: a * w), zero, lambda s, x: s + x)
+    norm = F.sqrt(F.aggregate(vector, zero, lambda s, a: s + a.cast("double") * a))
+    return F.when(norm == 0, zero).otherwise(dot / norm)
 
 
 def classify(

@@ -46,6 +46,7 @@ def _ring_extent(polys: DataFrame, ring: str) -> DataFrame:
     return polys.withColumns({
         "_x0": F.array_min(xs), "_x1": F.array_max(xs),
         "_y0": F.array_min(ys), "_y1": F.array_max(ys),
+        "_vx": F.element_at(xs, 1), "_vy": F.element_at(ys, 1),
     })
 
 
@@ -87,8 +88,7 @@ def _candidates(polys: DataFrame, sites: DataFrame, radius: float, limit: int) -
         })
         gx, gy = gap("_x0", "_x1", "_sx0", "_sx1"), gap("_y0", "_y1", "_sy0", "_sy1")
         far = lambda v, s0, s1: F.greatest(F.abs(v - F.col(s0)), F.abs(v - F.col(s1)))
-        fx = far(F.col("_ring")[0]["x"], "_sx0", "_sx1")
-        fy = far(F.col("_ring")[0]["y"], "_sy0", "_sy1")
+        fx, fy = far(F.col("_vx"), "_sx0", "_sx1"), far(F.col("_vy"), "_sy0", "_sy1")
         best = Window.partitionBy("_pid")
         near = (
             near.join(children, ["_cx", "_cy"])
@@ -130,34 +130,38 @@ def nearest_within(
     shapes = _ring_extent(
         polys.select(F.col(poly_id).alias("_pid"), F.col(ring).alias("_ring")), "_ring"
     )
-    measured = (
-        _candidates(shapes, spots, radius, crowd_limit)
-        .withColumn(
-            "join_distance_m",
-            geo.ring_point_distance(F.col("_ring"), F.col("_px"), F.col("_py")),
-        )
-        .filter(F.col("join_distance_m") <= radius)
-        .select("_pid", "_px", "_py", "join_distance_m")
+    # Only extents travel through the cell join; the rings meet their few candidates after.
+    pairs = _candidates(shapes.drop("_ring"), spots, radius, crowd_limit).select(
+        "_pid", "_px", "_py"
     )
-    best = Window.partitionBy("_pid")
-    hits = (
-        measured.withColumn("_best", F.min("join_distance_m").over(best))
-        .filter(F.col("join_distance_m") == F.col("_best"))
-        .drop("_best")
+    order = Window.partitionBy(poly_id).orderBy(F.col("_d").asc_nulls_last())
+    met = (
+        polys.withColumn("_edges", geo.measured_edges(F.col(ring)))
+        .join(pairs, F.col(poly_id) == F.col("_pid"), "left")
+        .withColumn("_d", geo.edges_point_distance(F.col("_edges"), F.col("_px"), F.col("_py")))
+        .drop("_edges", "_pid")
+        .withColumns({"_rank": F.rank().over(order), "_row": F.row_number().over(order)})
     )
+    hit = F.coalesce(F.col("_d") <= radius, F.lit(False))
+    kept = met.filter((hit & (F.col("_rank") == 1)) | (~hit & (F.col("_row") == 1)))
+    only = lambda c: F.when(hit, F.col(c))
+    kept = kept.withColumns({
+        "_px": only("_px"), "_py": only("_py"), "join_distance_m": only("_d"),
+    }).drop("_d", "_rank", "_row")
+
     located = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     if tie_break is not None:
         rest = [c for c in located.columns if c not in (x, y, tie_break)]
         located = located.groupBy(x, y).agg(
             F.min(F.struct(tie_break, *rest)).alias("_first")
         ).select(x, y, "_first.*")
-    matched = hits.join(
-        located, (hits["_px"] == located[x]) & (hits["_py"] == located[y])
+    matched = kept.join(
+        located, (F.col("_px") == located[x]) & (F.col("_py") == located[y]), "left"
     ).drop("_px", "_py")
     if tie_break is not None:
-        pick = Window.partitionBy("_pid").orderBy(tie_break)
+        pick = Window.partitionBy(poly_id).orderBy(tie_break)
         matched = matched.withColumn("_rn", F.row_number().over(pick)).filter("_rn = 1").drop("_rn")
-    return polys.join(matched, polys[poly_id] == matched["_pid"], "left").drop("_pid")
+    return matched
 
 
 # --- close pairs of boxes on one tile -----------------------------------------------

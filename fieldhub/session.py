@@ -16,6 +16,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
@@ -38,6 +39,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: dict[str, str]) -> DataFrame:
+    """A handful of parameter rows as a local relation (no job, no Python worker)."""
+
+    def cell(value, kind: str) -> str:
+        if isinstance(value, str):
+            value = "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        elif isinstance(value, float):
+            value = f"{value!r}D"
+        return f"CAST({value} AS {kind})"
+
+    kinds = list(schema.values())
+    text = ", ".join("(" + ", ".join(map(cell, row, kinds)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {text} AS t({', '.join(schema)})")
+
+
 class Scratch:
     """Tables written to the checkpoint folder to cut the lineage of iterative jobs.
 
