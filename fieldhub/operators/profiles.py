@@ -99,13 +99,22 @@ def county_priority(summary: DataFrame) -> DataFrame:
     )
 
 
-def within_county(rows: DataFrame, by: str) -> DataFrame:
-    """Facilities and animals per county and ``by``, with the share of the county's animals."""
+def within_county(rows: DataFrame, by: str, counties: DataFrame | None = None) -> DataFrame:
+    """Facilities and animals per county and ``by``, with the share of the county's animals.
+
+    ``counties`` (county, animals) gives the totals when they cover more than ``rows``.
+    """
     groups = rows.groupBy("county", by).agg(
         _rows().alias("facilities"), F.sum("headcount").alias("animals")
     )
-    total = F.sum("animals").over(Window.partitionBy("county"))
-    return groups.withColumn("pct_of_county", _share(F.col("animals"), total))
+    if counties is None:
+        counties = rows.groupBy("county").agg(F.sum("headcount").alias("animals"))
+    totals = counties.select("county", F.col("animals").alias("_all"))
+    return (
+        groups.join(totals, "county")
+        .withColumn("pct_of_county", _share(F.col("animals"), F.col("_all")))
+        .drop("_all")
+    )
 
 
 def top_per_county(permits: DataFrame, n: int = 10) -> DataFrame:
