@@ -19,12 +19,6 @@ TILE_ROWS = TILE_COLS = 100
 
 
 # --- nearest permit -----------------------------------------------------------------
-def polygons_utm(spark, d):
-    return detection_rings(spark, d).select(
-        F.col("det_id").alias("polygon_id"), geo.project_ring(F.col("ring")).alias("ring")
-    )
-
-
 def permits_utm(spark, d):
     x, y = geo.utm18(F.col("longitude"), F.col("latitude"))
     return R.located(T.permit(spark, d)).select("permit_id", x.alias("x"), y.alias("y"))
@@ -52,7 +46,10 @@ NEAREST_SQL = GEO_BOX + _RING_UTM + """
 SELECT d.det_id AS polygon_id, permit_id, round(dm, 3) AS join_distance_m
 FROM detection d LEFT JOIN near n ON n.det_id = d.det_id"""))
 def nearest_permit(spark, d):
-    out = S.nearest_within(polygons_utm(spark, d), permits_utm(spark, d), 2000.0)
+    polygons = detection_rings(spark, d).select(F.col("det_id").alias("polygon_id"), "ring")
+    out = S.nearest_within(
+        polygons, permits_utm(spark, d), 2000.0, ring=geo.project_ring(F.col("ring"))
+    )
     return out.select("polygon_id", "permit_id", F.round("join_distance_m", 3).alias("join_distance_m"))
 
 

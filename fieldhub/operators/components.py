@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from fieldhub.session import Scratch
 
 MAX_ROUNDS = 64
+HOT_SPLIT_EDGES = 1_000_000  # below this many edges no node is worth splitting out
+HOT_NODES = 2_000  # upper bound on broadcast hub nodes
 
 
 def _downward(edges: DataFrame) -> DataFrame:
@@ -15,21 +17,38 @@ def _downward(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m, degree): smallest neighbour and number of neighbours of each u."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+
+
+def _meet(edges: DataFrame, least: DataFrame, hot_degree: int | None) -> DataFrame:
+    """Edges with the m of their u.
+
+    A hub node may own a large part of all edges.  Nodes above ``hot_degree`` are few
+    (at most edges / hot_degree), so their rows meet a broadcast and never gather in one
+    task; the other edges take the shuffled join.
+    """
+    m = least.select("u", "m")
+    if hot_degree is None:
+        return edges.join(m, "u")
+    hot = F.broadcast(least.filter(F.col("degree") > hot_degree).select("u", "m"))
+    cold = least.filter(F.col("degree") <= hot_degree).select("u", "m")
+    rest = edges.join(hot.select("u"), "u", "left_anti")
+    return edges.join(hot, "u").unionByName(rest.join(cold, "u"))
+
+
+def _large_star(edges: DataFrame, hot_degree: int | None) -> DataFrame:
     """Hang every larger neighbour of a node on the smallest id around that node."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return (
-        both.filter("v > u")
-        .join(least, "u")
-        .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-    )
+    met = _meet(both.filter("v > u"), _least(both), hot_degree)
+    return met.select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hot_degree: int | None) -> DataFrame:
     """Hang the smaller neighbours of a node, and the node itself, on their minimum."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    links = edges.join(least, "u").filter("v <> m")
+    least = _least(edges)
+    links = _meet(edges, least, hot_degree).filter("v <> m")
     return links.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
         least.select("u", F.col("m").alias("v"))
     )
@@ -41,7 +60,9 @@ def _fingerprint(edges: DataFrame):
     ).first()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(
+    edges: DataFrame, a: str = "a", b: str = "b", hot_split_edges: int = HOT_SPLIT_EDGES
+) -> DataFrame:
     """(node, component) for every node of an undirected edge table; component = least id.
 
     Each round is a few keyed aggregations and joins, and the number of rounds grows with
@@ -54,7 +75,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     current = scratch.cut(_downward(given).distinct())
     seen = _fingerprint(current)
     for _ in range(MAX_ROUNDS):
-        current = scratch.cut(_small_star(_large_star(current)).distinct())
+        hot = max(1, 2 * seen[0] // HOT_NODES) if seen[0] >= hot_split_edges else None
+        current = scratch.cut(_small_star(_large_star(current, hot), hot).distinct())
         mark = _fingerprint(current)
         if mark == seen:
             break

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldhub import constants as K
 from fieldhub.operators import components
+from fieldhub.session import Scratch
 
 
 def merge_boxes(
@@ -31,7 +32,7 @@ def merge_boxes(
         tile, "det_id", *[b[c].alias(c) for c in ("x1", "y1", "x2", "y2")],
         key("x1", "x2").alias("cx"), key("y1", "y2").alias("cy"),
     )
-    per_cell = boxes.groupBy(tile, "cx", "cy").agg(
+    per_cell = Scratch(dets.sparkSession, "cells").cut(boxes.groupBy(tile, "cx", "cy").agg(
         F.min("det_id").alias("node"), F.count(F.lit(1)).alias("boxes"),
         F.sum((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area_px"),
         F.min("x1").alias("x1"), F.min("y1").alias("y1"),
@@ -40,7 +41,7 @@ def merge_boxes(
         F.collect_set(
             F.struct((F.col("x1") + F.col("x2")).alias("hx"), (F.col("y1") + F.col("y2")).alias("hy"))
         ).alias("centres"),
-    )
+    ))
     reach = F.array(*[
         F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"))
         for i in range(0, span + 1)

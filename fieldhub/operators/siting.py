@@ -22,7 +22,8 @@ from fieldhub.session import Scratch, small_table
 
 MAX_HUBS = 256  # more hubs than this is not a run parameter any more
 SERIAL_ROWS = 50_000  # remaining rows that one task may finish in priority order
-BUCKETS = 64
+BUCKET_ROWS = 500_000
+MAX_BUCKETS = 1_024
 
 
 @dataclass(frozen=True)
@@ -153,7 +154,11 @@ def _finish_in_order(rest: DataFrame, hubs, capacity, loads, scale) -> DataFrame
     return slim.mapInPandas(run, _ASSIGNED)
 
 
-def bucketed(facilities: DataFrame, scratch: Scratch, buckets: int = BUCKETS) -> DataFrame:
+def _bucket_count(rows: int) -> int:
+    return max(8, min(MAX_BUCKETS, rows // BUCKET_ROWS))
+
+
+def bucketed(facilities: DataFrame, scratch: Scratch, buckets: int) -> DataFrame:
     """Facilities with ``bucket``: contiguous ranges of the priority order.
 
     Ranges are cut on (headcount, id), so equal headcounts spread over buckets, and the
@@ -205,7 +210,8 @@ def _offsets(spark, sums: dict[int, list[float]], hubs: Sequence[Hub], base: lis
 def running_load(facilities: DataFrame, hubs: Sequence[Hub], unit: str = "km") -> DataFrame:
     """Load of the nearest hub from larger facilities, per facility (size order)."""
     scratch = Scratch(facilities.sparkSession, "running")
-    near = nearest_site(bucketed(facilities, scratch), hubs, unit).withColumnRenamed(
+    ranged = bucketed(facilities, scratch, _bucket_count(facilities.count()))
+    near = nearest_site(ranged, hubs, unit).withColumnRenamed(
         "assigned_site_idx", "choice"
     )
     sums = near.groupBy("bucket").agg(*_choice_sums(near, hubs))
@@ -230,7 +236,8 @@ def assign_with_capacity(
     capacity: float,
     unit: str = "km",
     serial_rows: int = SERIAL_ROWS,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Each facility, largest first, takes its nearest hub with room; -1 if none has.
 
@@ -238,19 +245,21 @@ def assign_with_capacity(
     each round picks the nearest hub whose load from larger facilities leaves room.  The
     only fixpoint is the serial result, and every bucket before the first change is final
     and leaves the loop.  A tail of at most ``serial_rows`` rows is finished in one task.
+    ``rows`` saves counting the facilities when their number is known.
     """
     spark = facilities.sparkSession
     scale = geo.distance_scale(unit)
     facilities = facilities.select("permit_id", "headcount", "x", "y")
     zero = [0.0] * len(hubs)
-    if facilities.limit(serial_rows + 1).count() <= serial_rows:
+    if rows is None:
+        rows = facilities.count()
+    if rows <= serial_rows:
         return _finish_in_order(facilities, hubs, capacity, zero, scale)
 
     scratch, done = Scratch(spark, "capacity"), Scratch(spark, "settled", keep=10**9)
     settled: list[DataFrame] = []
-    state = nearest_site(bucketed(facilities, scratch, buckets), hubs, unit).withColumnRenamed(
-        "assigned_site_idx", "choice"
-    )
+    ranged = bucketed(facilities, scratch, buckets or _bucket_count(rows))
+    state = nearest_site(ranged, hubs, unit).withColumnRenamed("assigned_site_idx", "choice")
     sums = {
         r["bucket"]: list(r)[1:]
         for r in state.groupBy("bucket").agg(*_choice_sums(state, hubs)).collect()
@@ -341,9 +350,12 @@ def refine_hubs(
     if capacity is None:
         capacity = default_capacity(points, p)
     hubs = initial_hubs(points, p)
+    n = points.count()
     run = SitingRun(hubs, points, 0, False)
     for _ in range(max_rounds):
-        run.assigned = assign_with_capacity(points, run.hubs, capacity, unit, serial_rows)
+        run.assigned = assign_with_capacity(
+            points, run.hubs, capacity, unit, serial_rows, rows=n
+        )
         moved = centroids(run.assigned, run.hubs)
         move = math.sqrt(sum((a.x - b.x) ** 2 + (a.y - b.y) ** 2 for a, b in zip(moved, run.hubs)))
         run.rounds += 1
@@ -382,7 +394,7 @@ def transport_effort(assigned: DataFrame) -> DataFrame:
 
 # --- p-median --------------------------------------------------------------------
 CELLS_PER_SIDE = 32
-EVALUATED_AT_ONCE = 32
+EVALUATED_AT_ONCE = 16
 
 
 def _to_open(open_sites: Sequence[Hub]) -> Column | None:
@@ -513,12 +525,21 @@ def p_median(
     """
     spark = sources.sparkSession
     scratch = Scratch(spark, "pmedian", keep=3)
-    sources = scratch.cut(sources.select("headcount", "x", "y").dropna(subset=["x", "y"]))
-    candidates = scratch.cut(candidates.select("site_id", "x", "y").dropna())
+    spread = lambda df: df.repartition(spark.sparkContext.defaultParallelism)
+    sources = scratch.cut(spread(sources.select("headcount", "x", "y").dropna(subset=["x", "y"])))
+    candidates = scratch.cut(spread(candidates.select("site_id", "x", "y").dropna()))
+    known: dict[frozenset[int], tuple[Hub, float]] = {}
+
+    def addition(open_sites: list[Hub]) -> tuple[Hub, float]:
+        key = frozenset(s.site_id for s in open_sites)
+        if key not in known:
+            known[key] = best_addition(sources, candidates, open_sites)
+        return known[key]
+
     chosen: list[Hub] = []
     total = float("inf")
     for _ in range(p):
-        site, total = best_addition(sources, candidates, chosen)
+        site, total = addition(chosen)
         chosen.append(site)
     improved = swap and p > 1
     for _ in range(max_sweeps):
@@ -527,7 +548,7 @@ def p_median(
         improved = False
         for old in list(chosen):
             others = [s for s in chosen if s != old]
-            site, better = best_addition(sources, candidates, others)
+            site, better = addition(others)
             if site != old and better < total * (1 - 1e-12):
                 chosen, total, improved = [*others, site], better, True
     return Median(sorted(chosen, key=lambda s: s.site_id), total * geo.distance_scale(unit))

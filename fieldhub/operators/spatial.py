@@ -108,12 +108,38 @@ def _candidates(polys: DataFrame, sites: DataFrame, radius: float, limit: int) -
     return near.join(keyed, ["_cx", "_cy"]).filter(gx * gx + gy * gy <= reach * reach)
 
 
+def _plausible(pairs: DataFrame) -> DataFrame:
+    """Drop sites that cannot be a polygon's nearest, by bounds on the bounding box alone.
+
+    The ring touches every side of its box, which bounds the distance from above; the gap to
+    the box bounds it from below.  The window shares its partitioning with the join that
+    follows.
+    """
+    x, y = F.col("_px"), F.col("_py")
+    near = lambda v, lo, hi: F.least(F.abs(v - F.col(lo)), F.abs(v - F.col(hi)))
+    far = lambda v, lo, hi: F.greatest(F.abs(v - F.col(lo)), F.abs(v - F.col(hi)))
+    gap = lambda v, lo, hi: F.greatest(F.lit(0.0), F.col(lo) - v, v - F.col(hi))
+    sides = pairs.select(
+        "_pid", "_px", "_py",
+        near(x, "_x0", "_x1").alias("nx"), near(y, "_y0", "_y1").alias("ny"),
+        far(x, "_x0", "_x1").alias("fx"), far(y, "_y0", "_y1").alias("fy"),
+        gap(x, "_x0", "_x1").alias("gx"), gap(y, "_y0", "_y1").alias("gy"),
+    )
+    bounds = sides.select(
+        "_pid", "_px", "_py",
+        F.expr("gx*gx + gy*gy").alias("_low"),
+        F.expr("least(nx*nx + fy*fy, ny*ny + fx*fx)").alias("_high"),
+    )
+    slack = F.min("_high").over(Window.partitionBy("_pid")) * (1 + 1e-9) + 1e-9
+    return bounds.withColumn("_cap", slack).filter("_low <= _cap").select("_pid", "_px", "_py")
+
+
 def nearest_within(
     polys: DataFrame,
     points: DataFrame,
     radius: float,
     poly_id: str = "polygon_id",
-    ring: str = "ring",
+    ring: str | Column = "ring",
     x: str = "x",
     y: str = "y",
     tie_break: str | None = None,
@@ -121,25 +147,29 @@ def nearest_within(
 ) -> DataFrame:
     """Left join of each polygon to its nearest point within ``radius`` (planar metres).
 
+    ``ring`` names the planar ring column or is an expression for it.
+
     Adds the point's columns and ``join_distance_m``; a polygon without a point in reach
     keeps nulls.  Ties are all kept unless ``tie_break`` names a point column whose
     smallest value wins.  Distances are measured to distinct locations only, so any number
     of points on one spot costs one comparison.
     """
     spots = points.select(F.col(x).alias("_px"), F.col(y).alias("_py")).dropna().distinct()
+    # The ring and its candidates meet on the polygon id below.  Partitioning on it up front
+    # costs nothing extra and spreads the geometry work, however few files the input has.
+    ring = F.col(ring) if isinstance(ring, str) else ring
+    polys = polys.repartition(poly_id).withColumn("_metric", ring)
     shapes = _ring_extent(
-        polys.select(F.col(poly_id).alias("_pid"), F.col(ring).alias("_ring")), "_ring"
+        polys.select(F.col(poly_id).alias("_pid"), F.col("_metric").alias("_ring")), "_ring"
     )
     # Only extents travel through the cell join; the rings meet their few candidates after.
-    pairs = _candidates(shapes.drop("_ring"), spots, radius, crowd_limit).select(
-        "_pid", "_px", "_py"
-    )
+    pairs = _plausible(_candidates(shapes.drop("_ring"), spots, radius, crowd_limit))
     order = Window.partitionBy(poly_id).orderBy(F.col("_d").asc_nulls_last())
     met = (
-        polys.withColumn("_edges", geo.measured_edges(F.col(ring)))
+        polys.withColumn("_edges", geo.measured_edges(F.col("_metric")))
         .join(pairs, F.col(poly_id) == F.col("_pid"), "left")
         .withColumn("_d", geo.edges_point_distance(F.col("_edges"), F.col("_px"), F.col("_py")))
-        .drop("_edges", "_pid")
+        .drop("_edges", "_metric", "_pid")
         .withColumns({"_rank": F.rank().over(order), "_row": F.row_number().over(order)})
     )
     hit = F.coalesce(F.col("_d") <= radius, F.lit(False))

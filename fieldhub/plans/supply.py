@@ -28,12 +28,12 @@ def supply_map(
         "permit_id", F.trim("farm_name").alias("farm_name"), "animal_type", "headcount",
         x.alias("_ux"), y.alias("_uy"),
     )
-    metric = polygons.withColumn("_utm", geo.project_ring(F.col("ring")))
-    if "area_m2" not in polygons.columns:
-        metric = metric.withColumn("area_m2", geo.ring_area(F.col("_utm")))
+    metric = geo.project_ring(F.col("ring"))
     joined = spatial.nearest_within(
-        metric, points, radius_m, ring="_utm", x="_ux", y="_uy", tie_break=tie_break
-    ).drop("_utm", "_ux", "_uy")
+        polygons, points, radius_m, ring=metric, x="_ux", y="_uy", tie_break=tie_break
+    ).drop("_ux", "_uy")
+    if "area_m2" not in polygons.columns:
+        joined = joined.withColumn("area_m2", geo.ring_area(metric))
     animal = text.canonical_animal(F.col("animal_type"))
     heads = F.coalesce("headcount", F.lit(0)).cast("bigint")
     return joined.withColumns({"animal_type": animal, "headcount": heads}).withColumns({

@@ -104,15 +104,18 @@ def test_close_centers_and_merge(spark):
     assert got == want
 
 
-def test_components_on_chain_and_star(spark):
+@pytest.mark.parametrize("hot_split_edges", [10**9, 1])
+def test_components_on_chain_and_star(spark, hot_split_edges, monkeypatch):
+    monkeypatch.setattr(components, "HOT_NODES", 20)  # nodes with more than ~50 edges are hot
     chain = [(i, i + 1) for i in range(0, 300)]
-    star = [(1000, 1000 + i) for i in range(1, 200)]
+    star = [(1000, 1000 + i) for i in range(1, 200)] + [(3000, 3000 - i) for i in range(1, 200)]
     pairs = [(5000, 5001), (5001, 5000), (6000, 6000)]
     edges = chain + star + pairs
     random.Random(3).shuffle(edges)
     df = spark.createDataFrame(edges, "a bigint, b bigint")
-    got = dict(map(tuple, components.connected_components(df).collect()))
-    want = {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(200)} | {5000: 5000, 5001: 5000}
+    got = dict(map(tuple, components.connected_components(df, hot_split_edges=hot_split_edges).collect()))
+    want = {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(200)} | {
+        3000 - i: 2801 for i in range(200)} | {5000: 5000, 5001: 5000}
     assert got == want
 
 
