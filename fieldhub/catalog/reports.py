@@ -55,6 +55,15 @@ def animal_distribution(spark, d):
     return out.withColumn("pct", F.round("pct", 6))
 
 
+@query("animal_share", with_views(["permit"], """
+SELECT animal_type, sum(headcount)::BIGINT AS animals,
+  round_even(sum(headcount)*100.0::DOUBLE/(SELECT sum(headcount) FROM permit), 1) AS pct
+FROM permit GROUP BY animal_type"""))
+def animal_share(spark, d):
+    out = A.distribution(T.permit(spark, d), "animal_type")
+    return out.select("animal_type", "animals", F.bround("pct", 1).alias("pct"))
+
+
 @query("county_distribution", with_views(["permit"], """
 SELECT county, count(*) AS facilities, sum(headcount)::BIGINT AS animals,
   round(sum(headcount)*100.0::DOUBLE/(SELECT sum(headcount) FROM permit), 6) AS pct

@@ -53,6 +53,18 @@ def nearest_permit(spark, d):
     return out.select("polygon_id", "permit_id", F.round("join_distance_m", 3).alias("join_distance_m"))
 
 
+@query("nearest_permit_first", with_views(["utm", "detection"], NEAREST_SQL + """
+SELECT d.det_id AS polygon_id, min(permit_id) AS permit_id, round(min(dm), 3) AS join_distance_m
+FROM detection d LEFT JOIN near n ON n.det_id = d.det_id GROUP BY d.det_id"""))
+def nearest_permit_first(spark, d):
+    polygons = detection_rings(spark, d).select(F.col("det_id").alias("polygon_id"), "ring")
+    out = S.nearest_within(
+        polygons, permits_utm(spark, d), 2000.0, ring=geo.project_ring(F.col("ring")),
+        tie_break="permit_id",
+    )
+    return out.select("polygon_id", "permit_id", F.round("join_distance_m", 3).alias("join_distance_m"))
+
+
 @query("near_pairs", with_views(["detection"], """
 , c AS (SELECT tile, x1+x2 AS hx, y1+y2 AS hy, count(*) AS n FROM detection GROUP BY ALL)
 SELECT a.tile, a.hx AS ax, a.hy AS ay, b.hx AS bx, b.hy AS "by", a.n AS n_a, b.n AS n_b
@@ -254,7 +266,7 @@ SELECT region_id, min(tile_id) AS tile_id, min(row) AS row_min, max(row) AS row_
   max(c1) AS col_max, sum(c1 - c0 + 1)::BIGINT AS area_px FROM run JOIN root USING (id) GROUP BY region_id""",
     recursive=True))
 def mask_regions(spark, d):
-    return P.regions(P.unpack(clean_roof(spark, d)))
+    return P.regions(clean_roof(spark, d))
 
 
 @query("mask_bbox", with_views(["raster"], """

@@ -285,14 +285,30 @@ def open_mask(words: DataFrame, size: int) -> DataFrame:
 ROW_BITS = COL_BITS = 20  # rows and columns of a tile stay below 2**20
 
 
-def pixel_runs(pixels: DataFrame) -> DataFrame:
-    """Maximal horizontal runs of set pixels, with an id that sorts by (tile, row, column)."""
-    line = Window.partitionBy("tile_id", "row").orderBy("col")
-    island = F.col("col") - F.row_number().over(line)
+def mask_runs(words: DataFrame) -> DataFrame:
+    """Maximal horizontal runs of set pixels, with an id that sorts by (tile, row, column).
+
+    Runs are read off each word (at most 32) and joined up where they meet at a word edge,
+    so the window sees runs, never single pixels.
+    """
+    m = F.col("mask")
+    starts = m.bitwiseAND(F.bitwise_not(F.shiftleft(m, 1)))
+    ends = m.bitwiseAND(F.bitwise_not(F.shiftrightunsigned(m, 1)))
+    bits = lambda w: F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit(w, i) == 1)
+    pieces = words.filter("mask <> 0").select(
+        "tile_id", "row", "block", F.explode(F.arrays_zip(bits(starts).alias("s"), bits(ends).alias("e"))).alias("p")
+    ).select(
+        "tile_id", "row",
+        (F.col("block") * WORD + F.col("p.s")).alias("col_start"),
+        (F.col("block") * WORD + F.col("p.e")).alias("col_end"),
+    )
+    line = Window.partitionBy("tile_id", "row").orderBy("col_start")
+    fresh = F.coalesce(F.col("col_start") != F.lag("col_end").over(line) + 1, F.lit(True))
     runs = (
-        pixels.withColumn("_i", island)
+        pieces.withColumn("_new", fresh.cast("int"))
+        .withColumn("_i", F.sum("_new").over(line))
         .groupBy("tile_id", "row", "_i")
-        .agg(F.min("col").alias("col_start"), F.max("col").alias("col_end"))
+        .agg(F.min("col_start").alias("col_start"), F.max("col_end").alias("col_end"))
         .drop("_i")
     )
     run_id = (
@@ -327,9 +343,9 @@ def touching_runs(runs: DataFrame) -> DataFrame:
     )
 
 
-def regions(pixels: DataFrame) -> DataFrame:
-    """8-connected regions of set pixels: area, extent and the id of their first pixel."""
-    runs = Scratch(pixels.sparkSession, "runs").cut(pixel_runs(pixels))
+def regions(words: DataFrame) -> DataFrame:
+    """8-connected regions of a mask: area, extent and the id of their first pixel."""
+    runs = Scratch(words.sparkSession, "runs").cut(mask_runs(words))
     labelled = components.label(runs, touching_runs(runs), "run_id")
     return labelled.groupBy(F.col("component").alias("region_id")).agg(
         F.min("tile_id").alias("tile_id"),

@@ -150,7 +150,8 @@ def _finish_in_order(rest: DataFrame, hubs, capacity, loads, scale) -> DataFrame
         if frames:
             yield _serial_fill(pd.concat(frames), hubs, capacity, loads, scale)
 
-    slim = rest.select("permit_id", "headcount", "x", "y").coalesce(1)
+    # repartition, not coalesce: what produced the few rows stays parallel
+    slim = rest.select("permit_id", "headcount", "x", "y").repartition(1)
     return slim.mapInPandas(run, _ASSIGNED)
 
 

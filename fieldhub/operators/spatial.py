@@ -188,7 +188,7 @@ def nearest_within(
     matched = kept.join(
         located, (F.col("_px") == located[x]) & (F.col("_py") == located[y]), "left"
     ).drop("_px", "_py")
-    if tie_break is not None:
+    if tie_break is not None:  # equally near spots may still differ
         pick = Window.partitionBy(poly_id).orderBy(tie_break)
         matched = matched.withColumn("_rn", F.row_number().over(pick)).filter("_rn = 1").drop("_rn")
     return matched

@@ -166,7 +166,7 @@ def test_regions_against_flood_fill(spark):
                         stack.append((rr, cc))
         rows, cols = zip(*cells)
         want.add((len(cells), int(min(rows)), int(max(rows)), int(min(cols)), int(max(cols))))
-    on = pixels_of(spark, mask).filter("on").drop("on")
+    on = raster.pack(pixels_of(spark, mask), F.col("on"))
     got = {
         (r["area_px"], r["row_min"], r["row_max"], r["col_min"], r["col_max"])
         for r in raster.regions(on).collect()
