@@ -147,7 +147,8 @@ def test_morphology(spark, size):
         assert got == set(zip(*map(lambda a: a.tolist(), np.nonzero(want))))
 
 
-def test_regions_against_flood_fill(spark):
+@pytest.mark.parametrize("band_rows", [64, 1, 7])
+def test_regions_against_flood_fill(spark, band_rows):
     mask = np.random.default_rng(9).random((30, 140)) < 0.42
     seen, want = np.zeros_like(mask), set()
     for r0, c0 in zip(*np.nonzero(mask)):
@@ -169,7 +170,7 @@ def test_regions_against_flood_fill(spark):
     on = raster.pack(pixels_of(spark, mask), F.col("on"))
     got = {
         (r["area_px"], r["row_min"], r["row_max"], r["col_min"], r["col_max"])
-        for r in raster.regions(on).collect()
+        for r in raster.regions(on, band_rows).collect()
     }
     assert got == want
 
