@@ -105,6 +105,18 @@ HUB_COLOURS = [
     "cadetblue", "pink",
 ]
 
+# --- fixed values: report wording ---------------------------------------------
+PRIORITY_REASON = {
+    "HIGH": "High AFO density and large animal population",
+    "MEDIUM": "Significant AFO presence",
+    "LOW": "Lower AFO concentration",
+}
+PRIORITY_ADVICE = {
+    "HIGH": "Excellent candidate for pilot digester program",
+    "MEDIUM": "Good candidate for regional hub serving multiple counties",
+    "LOW": "Better suited for regional hub access",
+}
+
 # --- fixed values: siting and economics --------------------------------------
 HUB_CAPACITY = 5_000_000
 ANIMALS_PER_TRUCKLOAD = 25_000

@@ -28,9 +28,15 @@ def animal_count_columns(columns: list[str]) -> list[str]:
     ]
 
 
+def to_number(text: Column) -> Column:
+    """Text to double; unreadable text and the word "nan" are null."""
+    value = text.try_cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def to_count(text: Column) -> Column:
     """Text to a whole number; unreadable or missing text counts as 0."""
-    return F.coalesce(text.try_cast("double"), F.lit(0.0)).cast("bigint")
+    return F.coalesce(to_number(text).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def trimmed(col: Column | None, default: str) -> Column:

@@ -201,9 +201,9 @@ def score(scenarios: DataFrame) -> DataFrame:
     ).scalar()
     return scenarios.withColumn("_top", top).withColumn(
         "score",
-        F.col("total_5yr_m") / F.col("_top.cost")
+        F.col("total_5yr_m") / F.nullif(F.col("_top.cost"), _d(0))
         + F.abs(F.lit(100.0) - F.col("max_capacity_pct")) / 100
-        + F.col("avg_distance_km") / F.col("_top.km"),
+        + F.col("avg_distance_km") / F.nullif(F.col("_top.km"), _d(0)),
     ).drop("_top")
 
 

@@ -39,7 +39,7 @@ def _headcount_and_animal(df: DataFrame, assume_standard: bool | None) -> tuple[
     if assume_standard is not None:
         return standard if assume_standard else fallback
     # The whole column decides: a scalar subquery, evaluated once when the plan runs.
-    total = df.select(F.sum(F.coalesce(count_col.try_cast("double"), F.lit(0.0)))).scalar()
+    total = df.select(F.sum(F.coalesce(text.to_number(count_col), F.lit(0.0)))).scalar()
     usable = F.coalesce(total, F.lit(0.0)) > 0
     return (
         F.when(usable, standard[0]).otherwise(fallback[0]),
@@ -56,7 +56,7 @@ def _coordinates(df: DataFrame) -> tuple[Column, Column]:
             lon = c
     if lat is None or lon is None:
         return F.lit(K.PLACEHOLDER_LAT), F.lit(K.PLACEHOLDER_LON)
-    return F.col(f"`{lat}`").try_cast("double"), F.col(f"`{lon}`").try_cast("double")
+    return text.to_number(F.col(f"`{lat}`")), text.to_number(F.col(f"`{lon}`"))
 
 
 def parse_permits(
@@ -206,10 +206,10 @@ def geocode_requests(
     Rows are numbered before rows without a usable address are dropped, as a batch is a
     slice of the input.
     """
+    shown = lambda c: F.coalesce(F.trim(c), F.lit(""))
     quoted = F.format_string(
         '"%s","%s","%s","%s","%s"',
-        F.col(key).cast("string"), F.trim("address"), F.trim("city"), F.lit(state),
-        F.trim("zip_code"),
+        F.col(key).cast("string"), shown("address"), shown("city"), F.lit(state), shown("zip_code"),
     )
     return (
         dense_index(permits, key)
@@ -227,7 +227,7 @@ def parse_geocode_replies(replies: DataFrame) -> DataFrame:
 
     Unmatched and malformed replies are dropped.
     """
-    part = lambda i: F.trim(F.split_part("lon_lat", F.lit(","), F.lit(i))).try_cast("double")
+    part = lambda i: text.to_number(F.trim(F.split_part("lon_lat", F.lit(","), F.lit(i))))
     return (
         replies.filter(F.lower(F.trim("match_flag")) == "match")
         .select(F.trim("id").try_cast("bigint").alias("id"), part(2).alias("lat"), part(1).alias("lon"))
@@ -272,7 +272,7 @@ def geocode_coverage(before: DataFrame, after: DataFrame) -> DataFrame:
         F.count_if(newly).alias("newly_geocoded"),
         F.count_if(now).alias("located_after"),
         F.count_if(~now).alias("still_missing"),
-        F.round(F.count_if(now) * 100.0 / n, 6).alias("coverage_pct"),
+        F.round(F.count_if(now) * 100.0 / F.nullif(n, F.lit(0)), 6).alias("coverage_pct"),
     )
 
 

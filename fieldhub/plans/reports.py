@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldhub import constants as K
 from fieldhub.functions import nutrient
 from fieldhub.operators import profiles as A
 
@@ -42,7 +43,7 @@ def baseline_report(permits: DataFrame) -> DataFrame:
         _facts(
             quality, 1,
             ("Total AFO Records: %,d", c("records")),
-            ("With Valid Coordinates: %,d (%.1f%%)", c("located"), c("located") * 100.0 / c("records")),
+            ("With Valid Coordinates: %,d (%.1f%%)", c("located"), c("located") * 100.0 / F.nullif(c("records"), F.lit(0))),
             ("Missing Coordinates: %,d", c("missing")),
             ("With Headcount Data: %,d", c("with_headcount")),
             ("Total Animals: %,d", c("animals")),
@@ -125,24 +126,17 @@ def county_reports(permits: DataFrame, assigned: DataFrame | None = None, top_n:
             "Hub %2d: %3d AFOs, %,12d animals (%5.1f%%)",
             c("assigned_site_idx"), c("facilities"), c("animals"), c("pct_of_county"),
         ))
-    reason = (
-        F.when(c("priority") == "HIGH", "High AFO density and large animal population")
-        .when(c("priority") == "MEDIUM", "Significant AFO presence")
-        .otherwise("Lower AFO concentration")
-    )
-    advice = (
-        F.when(c("priority") == "HIGH", "Excellent candidate for pilot digester program")
-        .when(c("priority") == "MEDIUM", "Good candidate for regional hub serving multiple counties")
-        .otherwise("Better suited for regional hub access")
+    by_level = lambda texts: F.element_at(
+        F.create_map(*[F.lit(x) for kv in texts.items() for x in kv]), c("priority")
     )
     parts.append(facts(
         A.county_priority(leading), 6,
         ("Priority Level: %s", c("priority")),
-        ("Reason: %s", reason),
+        ("Reason: %s", by_level(K.PRIORITY_REASON)),
         ("AFO Density Score: %.1f", c("density_score")),
         ("Volume Score: %.1f", c("volume_score")),
         ("Industrial Facilities: %.0f%%", c("industrial_pct")),
-        ("Recommendation: %s", advice),
+        ("Recommendation: %s", by_level(K.PRIORITY_ADVICE)),
     ))
     return _stack(parts)
 

@@ -94,7 +94,7 @@ def summaries(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """
     text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     pair = F.split("value", ":", 2)
-    number = F.regexp_replace(F.trim(pair[1]), ",", "").try_cast("double")
+    number = F.regexp_replace(F.trim(F.get(pair, F.lit(1))), ",", "").try_cast("double")
     return (
         text.filter(F.col("value").contains(":"))
         .select("file", F.lower(F.trim(pair[0])).alias("key"), number.alias("number"))

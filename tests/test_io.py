@@ -124,7 +124,7 @@ def test_request_batches_and_layers(spark, sf, tmp_path):
     assert back.count() == requests.count()
     assert back.groupBy("batch").count().agg(F.max("count")).first()[0] <= 40
     writers.layer(permits, str(tmp_path / "l"))
-    assert readers.layer(spark, str(tmp_path / "l")).schema == permits.schema
+    assert readers.layer(spark, str(tmp_path / "l")).dtypes == permits.dtypes
 
 
 def test_demand_sink(spark, sf, tmp_path):
@@ -153,3 +153,25 @@ def test_permit_stream_equals_batch(spark, sf, tmp_path):
     want = R.active(R.parse_permits(batch, "permit_id"))
     assert landed.count() == want.count()
     assert landed.exceptAll(want).count() == 0
+
+
+def test_cuts_go_to_the_checkpoint_folder(spark, monkeypatch, tmp_path):
+    from fieldhub import session
+
+    monkeypatch.setattr(session, "checkpoint_root", lambda s: str(tmp_path))
+    scratch = session.Scratch(spark, "loop", keep=2)
+    df = spark.range(5)
+    for _ in range(4):
+        df = scratch.cut(df.select((F.col("id") + 1).alias("id")))
+    assert sorted(r["id"] for r in df.collect()) == [4, 5, 6, 7, 8]
+    kept = sorted(p.name for p in next(tmp_path.iterdir()).iterdir())
+    assert kept == ["g2", "g3"]
+
+
+def test_small_table(spark):
+    from fieldhub.session import small_table
+
+    rows = [(1, 2.5, "it's"), (2, 1e21, "b")]
+    df = small_table(spark, rows, {"a": "bigint", "b": "double", "c": "string"})
+    assert [tuple(r) for r in df.collect()] == rows
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "string"]

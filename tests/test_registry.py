@@ -76,6 +76,20 @@ def test_empty_standard_column_falls_back(spark):
     assert (row["headcount"], row["animal_type"]) == (12, "sheep")
 
 
+def test_nan_text_is_missing(spark):
+    raw = spark.createDataFrame(
+        [("nan", "Goat", "nan", "-76.0"), ("None", "Goat", "38.5", "NaN"), ("7.9", None, "39", "-76")],
+        ["Headcount", "Animal Type", "Lat", "Lon"],
+    )
+    rows = R.parse_permits(raw).collect()
+    assert [(r["headcount"], r["latitude"], r["longitude"]) for r in rows] == [
+        (0, None, -76.0), (0, 38.5, None), (7, 39.0, -76.0)
+    ]
+    assert R.located(R.parse_permits(raw)).count() == 1
+    none = spark.createDataFrame([("nan", "Goat", "3")], ["Headcount", "Animal Type", "Sheep"])
+    assert R.parse_permits(none).first()["animal_type"] == "sheep"
+
+
 def one(spark, *columns):
     return spark.range(1).select(*columns).first()
 
