@@ -127,7 +127,10 @@ def _as_double(df):
 @query("crop_demand_blocks", with_views(["raster"], _DEMAND + """
 SELECT tile_id, row, col, nd::DOUBLE AS n_demand, pd::DOUBLE AS p_demand FROM dem"""))
 def crop_demand_blocks(spark, d):
-    blocks = P.block_demand(P.to_blocks(T.raster(spark, d)))
+    return _pixels_of(P.block_demand(P.to_blocks(T.raster(spark, d))))
+
+
+def _pixels_of(blocks):
     out = blocks.select(
         "tile_id", "row", "col0", F.posexplode(F.arrays_zip("n_demand", "p_demand")).alias("i", "v")
     )
@@ -170,6 +173,13 @@ def demand_map(spark, d):
     return _as_double(demand(spark, d).select("tile_id", "row", "col", "n_demand", "p_demand"))
 
 
+@query("demand_map_blocks", with_views(["raster", "edge"], _DEMAND + _MASKED + """
+SELECT tile_id, row, col, n_demand::DOUBLE AS n_demand, p_demand::DOUBLE AS p_demand FROM dmap"""))
+def demand_map_blocks(spark, d):
+    blocks = P.to_blocks(T.raster(spark, d))
+    return _pixels_of(P.block_demand_map(blocks, T.setback(spark, d), TILE_ROWS, TILE_COLS))
+
+
 @query("demand_stats", with_views(["raster", "edge"], _DEMAND + _MASKED + """
 SELECT tile_id, count(*) AS pixels, min(n_demand)::DOUBLE AS n_min, max(n_demand)::DOUBLE AS n_max,
   min(p_demand)::DOUBLE AS p_min, max(p_demand)::DOUBLE AS p_max,

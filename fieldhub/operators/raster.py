@@ -43,7 +43,7 @@ def block_demand(blocks: DataFrame) -> DataFrame:
     })
 
 
-def to_blocks(pixels: DataFrame, width: int = 256) -> DataFrame:
+def to_blocks(pixels: DataFrame, width: int = WORD) -> DataFrame:
     """Pixel rows to block rows; a block is bounded by ``width`` columns."""
     col0 = (F.floor(F.col("col") / width) * width).cast("int")
     return (
@@ -177,6 +177,25 @@ def demand_map(pixels: DataFrame, polygons: DataFrame | None, rows: int, cols: i
     return out.withColumns({"n_demand": zeroed("n_demand"), "p_demand": zeroed("p_demand")})
 
 
+def block_demand_map(blocks: DataFrame, polygons: DataFrame, rows: int, cols: int) -> DataFrame:
+    """The demand map on 64-column block rows.
+
+    Large rasters are best stored this way: the join with the masks then moves two bytes per
+    pixel instead of a whole row.
+    """
+    words = run_words(polygon_runs(polygons, rows, cols))
+    met = blocks.withColumn("block", _block(F.col("col0"))).join(words, KEYS, "left")
+    mask = F.coalesce("mask", F.lit(0).cast("bigint"))
+    zero = F.lit(0.0).cast("float")
+    kept = lambda which: F.transform(
+        F.col("codes"),
+        lambda c, i: F.when(F.getbit(F.col("_m"), i) == 1, zero).otherwise(crop_demand(c)[which]),
+    )
+    return met.withColumn("_m", mask).select(
+        "tile_id", "row", "col0", kept(0).alias("n_demand"), kept(1).alias("p_demand")
+    )
+
+
 def demand_stats(demand: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return demand.groupBy("tile_id").agg(

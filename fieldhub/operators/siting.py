@@ -103,6 +103,8 @@ def nearest_site(
 
 def initial_hubs(facilities: DataFrame, p: int) -> list[Hub]:
     """The p largest facilities; the largest gets the highest hub number."""
+    if p > MAX_HUBS:
+        raise ValueError(f"more than {MAX_HUBS} hubs")
     rows = facilities.orderBy(F.desc("headcount"), "permit_id").limit(p).select("x", "y").collect()
     return [Hub(k, r["x"], r["y"]) for k, r in enumerate(reversed(rows))]
 
