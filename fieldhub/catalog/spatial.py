@@ -131,9 +131,10 @@ def crop_demand_blocks(spark, d):
 
 
 def _pixels_of(blocks):
+    zipped = F.arrays_zip("codes", "n_demand", "p_demand")
     out = blocks.select(
-        "tile_id", "row", "col0", F.posexplode(F.arrays_zip("n_demand", "p_demand")).alias("i", "v")
-    )
+        "tile_id", "row", "col0", F.posexplode(zipped).alias("i", "v")
+    ).filter("v.codes is not null")
     return _as_double(out.select(
         "tile_id", "row", (F.col("col0") + F.col("i")).alias("col"),
         F.col("v.n_demand").alias("n_demand"), F.col("v.p_demand").alias("p_demand"),

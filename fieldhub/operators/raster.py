@@ -44,13 +44,14 @@ def block_demand(blocks: DataFrame) -> DataFrame:
 
 
 def to_blocks(pixels: DataFrame, width: int = WORD) -> DataFrame:
-    """Pixel rows to block rows; a block is bounded by ``width`` columns."""
+    """Pixel rows to block rows of at most ``width`` columns; a missing pixel is a null code."""
     col0 = (F.floor(F.col("col") / width) * width).cast("int")
-    return (
-        pixels.groupBy("tile_id", "row", col0.alias("col0"))
-        .agg(F.sort_array(F.collect_list(F.struct("col", "code"))).alias("_p"))
-        .select("tile_id", "row", "col0", F.transform("_p", lambda p: p["code"]).alias("codes"))
+    at = F.struct((F.col("col") - col0).alias("i"), F.col("code").alias("code"))
+    grouped = pixels.groupBy("tile_id", "row", col0.alias("col0")).agg(
+        F.map_from_entries(F.collect_list(at)).alias("_m"), F.max(F.col("col") - col0).alias("_n")
     )
+    codes = F.transform(F.sequence(F.lit(0), F.col("_n")), lambda i: F.try_element_at(F.col("_m"), i))
+    return grouped.select("tile_id", "row", "col0", codes.alias("codes"))
 
 
 def profile(pixels: DataFrame) -> DataFrame:
@@ -192,7 +193,8 @@ def block_demand_map(blocks: DataFrame, polygons: DataFrame, rows: int, cols: in
         lambda c, i: F.when(F.getbit(F.col("_m"), i) == 1, zero).otherwise(crop_demand(c)[which]),
     )
     return met.withColumn("_m", mask).select(
-        "tile_id", "row", "col0", kept(0).alias("n_demand"), kept(1).alias("p_demand")
+        "tile_id", "row", "col0", "codes",
+        kept(0).alias("n_demand"), kept(1).alias("p_demand"),
     )
 
 

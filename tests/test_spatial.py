@@ -233,6 +233,8 @@ def test_demand_without_setbacks_and_blocks(spark):
     )
     plain = raster.demand_map(pixels, None, 1, 4).orderBy("col").collect()
     assert [(r["n_demand"], r["p_demand"]) for r in plain] == [(150, 60), (0, 45), (0, 0), (120, 80)]
+    gaps = raster.to_blocks(pixels.filter("col <> 1"), width=4).first()
+    assert gaps["codes"] == [1, None, 111, 42]
     block = raster.block_demand(raster.to_blocks(pixels)).first()
     assert block["n_demand"] == [150, 0, 0, 120] and block["p_demand"] == [60, 45, 0, 80]
 
