@@ -26,7 +26,8 @@ def base(spark, d):
 
 _BASE = """
 , base AS (SELECT n_hubs, count(*) AS afos_served, sum(headcount)::BIGINT AS animals,
-   sum(headcount*distance_to_hub_km) AS effort, n_hubs::BIGINT AS hubs FROM assignment GROUP BY n_hubs)
+   sum(headcount*distance_to_hub_km) AS effort, (SELECT count(*) FROM candidate c WHERE c.site_id < a.n_hubs) AS hubs
+  FROM assignment a GROUP BY n_hubs)
 """
 _ECON = """
 , econ AS (SELECT *, hubs*2000000.0::DOUBLE AS construction_cost, effort/25000*52*2.5::DOUBLE AS annual_transport_cost,
@@ -234,14 +235,16 @@ def scenario_score(spark, d):
 
 
 @query("best_scenario", with_views(["assignment", "candidate"], _BASE + _ECON + _SCEN + """
-SELECT arg_min(n_hubs, total_5yr_cost)::INTEGER AS lowest_cost, arg_min(n_hubs, annual_transport_cost)::INTEGER AS lowest_transport,
-  arg_min(n_hubs, avg_distance_km)::INTEGER AS shortest_distance, arg_min(n_hubs, score)::INTEGER AS recommended FROM scored"""))
+SELECT (SELECT n_hubs FROM scored ORDER BY round(total_5yr_cost/1000000, 9), n_hubs LIMIT 1)::INTEGER AS lowest_cost,
+  (SELECT n_hubs FROM scored ORDER BY round(annual_transport_cost/1000000, 9), n_hubs LIMIT 1)::INTEGER AS lowest_transport,
+  (SELECT n_hubs FROM scored ORDER BY round(avg_distance_km, 9), n_hubs LIMIT 1)::INTEGER AS shortest_distance,
+  (SELECT n_hubs FROM scored ORDER BY round(score, 9), n_hubs LIMIT 1)::INTEGER AS recommended"""))
 def best_scenario(spark, d):
     return E.best(E.score(scenario_table(spark, d)))
 
 
 @query("recommendation", with_views(["assignment", "candidate"], _BASE + _ECON + _SCEN + """
-, top AS (SELECT * FROM scored ORDER BY score, n_hubs LIMIT 1)
+, top AS (SELECT * FROM scored ORDER BY round(score, 9), n_hubs LIMIT 1)
 SELECT 1 AS ord, printf('OPTIMAL SOLUTION: %d regional hubs', n_hubs) AS line FROM top
 UNION ALL SELECT 2, printf('Facilities served: %d', afos_served) FROM top
 UNION ALL SELECT 3, printf('Animals processed: %.1fM', animals/1000000) FROM top

@@ -9,7 +9,7 @@ from fieldhub.catalog.geometry import detection_rings
 from fieldhub.catalog.ingest import SUPPLY_CTE, with_supply
 from fieldhub.catalog.registry import query
 from fieldhub.catalog.siting import (
-    _REFINED, ROUNDS, _dist, _fill, candidate_points, facilities,
+    _REFINED, ROUNDS, SWAP_PAIR, _dist, _fill, candidate_points, facilities,
 )
 from fieldhub.catalog.spatial import _DEMAND, _MASKED, NEAREST_SQL, demand
 from fieldhub.fixtures import tables as T
@@ -133,11 +133,7 @@ def demand_at_sites(spark, d):
     return B.penalised(out, 0.5).select("site_id", "n_demand", "penalty")
 
 
-@query("pmedian_capacity", with_views(["plane", "site_plane"], f"""
-, dd AS (SELECT p.permit_id, p.headcount AS w, s.site_id, {_dist("p.px", "p.py", "s.px", "s.py")} AS dist
-   FROM plane p CROSS JOIN site_plane s)
-, best AS (SELECT a.site_id AS s1, b.site_id AS s2 FROM dd a JOIN dd b ON a.permit_id = b.permit_id
-   AND a.site_id < b.site_id GROUP BY ALL ORDER BY sum(a.w * least(a.dist, b.dist)), s1, s2 LIMIT 1)
+@query("pmedian_capacity", with_views(["plane", "site_plane"], SWAP_PAIR + f"""
 , capacity AS (SELECT ceil(sum(headcount) * 11 / (10.0 * 2))::BIGINT AS cap FROM plane)
 , hub0 AS (SELECT row_number() OVER (ORDER BY site_id) - 1 AS k, site_id, px AS hx, py AS hy FROM site_plane, best
    WHERE site_id IN (s1, s2))

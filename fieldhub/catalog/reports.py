@@ -293,7 +293,7 @@ def report_lines(spark, d):
 SELECT county, 1 AS section, 0 AS ord, 'Total AFOs: ' || {_big("facilities")} AS line FROM lead10
 UNION ALL SELECT county, 1, 1, 'Total Animals: ' || {_big("animals")} FROM lead10
 UNION ALL SELECT county, 1, 2, printf('Percentage of State Total: %.1f%%', pct_of_state) FROM lead10
-UNION ALL SELECT county, 1, 3, 'Average Animals per AFO: ' || {_big("round(avg_per_facility)::BIGINT")} FROM lead10
+UNION ALL SELECT county, 1, 3, 'Average Animals per AFO: ' || {_big("round_even(avg_per_facility, 0)::BIGINT")} FROM lead10
 UNION ALL SELECT t.county, 2, rn::INTEGER, printf('%-30s: %3d AFOs, ', trim(animal_type), f) || {_big("a", 12)} ||
   printf(' animals (%5.1f%%)', a*100.0::DOUBLE/l.animals) FROM types t JOIN lead10 l ON l.county = t.county
 UNION ALL SELECT s.county, 3, rn::INTEGER, printf('%-15s: %3d facilities (%5.1f%%)', s, n, n*100.0::DOUBLE/l.facilities)

@@ -229,12 +229,24 @@ def pmedian_greedy(spark, d):
     return _median(spark, d, 3, swap=False)
 
 
-@query("pmedian", with_views(["plane", "site_plane"], f"""
+# Dropping one of two sites and taking the best partner of the other is a walk from site to
+# best partner; it ends in a pair that are each other's best.
+SWAP_PAIR = f"""
 , dd AS (SELECT p.permit_id, p.headcount AS w, s.site_id, {_dist("p.px", "p.py", "s.px", "s.py")} AS dist
    FROM plane p CROSS JOIN site_plane s)
-, best AS (SELECT a.site_id AS s1, b.site_id AS s2, sum(a.w * least(a.dist, b.dist)) AS total
-   FROM dd a JOIN dd b ON a.permit_id = b.permit_id AND a.site_id < b.site_id GROUP BY ALL
-   ORDER BY total, s1, s2 LIMIT 1)
-SELECT unnest([s1, s2]) AS site_id, round(total, 2) AS objective FROM best"""))
+, pairs AS MATERIALIZED (SELECT a.site_id AS s1, b.site_id AS s2, sum(a.w * least(a.dist, b.dist)) AS total
+   FROM dd a JOIN dd b ON a.permit_id = b.permit_id AND a.site_id <> b.site_id GROUP BY ALL)
+, partner AS MATERIALIZED (SELECT s1, s2 AS mate, total FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY total, s2) AS rn
+   FROM pairs) WHERE rn = 1)
+, first AS (SELECT site_id FROM dd GROUP BY site_id ORDER BY sum(w*dist), site_id LIMIT 1)
+, chain(step, x, y, total) AS (
+   SELECT 0, site_id, mate, total FROM first JOIN partner ON s1 = site_id
+   UNION ALL SELECT step + 1, y, mate, p.total FROM chain JOIN partner p ON p.s1 = y WHERE step < 40)
+, best AS (SELECT least(x, y) AS s1, greatest(x, y) AS s2, total FROM chain WHERE step = 40)
+"""
+
+
+@query("pmedian", with_views(["plane", "site_plane"], SWAP_PAIR + """
+SELECT unnest([s1, s2]) AS site_id, round(total, 2) AS objective FROM best""", recursive=True))
 def pmedian(spark, d):
     return _median(spark, d, 2, swap=True)

@@ -97,6 +97,16 @@ def class_label(class_id: Column) -> Column:
     return F.coalesce(F.get(names, class_id), F.concat(F.lit("class_"), class_id.cast("string")))
 
 
+def grouped(number: Column, digits: int = 0) -> Column:
+    """Number with thousands commas, rounded half to even on its exact value."""
+    return F.format_number(number, digits)
+
+
+def fixed(number: Column, digits: int) -> Column:
+    """The same without commas (``format_string`` would round halves up)."""
+    return F.replace(grouped(number, digits), F.lit(","), F.lit(""))
+
+
 def usable_address(address: Column) -> Column:
     text = F.lower(F.trim(address))
     return F.coalesce(~text.isin("", "nan", "unknown"), F.lit(False))

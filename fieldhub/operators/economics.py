@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldhub import constants as K
+from fieldhub.functions.text import fixed
 
 
 def _d(value: float) -> Column:
@@ -208,8 +209,9 @@ def score(scenarios: DataFrame) -> DataFrame:
 
 
 def best(scored: DataFrame) -> DataFrame:
-    """The winning hub count per criterion; the smaller hub count wins ties."""
-    win = lambda c: F.min(F.struct(F.col(c), F.col("n_hubs")))["n_hubs"]
+    """The winning hub count per criterion; the smaller hub count wins ties (to 9 decimals,
+    so the order in which sums were added cannot decide)."""
+    win = lambda c: F.min(F.struct(F.round(c, 9).alias("v"), F.col("n_hubs")))["n_hubs"]
     return scored.agg(
         win("total_5yr_m").alias("lowest_cost"),
         win("annual_transport_m").alias("lowest_transport"),
@@ -220,24 +222,25 @@ def best(scored: DataFrame) -> DataFrame:
 
 def recommendation(scored: DataFrame, full_pct: float = 99.0) -> DataFrame:
     """Report lines: the recommended scenario's figures, then over-capacity warnings."""
-    rank = F.row_number().over(Window.orderBy("score", "n_hubs"))  # one row per scenario
+    rank = F.row_number().over(Window.orderBy(F.round("score", 9), "n_hubs"))  # one row per scenario
     top = scored.withColumn("_rank", rank).filter("_rank = 1")
     line = lambda ord_, fmt, *c: F.struct(F.lit(ord_).alias("ord"), F.format_string(fmt, *c).alias("line"))
     lines = F.array(
         line(1, "OPTIMAL SOLUTION: %d regional hubs", F.col("n_hubs")),
         line(2, "Facilities served: %d", F.col("afos_served")),
-        line(3, "Animals processed: %.1fM", F.col("animals_m")),
-        line(4, "Construction cost: $%.1fM", F.col("construction_m")),
-        line(5, "Annual transport: $%.1fM", F.col("annual_transport_m")),
-        line(6, "5-year total: $%.1fM", F.col("total_5yr_m")),
-        line(7, "Average distance: %.1f km", F.col("avg_distance_km")),
-        line(8, "Cost per animal: $%.2f/year", F.col("cost_per_animal_per_year")),
+        line(3, "Animals processed: %sM", fixed(F.col("animals_m"), 1)),
+        line(4, "Construction cost: $%sM", fixed(F.col("construction_m"), 1)),
+        line(5, "Annual transport: $%sM", fixed(F.col("annual_transport_m"), 1)),
+        line(6, "5-year total: $%sM", fixed(F.col("total_5yr_m"), 1)),
+        line(7, "Average distance: %s km", fixed(F.col("avg_distance_km"), 1)),
+        line(8, "Cost per animal: $%s/year", fixed(F.col("cost_per_animal_per_year"), 2)),
     )
     chosen = top.select(F.explode(lines).alias("l")).select("l.ord", "l.line")
     warnings = scored.filter(F.col("max_capacity_pct") >= full_pct).select(
         (F.lit(100) + F.col("n_hubs")).cast("int").alias("ord"),
         F.format_string(
-            "%d hubs: at least one hub at %.0f%% capacity", F.col("n_hubs"), F.col("max_capacity_pct")
+            "%d hubs: at least one hub at %s%% capacity", F.col("n_hubs"),
+            fixed(F.col("max_capacity_pct"), 0),
         ).alias("line"),
     )
     return chosen.unionByName(warnings)

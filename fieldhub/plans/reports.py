@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldhub import constants as K
 from fieldhub.functions import nutrient
+from fieldhub.functions.text import fixed, grouped
 from fieldhub.operators import profiles as A
 
 
@@ -43,7 +44,8 @@ def baseline_report(permits: DataFrame) -> DataFrame:
         _facts(
             quality, 1,
             ("Total AFO Records: %,d", c("records")),
-            ("With Valid Coordinates: %,d (%.1f%%)", c("located"), c("located") * 100.0 / F.nullif(c("records"), F.lit(0))),
+            ("With Valid Coordinates: %,d (%s%%)", c("located"),
+             fixed(c("located") * 100.0 / F.nullif(c("records"), F.lit(0)), 1)),
             ("Missing Coordinates: %,d", c("missing")),
             ("With Headcount Data: %,d", c("with_headcount")),
             ("Total Animals: %,d", c("animals")),
@@ -54,18 +56,19 @@ def baseline_report(permits: DataFrame) -> DataFrame:
         groups = A.distribution(permits, by).withColumnRenamed(by, "name")
         best = A.top(groups, n, F.desc("animals"), c("name")).withColumn("rn", ranked)
         parts.append(best.select(*_line(
-            section, c("rn"), f"%-{width}s: %4d AFOs, %,12d animals (%5.1f%%)",
-            c("name"), c("facilities"), c("animals"), c("pct"),
+            section, c("rn"), f"%-{width}s: %4d AFOs, %,12d animals (%5s%%)",
+            c("name"), c("facilities"), c("animals"), fixed(c("pct"), 1),
         )))
     parts.append(A.size_histogram(permits).select(*_line(
-        4, c("ord"), "%-15s: %4d facilities (%5.1f%%)", c("size_class"), c("facilities"), c("pct"),
+        4, c("ord"), "%-15s: %4d facilities (%5s%%)", c("size_class"), c("facilities"),
+        fixed(c("pct"), 1),
     )))
     parts.append(_facts(
         A.baseline_findings(permits), 5,
         ("1. %,d registered AFOs managing %,d animals", c("records"), c("animals")),
-        ("2. %.1f%% of AFOs are concentrated on the Eastern Shore", c("region_pct")),
-        ("3. %.1f%% of total animals are chickens", c("chicken_pct")),
-        ("4. %,d facilities (%.1f%%) have >100K animals", c("industrial"), c("industrial_pct")),
+        ("2. %s%% of AFOs are concentrated on the Eastern Shore", fixed(c("region_pct"), 1)),
+        ("3. %s%% of total animals are chickens", fixed(c("chicken_pct"), 1)),
+        ("4. %,d facilities (%s%%) have >100K animals", c("industrial"), fixed(c("industrial_pct"), 1)),
     ))
     return _stack(parts)
 
@@ -93,13 +96,13 @@ def county_reports(permits: DataFrame, assigned: DataFrame | None = None, top_n:
             leading, 1,
             ("Total AFOs: %,d", c("facilities")),
             ("Total Animals: %,d", c("animals")),
-            ("Percentage of State Total: %.1f%%", c("pct_of_state")),
-            ("Average Animals per AFO: %,.0f", c("avg_per_facility")),
+            ("Percentage of State Total: %s%%", fixed(c("pct_of_state"), 1)),
+            ("Average Animals per AFO: %s", grouped(c("avg_per_facility"))),
         ),
         row(
             A.within_county(mine, "animal_type"), 2, rank(F.desc("animals"), "animal_type"),
-            "%-30s: %3d AFOs, %,12d animals (%5.1f%%)",
-            F.trim("animal_type"), c("facilities"), c("animals"), c("pct_of_county"),
+            "%-30s: %3d AFOs, %,12d animals (%5s%%)",
+            F.trim("animal_type"), c("facilities"), c("animals"), fixed(c("pct_of_county"), 1),
         ),
     ]
     sizes = (
@@ -109,8 +112,8 @@ def county_reports(permits: DataFrame, assigned: DataFrame | None = None, top_n:
         .join(leading.select("county", c("facilities").alias("all")), "county")
     )
     parts.append(row(
-        sizes, 3, rank("size_class"), "%-15s: %3d facilities (%5.1f%%)",
-        c("size_class"), c("n"), c("n") * 100.0 / c("all"),
+        sizes, 3, rank("size_class"), "%-15s: %3d facilities (%5s%%)",
+        c("size_class"), c("n"), fixed(c("n") * 100.0 / c("all"), 1),
     ))
     parts.append(row(
         A.top_per_county(mine, 10), 4, c("rank"), "%-50s %,12d %s",
@@ -123,8 +126,8 @@ def county_reports(permits: DataFrame, assigned: DataFrame | None = None, top_n:
         )
         parts.append(row(
             hubs, 5, rank(F.desc("animals"), "assigned_site_idx"),
-            "Hub %2d: %3d AFOs, %,12d animals (%5.1f%%)",
-            c("assigned_site_idx"), c("facilities"), c("animals"), c("pct_of_county"),
+            "Hub %2d: %3d AFOs, %,12d animals (%5s%%)",
+            c("assigned_site_idx"), c("facilities"), c("animals"), fixed(c("pct_of_county"), 1),
         ))
     by_level = lambda texts: F.element_at(
         F.create_map(*[F.lit(x) for kv in texts.items() for x in kv]), c("priority")
@@ -133,9 +136,9 @@ def county_reports(permits: DataFrame, assigned: DataFrame | None = None, top_n:
         A.county_priority(leading), 6,
         ("Priority Level: %s", c("priority")),
         ("Reason: %s", by_level(K.PRIORITY_REASON)),
-        ("AFO Density Score: %.1f", c("density_score")),
-        ("Volume Score: %.1f", c("volume_score")),
-        ("Industrial Facilities: %.0f%%", c("industrial_pct")),
+        ("AFO Density Score: %s", fixed(c("density_score"), 1)),
+        ("Volume Score: %s", fixed(c("volume_score"), 1)),
+        ("Industrial Facilities: %s%%", fixed(c("industrial_pct"), 0)),
         ("Recommendation: %s", by_level(K.PRIORITY_ADVICE)),
     ))
     return _stack(parts)
@@ -144,22 +147,24 @@ def county_reports(permits: DataFrame, assigned: DataFrame | None = None, top_n:
 def sensitivity_report(flow: DataFrame, transport: DataFrame, construction: DataFrame) -> DataFrame:
     """Summary lines of the base case and of the two cost grids (all small tables)."""
     c = F.col
-    m = lambda name: c(name) / 1_000_000
+    m = lambda name: fixed(c(name) / 1_000_000, 1)
     base = _facts(
         flow, 1,
-        ("Construction: $%.1fM", m("construction_cost")),
-        ("Annual Transport: $%.1fM", m("annual_transport_cost")),
-        ("Annual Revenue: $%.1fM", m("total_annual_revenue")),
-        ("5-Year NPV: $%.1fM", m("npv_5yr")),
-        ("Payback: %.1f years", c("payback_years")),
+        ("Construction: $%sM", m("construction_cost")),
+        ("Annual Transport: $%sM", m("annual_transport_cost")),
+        ("Annual Revenue: $%sM", m("total_annual_revenue")),
+        ("5-Year NPV: $%sM", m("npv_5yr")),
+        ("Payback: %s years", F.when(
+            c("payback_years") < float("inf"), fixed(c("payback_years"), 1)
+        ).otherwise("Infinity")),
     )
     order = lambda name: F.row_number().over(Window.orderBy(name))  # one row per grid value
     rates = transport.select(*_line(
-        2, order("transport_cost_per_km"), "$%.2f/km: 5-yr cost = $%.1fM",
-        c("transport_cost_per_km"), m("total_5yr_cost"),
+        2, order("transport_cost_per_km"), "$%s/km: 5-yr cost = $%sM",
+        fixed(c("transport_cost_per_km"), 2), m("total_5yr_cost"),
     ))
     costs = construction.select(*_line(
-        3, order("construction_cost_per_hub"), "$%.1fM/hub: Total = $%.1fM",
+        3, order("construction_cost_per_hub"), "$%sM/hub: Total = $%sM",
         m("construction_cost_per_hub"), m("total_5yr_cost"),
     ))
     return _stack([base, rates, costs])
