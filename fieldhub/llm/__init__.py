@@ -1,0 +1,10 @@
+"""Operators of a training-data pipeline.
+
+Functions of this package reach the Python workers by value, so executors need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

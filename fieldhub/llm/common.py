@@ -31,6 +31,11 @@ def fold(id_column: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % folds
 
 
+def md5_bits(text: Column) -> Column:
+    """32 bits of the MD5 of a text, the same in any engine."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared checkpoint folder and read it back: a lineage cut that
     survives lost executors."""

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldhub.llm.common import WORD, text_of
+from fieldhub.llm.common import WORD, md5_bits, text_of
 
 WEIGHTS = (3, 1, 2)  # by rank of the source's name, repeating
 SHARE = (3, 2)  # the mix is 3/2 of all tokens
@@ -27,11 +27,6 @@ def words(text_col: str = "text") -> Column:
     return F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
 
 
-def _hash(text: Column) -> Column:
-    """32 bits of the MD5 of a text, the same in any engine."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-
-
 def source_targets(sized: DataFrame, source_col: str) -> DataFrame:
     """(_source, _source_size, _rows, _target): one row per source.
 
@@ -87,13 +82,13 @@ def mix(
     rate = F.coalesce(F.try_divide(F.col("_target"), F.col("_source_size")), F.lit(0.0))
     whole = F.floor("_rate")
     key = F.coalesce(F.col("_id").cast("string"), F.lit(""))
-    cell = _hash(F.concat(F.lit(f"{seed}/"), key)) % F.ceil(F.col("_rows") / CELL)
+    cell = md5_bits(F.concat(F.lit(f"{seed}/"), key)) % F.ceil(F.col("_rows") / CELL)
     celled = met.withColumn("_rate", rate).withColumn("_cell", cell)
     turn = F.row_number().over(
-        Window.partitionBy("_source", "_cell").orderBy("_size", _hash(F.concat(F.lit(f"{seed}:"), key)), "_id")
+        Window.partitionBy("_source", "_cell").orderBy("_size", md5_bits(F.concat(F.lit(f"{seed}:"), key)), "_id")
     )
     name = F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("-"))
-    uniform = _hash(F.concat(F.lit(f"{seed}#"), F.col("_cell").cast("string"), name)) / F.lit(4294967296.0)
+    uniform = md5_bits(F.concat(F.lit(f"{seed}#"), F.col("_cell").cast("string"), name)) / F.lit(4294967296.0)
     passed = lambda k: F.floor(k * (F.col("_rate") - whole) + uniform)
     extra = passed(F.col("_turn")) - passed(F.col("_turn") - 1)
     return celled.withColumn("_turn", turn).select(

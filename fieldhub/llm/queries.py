@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldhub.llm import exact, mixing, packing, quality, simhash, toxicity
+from fieldhub.llm import exact, lm, mixing, packing, pivots, quality, simhash, toxicity, urls, warc
 from fieldhub.llm.common import fold, table
 from fieldhub.llm.labels import FOLDS, HELD_OUT
-from fieldhub.llm.sql import OP2_SQL, OP8_SQL
+from fieldhub.llm.sql import OP2_SQL, OP4_SQL, OP7_SQL, OP8_SQL, OP9_SQL
 
 
 def _judged(scored: DataFrame, mark: float, *more: str) -> DataFrame:
@@ -35,6 +35,22 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_texts(table(spark, sf_dir, "documents"))
+    return scored.select(
+        F.col("_id").alias("doc_id"), F.col("_held").alias("held_out"), F.col("_tokens").alias("n_tokens"),
+        F.col("_known").alias("n_known"), F.col("_train").alias("train_tokens"), F.col("_base").alias("base_score"),
+        F.col("_score").alias("score"),
+        F.try_divide(F.col("_score") * -3.321928094887362, F.col("_bytes")).alias("bits_per_byte"),
+    )
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"_id": "page_id", "_host": "host", "_path": "path", "_rule": "rule", "_verdict": "verdict",
+             "_score": "llr_milli"}
+    return urls.judge(table(spark, sf_dir, "pages")).select(*(F.col(a).alias(b) for a, b in names.items()))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -49,6 +65,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"_id": "page_id", "_bytes": "payload_bytes", "_digest": "payload_digest", "_type": "record_type",
+             "_refers_to": "refers_to"}
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(*(F.col(a).alias(b) for a, b in names.items()))
+
+
 def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"_id": "doc_id", "_owner": "keep_id", "_group": "group_size", "_kept": "kept",
              "_sha": "text_sha256"}
@@ -57,6 +79,11 @@ def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"_id": "vec_id", "_links": "n_links", "_component": "component_id", "_kept": "kept"}
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings")).select(*(F.col(a).alias(b) for a, b in names.items()))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents")).select(
         F.col("_id").alias("doc_id"), F.lpad(F.lower(F.hex("_print")), 16, "0").alias("fingerprint"),
@@ -67,10 +94,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
+    "op3_lm": op3_lm,
+    "op4_urls": op4_urls,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op7_warc": op7_warc,
     "op8_exact": op8_exact,
+    "op9_pivots": op9_pivots,
     "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op8_exact": OP8_SQL}
+SQL: dict[str, str] = {
+    "op2_mixing": OP2_SQL, "op4_urls": OP4_SQL, "op7_warc": OP7_SQL, "op8_exact": OP8_SQL, "op9_pivots": OP9_SQL,
+}

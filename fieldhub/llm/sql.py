@@ -59,3 +59,124 @@ SELECT doc_id, size, source_size, target,
                     - floor((k - 1) * (rate - floor(rate)) + u)) AS BIGINT) AS taken
 FROM r
 """
+
+OP7_SQL = r"""
+WITH d AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex
+    FROM pages
+), g AS (
+    SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM d
+), b AS (
+    SELECT *, """ + " || ".join(
+    f"to_base(CAST('0x' || substr(hex, {5 * g + 1}, 5) AS BIGINT), 32, 4)" for g in range(8)) + r""" AS digits
+    FROM g
+)
+SELECT page_id, payload_bytes,
+       translate(digits, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), s AS (
+    SELECT vec_id, x FROM v
+    WHERE x IS NOT NULL AND len(list_filter(x, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
+          AND len(list_filter(x, lambda e: e <> 0)) > 0
+), l AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.x, b.x) >= 0.95
+), r(node, root) AS (
+    SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node
+), c AS (
+    SELECT node, min(root) AS component_id FROM r GROUP BY node
+)
+SELECT v.vec_id, coalesce((SELECT count(*) FROM l WHERE l.a = v.vec_id), 0) AS n_links, c.component_id,
+       v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.node = v.vec_id
+"""
+
+_GRAMS = ", ".join(f"(substr(padded, i + {3 - k}, {k + 1}))" for k in range(4))
+
+
+def _order(k: int) -> str:
+    """Estimates of order k from those of order k - 1, and the ratios of grams and contexts."""
+    less = "(1.0::DOUBLE / 39)"
+    tail = f"JOIN e{k - 1} s ON s.gram = substr(g.gram, 2)" if k else ""
+    p = [f"(g.{side} + 4.0::DOUBLE * {f's.p_{side}' if k else less}) / (c.in_{side} + 4.0::DOUBLE)" for side in ("allow", "block")]
+    return f"""
+c{k} AS (
+    SELECT left(gram, {k}) AS context, sum(allow) AS in_allow, sum(block) AS in_block,
+           CAST(round(ln((sum(block) + 4.0::DOUBLE) / (sum(allow) + 4.0::DOUBLE)) * 1000000) AS BIGINT) AS m
+    FROM grams WHERE length(gram) = {k + 1} GROUP BY ALL
+), e{k} AS (
+    SELECT g.gram, {p[0]} AS p_allow, {p[1]} AS p_block,
+           CAST(round(ln(({p[0]}) / ({p[1]})) * 1000000) AS BIGINT) AS r
+    FROM grams g JOIN c{k} c ON c.context = left(g.gram, {k}) {tail} WHERE length(g.gram) = {k + 1}
+), """
+
+
+def _ratio(k: int) -> str:
+    return "0" if k < 0 else f"coalesce(e{k}.r, coalesce(c{k}.m, 0) + {_ratio(k - 1)})"
+
+
+#: both models, the calibration and the verdicts, in the operator's whole numbers
+OP4_SQL = rf"""
+WITH rules(verdict, host, path) AS (
+    VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+           ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), raw AS (
+    SELECT page_id, coalesce(url, '') AS url,
+           CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+    FROM pages
+), parts AS (
+    SELECT page_id,
+           translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+           regexp_replace(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
+                          '[^a-z0/._:?=&#%-]', '~', 'g') AS spelled,
+           CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 = 0 AS aside
+    FROM raw
+), fits AS (
+    SELECT p.page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule,
+           max_by(r.verdict, length(r.host || r.path)) AS ruled
+    FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+    GROUP BY p.page_id
+), j AS (
+    SELECT p.*, f.rule, f.ruled FROM parts p LEFT JOIN fits f USING (page_id)
+), urls AS (
+    SELECT spelled, count(*) FILTER (ruled = 'allow' AND NOT aside) AS allow,
+           count(*) FILTER (ruled = 'block' AND NOT aside) AS block
+    FROM j GROUP BY spelled
+), spots AS (
+    SELECT spelled, allow, block, '^^^' || spelled || '$' AS padded, unnest(range(1, length(spelled) + 2)) AS i FROM urls
+), grams AS (
+    SELECT gram, sum(allow) AS allow, sum(block) AS block
+    FROM (SELECT allow, block, unnest([{_GRAMS}]) AS gram FROM spots WHERE allow + block > 0) GROUP BY gram
+), {"".join(_order(k) for k in range(4))}
+sums AS (
+    SELECT spots.spelled, CAST(floor(sum({_ratio(3)}) / (count(*) * 1000)) AS BIGINT) AS score
+    FROM spots
+    {"".join(f"LEFT JOIN e{k} ON e{k}.gram = substr(padded, i + {3 - k}, {k + 1}) LEFT JOIN c{k} ON c{k}.context = substr(padded, i + {3 - k}, {k}) " for k in range(4))}
+    GROUP BY spots.spelled
+), judged AS (
+    SELECT j.*, sums.score FROM j JOIN sums USING (spelled)
+), bins AS (
+    SELECT score, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b
+    FROM judged WHERE ruled IS NOT NULL AND aside GROUP BY score
+), gains AS (
+    SELECT score, (sum(a) OVER () - coalesce(sum(a) OVER lower, 0)) * sum(b) OVER ()
+                  + coalesce(sum(b) OVER lower, 0) * sum(a) OVER () AS gain,
+           sum(a) OVER () AS every_a, sum(b) OVER () AS every_b
+    FROM bins WINDOW lower AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), mark AS (
+    SELECT coalesce((SELECT score FROM gains WHERE every_a > 0 AND every_b > 0
+                     ORDER BY gain DESC, abs(score), score LIMIT 1), 0) AS mark
+)
+SELECT page_id, host, path, rule,
+       coalesce(ruled, CASE WHEN score >= (SELECT mark FROM mark) THEN 'allow' ELSE 'block' END) AS verdict,
+       score AS llr_milli
+FROM judged
+"""
