@@ -126,6 +126,26 @@ def capacity_assign(spark, d):
     )
 
 
+_TIGHT = f"""
+, capacity AS (SELECT (sum(headcount) * 9 // (10 * {P}))::BIGINT AS cap FROM plane)
+, hub0 AS (SELECT k * 7 + 100 AS id, k, hx, hy FROM hub)
+"""
+
+
+@query("capacity_tight", with_views(["plane"], _HUBS + _TIGHT + _fill(0) + f"""
+SELECT permit_id, CASE WHEN pick < 0 THEN -1 ELSE pick * 7 + 100 END::INTEGER AS site_id, round({_dist()}, 6) AS dist
+FROM done0""", recursive=True))
+def capacity_tight(spark, d):
+    """Room for nine tenths only, so facilities are left out; sites have numbers of their own."""
+    f = facilities(spark, d)
+    hubs = [G.Hub(h.site_id * 7 + 100, h.x, h.y) for h in G.initial_hubs(f, P)]
+    total = f.agg(F.sum("headcount")).first()[0] or 0
+    return G.assign_with_capacity(f, hubs[::-1], total * 9 // (10 * P)).select(
+        "permit_id", F.col("assigned_site_idx").alias("site_id"),
+        F.round("distance_to_hub_km", 6).alias("dist"),
+    )
+
+
 @query("transport_effort", with_views(["plane"], _HUBS + _CAPACITY + _fill(0) + f"""
 SELECT round(sum(headcount * {_dist()}), 2) AS effort FROM done0 WHERE pick >= 0""", recursive=True))
 def transport_effort(spark, d):

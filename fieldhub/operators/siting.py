@@ -11,19 +11,15 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldhub import constants as K
 from fieldhub.functions import geo
+from fieldhub.operators.capacity import assign_with_capacity, bucketed, settle  # noqa: F401
 from fieldhub.session import Scratch, small_table
 
 MAX_HUBS = 256  # more hubs than this is not a run parameter any more
-SERIAL_ROWS = 50_000  # remaining rows that one task may finish in priority order
-BUCKET_ROWS = 500_000
-MAX_BUCKETS = 1_024
 
 
 @dataclass(frozen=True)
@@ -115,62 +111,7 @@ def default_capacity(facilities: DataFrame, p: int) -> int:
     return -(-total * 11 // (10 * p))
 
 
-# --- capacity-constrained assignment -----------------------------------------------
-def _serial_fill(
-    rows: pd.DataFrame, hubs: Sequence[Hub], capacity: float, loads: Sequence[float], scale: float
-) -> pd.DataFrame:
-    """Priority-order assignment of a bounded tail of rows."""
-    rows = rows.sort_values(["headcount", "permit_id"], ascending=[False, True])
-    dx = rows["x"].to_numpy()[:, None] - np.array([h.x for h in hubs])
-    dy = rows["y"].to_numpy()[:, None] - np.array([h.y for h in hubs])
-    dist = np.sqrt(dx * dx + dy * dy) * scale
-    prefer = np.argsort(dist, axis=1, kind="stable")
-    load = np.array(loads, dtype=float)
-    weights = rows["headcount"].to_numpy()
-    choice = np.full(len(rows), -1, dtype=np.int32)
-    for i, w in enumerate(weights):
-        open_hubs = prefer[i][load[prefer[i]] + w <= capacity]
-        if len(open_hubs):
-            choice[i] = open_hubs[0]
-            load[open_hubs[0]] += w
-    picked = np.where(choice >= 0, dist[np.arange(len(rows)), choice], np.nan)
-    out = rows[["permit_id", "headcount", "x", "y"]].copy()
-    out["assigned_site_idx"] = choice
-    out["distance_to_hub_km"] = [None if math.isnan(d) else d for d in picked]
-    return out
-
-
-_ASSIGNED = (
-    "permit_id bigint, headcount bigint, x double, y double, assigned_site_idx int, "
-    "distance_to_hub_km double"
-)
-
-
-def _finish_in_order(rest: DataFrame, hubs, capacity, loads, scale) -> DataFrame:
-    def run(batches):
-        frames = [b for b in batches if len(b)]
-        if frames:
-            yield _serial_fill(pd.concat(frames), hubs, capacity, loads, scale)
-
-    # repartition, not coalesce: what produced the few rows stays parallel
-    slim = rest.select("permit_id", "headcount", "x", "y").repartition(1)
-    return slim.mapInPandas(run, _ASSIGNED)
-
-
-def _bucket_count(rows: int) -> int:
-    return max(8, min(MAX_BUCKETS, rows // BUCKET_ROWS))
-
-
-def bucketed(facilities: DataFrame, scratch: Scratch, buckets: int) -> DataFrame:
-    """Facilities with ``bucket``: contiguous ranges of the priority order.
-
-    Ranges are cut on (headcount, id), so equal headcounts spread over buckets, and the
-    numbering is written out once so that every later step sees the same one.
-    """
-    ranged = facilities.repartitionByRange(buckets, F.desc("headcount"), F.asc("permit_id"))
-    return scratch.cut(ranged.withColumn("bucket", F.spark_partition_id()))
-
-
+# --- running loads -----------------------------------------------------------------
 def _choice_sums(state: DataFrame, hubs: Sequence[Hub]) -> list[Column]:
     return [
         F.coalesce(F.sum(F.when(F.col("choice") == h.site_id, F.col("headcount"))), F.lit(0))
@@ -200,20 +141,10 @@ def _with_loads_before(
     return state.join(F.broadcast(offsets), "bucket").withColumns(run)
 
 
-def _offsets(spark, sums: dict[int, list[float]], hubs: Sequence[Hub], base: list[float]) -> DataFrame:
-    rows, total = [], list(base)
-    for bucket in sorted(sums):
-        rows.append((bucket, *total))
-        total = [t + s for t, s in zip(total, sums[bucket])]
-    return small_table(
-        spark, rows, {"bucket": "int", **{f"o{h.site_id}": "double" for h in hubs}}
-    )
-
-
 def running_load(facilities: DataFrame, hubs: Sequence[Hub], unit: str = "km") -> DataFrame:
     """Load of the nearest hub from larger facilities, per facility (size order)."""
     scratch = Scratch(facilities.sparkSession, "running")
-    ranged = bucketed(facilities, scratch, _bucket_count(facilities.count()))
+    ranged = bucketed(facilities, scratch)
     near = nearest_site(ranged, hubs, unit).withColumnRenamed(
         "assigned_site_idx", "choice"
     )
@@ -233,84 +164,6 @@ def running_load(facilities: DataFrame, hubs: Sequence[Hub], unit: str = "km") -
     )
 
 
-def assign_with_capacity(
-    facilities: DataFrame,
-    hubs: Sequence[Hub],
-    capacity: float,
-    unit: str = "km",
-    serial_rows: int = SERIAL_ROWS,
-    buckets: int | None = None,
-    rows: int | None = None,
-) -> DataFrame:
-    """Each facility, largest first, takes its nearest hub with room; -1 if none has.
-
-    The serial rule is computed as a fixpoint: everyone starts at the nearest hub, then in
-    each round picks the nearest hub whose load from larger facilities leaves room.  The
-    only fixpoint is the serial result, and every bucket before the first change is final
-    and leaves the loop.  A tail of at most ``serial_rows`` rows is finished in one task.
-    ``rows`` saves counting the facilities when their number is known.
-    """
-    spark = facilities.sparkSession
-    scale = geo.distance_scale(unit)
-    facilities = facilities.select("permit_id", "headcount", "x", "y")
-    zero = [0.0] * len(hubs)
-    if rows is None:
-        rows = facilities.count()
-    if rows <= serial_rows:
-        return _finish_in_order(facilities, hubs, capacity, zero, scale)
-
-    scratch, done = Scratch(spark, "capacity"), Scratch(spark, "settled", keep=10**9)
-    settled: list[DataFrame] = []
-    ranged = bucketed(facilities, scratch, buckets or _bucket_count(rows))
-    state = nearest_site(ranged, hubs, unit).withColumnRenamed("assigned_site_idx", "choice")
-    sums = {
-        r["bucket"]: list(r)[1:]
-        for r in state.groupBy("bucket").agg(*_choice_sums(state, hubs)).collect()
-    }
-    base = zero
-    while True:
-        loaded = _with_loads_before(state, hubs, _offsets(spark, sums, hubs, base))
-        fits = [F.col(f"b{h.site_id}") + F.col("headcount") <= capacity for h in hubs]
-        chosen = loaded.withColumn("_n", _nearest(hubs, scale, fits)).select(
-            "permit_id", "headcount", "x", "y", "bucket",
-            F.coalesce(F.col("_n.k"), F.lit(-1)).alias("choice"),
-            F.col("_n.d").alias("distance_to_hub_km"),
-            (F.coalesce(F.col("_n.k"), F.lit(-1)) != F.col("choice")).alias("changed"),
-        )
-        state = scratch.cut(chosen)
-        per_bucket = state.groupBy("bucket").agg(
-            F.bool_or("changed").alias("changed"), F.count(F.lit(1)).alias("n"),
-            *_choice_sums(state, hubs),
-        ).collect()
-        moved = [r["bucket"] for r in per_bucket if r["changed"]]
-        frontier = min(moved) if moved else None
-        final = [r for r in per_bucket if frontier is None or r["bucket"] < frontier]
-        rest = [r for r in per_bucket if frontier is not None and r["bucket"] >= frontier]
-        if final:
-            slice_ = state if frontier is None else state.filter(F.col("bucket") < frontier)
-            settled.append(done.cut(_result(slice_)))
-            for r in final:
-                base = [b + s for b, s in zip(base, list(r)[3:])]
-        if not rest:
-            break
-        state = state.filter(F.col("bucket") >= frontier)
-        if sum(r["n"] for r in rest) <= serial_rows:
-            settled.append(done.cut(_finish_in_order(state, hubs, capacity, base, scale)))
-            break
-        sums = {r["bucket"]: list(r)[3:] for r in rest}
-    out = settled[0]
-    for part in settled[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _result(state: DataFrame) -> DataFrame:
-    return state.select(
-        "permit_id", "headcount", "x", "y", F.col("choice").alias("assigned_site_idx"),
-        "distance_to_hub_km",
-    )
-
-
 # --- refinement ------------------------------------------------------------------
 @dataclass
 class SitingRun:
@@ -319,6 +172,7 @@ class SitingRun:
     rounds: int
     converged: bool
     trail: list[float] = field(default_factory=list)
+    settling: list[int] = field(default_factory=list)  # rounds of each assignment
 
 
 def centroids(assigned: DataFrame, hubs: Sequence[Hub]) -> list[Hub]:
@@ -340,25 +194,22 @@ def refine_hubs(
     unit: str = "km",
     max_rounds: int = K.MAX_SITING_ROUNDS,
     tolerance: float = K.CONVERGED_MOVE,
-    serial_rows: int = SERIAL_ROWS,
 ) -> SitingRun:
     """Assign, move hubs to the centroids, repeat until the joint move is small.
 
     On convergence the hubs stay where the last assignment saw them; when the rounds run
-    out they have moved once more.
+    out they have moved once more.  Buckets of the priority order don't depend on the hubs,
+    so they are cut once, and each assignment begins with the loads of the one before.
     """
-    points = Scratch(facilities.sparkSession, "points").cut(
-        facilities.select("permit_id", "headcount", "x", "y")
-    )
+    points = bucketed(facilities, Scratch(facilities.sparkSession, "points"))
     if capacity is None:
         capacity = default_capacity(points, p)
     hubs = initial_hubs(points, p)
-    n = points.count()
-    run = SitingRun(hubs, points, 0, False)
+    run, starts = SitingRun(hubs, points, 0, False), None
     for _ in range(max_rounds):
-        run.assigned = assign_with_capacity(
-            points, run.hubs, capacity, unit, serial_rows, rows=n
-        )
+        found = settle(points, run.hubs, capacity, unit, starts)
+        run.assigned, starts = found.table, found.starts
+        run.settling.append(found.rounds)
         moved = centroids(run.assigned, run.hubs)
         move = math.sqrt(sum((a.x - b.x) ** 2 + (a.y - b.y) ** 2 for a, b in zip(moved, run.hubs)))
         run.rounds += 1

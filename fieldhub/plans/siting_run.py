@@ -26,14 +26,13 @@ def run(
     hubs: int = 10,
     capacity: float | None = K.HUB_CAPACITY,
     unit: str = "km",
-    serial_rows: int = siting.SERIAL_ROWS,
 ) -> SitingResult:
     """Filter, locate, assign, refine, snap, cost.
 
     ``capacity=None`` sizes hubs from the total headcount.
     """
     chosen = registry.located(registry.in_region(permits, region))
-    done = siting.refine_hubs(siting.project(chosen), hubs, capacity, unit, serial_rows=serial_rows)
+    done = siting.refine_hubs(siting.project(chosen), hubs, capacity, unit)
     attrs = chosen.select(
         "permit_id", F.trim("farm_name").alias("farm_name"), "county", "longitude", "latitude"
     )

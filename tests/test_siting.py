@@ -6,21 +6,25 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldhub.operators import embeddings, siting
+from fieldhub.operators import capacity, embeddings, siting
 from fieldhub.operators.siting import Hub
 from fieldhub.plans import siting_run
+from fieldhub.session import Scratch
 
 POINTS = "permit_id bigint, headcount bigint, x double, y double"
 
 
-def serial(rows, hubs, capacity):
-    load, pick = [0] * len(hubs), {}
+def serial(rows, hubs, room):
+    """Site id of each facility by the serial rule; the lower id wins ties."""
+    hubs = sorted(hubs, key=lambda h: h.site_id)
+    load, pick = {h.site_id: 0 for h in hubs}, {}
     for pid, w, x, y in sorted(rows, key=lambda r: (-r[1], r[0])):
-        order = sorted(range(len(hubs)), key=lambda k: (math.sqrt((x - hubs[k].x) ** 2 + (y - hubs[k].y) ** 2), k))
-        pick[pid] = next((k for k in order if load[k] + w <= capacity), -1)
+        order = sorted(hubs, key=lambda h: (math.sqrt((x - h.x) ** 2 + (y - h.y) ** 2), h.site_id))
+        pick[pid] = next((h.site_id for h in order if load[h.site_id] + w <= room), -1)
         if pick[pid] >= 0:
             load[pick[pid]] += w
     return pick
@@ -35,23 +39,67 @@ def make(n, seed, same=0.3):
     ]
 
 
-@pytest.mark.parametrize(("serial_rows", "slack"), [(10**6, 1.1), (0, 1.1), (0, 0.8), (60, 1.02)])
-def test_capacity_assignment_equals_serial_rule(spark, serial_rows, slack):
+@pytest.mark.parametrize(("buckets", "slack", "ids"), [
+    (1, 1.1, range(5)), (4, 1.1, range(5)), (16, 0.8, range(5)), (60, 1.02, [205, 100, 7, 900, 3]),
+])
+def test_capacity_assignment_equals_serial_rule(spark, buckets, slack, ids):
     rows = make(240, 7)
-    hubs = [Hub(k, r[2], r[3]) for k, r in enumerate(rows[:5])]
-    capacity = sum(r[1] for r in rows) * slack / 5
+    hubs = [Hub(k, r[2], r[3]) for k, r in zip(ids, rows[:5])]
+    room = sum(r[1] for r in rows) * slack / 5
     df = spark.createDataFrame(rows, POINTS)
-    out = siting.assign_with_capacity(df, hubs, capacity, serial_rows=serial_rows, buckets=4).collect()
-    assert {r["permit_id"]: r["assigned_site_idx"] for r in out} == serial(rows, hubs, capacity)
+    out = siting.assign_with_capacity(df, hubs, room, buckets=buckets).collect()
+    assert {r["permit_id"]: r["assigned_site_idx"] for r in out} == serial(rows, hubs, room)
     for r in out:
         if r["assigned_site_idx"] >= 0:
-            h = hubs[r["assigned_site_idx"]]
+            h = next(h for h in hubs if h.site_id == r["assigned_site_idx"])
             d = math.dist((r["x"], r["y"]), (h.x, h.y)) * siting.geo.METRES_PER_US_FOOT / 1000
             assert r["distance_to_hub_km"] == pytest.approx(d)
         else:
             assert r["distance_to_hub_km"] is None
 
 
+def test_margins_tell_which_starts_change_nothing():
+    rng = np.random.default_rng(5)
+    weights = np.sort(rng.integers(1, 60, 300))[::-1].astype(float)
+    dist = rng.random((300, 6))
+    start = rng.integers(0, 300, 6).astype(float)
+    found = capacity.fill(weights, dist, start, 1_200.0)
+    assert (found.choice < 0).any()
+    for _ in range(300):
+        moved = start + rng.integers(-6, 7, 6)
+        again = capacity.fill(weights, dist, moved, 1_200.0)
+        within = (moved - start <= found.up).all() and (moved - start > found.down).all()
+        assert not within or (again.choice == found.choice).all()
+
+
+def test_steps_choose_what_single_rows_choose(monkeypatch):
+    rng = np.random.default_rng(6)
+    weights = np.sort(rng.integers(0, 90, 400))[::-1].astype(float)
+    dist = rng.integers(0, 9, (400, 4)).astype(float)
+    whole = capacity.fill(weights, dist, np.zeros(4), 4_000.0)
+    monkeypatch.setattr(capacity, "STEP_ROWS", 1)
+    one = capacity.fill(weights, dist, np.zeros(4), 4_000.0)
+    assert (whole.choice == one.choice).all() and (whole.up == one.up).all() and (whole.down == one.down).all()
+
+
+def test_rounds_of_settling_stay_few(spark):
+    """A tight capacity at two sizes: ten times the rows and buckets take about as many rounds."""
+    rounds = []
+    for n, buckets in ((300, 10), (3_000, 100)):
+        rows = make(n, 9)
+        hubs = [Hub(k, r[2], r[3]) for k, r in enumerate(rows[:6])]
+        df = capacity.bucketed(spark.createDataFrame(rows, POINTS), Scratch(spark, "t"), buckets)
+        done = capacity.settle(df, hubs, sum(r[1] for r in rows) * 0.95 / 6)
+        rounds.append(done.rounds)
+        assert {r["permit_id"]: r["assigned_site_idx"] for r in done.table.collect()} == serial(
+            rows, hubs, sum(r[1] for r in rows) * 0.95 / 6)
+    assert rounds[1] <= rounds[0] + 12, rounds
+
+
+def test_no_facilities(spark):
+    assert siting.assign_with_capacity(spark.createDataFrame([], POINTS), [Hub(1, 0.0, 0.0)], 5).count() == 0
+
+
 def test_refinement_keeps_hubs_on_convergence(spark):
     rows = make(90, 3)
     df = spark.createDataFrame(rows, POINTS)
