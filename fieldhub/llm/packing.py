@@ -46,7 +46,7 @@ def _cut(ids: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
 
 def _pieces(tokenizer: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(tokenizer)
+        ids = Ids.of(tokenizer)
         end = np.array([END], dtype="<u4").tobytes()
         for whole in batches:
             for batch in slices(whole, 1):
