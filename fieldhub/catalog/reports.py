@@ -285,7 +285,16 @@ def report_lines(spark, d):
 , types AS (SELECT county, animal_type, count(*) AS f, sum(headcount)::BIGINT AS a, row_number() OVER (PARTITION BY county
     ORDER BY sum(headcount) DESC, animal_type) AS rn FROM mine GROUP BY county, animal_type)
 , sz AS (SELECT county, {_SIZE} AS s, count(*) AS n FROM mine GROUP BY ALL)
-, szr AS (SELECT *, row_number() OVER (PARTITION BY county ORDER BY s) AS rn FROM sz WHERE s IS NOT NULL)
+, class(rn, s) AS (VALUES (1, '<1K'), (2, '1K-10K'), (3, '10K-100K'), (4, '100K-1M'), (5, '>1M'))
+, szr AS (SELECT l.county, class.rn, class.s, coalesce(sz.n, 0) AS n FROM lead10 l CROSS JOIN class
+    LEFT JOIN sz ON sz.county = l.county AND sz.s = class.s)
+, advice(priority, texts) AS (VALUES
+    ('HIGH', ['Excellent candidate for pilot digester program', 'Consider 2-3 hubs within county boundaries',
+      'High potential for economies of scale', 'Engage with top 10 facilities for partnership']),
+    ('MEDIUM', ['Good candidate for regional hub serving multiple counties',
+      'Consider shared infrastructure with neighboring counties', 'Focus on largest facilities first']),
+    ('LOW', ['Better suited for regional hub access', 'May not justify standalone county hub',
+      'Include in multi-county service area']))
 , tops AS (SELECT *, row_number() OVER (PARTITION BY county ORDER BY headcount DESC, permit_id) AS rn FROM mine)
 , hubs AS (SELECT county, assigned_site_idx AS h, count(*) AS f, sum(headcount)::BIGINT AS a, row_number() OVER (PARTITION BY
     county ORDER BY sum(headcount) DESC, assigned_site_idx) AS rn FROM assignment WHERE n_hubs = 10 GROUP BY county, assigned_site_idx)
@@ -308,7 +317,16 @@ UNION ALL SELECT county, 6, 1, 'Reason: ' || CASE priority WHEN 'HIGH' THEN 'Hig
 UNION ALL SELECT county, 6, 2, printf('AFO Density Score: %.1f', density_score) FROM pl
 UNION ALL SELECT county, 6, 3, printf('Volume Score: %.1f', volume_score) FROM pl
 UNION ALL SELECT county, 6, 4, printf('Industrial Facilities: %.0f%%', industrial_pct) FROM pl
-UNION ALL SELECT county, 6, 5, 'Recommendation: ' || CASE priority WHEN 'HIGH' THEN 'Excellent candidate for pilot digester program'
-  WHEN 'MEDIUM' THEN 'Good candidate for regional hub serving multiple counties' ELSE 'Better suited for regional hub access' END FROM pl"""))
+UNION ALL SELECT county, 7, pos::INTEGER, '• ' || texts[pos + 1] FROM (SELECT county, texts, unnest(range(len(texts))) AS pos
+  FROM pl JOIN advice USING (priority))"""))
 def county_report_lines(spark, d):
     return reports.county_reports(T.permit(spark, d), ten_hubs(spark, d))
+
+
+@query("county_master", with_views(["permit"], _COUNTY + """
+SELECT row_number() OVER (ORDER BY animals DESC, county)::INTEGER AS rank, county, facilities, animals,
+  round(pct_of_state, 6) AS pct_of_state, round(avg_per_facility, 6) AS avg_per_facility,
+  industrial AS industrial_facilities, replace(county, ' ', '_') || '_report.txt' AS report_file FROM lead10"""))
+def county_master(spark, d):
+    out = reports.county_master(T.permit(spark, d))
+    return out.withColumns({"pct_of_state": R6("pct_of_state"), "avg_per_facility": R6("avg_per_facility")})

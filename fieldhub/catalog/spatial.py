@@ -268,12 +268,12 @@ def mask_morphology(spark, d):
 @query("mask_regions", with_views(["rgb"], _CLEAN_ROOF + """
 , isl AS (SELECT *, col - row_number() OVER (PARTITION BY tile_id, row ORDER BY col) AS g FROM r5)
 , run AS (SELECT tile_id, row, min(col) AS c0, max(col) AS c1,
-   (tile_id::BIGINT << 40) + (row::BIGINT << 20) + min(col) AS id FROM isl GROUP BY tile_id, row, g)
+   {'t': tile_id, 'r': row, 'c': min(col)} AS id FROM isl GROUP BY tile_id, row, g)
 , link AS (SELECT a.id AS p, b.id AS q FROM run a JOIN run b ON a.tile_id = b.tile_id
    AND abs(a.row - b.row) <= 1 AND a.c0 <= b.c1 + 1 AND b.c0 <= a.c1 + 1)
 , reach(p, q) AS (SELECT p, q FROM link UNION SELECT r.p, l.q FROM reach r JOIN link l ON l.p = r.q)
 , root AS (SELECT p AS id, min(q) AS region_id FROM reach GROUP BY p)
-SELECT region_id, min(tile_id) AS tile_id, min(row) AS row_min, max(row) AS row_max, min(c0) AS col_min,
+SELECT region_id.t AS tile_id, region_id.r AS first_row, region_id.c AS first_col, min(row) AS row_min, max(row) AS row_max, min(c0) AS col_min,
   max(c1) AS col_max, sum(c1 - c0 + 1)::BIGINT AS area_px FROM run JOIN root USING (id) GROUP BY region_id""",
     recursive=True))
 def mask_regions(spark, d):

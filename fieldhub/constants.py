@@ -112,9 +112,22 @@ PRIORITY_REASON = {
     "LOW": "Lower AFO concentration",
 }
 PRIORITY_ADVICE = {
-    "HIGH": "Excellent candidate for pilot digester program",
-    "MEDIUM": "Good candidate for regional hub serving multiple counties",
-    "LOW": "Better suited for regional hub access",
+    "HIGH": [
+        "Excellent candidate for pilot digester program",
+        "Consider 2-3 hubs within county boundaries",
+        "High potential for economies of scale",
+        "Engage with top 10 facilities for partnership",
+    ],
+    "MEDIUM": [
+        "Good candidate for regional hub serving multiple counties",
+        "Consider shared infrastructure with neighboring counties",
+        "Focus on largest facilities first",
+    ],
+    "LOW": [
+        "Better suited for regional hub access",
+        "May not justify standalone county hub",
+        "Include in multi-county service area",
+    ],
 }
 
 # --- fixed values: siting and economics --------------------------------------

@@ -53,16 +53,19 @@ def box_ring(b: Column) -> Column:
 
 
 def box_tiles(b: Column, tile_m: float = K.TILE_SIZE_M) -> Column:
-    """Array of ``struct(ix, iy, box)`` covering the box, last tiles clipped to its edge."""
+    """Array of ``struct(ix, iy, box)`` covering the box, last tiles clipped to its edge.
+
+    A box without width or height has no tiles.
+    """
     metres = K.KM_PER_DEGREE * 1000.0
     dlat = F.lit(tile_m / metres)
     dlon = F.lit(float(tile_m)) / (
         F.lit(metres) * F.cos(F.radians((b["south"] + b["north"]) / 2))
     )
-    nx = F.ceil((b["east"] - b["west"]) / dlon).cast("int")
+    nx = F.ceil(F.try_divide(b["east"] - b["west"], dlon)).cast("int")
     ny = F.ceil((b["north"] - b["south"]) / dlat).cast("int")
     cells = F.transform(
-        F.sequence(F.lit(0), nx * ny - 1),
+        F.when((nx > 0) & (ny > 0), F.sequence(F.lit(0), nx * ny - 1)).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(
             (i / ny).cast("int").alias("ix"), (i % ny).alias("iy")
         ),
@@ -202,7 +205,7 @@ def distance_scale(unit: str) -> float:
 # --- rings -------------------------------------------------------------------
 def ring_edges(ring: Column) -> Column:
     """Array of ``struct(ax, ay, bx, by)`` for a closed ring."""
-    n = F.size(ring) - 1
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
     return F.zip_with(
         F.slice(ring, 1, n),
         F.slice(ring, 2, n),
@@ -224,7 +227,7 @@ def _bind(value: Column, body) -> Column:
 def _shifted(ring: Column) -> Column:
     """The ring about its first vertex, which keeps precision far from the origin."""
     return _bind(
-        F.struct(ring.alias("r"), ring[0].alias("o")),
+        F.struct(ring.alias("r"), F.get(ring, 0).alias("o")),
         lambda s: F.transform(
             s["r"], lambda p: point(p["x"] - s["o"]["x"], p["y"] - s["o"]["y"])
         ),
@@ -245,21 +248,33 @@ def ring_area(ring: Column) -> Column:
 
 
 def ring_centroid(ring: Column) -> Column:
-    """Area centroid of a closed ring."""
+    """Area centroid of a closed ring.
+
+    A flat ring has no area and gets the centroid of its line, a ring that is one point that
+    point, an empty ring null.
+    """
 
     def moments(r: Column) -> Column:
         edges = ring_edges(r)
+        length = lambda e: distance(e["ax"], e["ay"], e["bx"], e["by"])
         return F.struct(
             _total(F.transform(edges, _cross)).alias("a2"),
             _total(F.transform(edges, lambda e: _cross(e) * (e["ax"] + e["bx"]))).alias("mx"),
             _total(F.transform(edges, lambda e: _cross(e) * (e["ay"] + e["by"]))).alias("my"),
+            _total(F.transform(edges, length)).alias("l"),
+            _total(F.transform(edges, lambda e: length(e) * (e["ax"] + e["bx"]) / 2)).alias("lx"),
+            _total(F.transform(edges, lambda e: length(e) * (e["ay"] + e["by"]) / 2)).alias("ly"),
         )
 
     def place(r: Column) -> Column:
         m = _bind(_shifted(r), moments)
-        return _bind(
-            m, lambda v: point(r[0]["x"] + v["mx"] / (3 * v["a2"]), r[0]["y"] + v["my"] / (3 * v["a2"]))
+        first = F.get(r, 0)
+        along = lambda v, area, line: F.coalesce(
+            F.try_divide(v[area], 3 * v["a2"]), F.try_divide(v[line], v["l"]), F.lit(0.0)
         )
+        return F.when(first.isNotNull(), _bind(
+            m, lambda v: point(first["x"] + along(v, "mx", "lx"), first["y"] + along(v, "my", "ly"))
+        ))
 
     return _bind(ring, place)
 

@@ -42,9 +42,11 @@ def nutrient_balance(
 
 
 def candidate_grid(extent: DataFrame, degrees: float = 0.1) -> DataFrame:
-    """Regular candidate sites over a one-row extent (west, south, east, north)."""
+    """Regular candidate sites over a one-row extent (west, south, east, north); an extent
+    without width or height has none."""
     count = lambda lo, hi: F.ceil((F.col(hi) - F.col(lo)) / F.lit(degrees)).cast("int")
-    rows = extent.withColumns({"_nx": count("west", "east"), "_ny": count("south", "north")})
+    known = extent.filter("west < east and south < north")
+    rows = known.withColumns({"_nx": count("west", "east"), "_ny": count("south", "north")})
     lines = rows.withColumn("iy", F.explode(F.sequence(F.lit(0), F.col("_ny") - 1)))
     cells = lines.withColumn("ix", F.explode(F.sequence(F.lit(0), F.col("_nx") - 1)))
     return cells.select(

@@ -20,12 +20,20 @@ def from_bands(df: DataFrame, dim: int = K.EMBEDDING_DIM) -> Column:
     return F.array(*bands)
 
 
-def mean_vectors(vectors: DataFrame, key: str, vector: str, dim: int = K.EMBEDDING_DIM) -> DataFrame:
-    """Element-wise mean per class in one pass: ``dim`` running averages, no explode."""
-    means = [F.avg(F.col(vector)[i].cast("double")) for i in range(dim)]
-    return vectors.filter(F.col(vector).isNotNull()).groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.array(*means).alias("mean")
+def mean_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """Element-wise mean per class, of vectors of any length.
+
+    Vectors of one class must have one length; a class with several has no mean (null).
+    """
+    known = vectors.filter(F.col(vector).isNotNull())
+    cells = known.select(key, F.size(vector).alias("_size"), F.posexplode(vector).alias("_at", "_value"))
+    means = cells.groupBy(key, "_at").agg(F.avg(F.col("_value").cast("double")).alias("_mean"))
+    rows = means.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", "_mean"))).alias("_cells"))
+    sizes = known.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), (F.min(F.size(vector)) == F.max(F.size(vector))).alias("_even")
     )
+    mean = F.when(F.col("_even"), F.col("_cells._mean"))
+    return sizes.join(rows, sizes[key].eqNullSafe(rows[key]), "left").select(sizes[key], "n", mean.alias("mean"))
 
 
 def reference_vector(means: DataFrame, key: str, value) -> list[float] | None:
@@ -35,7 +43,10 @@ def reference_vector(means: DataFrame, key: str, value) -> list[float] | None:
 
 
 def cosine(vector: Column, reference: list[float]) -> Column:
-    """Cosine similarity to a fixed vector, 0 when either has no length."""
+    """Cosine similarity to a fixed vector, 0 when either is all zero.
+
+    A vector of another length is an error: it comes from another model.
+    """
     norm_ref = math.sqrt(sum(r * r for r in reference))
     if norm_ref == 0:
         return F.when(vector.isNotNull(), F.lit(0.0))
@@ -43,7 +54,9 @@ def cosine(vector: Column, reference: list[float]) -> Column:
     zero = F.lit(0.0)
     dot = F.aggregate(F.zip_with(vector, weights, lambda a, w: a * w), zero, lambda s, x: s + x)
     norm = F.sqrt(F.aggregate(vector, zero, lambda s, a: s + a.cast("double") * a))
-    return F.when(norm == 0, zero).otherwise(dot / norm)
+    fits = F.size(vector) == len(reference)
+    odd = F.raise_error(F.concat(F.lit(f"a vector of {len(reference)} numbers is needed, not of "), F.size(vector).cast("string")))
+    return F.when(vector.isNull(), F.lit(None)).when(~fits, odd.cast("double")).when(norm == 0, zero).otherwise(dot / norm)
 
 
 def classify(

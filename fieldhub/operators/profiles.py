@@ -18,15 +18,16 @@ def _share(part: Column, whole: Column) -> Column:
     return part * 100.0 / F.nullif(whole, F.lit(0))
 
 
-def _total(df: DataFrame, column: str) -> Column:
-    """Sum over the whole table as a scalar subquery: no join and no single-task window."""
-    return df.select(F.sum(column)).scalar()
+def _whole(column: str) -> Column:
+    """Sum over all groups.  Only tables of one row per group are summed this way, so the
+    input is read once and the window holds the groups."""
+    return F.sum(column).over(Window.partitionBy())
 
 
 def distribution(permits: DataFrame, by: str) -> DataFrame:
     """Facilities and animals per value of ``by`` and the share of all animals."""
     groups = permits.groupBy(by).agg(_rows().alias("facilities"), F.sum("headcount").alias("animals"))
-    return groups.withColumn("pct", _share(F.col("animals"), _total(permits, "headcount")))
+    return groups.withColumn("pct", _share(F.col("animals"), _whole("animals")))
 
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -42,8 +43,7 @@ def size_histogram(permits: DataFrame) -> DataFrame:
     counts = permits.groupBy(nutrient.size_label(F.col("headcount")).alias("size_class")).agg(
         _rows().alias("facilities")
     )
-    total = permits.select(_rows()).scalar()
-    shares = counts.withColumn("pct", _share(F.col("facilities"), total)).filter(
+    shares = counts.withColumn("pct", _share(F.col("facilities"), _whole("facilities"))).filter(
         "size_class is not null"
     )
     spark = permits.sparkSession
@@ -72,9 +72,8 @@ def county_summary(permits: DataFrame) -> DataFrame:
         F.sum("headcount").alias("animals"),
         F.count_if(F.col("headcount") > K.INDUSTRIAL_HEADCOUNT).alias("industrial"),
     )
-    total = _total(permits, "headcount")
     return groups.withColumns({
-        "pct_of_state": _share(F.col("animals"), total),
+        "pct_of_state": _share(F.col("animals"), _whole("animals")),
         "avg_per_facility": F.col("animals") / F.col("facilities"),
     })
 
@@ -141,19 +140,13 @@ def zone_balance(assigned: DataFrame) -> DataFrame:
     groups = assigned.groupBy("assigned_site_idx").agg(
         _rows().alias("n"), F.sum("headcount").alias("animals")
     )
-    totals = assigned.select(
-        F.struct(
-            F.count_if(F.col("assigned_site_idx") >= 0).alias("n"),
-            F.sum("headcount").alias("animals"),
-        )
-    ).scalar()
+    served = F.when(F.col("assigned_site_idx") >= 0, F.col("n"))
     return (
-        groups.filter("assigned_site_idx >= 0")
-        .withColumn("_t", totals)
-        .withColumns({
-            "pct_afos": _share(F.col("n"), F.col("_t.n")),
-            "pct_animals": _share(F.col("animals"), F.col("_t.animals")),
+        groups.withColumns({
+            "pct_afos": _share(F.col("n"), F.sum(served).over(Window.partitionBy())),
+            "pct_animals": _share(F.col("animals"), _whole("animals")),
         })
+        .filter("assigned_site_idx >= 0")
         .select(F.col("assigned_site_idx").alias("site_id"), "pct_afos", "pct_animals")
     )
 

@@ -304,16 +304,14 @@ def open_mask(words: DataFrame, size: int) -> DataFrame:
 
 
 # --- regions ---------------------------------------------------------------------------
-ROW_BITS = COL_BITS = 20  # rows and columns of a tile stay below 2**20
-BAND_ROWS = 64
+BAND_ROWS = 64  # rows of a tile whose runs are joined up in one window
 
 
 def mask_runs(words: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
-    """Maximal horizontal runs of set pixels, with an id that sorts by (tile, row, column).
+    """Maximal horizontal runs of set pixels; ``run`` is (tile, row, first column).
 
     Runs are read off each word (at most 32) and joined up where they meet at a word edge,
-    so the window sees runs, never single pixels.  Rows keep together in bands, which the
-    labelling below reuses without another shuffle.
+    so the window sees runs, never single pixels.
     """
     m = F.col("mask")
     starts = m.bitwiseAND(F.bitwise_not(F.shiftleft(m, 1)))
@@ -337,99 +335,43 @@ def mask_runs(words: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
         .agg(F.min("col_start").alias("col_start"), F.max("col_end").alias("col_end"))
         .drop("_i")
     )
-    run_id = (
-        F.shiftleft(F.col("tile_id").cast("bigint"), ROW_BITS + COL_BITS)
-        + F.shiftleft(F.col("row").cast("bigint"), COL_BITS)
-        + F.col("col_start")
-    )
-    return runs.withColumn("run_id", run_id)
-
-
-def _label_band(runs: pd.DataFrame) -> pd.DataFrame:
-    """Label the runs of one band by their least touching run id (union-find)."""
-    runs = runs.sort_values(["row", "col_start"], ignore_index=True)
-    rows, left, right = (runs[c].to_numpy() for c in ("row", "col_start", "col_end"))
-    parent = list(range(len(runs)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    starts = {int(r): i for i, r in reversed(list(enumerate(rows)))}
-    for row, below in starts.items():
-        above = starts.get(row - 1)
-        if above is None:
-            continue
-        end = below
-        while above < end and below < len(rows) and rows[below] == row:
-            if left[above] <= right[below] + 1 and left[below] <= right[above] + 1:
-                a, b = sorted((root(above), root(below)))
-                parent[b] = a
-            if right[above] < right[below]:
-                above += 1
-            else:
-                below += 1
-    ids = runs["run_id"].to_numpy()
-    return runs.assign(piece=[ids[root(i)] for i in range(len(runs))])
-
-
-_LABELLED = (
-    "tile_id int, band int, row int, col_start int, col_end int, run_id bigint, piece bigint"
-)
-
-
-def banded_pieces(runs: DataFrame) -> DataFrame:
-    """Runs with ``piece``: their region as far as one band of rows shows it.
-
-    A band is at most BAND_ROWS rows of one tile, so its size is bounded by the tile width.
-    """
-    return runs.select("tile_id", "band", "row", "col_start", "col_end", "run_id").groupBy(
-        "tile_id", "band"
-    ).applyInPandas(_label_band, _LABELLED)
+    return runs.withColumn("run", F.struct("tile_id", "row", "col_start"))
 
 
-def _touching_pieces(upper: DataFrame, lower: DataFrame) -> DataFrame:
-    """Pieces whose runs touch across a band edge, diagonals included.
+def _touching_runs(runs: DataFrame) -> DataFrame:
+    """Runs of neighbouring rows that touch, diagonals included.
 
     Runs are spread over 64-column blocks first; a block row has at most 32 runs, which
     bounds the pairs looked at on any one key.
     """
     blocks = lambda lo, hi: F.explode(F.sequence(F.floor(lo / WORD), F.floor(hi / WORD)))
-    up = upper.select(
-        "tile_id", (F.col("row") + 1).alias("row"), F.col("piece").alias("a"),
+    up = runs.select(
+        "tile_id", (F.col("row") + 1).alias("row"), F.col("run").alias("a"),
         F.col("col_start").alias("a0"), F.col("col_end").alias("a1"),
         blocks(F.col("col_start") - 1, F.col("col_end") + 1).alias("block"),
     )
-    low = lower.select(
-        "tile_id", "row", F.col("piece").alias("b"), F.col("col_start").alias("b0"),
+    low = runs.select(
+        "tile_id", "row", F.col("run").alias("b"), F.col("col_start").alias("b0"),
         F.col("col_end").alias("b1"), blocks(F.col("col_start"), F.col("col_end")).alias("block"),
     )
     return up.join(low, KEYS).filter("a0 <= b1 + 1 and b0 <= a1 + 1").select("a", "b")
 
 
 def regions(words: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
-    """8-connected regions of a mask: area, extent and the id of their first pixel.
+    """8-connected regions of a mask: first pixel, area and extent.
 
-    Bands are labelled on their own; only the runs along band edges enter the graph that
-    joins pieces of one region, so its size and depth shrink by the band height.
+    Runs that touch are linked, and components joins them; a run is named by its place, so
+    tiles, rows and columns may be any numbers.
     """
-    runs = Scratch(words.sparkSession, "runs").cut(banded_pieces(mask_runs(words, band_rows)))
-    edge = F.col("row") % band_rows
-    links = _touching_pieces(runs.filter(edge == band_rows - 1), runs.filter(edge == 0))
-    pieces = runs.groupBy("piece").agg(
-        F.min("tile_id").alias("tile_id"),
+    runs = Scratch(words.sparkSession, "runs").cut(mask_runs(words, band_rows))
+    labelled = components.label(runs, _touching_runs(runs), "run")
+    return labelled.groupBy(F.col("component").alias("region")).agg(
         F.min("row").alias("row_min"), F.max("row").alias("row_max"),
         F.min("col_start").alias("col_min"), F.max("col_end").alias("col_max"),
         F.sum(F.col("col_end") - F.col("col_start") + 1).alias("area_px"),
-    )
-    labelled = components.label(pieces, links, "piece")
-    return labelled.groupBy(F.col("component").alias("region_id")).agg(
-        F.min("tile_id").alias("tile_id"),
-        F.min("row_min").alias("row_min"), F.max("row_max").alias("row_max"),
-        F.min("col_min").alias("col_min"), F.max("col_max").alias("col_max"),
-        F.sum("area_px").alias("area_px"),
+    ).select(
+        "region.tile_id", F.col("region.row").alias("first_row"), F.col("region.col_start").alias("first_col"),
+        "row_min", "row_max", "col_min", "col_max", "area_px",
     )
 
 

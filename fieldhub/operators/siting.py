@@ -363,6 +363,7 @@ def best_addition(
 class Median:
     sites: list[Hub]
     objective: float
+    converged: bool  # no swap improves any more; False if the sweeps ran out or none was asked for
 
 
 def p_median(
@@ -375,7 +376,8 @@ def p_median(
 ) -> Median:
     """Sites minimising Σ headcount·distance: greedy additions, then vertex swaps.
 
-    Each addition and each swap is the exact best one; p = 1 is optimal.
+    Each addition and each swap is the exact best one; p = 1 is optimal.  ``max_sweeps``
+    bounds the rounds of swaps; the result says whether they came to an end by themselves.
     """
     spark = sources.sparkSession
     scratch = Scratch(spark, "pmedian", keep=3)
@@ -395,8 +397,8 @@ def p_median(
     for _ in range(p):
         site, total = addition(chosen)
         chosen.append(site)
-    improved = swap and p > 1
-    for _ in range(max_sweeps):
+    improved = p > 1
+    for _ in range(max_sweeps if swap else 0):
         if not improved:
             break
         improved = False
@@ -405,7 +407,7 @@ def p_median(
             site, better = addition(others)
             if site != old and better < total * (1 - 1e-12):
                 chosen, total, improved = [*others, site], better, True
-    return Median(sorted(chosen, key=lambda s: s.site_id), total * geo.distance_scale(unit))
+    return Median(sorted(chosen, key=lambda s: s.site_id), total * geo.distance_scale(unit), not improved)
 
 
 def sites_table(spark, sites: Sequence[Hub]) -> DataFrame:

@@ -21,6 +21,10 @@ def _line(section: int, ord_: Column, fmt: str, *args: Column) -> list[Column]:
     ]
 
 
+def _rows() -> Column:
+    return F.count(F.lit(1))
+
+
 def _facts(row: DataFrame, section: int, *lines: tuple) -> DataFrame:
     """Several lines from one-row facts."""
     made = F.array(*[
@@ -105,15 +109,15 @@ def county_reports(permits: DataFrame, assigned: DataFrame | None = None, top_n:
             F.trim("animal_type"), c("facilities"), c("animals"), fixed(c("pct_of_county"), 1),
         ),
     ]
-    sizes = (
-        mine.groupBy("county", nutrient.size_label(c("headcount")).alias("size_class"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("size_class is not null")
-        .join(leading.select("county", c("facilities").alias("all")), "county")
-    )
+    # five counts per county in class order, empty classes included
+    label = nutrient.size_label(c("headcount"))
+    counted = mine.groupBy("county").agg(_rows().alias("all"), F.array(*[
+        F.struct(F.lit(i + 1).alias("ord"), F.lit(name).alias("name"), F.count_if(label == name).alias("n"))
+        for i, name in enumerate(K.SIZE_LABELS)
+    ]).alias("classes"))
     parts.append(row(
-        sizes, 3, rank("size_class"), "%-15s: %3d facilities (%5s%%)",
-        c("size_class"), c("n"), fixed(c("n") * 100.0 / c("all"), 1),
+        counted.select("county", "all", F.explode("classes").alias("s")), 3, c("s.ord"),
+        "%-15s: %3d facilities (%5s%%)", c("s.name"), c("s.n"), fixed(c("s.n") * 100.0 / c("all"), 1),
     ))
     parts.append(row(
         A.top_per_county(mine, 10), 4, c("rank"), "%-50s %,12d %s",
@@ -129,21 +133,35 @@ def county_reports(permits: DataFrame, assigned: DataFrame | None = None, top_n:
             "Hub %2d: %3d AFOs, %,12d animals (%5s%%)",
             c("assigned_site_idx"), c("facilities"), c("animals"), fixed(c("pct_of_county"), 1),
         ))
-    by_level = lambda texts: F.element_at(
-        F.create_map(*[F.lit(x) for kv in texts.items() for x in kv]), c("priority")
-    )
+    by_level = lambda texts: F.element_at(F.create_map(*[x for k, v in texts.items() for x in (F.lit(k), v)]), c("priority"))
+    ranked = A.county_priority(leading)
     parts.append(facts(
-        A.county_priority(leading), 6,
+        ranked, 6,
         ("Priority Level: %s", c("priority")),
-        ("Reason: %s", by_level(K.PRIORITY_REASON)),
+        ("Reason: %s", by_level({k: F.lit(v) for k, v in K.PRIORITY_REASON.items()})),
         ("AFO Density Score: %s", fixed(c("density_score"), 1)),
         ("Volume Score: %s", fixed(c("volume_score"), 1)),
         ("Industrial Facilities: %s%%", fixed(c("industrial_pct"), 0)),
-        ("Recommendation: %s", by_level(K.PRIORITY_ADVICE)),
+    ))
+    advice = by_level({k: F.array(*map(F.lit, v)) for k, v in K.PRIORITY_ADVICE.items()})
+    parts.append(row(
+        ranked.select("county", F.posexplode(advice).alias("pos", "text")), 7, c("pos"), "• %s", c("text"),
     ))
     return _stack(parts)
 
 
+def county_master(permits: DataFrame, top_n: int = 10) -> DataFrame:
+    """The leading counties side by side, in report order, with the name of each one's report."""
+    c = F.col
+    leading = A.top_counties(A.county_summary(permits), top_n)
+    rank = F.row_number().over(Window.orderBy(F.desc("animals"), "county"))  # top_n rows
+    return leading.select(
+        rank.alias("rank"), "county", "facilities", "animals", "pct_of_state", "avg_per_facility",
+        c("industrial").alias("industrial_facilities"),
+        F.concat(F.replace(c("county"), F.lit(" "), F.lit("_")), F.lit("_report.txt")).alias("report_file"),
+    )
+
+
 def sensitivity_report(flow: DataFrame, transport: DataFrame, construction: DataFrame) -> DataFrame:
     """Summary lines of the base case and of the two cost grids (all small tables)."""
     c = F.col

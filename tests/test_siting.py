@@ -203,7 +203,7 @@ def test_embeddings(spark):
         [(1, [1.0, 0.0], "a"), (2, [3.0, 0.0], "a"), (3, [0.0, 0.0], "b"), (4, None, "b"), (5, [1.0, 1.0], "b")],
         "id int, vector array<float>, kind string",
     )
-    means = embeddings.mean_vectors(df, "kind", "vector", dim=2)
+    means = embeddings.mean_vectors(df, "kind", "vector")
     ref = embeddings.reference_vector(means, "kind", "a")
     assert ref == [2.0, 0.0] and embeddings.reference_vector(means, "kind", "zzz") is None
     got = {r["id"]: (round(r["ae_score"], 6), r["ae_is_afo"], r["ae_filtered"])
@@ -214,3 +214,24 @@ def test_embeddings(spark):
     }
     bands = spark.createDataFrame([(0.5, 7.0)], "b0 double, embedding_1 double")
     assert bands.select(embeddings.from_bands(bands, 3)).first()[0] == [0.5, 7.0, 0.0]
+
+
+@pytest.mark.parametrize("size", [8, 128])
+def test_vectors_of_any_length(spark, size):
+    rows = [("a", [float(i) for i in range(size)]), ("a", [float(i + 2) for i in range(size)]), ("b", None), ("b", [1.0]), ("b", [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "kind string, vector array<float>")
+    means = embeddings.mean_vectors(df, "kind", "vector")
+    assert {r["kind"]: r["mean"] for r in means.collect()} == {"a": [i + 1.0 for i in range(size)], "b": None}
+    reference = embeddings.reference_vector(means, "kind", "a")
+    same = df.filter("kind = 'a'").select(embeddings.cosine(F.col("vector"), reference).alias("c")).collect()
+    assert all(r["c"] > 0.99 for r in same)
+    with pytest.raises(Exception, match="numbers is needed"):
+        df.filter("kind = 'b'").select(embeddings.cosine(F.col("vector"), reference)).collect()
+
+
+def test_median_says_whether_swaps_came_to_an_end(spark):
+    rows = make(40, 12)
+    sources = spark.createDataFrame(rows, POINTS)
+    sites = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "site_id bigint, x double, y double")
+    assert not siting.p_median(sources, sites, 2, max_sweeps=0).converged
+    assert siting.p_median(sources, sites, 2).converged

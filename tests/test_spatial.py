@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldhub.operators import components, merging, raster, spatial
+from fieldhub.functions import geo
+from fieldhub.operators import balance, components, merging, raster, spatial
 
 
 def ring_of(x, y, w, h):
@@ -243,3 +244,29 @@ def test_points_in_boxes_edges_included(spark):
     boxes = spark.createDataFrame([(0.0, 0.0, 1.0, 1.0)], "west double, south double, east double, north double")
     points = spark.createDataFrame([(0.0, 1.0), (1.0, 1.0), (1.0001, 0.5), (-0.1, 0.2)], "x double, y double")
     assert spatial.points_in_boxes(points, boxes, "x", "y", 0.3).count() == 2
+
+
+def test_regions_of_far_tiles_stay_apart(spark):
+    """Tile, row and column numbers of any size, in one place of different tiles."""
+    places = [(0, 0), (2**24, 0), (2**31 - 1, 2**30), (5, 2**20)]
+    rows = [(tile, row + r, 2**20 + c) for tile, row in places for r in range(2) for c in range(70)]
+    pixels = spark.createDataFrame(rows, "tile_id int, row int, col int")
+    found = raster.regions(raster.pack(pixels, F.lit(True))).collect()
+    assert {(r["tile_id"], r["first_row"], r["area_px"]) for r in found} == {(t, row, 140) for t, row in places}
+
+
+def test_shapes_without_size(spark):
+    """Flat and empty rings, boxes and extents give nothing or a point, never an error."""
+    p = lambda *xy: [{"x": float(x), "y": float(y)} for x, y in xy]
+    rings = [(1, p((0, 0), (2, 0), (4, 0), (0, 0))), (2, []), (3, p((1, 1), (1, 1), (1, 1))), (4, None), (5, p((0, 0), (2, 0), (2, 2), (0, 2), (0, 0)))]
+    df = spark.createDataFrame(rings, "id int, ring array<struct<x:double,y:double>>")
+    got = {r["id"]: r for r in df.select(
+        "id", geo.ring_area(F.col("ring")).alias("area"), geo.ring_centroid(F.col("ring")).alias("c"),
+        geo.ring_point_distance(F.col("ring"), F.lit(3.0), F.lit(1.0)).alias("d")).collect()}
+    assert [got[i]["area"] for i in (1, 2, 3, 4, 5)] == [0, 0, 0, None, 4]
+    assert tuple(got[1]["c"]) == (2, 0) and got[2]["c"] is None and tuple(got[3]["c"]) == (1, 1) and tuple(got[5]["c"]) == (1, 1)
+    assert got[1]["d"] == 1 and got[5]["d"] == 1
+    boxes = spark.createDataFrame([(0.0, 0.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0), (1.0, 1.0, 0.0, 0.0)], "west double, south double, east double, north double")
+    tiles = boxes.select(F.size(geo.box_tiles(F.struct("west", "south", "east", "north"))).alias("n")).collect()
+    assert [r["n"] for r in tiles] == [0, 0, 0]
+    assert balance.candidate_grid(boxes).count() == 0
