@@ -188,15 +188,16 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     """
     answers = read(spark, path, "response", "revisit").dropDuplicates(["record_id"])
     sides = read(spark, path, "request", "metadata").filter("concurrent_to IS NOT NULL")
-    whole = F.struct("record_id", "uri", "block", "fields")
-    pick = lambda kind: F.min_by(F.when(F.col("type") == kind, whole), F.when(F.col("type") == kind, F.col("record_id")))
-    grouped = sides.groupBy(F.col("concurrent_to").alias("capture_id")).agg(
-        pick("request").alias("request"), pick("metadata").alias("metadata")
-    )
+    names = ("record_id", "uri", "block", "fields")
+    of = {kind: F.when(F.col("type") == kind, F.col("record_id")) for kind in ("request", "metadata")}
+    # a column of its own for each value, so that values nobody asks for are not carried
+    first = [F.min_by(name, of[kind]).alias(f"{kind}_{name}") for kind in of for name in names]
+    grouped = sides.groupBy(F.col("concurrent_to").alias("capture_id")).agg(*first)
+    side = lambda kind: F.when(F.col(f"{kind}_record_id").isNotNull(), F.struct(*(F.col(f"{kind}_{n}").alias(n) for n in names)))
     response = F.struct("type", "uri", "refers_to", "payload_digest", "payload_bytes", "digest_fits", "block")
     return answers.select(F.col("record_id").alias("capture_id"), response.alias("response")).join(
         grouped, "capture_id", "left"
-    )
+    ).select("capture_id", "response", side("request").alias("request"), side("metadata").alias("metadata"))
 
 
 def round_trip(pages: DataFrame, label: str = "warc", **columns) -> DataFrame:
