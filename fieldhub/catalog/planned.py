@@ -38,10 +38,12 @@ def permit_ingest(spark, d):
 
 
 @query("supply_map", with_views(["permit", "utm", "detection"], SUPPLY_CTE + NEAREST_SQL + """
+, one AS (SELECT det_id, min(permit_id) AS permit_id, min(dm) AS dm, count(*) AS join_ties FROM near GROUP BY det_id)
 SELECT d.det_id AS polygon_id, n.permit_id, coalesce(s.animal, 'unknown') AS animal_type,
   coalesce(s.headcount, 0) AS headcount, round(dm, 3) AS join_distance_m,
-  coalesce(s.annual_n_lbs, 0) AS annual_n_lbs, coalesce(s.annual_p2o5_lbs, 0) AS annual_p2o5_lbs
-FROM detection d LEFT JOIN near n ON n.det_id = d.det_id LEFT JOIN supply s ON s.permit_id = n.permit_id"""))
+  coalesce(s.annual_n_lbs, 0) AS annual_n_lbs, coalesce(s.annual_p2o5_lbs, 0) AS annual_p2o5_lbs,
+  coalesce(join_ties, 0) AS join_ties
+FROM detection d LEFT JOIN one n ON n.det_id = d.det_id LEFT JOIN supply s ON s.permit_id = n.permit_id"""))
 def supply_map(spark, d):
     polygons = detection_rings(spark, d).select(
         F.col("det_id").alias("polygon_id"), "ring", "class_name", "confidence"
@@ -49,7 +51,7 @@ def supply_map(spark, d):
     out = supply.supply_map(polygons, T.permit(spark, d))
     return out.select(
         "polygon_id", "permit_id", "animal_type", "headcount",
-        F.round("join_distance_m", 3).alias("join_distance_m"), "annual_n_lbs", "annual_p2o5_lbs",
+        F.round("join_distance_m", 3).alias("join_distance_m"), "annual_n_lbs", "annual_p2o5_lbs", "join_ties",
     )
 
 

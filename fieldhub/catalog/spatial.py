@@ -42,27 +42,33 @@ NEAREST_SQL = GEO_BOX + _RING_UTM + """
 """
 
 
+def _nearest(spark, d, **kw):
+    polygons = detection_rings(spark, d).select(F.col("det_id").alias("polygon_id"), "ring")
+    out = S.nearest_within(polygons, permits_utm(spark, d), 2000.0, ring=geo.project_ring(F.col("ring")), **kw)
+    return out.withColumn("join_distance_m", F.round("join_distance_m", 3))
+
+
 @query("nearest_permit", with_views(["utm", "detection"], NEAREST_SQL + """
-SELECT d.det_id AS polygon_id, permit_id, round(dm, 3) AS join_distance_m
-FROM detection d LEFT JOIN near n ON n.det_id = d.det_id"""))
+SELECT d.det_id AS polygon_id, min(permit_id) AS permit_id, round(min(dm), 3) AS join_distance_m,
+  count(permit_id) AS join_ties
+FROM detection d LEFT JOIN near n ON n.det_id = d.det_id GROUP BY d.det_id"""))
 def nearest_permit(spark, d):
-    polygons = detection_rings(spark, d).select(F.col("det_id").alias("polygon_id"), "ring")
-    out = S.nearest_within(
-        polygons, permits_utm(spark, d), 2000.0, ring=geo.project_ring(F.col("ring"))
-    )
-    return out.select("polygon_id", "permit_id", F.round("join_distance_m", 3).alias("join_distance_m"))
+    return _nearest(spark, d).select("polygon_id", "permit_id", "join_distance_m", "join_ties")
 
 
 @query("nearest_permit_first", with_views(["utm", "detection"], NEAREST_SQL + """
 SELECT d.det_id AS polygon_id, min(permit_id) AS permit_id, round(min(dm), 3) AS join_distance_m
 FROM detection d LEFT JOIN near n ON n.det_id = d.det_id GROUP BY d.det_id"""))
 def nearest_permit_first(spark, d):
-    polygons = detection_rings(spark, d).select(F.col("det_id").alias("polygon_id"), "ring")
-    out = S.nearest_within(
-        polygons, permits_utm(spark, d), 2000.0, ring=geo.project_ring(F.col("ring")),
-        tie_break="permit_id",
-    )
-    return out.select("polygon_id", "permit_id", F.round("join_distance_m", 3).alias("join_distance_m"))
+    return _nearest(spark, d).select("polygon_id", "permit_id", "join_distance_m")
+
+
+@query("nearest_permit_ties", with_views(["utm", "detection"], NEAREST_SQL + """
+SELECT d.det_id AS polygon_id, permit_id, round(dm, 3) AS join_distance_m
+FROM detection d LEFT JOIN near n ON n.det_id = d.det_id"""))
+def nearest_permit_ties(spark, d):
+    """Every equally near permit, as a plain nearest join gives them."""
+    return _nearest(spark, d, ties=True).select("polygon_id", "permit_id", "join_distance_m")
 
 
 @query("near_pairs", with_views(["detection"], """

@@ -142,7 +142,8 @@ def nearest_within(
     ring: str | Column = "ring",
     x: str = "x",
     y: str = "y",
-    tie_break: str | None = None,
+    tie_break: str = "permit_id",
+    ties: bool = False,
     crowd_limit: int = 2048,
 ) -> DataFrame:
     """Left join of each polygon to its nearest point within ``radius`` (planar metres).
@@ -150,9 +151,11 @@ def nearest_within(
     ``ring`` names the planar ring column or is an expression for it.
 
     Adds the point's columns and ``join_distance_m``; a polygon without a point in reach
-    keeps nulls.  Ties are all kept unless ``tie_break`` names a point column whose
-    smallest value wins.  Distances are measured to distinct locations only, so any number
-    of points on one spot costs one comparison.
+    keeps nulls.  Of equally near points the one with the smallest ``tie_break`` is taken and
+    ``join_ties`` says how many there are, so the result has one row per polygon.  With
+    ``ties`` every one of them is a row: on a crowded spot that is polygons times points.
+    Distances are measured to distinct locations only, so any number of points on one spot
+    costs one comparison.
     """
     spots = points.select(F.col(x).alias("_px"), F.col(y).alias("_py")).dropna().distinct()
     # The ring and its candidates meet on the polygon id below.  Partitioning on it up front
@@ -180,17 +183,20 @@ def nearest_within(
     }).drop("_d", "_rank", "_row")
 
     located = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    if tie_break is not None:
+    if not ties:
         rest = [c for c in located.columns if c not in (x, y, tie_break)]
         located = located.groupBy(x, y).agg(
-            F.min(F.struct(tie_break, *rest)).alias("_first")
-        ).select(x, y, "_first.*")
+            F.min(F.struct(tie_break, *rest)).alias("_first"), F.count(F.lit(1)).alias("_same")
+        ).select(x, y, "_first.*", "_same")
     matched = kept.join(
         located, (F.col("_px") == located[x]) & (F.col("_py") == located[y]), "left"
     ).drop("_px", "_py")
-    if tie_break is not None:  # equally near spots may still differ
-        pick = Window.partitionBy(poly_id).orderBy(tie_break)
-        matched = matched.withColumn("_rn", F.row_number().over(pick)).filter("_rn = 1").drop("_rn")
+    if not ties:  # equally near spots may still differ
+        own = Window.partitionBy(poly_id)
+        matched = matched.withColumns({
+            "join_ties": F.coalesce(F.sum("_same").over(own), F.lit(0)),
+            "_rn": F.row_number().over(own.orderBy(tie_break)),
+        }).filter("_rn = 1").drop("_rn", "_same")
     return matched
 
 

@@ -14,9 +14,11 @@ def supply_map(
     polygons: DataFrame,
     permits: DataFrame,
     radius_m: float = K.JOIN_RADIUS_M,
-    tie_break: str | None = None,
+    ties: bool = False,
 ) -> DataFrame:
-    """One row per polygon and nearest permit with yearly N and P2O5.
+    """Each polygon with its nearest permit and yearly N and P2O5, one row per polygon.
+
+    With ``ties`` every equally near permit is a row, and its nutrients count once per row.
 
     ``polygons`` has polygon_id and ring (degrees) and any attributes; ``permits`` has
     permit_id, animal_type, headcount, longitude, latitude.
@@ -30,7 +32,7 @@ def supply_map(
     )
     metric = geo.project_ring(F.col("ring"))
     joined = spatial.nearest_within(
-        polygons, points, radius_m, ring=metric, x="_ux", y="_uy", tie_break=tie_break
+        polygons, points, radius_m, ring=metric, x="_ux", y="_uy", ties=ties
     ).drop("_ux", "_uy")
     if "area_m2" not in polygons.columns:
         joined = joined.withColumn("area_m2", geo.ring_area(metric))
