@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from fieldhub.llm.bktree import spanning_links
 from fieldhub.llm.common import byte_texts, cut, slices, text_of
 from fieldhub.operators.components import connected_components
+from fieldhub.session import small_table
 
 RADIUS = 2
 SHARD = 512  # a larger shard is dealt once more
@@ -86,12 +87,10 @@ def _blocks(fixed: int, parts: int) -> list[int]:
 
 def _dealt(members: DataFrame, masks: list[int], parts: int) -> DataFrame:
     """Each member once per block of its shard's free bits."""
-    choice = F.lit(None)
-    for mask in masks:
-        choice = F.when(
-            F.col("_mask") == _signed(mask), F.array(*(F.lit(_signed(m)) for m in _blocks(mask, parts)))
-        ).otherwise(choice)
-    return members.select("_print", F.explode(choice).alias("_mask")).withColumn(
+    steps = [(_signed(mask), _signed(block)) for mask in masks for block in _blocks(mask, parts)]
+    table = small_table(members.sparkSession, steps, {"_mask": "bigint", "_next": "bigint"})
+    met = members.join(F.broadcast(table), "_mask")  # parts^depth rows
+    return met.select("_print", F.col("_next").alias("_mask")).withColumn(
         "_value", F.col("_print").bitwiseAND(F.col("_mask"))
     )
 
@@ -116,6 +115,8 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     """(a, b): links of at most ``radius`` differing bits that span every group of different
     fingerprints (column ``_print``)."""
     parts, masks = radius + 1, [0]
+    if shard < 2**parts:
+        raise ValueError(f"shards of {shard} fingerprints cannot be dealt by {parts} blocks")
     members = prints.select("_print").distinct().withColumn("_mask", F.lit(0).cast("long"))
     found = None
     while True:
