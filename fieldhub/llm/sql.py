@@ -167,12 +167,13 @@ sums AS (
     SELECT score, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b
     FROM judged WHERE ruled IS NOT NULL AND aside GROUP BY score
 ), gains AS (
-    SELECT score, (sum(a) OVER () - coalesce(sum(a) OVER lower, 0)) * sum(b) OVER ()
+    SELECT score, lag(score) OVER (ORDER BY score) AS before, (sum(a) OVER () - coalesce(sum(a) OVER lower, 0)) * sum(b) OVER ()
                   + coalesce(sum(b) OVER lower, 0) * sum(a) OVER () AS gain,
            sum(a) OVER () AS every_a, sum(b) OVER () AS every_b
     FROM bins WINDOW lower AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), mark AS (
-    SELECT coalesce((SELECT score FROM gains WHERE every_a > 0 AND every_b > 0
+    SELECT coalesce((SELECT CASE WHEN before IS NULL THEN score
+                            ELSE CAST(floor((before + score + 1) / 2.0) AS BIGINT) END FROM gains WHERE every_a > 0 AND every_b > 0
                      ORDER BY gain DESC, abs(score), score LIMIT 1), 0) AS mark
 )
 SELECT page_id, host, path, rule,

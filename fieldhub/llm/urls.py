@@ -131,7 +131,8 @@ def ratios(urls: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFr
 
 def threshold(decided: DataFrame) -> int:
     """The score from which URLs are allowed: best sum of the shares of allowed URLs at or
-    over it and of blocked ones under it.  0 if either kind is missing.
+    over it and of blocked ones under it, halfway down to the next score.  0 if either kind is
+    missing.
 
     ``decided`` has ``_score`` and ``_allows``; scores are bounded, so the sums by score are few.
     """
@@ -141,12 +142,14 @@ def threshold(decided: DataFrame) -> int:
     allowed, blocked = sum(r["a"] for r in sums), sum(r["b"] for r in sums)
     if not allowed or not blocked:
         return 0
-    best, under_a, under_b = None, 0, 0
+    best, mark, under_a, under_b, before = None, 0, 0, 0, None
     for r in sums:
-        gain = (allowed - under_a) * blocked + under_b * allowed
-        best = max(best or (gain, -abs(r["_score"]), -r["_score"]), (gain, -abs(r["_score"]), -r["_score"]))
-        under_a, under_b = under_a + r["a"], under_b + r["b"]
-    return -best[2]
+        at = r["_score"]
+        rank = ((allowed - under_a) * blocked + under_b * allowed, -abs(at), -at)
+        if best is None or rank > best:
+            best, mark = rank, at if before is None else (before + at + 1) // 2
+        under_a, under_b, before = under_a + r["a"], under_b + r["b"], at
+    return mark
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
