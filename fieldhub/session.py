@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,16 +27,22 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts: the one the cluster names in spark.checkpoint.dir.
+    """Shared folder for lineage cuts: the one the cluster names in spark.checkpoint.dir, or
+    else the one given to SparkContext.setCheckpointDir.
 
-    Only when the session names none (tests, laptops) is a temporary one chosen and
-    recorded in the session, so that every later call shares it.
+    Only a local session (tests, laptops) may name none; it gets a temporary folder, which
+    is recorded in the session and removed when the process ends.  A cluster's executors
+    could not see such a folder, so there the lack of a shared one is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = spark.conf.get("fieldhub.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="fieldhub-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("fieldhub.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -54,6 +62,23 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: dict[str, str])
     return spark.sql(f"SELECT * FROM VALUES {text} AS t({', '.join(schema)})")
 
 
+_MADE: list[str] = []  # folders of this process, for drop_scratch
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove every table that lineage cuts of this process have left.
+
+    Results that read them must be written or collected before.
+    """
+    while _MADE:
+        _remove(spark, _MADE.pop())
+
+
 class Scratch:
     """Tables written to the checkpoint folder to cut the lineage of iterative jobs.
 
@@ -65,6 +90,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str, keep: int = 2):
         self.spark = spark
         self.base = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+        _MADE.append(self.base)
         self.keep = keep
         self.generation = 0
 
@@ -77,7 +103,4 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _drop(self, path: str) -> None:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        conf = self.spark._jsc.hadoopConfiguration()
-        target.getFileSystem(conf).delete(target, True)
+        _remove(self.spark, path)

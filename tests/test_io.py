@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldhub.fixtures import tables as T
@@ -111,7 +112,7 @@ def test_reports_and_tables(spark, sf, tmp_path):
     folders = sorted(p.name for p in (tmp_path / "c").glob("county_key=*"))
     assert len(folders) == 10 and any("Queen_Anne" in f for f in folders)
     one = lines_of(tmp_path / "c" / folders[0])
-    assert one[0].startswith("Total AFOs: ") and one[-1].startswith("Recommendation: ")
+    assert one[0].startswith("Total AFOs: ") and one[-1].startswith("• ")
     writers.table(permits.select("permit_id", "headcount"), str(tmp_path / "t"))
     assert spark.read.csv(str(tmp_path / "t"), header=True).count() == permits.count()
 
@@ -175,3 +176,32 @@ def test_small_table(spark):
     df = small_table(spark, rows, {"a": "bigint", "b": "double", "c": "string"})
     assert [tuple(r) for r in df.collect()] == rows
     assert [t for _, t in df.dtypes] == ["bigint", "double", "string"]
+
+
+def test_scratch_is_left_empty(spark):
+    from fieldhub.session import Scratch, checkpoint_root, drop_scratch
+
+    drop_scratch(spark)
+    cut = Scratch(spark, "left").cut(spark.range(3))
+    assert cut.count() == 3
+    drop_scratch(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_root(spark))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert not [s for s in files.listStatus(path) if s.getPath().getName().startswith("left-")]
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from fieldhub.session import checkpoint_root
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(Session())
