@@ -16,6 +16,9 @@ def test_query_matches_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    found, wanted = QUERIES[name](spark, sf).toPandas(), con.sql(SQL[name]).df()
+    query, sql = QUERIES[name](spark, sf), con.sql(SQL[name])
+    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    assert {c: kinds[k] for c, k in query.dtypes} == dict(zip(sql.columns, map(str, sql.types), strict=True))
+    found, wanted = query.toPandas(), sql.df()
     assert sorted(found.columns) == sorted(wanted.columns)
     assert canonical(found) == canonical(wanted)
