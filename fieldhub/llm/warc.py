@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldhub.llm.common import cut
-from fieldhub.session import checkpoint_root
+from fieldhub.session import Scratch
 
 ENDS = "\r\n"
 PER_FILE = 6_000  # records of a file, at most; a reader holds one file
@@ -207,7 +207,7 @@ def round_trip(pages: DataFrame, label: str = "warc", **columns) -> DataFrame:
     Null payloads are empty ones.  A capture whose payload doesn't fit its digest stops the run.
     """
     spark = pages.sparkSession
-    path = f"{checkpoint_root(spark)}/{label}-{spark.sql('SELECT uuid()').first()[0]}"
+    path = Scratch(spark, label).base  # a new folder of the shared one
     write(pages, path, **columns)
     found = captures(spark, path)
     sound = F.when(F.col("response.digest_fits"), F.col("response.payload_digest")).otherwise(
