@@ -201,6 +201,17 @@ def geocode_requests(spark, d):
     return R.geocode_requests(permits)
 
 
+@query("geocode_place_requests", with_views(["permit"], """
+, part AS (SELECT permit_id, coalesce(trim(address), '') AS address, (row_number() OVER (ORDER BY permit_id) - 1) // 9999 AS batch,
+   coalesce(trim(split_part(city_state_zip, ',', 1)), '') AS city,
+   coalesce(regexp_extract(city_state_zip, '([0-9]{5})', 1), '') AS zip FROM permit)
+SELECT permit_id, batch, permit_id || ',' || address || ',' || city || ',MD,' || zip AS line
+FROM part WHERE city <> '' OR zip <> ''"""))
+def geocode_place_requests(spark, d):
+    permits = R.parse_permits(T.raw_registry(spark, d), "permit_id", assume_standard=True)
+    return R.geocode_place_requests(permits)
+
+
 @query("geocode_response", with_views(["reply"], """
 SELECT id, lat, lon FROM reply WHERE matched AND NOT malformed"""))
 def geocode_response(spark, d):
@@ -292,6 +303,20 @@ def extract_url(spark, d):
     return pages.select("page_id", text.tagged_text(F.col("html"), "title").alias("found"))
 
 
+@query("return_url", """
+WITH reply AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '<r><returnURL> ' || url || ' </returnURL></r>'
+   WHEN 1 THEN '{"returnURL" : "' || url || '"}' ELSE html END AS body FROM pages)
+SELECT page_id, trim(coalesce(nullif(regexp_extract(body, '<returnURL>(.*?)</returnURL>', 1), ''),
+  nullif(regexp_extract(body, '"returnURL"\\s*:\\s*"(.*?)"', 1), ''))) AS url FROM reply""")
+def return_url(spark, d):
+    """The service's reply holds the download address as XML or JSON, or not at all."""
+    part = F.col("page_id") % 3
+    body = F.when(part == 0, F.concat(F.lit("<r><returnURL> "), "url", F.lit(" </returnURL></r>"))).when(
+        part == 1, F.concat(F.lit('{"returnURL" : "'), "url", F.lit('"}'))
+    ).otherwise(F.col("html"))
+    return T.read(spark, d, "pages").select("page_id", text.return_url(body).alias("url"))
+
+
 @query("class_label", with_views(["detection"], """
 SELECT det_id, CASE class_id WHEN 0 THEN 'poultry_house' WHEN 1 THEN 'barn'
   WHEN 2 THEN 'manure_lagoon' WHEN 3 THEN 'feedlot' WHEN 4 THEN 'silo'

@@ -222,6 +222,22 @@ def geocode_requests(
     )
 
 
+def geocode_place_requests(
+    permits: DataFrame, key: str = "permit_id", state: str = "MD", batch_size: int = K.GEOCODE_BATCH
+) -> DataFrame:
+    """Plain request lines ``id,address,city,state,zip`` of rows that name a city or a ZIP code,
+    with or without an address, and their batch number (a slice of the input)."""
+    shown = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    line = F.concat_ws(
+        ",", F.col(key).cast("string"), shown("address"), shown("city"), F.lit(state), shown("zip_code")
+    )
+    return (
+        dense_index(permits, key)
+        .filter((shown("city") != "") | (shown("zip_code") != ""))
+        .select(F.col(key), F.floor(F.col("idx") / batch_size).cast("bigint").alias("batch"), line.alias("line"))
+    )
+
+
 def parse_geocode_replies(replies: DataFrame) -> DataFrame:
     """Reply columns (id, address, match_flag, …, lon_lat) to (id, lat, lon).
 
