@@ -96,3 +96,48 @@ def test_drop_keeps_one_of_each_group(docs, no_docs):
     kept = simhash.drop_near(docs)
     assert kept.count() == groups and kept.columns == docs.columns
     assert simhash.drop_near(no_docs).count() == 0
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def brute_groups(rows):
+    """Least id of each row's group by Jaccard >= 0.8 of 5-word shingles."""
+    sets = dict(enumerate(shingle_set(t) for _, t in rows))
+    group = components(list(sets), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[group[k]] = min(least.get(group[k], i), i)
+    return [least.get(group[k]) for k in range(len(rows))]
+
+
+def test_similar_texts_are_dropped(spark):
+    """Planted edits at J 0.8 to 0.99, a chain, near pairs under 0.8, and a group of near copies."""
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(5_000)}"
+    rows, planted = [], 0
+    for length, edits in [(100, 1), (100, 2), (100, 3), (300, 1), (300, 6), (1_000, 1), (1_000, 20), (60, 1), (100, 5), (12, 1)] * 12:
+        base = [word() for _ in range(length)]
+        copy = list(base)
+        for at in rnd.sample(range(4, length - 4), edits):
+            copy[at] = "other" + word()
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy).upper())]
+        planted += jaccard(*(shingle_set(t) for _, t in rows[-2:])) >= 0.8
+    hub = [word() for _ in range(200)]
+    for _ in range(60):
+        rows.append((len(rows), " ".join([*hub[: (at := rnd.randrange(200))], "x" + word(), *hub[at + 1 :]])))
+    rows += [(None, rows[0][1]), (7_000, rows[0][1]), (7_000, rows[0][1]), (8_000, None), (8_001, " ")]
+    wanted = brute_groups(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = sorted(map(repr, ((r["_id"], r["_group"]) for r in simhash.similar_groups(table).collect())))
+    assert planted > 70
+    assert found == sorted(repr((i, g)) for (i, _), g in zip(rows, wanted, strict=True))
+    kept = sorted(r["doc_id"] for r in simhash.drop_near(table).collect())
+    assert kept == sorted({g for g in wanted if g is not None})
