@@ -1,10 +1,11 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Pivots are a bounded sample of the vectors (``PER_PIVOT`` vectors per pivot, between ``FEWEST`` and ``MOST``);
-every vector is described by its ``PREFIX`` nearest pivots in order, and each
-pivot has an inverted list of the vectors that name it.  Two vectors are candidates if their
-prefixes share at least ``SHARED`` pivots; they are looked at in the list of their SHARED-th
-smallest common pivot and in no other, so no pair is counted twice and none is emitted.
+Pivots are a bounded sample of the vectors (``PER_PIVOT`` vectors per pivot, between ``FEWEST`` and ``MOST``), of
+which those within a cosine of ``APART`` of another are dropped, so a crowded place has as few as any other.
+Every vector is described by the pivots whose cosine is within ``MARGIN`` of its nearest one's, and each
+pivot has an inverted list of the vectors that name it.  Two vectors are candidates if they share
+a pivot; they are looked at in the list of their smallest common pivot and in no other, so no
+pair is counted twice and none is emitted.
 Candidates are verified by their cosine in double precision.
 
 A list is cut in blocks of about ``BLOCK`` vectors by hash, and each pair of blocks is one group: a pivot
@@ -27,9 +28,9 @@ from fieldhub.operators.components import connected_components
 
 LEAST_COSINE = 0.95
 PER_PIVOT, FEWEST, MOST = 100, 64, 65_536
-PREFIX = 12
-SHARED = 2
-BLOCK = 512
+APART = 0.8  # cosine; a sampled pivot that is nearer to another one is dropped
+MARGIN = 0.1  # a pivot's cosines to two vectors of cosine 0.95 differ by about 0.04 in 64 dimensions
+BLOCK = 2048
 
 _DESCRIBED = "_vec long, _n long, _values binary, _near array<int>"
 _FOUND = "_a long, _b long, _links long"
@@ -52,9 +53,27 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
+def _apart(pivots: np.ndarray) -> np.ndarray:
+    """The pivots, in their order, without those nearer than ``APART`` to one that is kept."""
+    kept = np.empty_like(pivots)
+    n = 0
+    for first in range(0, len(pivots), 512):
+        block = pivots[first : first + 512]
+        if n:
+            block = block[(block @ kept[:n].T).max(axis=1) < APART]
+        close = block @ block.T >= APART
+        taken: list[int] = []
+        for i in range(len(block)):
+            if not close[i, taken].any():
+                taken.append(i)
+        kept[n : n + len(taken)] = block[taken]
+        n += len(taken)
+    return kept[:n]
+
+
 def _describe(pivots: np.ndarray):
-    """Nearest pivots of each vector; batch: id, number of equal vectors, values."""
-    size, prefix = pivots.shape[1], min(PREFIX, len(pivots))
+    """Pivots about as near as the nearest of each vector; batch: id, number of equal vectors, values."""
+    size = pivots.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -62,13 +81,11 @@ def _describe(pivots: np.ndarray):
                 batch = whole.slice(first, 1024)
                 values = _matrix(batch.column(2), size)
                 near = _units(values) @ pivots.T
-                top = np.argpartition(-near, prefix - 1, axis=1)[:, :prefix] if prefix < len(pivots) else (
-                    np.tile(np.arange(len(pivots)), (len(near), 1)))
-                order = np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable")
-                top = np.take_along_axis(top, order, axis=1).astype(np.int32)
+                named = near >= near.max(axis=1, keepdims=True) - MARGIN
+                ends = np.concatenate(([0], np.cumsum(named.sum(axis=1)))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(named)[1].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([v.tobytes() for v in values], pa.binary()),
-                     pa.array(list(top), pa.list_(pa.int32()))],
+                    [batch.column(0), batch.column(1), pa.array([v.tobytes() for v in values], pa.binary()), lists],
                     ["_vec", "_n", "_values", "_near"],
                 )
 
@@ -97,14 +114,16 @@ def _verify(least: float):
         many = table.column("_n").to_numpy()
         side = table.column("_block").to_numpy()
         values = _units(np.array([np.frombuffer(v, np.float64) for v in table.column("_values").to_pylist()]))
-        near = np.array(table.column("_near").to_pylist())
-        # indicator of the smaller pivots each prefix names
+        lists = table.column("_near").to_pylist()
+        near = np.concatenate(lists)
+        row = np.repeat(np.arange(len(ids)), list(map(len, lists)))
+        # indicator of the smaller pivots each vector names
         smaller = near < pivot
         names, place = np.unique(near[smaller], return_inverse=True)
         mark = np.zeros((len(ids), len(names)), np.float32)
-        mark[np.nonzero(smaller)[0], place] = 1
+        mark[row[smaller], place] = 1
         a, b = np.flatnonzero(side == low), np.flatnonzero(side == high)
-        linked = (mark[a] @ mark[b].T == SHARED - 1) & (values[a] @ values[b].T >= least)
+        linked = (mark[a] @ mark[b].T == 0) & (values[a] @ values[b].T >= least)
         if low == high:
             np.fill_diagonal(linked, False)
         links = np.zeros(len(ids), np.int64)
@@ -157,7 +176,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     wanted = min(MOST, max(FEWEST, classes.count() // PER_PIVOT))
     sample = classes.orderBy(F.xxhash64("_vec"), "_vec").limit(wanted).collect()
     if len(sample) > 1:
-        pivots = _units(np.array([r["_vector"] for r in sample]))
+        pivots = _apart(_units(np.array([r["_vector"] for r in sample])))
         described = classes.mapInArrow(_describe(pivots), _DESCRIBED)
         found = cut(_blocks(cut(described, "described")).groupBy("_pivot", "_low", "_high").applyInArrow(_verify(least), _FOUND), "links")
     else:

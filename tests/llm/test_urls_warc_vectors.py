@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fieldhub.llm import pivots, urls, warc
@@ -119,6 +120,23 @@ def test_vectors_against_brute_force(spark, block, monkeypatch):
     assert all(found[i][2] == wanted[i][2] for i in exact)
 
 
+def test_links_inside_a_crowd(spark):
+    """A third of 30,000 vectors are near (not equal) copies of one."""
+    draw = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    crowd = unit(unit(draw.normal(size=(1, 64))) + draw.normal(size=(10_000, 64)) * 0.024)
+    pairs = np.repeat(unit(draw.normal(size=(5_000, 64))), 2, axis=0)
+    values = np.vstack([crowd, unit(pairs + draw.normal(size=pairs.shape) * 0.018), unit(draw.normal(size=(10_000, 64)))])
+    wanted = np.concatenate([(values[i : i + 2_000] @ values.T >= 0.95).sum(axis=1) - 1 for i in range(0, len(values), 2_000)])
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(len(values)), "embedding": list(values)}))
+    found = {r["_id"]: r for r in pivots.near_vectors(table).collect()}
+    counts = np.array([found[i]["_links"] for i in range(len(values))])
+    assert (counts <= wanted).all()
+    assert counts[:10_000].sum() >= 0.99 * wanted[:10_000].sum() > 0
+    assert counts[10_000:].sum() >= 0.99 * wanted[10_000:].sum() > 0
+    assert len({found[i]["_component"] for i in range(10_000) if wanted[i]}) == 1
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pivots.near_vectors(none).count() == 0
