@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldhub.llm import exact, lm, mixing, packing, pivots, quality, simhash, toxicity, urls, warc
+from fieldhub.llm import decontaminate, exact, lm, mixing, packing, pivots, quality, simhash, toxicity, urls, warc
 from fieldhub.llm.common import fold, table
 from fieldhub.llm.labels import FOLDS, HELD_OUT
-from fieldhub.llm.sql import OP2_SQL, OP4_SQL, OP7_SQL, OP8_SQL, OP9_SQL
+from fieldhub.llm.sql import OP2_SQL, OP4_SQL, OP7_SQL, OP8_SQL, OP9_SQL, OP11_SQL
 
 
 def _judged(scored: DataFrame, mark: float, *more: str) -> DataFrame:
@@ -91,6 +91,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("_id").alias("doc_id"), F.col("_words").alias("n_words"), F.col("_hit").alias("n_hit"),
+        F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
+        (F.col("_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
@@ -102,8 +111,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact": op8_exact,
     "op9_pivots": op9_pivots,
     "op10_simhash": op10_simhash,
+    "op11_automaton": op11_automaton,
 }
 
 SQL: dict[str, str] = {
     "op2_mixing": OP2_SQL, "op4_urls": OP4_SQL, "op7_warc": OP7_SQL, "op8_exact": OP8_SQL, "op9_pivots": OP9_SQL,
+    "op11_automaton": OP11_SQL,
 }

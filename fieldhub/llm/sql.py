@@ -181,3 +181,34 @@ SELECT page_id, host, path, rule,
        score AS llr_milli
 FROM judged
 """
+
+#: windows of items, documents' runs of the same lengths, and the words that a run covers
+OP11_SQL = r"""
+WITH words AS (
+    SELECT 'item' AS side, CAST(item_id AS VARCHAR) AS id, row_number() OVER () AS line, text FROM benchmark
+    UNION ALL SELECT 'doc', CAST(doc_id AS VARCHAR), row_number() OVER (), text FROM documents
+), spelled AS (
+    SELECT side, id, line, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM words
+), windows AS (
+    SELECT DISTINCT id, least(len(w), 10) AS k, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS run
+    FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM spelled WHERE side = 'item' AND len(w) > 0)
+), lengths AS (
+    SELECT DISTINCT k FROM windows
+), runs AS (
+    SELECT line, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS run
+    FROM (SELECT line, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM spelled, lengths WHERE side = 'doc' AND len(w) >= k)
+), met AS (
+    SELECT r.line, r.k, r.i, w.id FROM runs r JOIN windows w ON r.k = w.k AND r.run = w.run
+), hit AS (
+    SELECT line, count(DISTINCT spot) AS n FROM (SELECT line, unnest(range(i, i + k)) AS spot FROM met) GROUP BY line
+), found AS (
+    SELECT line, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+    FROM (SELECT DISTINCT line, id FROM met WHERE id IS NOT NULL) GROUP BY line
+)
+SELECT CAST(s.id AS BIGINT) AS doc_id, len(s.w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
+       sha256(coalesce(found.ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM spelled s LEFT JOIN hit USING (line) LEFT JOIN found USING (line) WHERE s.side = 'doc'
+"""
