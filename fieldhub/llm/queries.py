@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldhub.llm import decontaminate, exact, lm, mixing, packing, pivots, quality, simhash, toxicity, urls, warc
+from fieldhub.llm import decontaminate, exact, lm, mixing, packing, pivots, quality, simhash, toxicity, urls, variants, warc
 from fieldhub.llm.common import fold, table
 from fieldhub.llm.labels import FOLDS, HELD_OUT
-from fieldhub.llm.sql import OP2_SQL, OP4_SQL, OP7_SQL, OP8_SQL, OP9_SQL, OP11_SQL
+from fieldhub.llm.sql import OP2_SQL, OP4_SQL, OP7_SQL, OP8_SQL, OP9_SQL, OP11_SQL, OP12_SQL
 
 
 def _judged(scored: DataFrame, mark: float, *more: str) -> DataFrame:
@@ -100,6 +100,11 @@ def op11_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"_word": "word", "_form": "form", "_root": "root", "_n": "n", "_near": "n_near", "_form_n": "form_n"}
+    return variants.variants(table(spark, sf_dir, "documents")).select(*(F.col(a).alias(b) for a, b in names.items()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
@@ -112,9 +117,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pivots": op9_pivots,
     "op10_simhash": op10_simhash,
     "op11_automaton": op11_automaton,
+    "op12_variants": op12_variants,
 }
 
 SQL: dict[str, str] = {
     "op2_mixing": OP2_SQL, "op4_urls": OP4_SQL, "op7_warc": OP7_SQL, "op8_exact": OP8_SQL, "op9_pivots": OP9_SQL,
     "op11_automaton": OP11_SQL,
+    "op12_variants": OP12_SQL,
 }

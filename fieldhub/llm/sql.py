@@ -212,3 +212,62 @@ SELECT CAST(s.id AS BIGINT) AS doc_id, len(s.w) AS n_words, coalesce(hit.n, 0) A
        sha256(coalesce(found.ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM spelled s LEFT JOIN hit USING (line) LEFT JOIN found USING (line) WHERE s.side = 'doc'
 """
+
+
+def _crc_steps() -> str:
+    """The table of the CRC's 256 remainders, from its polynomial."""
+    step = "SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM ({})"
+    inner = "SELECT CAST(range AS BIGINT) AS n, CAST(range AS BIGINT) AS c FROM range(256)"
+    for _ in range(8):
+        inner = step.format(inner)
+    return f"crc AS (SELECT list(c ORDER BY n) AS t FROM ({inner}))"
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text, with crc.t at hand."""
+    return (
+        f"xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), "
+        "lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: xor(c >> 8, crc.t[xor(c & 255, b) + 1]), 4294967295))"
+    )
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: near words share a string with one code point left out or, at one place, blotted out
+OP12_SQL = rf"""
+WITH RECURSIVE {_crc_steps()}, runs AS (
+    SELECT id, run, count(*) AS n
+    FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+                 unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run
+          FROM documents)
+    WHERE length(run) >= 7 GROUP BY id, run
+), hashed AS (
+    SELECT run, n, {_crc("id || ':' || run")} AS h FROM runs, crc
+), words AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n
+    FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+          FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), spots AS (
+    SELECT word, i, left(word, i) || substr(word, i + 2) AS less
+    FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words)
+), links AS (
+    SELECT w.word AS a, s.word AS b FROM words w JOIN spots s ON s.less = w.word
+    UNION SELECT s.word, w.word FROM words w JOIN spots s ON s.less = w.word
+    UNION SELECT s.word, t.word FROM spots s JOIN spots t ON s.i = t.i AND s.less = t.less AND s.word <> t.word
+    WHERE length(s.word) = length(t.word)
+), near AS (
+    SELECT a AS word, count(*) AS n_near FROM links GROUP BY a
+), best AS (
+    SELECT l.a AS word, l.b AS form, f.n AS form_n
+    FROM links l JOIN words w ON w.word = l.a JOIN words f ON f.word = l.b
+    WHERE f.n >= 10 * w.n QUALIFY row_number() OVER (PARTITION BY l.a ORDER BY f.n DESC, l.b) = 1
+), chain AS (
+    SELECT word, form AS root FROM best
+    UNION ALL SELECT c.word, b.form FROM chain c JOIN best b ON b.word = c.root
+), roots AS (
+    SELECT word, root FROM chain WHERE root NOT IN (SELECT word FROM best)
+)
+SELECT w.word, b.form, coalesce(r.root, w.word) AS root, w.n, coalesce(near.n_near, 0) AS n_near, b.form_n
+FROM words w LEFT JOIN near USING (word) LEFT JOIN best b USING (word) LEFT JOIN roots r USING (word)
+"""
