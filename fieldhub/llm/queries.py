@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldhub.llm import decontaminate, exact, lm, mixing, packing, pivots, quality, simhash, toxicity, urls, variants, warc
+from fieldhub.llm import conversations, decontaminate, exact, lm, mixing, packing, pivots, quality, simhash, toxicity, urls, variants, warc
 from fieldhub.llm.common import fold, table
 from fieldhub.llm.labels import FOLDS, HELD_OUT
-from fieldhub.llm.sql import OP2_SQL, OP4_SQL, OP7_SQL, OP8_SQL, OP9_SQL, OP11_SQL, OP12_SQL
+from fieldhub.llm.sql import OP2_SQL, OP4_SQL, OP7_SQL, OP8_SQL, OP9_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def _judged(scored: DataFrame, mark: float, *more: str) -> DataFrame:
@@ -105,6 +105,13 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents")).select(*(F.col(a).alias(b) for a, b in names.items()))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    names = {"_conv": "conv_id", "_gaps": "gaps", "_blank": "blank", "_duplicate": "duplicate", "_truncated": "truncated",
+             "_illegal": "illegal", "_cost": "cost", "_audit": "audit", "_sha": "repaired_sha256"}
+    return conversations.repair(conversations.damaged(given), given).select(*(F.col(a).alias(b) for a, b in names.items()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
@@ -118,10 +125,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_automaton": op11_automaton,
     "op12_variants": op12_variants,
+    "op13_conversations": op13_conversations,
 }
 
 SQL: dict[str, str] = {
     "op2_mixing": OP2_SQL, "op4_urls": OP4_SQL, "op7_warc": OP7_SQL, "op8_exact": OP8_SQL, "op9_pivots": OP9_SQL,
     "op11_automaton": OP11_SQL,
     "op12_variants": OP12_SQL,
+    "op13_conversations": OP13_SQL,
 }

@@ -271,3 +271,90 @@ WITH RECURSIVE {_crc_steps()}, runs AS (
 SELECT w.word, b.form, coalesce(r.root, w.word) AS root, w.n, coalesce(near.n_near, 0) AS n_near, b.form_n
 FROM words w LEFT JOIN near USING (word) LEFT JOIN best b USING (word) LEFT JOIN roots r USING (word)
 """
+
+
+def _costs(row: str) -> str:
+    """Costs before a turn of sign ``y`` ('D' has to go, else s/u/a/o) from those behind it, h."""
+    late = f"{row}.late"
+    keep = {0: f"WHEN 's' THEN {late} + h[2] WHEN 'u' THEN {late} + h[3]", 1: f"WHEN 'u' THEN {late} + h[3]",
+            2: f"WHEN 'a' THEN {late} + h[4]", 3: f"WHEN 'u' THEN {late} + h[3]"}
+    onward = [3, 3, 4, 3]
+    return ", ".join(
+        f"least(3 + h[{s + 1}], CASE WHEN {row}.y = 'D' THEN 9999 ELSE 2 + {late} + h[{onward[s]}] END, "
+        f"CASE {row}.y {keep[s]} ELSE 9999 END) AS r{s}"
+        for s in range(4)
+    )
+
+
+#: h: costs from a state (1 nothing yet, 2 system, 3 user, 4 assistant) to the end, backward; then the edits, forward
+OP13_SQL = rf"""
+WITH RECURSIVE {_crc_steps()}, given AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+    FROM conversations
+), hit AS (
+    SELECT *, {_crc("k")} % 20 AS r FROM given, crc
+), turns AS (
+    SELECT conv_id, turn, CASE WHEN r = 4 THEN 'user' ELSE role END AS role,
+           CASE r WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE WHEN r = 3 THEN 2 ELSE 1 END)) AS again
+    FROM hit WHERE r <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS p,
+           regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare
+    FROM turns
+), faults AS (
+    SELECT *, bare = '' AS blank,
+           bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 AS duplicate,
+           bare <> '' AND NOT regexp_matches(bare, '[.!?]$') AS open,
+           coalesce(left(lag(role) OVER (PARTITION BY conv_id ORDER BY p), 1) || left(role, 1) NOT IN ('su', 'ua', 'au')
+                    AND p > 1, false) AS illegal
+    FROM placed
+), signs AS (
+    SELECT conv_id, p, role, text,
+           CASE WHEN blank OR duplicate THEN 'D' WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS y,
+           CASE WHEN open AND NOT duplicate THEN 1 ELSE 0 END AS late
+    FROM faults
+), counts AS (
+    SELECT conv_id, max(p) AS n, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+           count(*) FILTER (open AND NOT duplicate) AS truncated, count(*) FILTER (illegal) AS illegal,
+           coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+    FROM faults GROUP BY conv_id
+), ahead(conv_id, p, h) AS (
+    SELECT conv_id, n + 1, [0, 4, 2, 0] FROM counts
+    UNION ALL
+    SELECT conv_id, p, [least(r0, 2 + u), least(r1, 2 + u), u, least(r3, 2 + u)]
+    FROM (SELECT *, least(r2, 2 + r3) AS u
+          FROM (SELECT a.conv_id, a.p - 1 AS p, {_costs("s")}
+                FROM ahead a JOIN signs s ON s.conv_id IS NOT DISTINCT FROM a.conv_id AND s.p = a.p - 1))
+), steps AS (
+    SELECT a.conv_id, a.p, a.h, b.h AS g, s.role, s.text, s.y, s.late
+    FROM ahead a LEFT JOIN ahead b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.p = a.p + 1
+         LEFT JOIN signs s ON s.conv_id IS NOT DISTINCT FROM a.conv_id AND s.p = a.p
+), edits(conv_id, p, s, audit, lines, paid) AS (
+    SELECT conv_id, CAST(1 AS BIGINT), 1, '', CAST([] AS VARCHAR[]), 0 FROM counts
+    UNION ALL
+    SELECT conv_id, CASE WHEN e = 'I' THEN p ELSE p + 1 END, CASE WHEN e = 'D' THEN s WHEN e = 'K' THEN kept ELSE onward END,
+           audit || e,
+           CASE e WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+                  WHEN 'I' THEN list_append(lines, CASE onward WHEN 3 THEN 'user:' ELSE 'assistant:' END)
+                  ELSE list_append(lines, CASE onward WHEN 3 THEN 'user:' ELSE 'assistant:' END || text) END,
+           paid + CASE e WHEN 'D' THEN 3 WHEN 'I' THEN 2 WHEN 'K' THEN late ELSE 2 + late END
+    FROM (SELECT *, CASE WHEN y IS NOT NULL AND 3 + g[s] = h[s] THEN 'D' WHEN 2 + h[onward] = h[s] THEN 'I'
+                         WHEN y IS NULL THEN NULL WHEN kept IS NOT NULL AND late + g[kept] = h[s] THEN 'K' ELSE 'R' END AS e
+          FROM (SELECT t.*, d.s, d.audit, d.lines, d.paid, CASE d.s WHEN 3 THEN 4 ELSE 3 END AS onward,
+                       CASE WHEN t.y = 's' AND d.s = 1 THEN 2 WHEN t.y = 'u' AND d.s IN (1, 2, 4) THEN 3
+                            WHEN t.y = 'a' AND d.s = 3 THEN 4 END AS kept
+                FROM edits d JOIN steps t ON t.conv_id IS NOT DISTINCT FROM d.conv_id AND t.p = d.p))
+    WHERE e IS NOT NULL
+), ends AS (
+    SELECT conv_id, max_by(audit, p * 100000 + length(audit)) AS audit, max_by(lines, p * 100000 + length(audit)) AS lines,
+           max_by(paid, p * 100000 + length(audit)) AS paid
+    FROM edits GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+       coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, CAST(coalesce(e.paid, 0) AS BIGINT) AS cost,
+       coalesce(e.audit, '') AS audit, sha256(coalesce(array_to_string(e.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+     LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
