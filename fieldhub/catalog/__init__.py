@@ -6,7 +6,7 @@ from importlib import import_module
 
 from fieldhub.catalog.registry import CATALOG, Entry
 
-_AREAS = ["ingest", "geometry", "spatial", "siting", "reports", "economics", "planned"]
+_AREAS = ["ingest", "geometry", "spatial", "siting", "reports", "economics", "planned", "environment", "parsing"]
 
 
 def all_entries() -> dict[str, Entry]:

@@ -25,8 +25,8 @@ def base(spark, d):
 
 
 _BASE = """
-, base AS (SELECT n_hubs, count(*) AS afos_served, sum(headcount)::BIGINT AS animals,
-   sum(headcount*distance_to_hub_km) AS effort, (SELECT count(*) FROM candidate c WHERE c.site_id < a.n_hubs) AS hubs
+, base AS (SELECT n_hubs, count(*) AS afos_served, count(*) FILTER (WHERE assigned_site_idx >= 0) AS with_hub, sum(headcount)::BIGINT AS animals,
+   sum(headcount*distance_to_hub_km) AS effort, (SELECT count(*) FROM scenario_site c WHERE c.n_hubs = a.n_hubs) AS hubs
   FROM assignment a GROUP BY n_hubs)
 """
 _ECON = """
@@ -62,8 +62,8 @@ def weighted_distance(spark, d):
     )
 
 
-@query("economics", with_views(["assignment"], _BASE + _ECON + f"""
-SELECT n_hubs, afos_served, animals, hubs, {_MONEY_SQL} FROM econ"""))
+@query("economics", with_views(["assignment", "scenario_site"], _BASE + _ECON + f"""
+SELECT n_hubs, afos_served, with_hub, animals, hubs, {_MONEY_SQL} FROM econ"""))
 def economics(spark, d):
     return rounded(E.economics(base(spark, d)), MONEY)
 
@@ -89,7 +89,7 @@ REVENUE = {
 }
 
 
-@query("revenue", with_views(["assignment"], _BASE + _ECON + _REV + """
+@query("revenue", with_views(["assignment", "scenario_site"], _BASE + _ECON + _REV + """
 SELECT n_hubs, animals, round(annual_manure_tons, 3) AS annual_manure_tons, round(annual_biogas_m3, 2) AS annual_biogas_m3,
   round(annual_kwh, 2) AS annual_kwh, round(annual_digestate_tons, 3) AS annual_digestate_tons,
   round(annual_energy_revenue, 2) AS annual_energy_revenue, round(annual_digestate_revenue, 2) AS annual_digestate_revenue,
@@ -99,7 +99,7 @@ def revenue(spark, d):
     return rounded(E.base_revenue(base(spark, d).select("n_hubs", "animals")), REVENUE)
 
 
-@query("sens_transport", with_views(["assignment"], _BASE + """
+@query("sens_transport", with_views(["assignment", "scenario_site"], _BASE + """
 , grid AS (SELECT *, unnest([1.5, 2.0, 2.5, 3.0, 3.5, 4.0])::DOUBLE AS rate FROM base WHERE n_hubs = 10)
 SELECT rate AS transport_cost_per_km, round(effort/25000*52*rate, 2) AS annual_transport_cost,
   round(hubs*2000000.0::DOUBLE + effort/25000*52*rate*5, 2) AS total_5yr_cost,
@@ -111,7 +111,7 @@ def sens_transport(spark, d):
     )
 
 
-@query("sens_construction", with_views(["assignment"], _BASE + """
+@query("sens_construction", with_views(["assignment", "scenario_site"], _BASE + """
 , grid AS (SELECT *, unnest([1500000, 2000000, 2500000, 3000000])::DOUBLE AS cost FROM base WHERE n_hubs = 10)
 SELECT cost AS construction_cost_per_hub, round(hubs*cost, 2) AS construction_cost,
   round(hubs*cost + effort/25000*52*2.5::DOUBLE*5, 2) AS total_5yr_cost FROM grid"""))
@@ -129,7 +129,7 @@ _REV_GRID = """
 """
 
 
-@query("sens_revenue", with_views(["assignment"], _BASE + _ECON + _REV + _REV_GRID + """
+@query("sens_revenue", with_views(["assignment", "scenario_site"], _BASE + _ECON + _REV + _REV_GRID + """
 SELECT energy AS energy_price_per_kwh, dig AS digestate_price_per_ton,
   round(total_annual_revenue, 2) AS total_annual_revenue FROM rg WHERE n_hubs = 10"""))
 def sens_revenue(spark, d):
@@ -139,7 +139,7 @@ def sens_revenue(spark, d):
     )
 
 
-@query("revenue_summary", with_views(["assignment"], _BASE + _ECON + _REV + _REV_GRID + """
+@query("revenue_summary", with_views(["assignment", "scenario_site"], _BASE + _ECON + _REV + _REV_GRID + """
 SELECT n_hubs, round(min(total_annual_revenue), 2) AS low, round(quantile_cont(total_annual_revenue, 0.5), 2) AS mid,
   round(max(total_annual_revenue), 2) AS high FROM rg GROUP BY n_hubs"""))
 def revenue_summary(spark, d):
@@ -166,20 +166,20 @@ def _flow(spark, d, rate: float = 0.0):
     )
 
 
-@query("hub_npv", with_views(["assignment"], _BASE + _ECON + _REV + _FLOW_SQL.format(
+@query("hub_npv", with_views(["assignment", "scenario_site"], _BASE + _ECON + _REV + _FLOW_SQL.format(
     npv="net*5 - construction_cost")))
 def hub_npv(spark, d):
     return _flow(spark, d)
 
 
-@query("npv_discounted", with_views(["assignment"], _BASE + _ECON + _REV + _FLOW_SQL.format(
+@query("npv_discounted", with_views(["assignment", "scenario_site"], _BASE + _ECON + _REV + _FLOW_SQL.format(
     npv="net/1.05::DOUBLE + net/pow(1.05::DOUBLE,2) + net/pow(1.05::DOUBLE,3) + net/pow(1.05::DOUBLE,4) "
         "+ net/pow(1.05::DOUBLE,5) - construction_cost")))
 def npv_discounted(spark, d):
     return _flow(spark, d, 0.05)
 
 
-@query("break_even", with_views(["assignment"], _BASE + _ECON + _REV + """
+@query("break_even", with_views(["assignment", "scenario_site"], _BASE + _ECON + _REV + """
 SELECT round(construction_cost, 2) AS construction, round(annual_transport_cost*5, 2) AS operating_5yr,
   round(total_annual_revenue*5, 2) AS revenue_5yr, round(net*5 - construction_cost, 2) AS npv_5yr,
   CASE WHEN net > 0 THEN round(construction_cost/net, 6) END AS payback_years FROM cash WHERE n_hubs = 10"""))
@@ -198,7 +198,7 @@ def break_even(spark, d):
 _CAP = 60_000_000  # hub capacity that suits the size of the test tables
 _SCEN = f"""
 , load AS (SELECT c.n_hubs, c.site_id, coalesce(sum(a.headcount), 0)::BIGINT AS zone_animals
-   FROM (SELECT n_hubs, site_id FROM candidate, (SELECT unnest([8,10,15]) AS n_hubs) WHERE site_id < n_hubs) c
+   FROM scenario_site c
    LEFT JOIN assignment a ON a.n_hubs = c.n_hubs AND a.assigned_site_idx = c.site_id GROUP BY ALL)
 , scen AS (SELECT e.*, mx, mn FROM econ e JOIN (SELECT n_hubs, max(zone_animals/{_CAP}.0::DOUBLE*100) AS mx,
     min(zone_animals/{_CAP}.0::DOUBLE*100) AS mn FROM load GROUP BY n_hubs) USING (n_hubs))
@@ -218,23 +218,23 @@ def scenario_table(spark, d):
     return E.comparison(E.scenario_base(a, sites), zones, _CAP)
 
 
-@query("scenario_compare", with_views(["assignment", "candidate"], _BASE + _ECON + _SCEN + """
+@query("scenario_compare", with_views(["assignment", "scenario_site"], _BASE + _ECON + _SCEN + """
 SELECT n_hubs, afos_served, round(animals/1000000, 6) AS animals_m, round(construction_cost/1000000, 6) AS construction_m,
   round(annual_transport_cost/1000000, 6) AS annual_transport_m, round(total_5yr_cost/1000000, 6) AS total_5yr_m,
   round(cost_per_animal_per_year, 6) AS cost_per_animal_per_year, round(avg_distance_km, 6) AS avg_distance_km,
-  round(mx, 6) AS max_capacity_pct, round(mn, 6) AS min_capacity_pct FROM scen"""))
+  round(mx, 6) AS max_capacity_pct, round(mn, 6) AS min_capacity_pct, round(with_hub*100.0::DOUBLE/afos_served, 6) AS coverage_pct FROM scen"""))
 def scenario_compare(spark, d):
     out = scenario_table(spark, d)
     return rounded(out, {c: 6 for c in out.columns if c not in ("n_hubs", "afos_served")})
 
 
-@query("scenario_score", with_views(["assignment", "candidate"], _BASE + _ECON + _SCEN + """
+@query("scenario_score", with_views(["assignment", "scenario_site"], _BASE + _ECON + _SCEN + """
 SELECT n_hubs, round(score, 6) AS score FROM scored"""))
 def scenario_score(spark, d):
     return E.score(scenario_table(spark, d)).select("n_hubs", F.round("score", 6).alias("score"))
 
 
-@query("best_scenario", with_views(["assignment", "candidate"], _BASE + _ECON + _SCEN + """
+@query("best_scenario", with_views(["assignment", "scenario_site"], _BASE + _ECON + _SCEN + """
 SELECT (SELECT n_hubs FROM scored ORDER BY round(total_5yr_cost/1000000, 9), n_hubs LIMIT 1)::INTEGER AS lowest_cost,
   (SELECT n_hubs FROM scored ORDER BY round(annual_transport_cost/1000000, 9), n_hubs LIMIT 1)::INTEGER AS lowest_transport,
   (SELECT n_hubs FROM scored ORDER BY round(avg_distance_km, 9), n_hubs LIMIT 1)::INTEGER AS shortest_distance,
@@ -243,7 +243,7 @@ def best_scenario(spark, d):
     return E.best(E.score(scenario_table(spark, d)))
 
 
-@query("recommendation", with_views(["assignment", "candidate"], _BASE + _ECON + _SCEN + """
+@query("recommendation", with_views(["assignment", "scenario_site"], _BASE + _ECON + _SCEN + """
 , top AS (SELECT * FROM scored ORDER BY round(score, 9), n_hubs LIMIT 1)
 SELECT 1 AS ord, printf('OPTIMAL SOLUTION: %d regional hubs', n_hubs) AS line FROM top
 UNION ALL SELECT 2, printf('Facilities served: %d', afos_served) FROM top
@@ -253,6 +253,12 @@ UNION ALL SELECT 5, printf('Annual transport: $%.1fM', annual_transport_cost/100
 UNION ALL SELECT 6, printf('5-year total: $%.1fM', total_5yr_cost/1000000) FROM top
 UNION ALL SELECT 7, printf('Average distance: %.1f km', avg_distance_km) FROM top
 UNION ALL SELECT 8, printf('Cost per animal: $%.2f/year', cost_per_animal_per_year) FROM top
+UNION ALL SELECT 9, printf('Hub capacity range: %.0f%%-%.0f%%', mn, mx) FROM top
+UNION ALL SELECT 10, printf('Facilities with a hub: %.1f%%', with_hub*100.0::DOUBLE/afos_served) FROM top
+UNION ALL SELECT * FROM (SELECT 11, printf('Budget-constrained: %d hubs ($%.0fM construction)', n_hubs, construction_cost/1000000) FROM scored
+  ORDER BY construction_cost, n_hubs LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 12, printf('Distance-optimized: %d hubs (%.1f km avg)', n_hubs, avg_distance_km) FROM scored
+  ORDER BY round(avg_distance_km, 9), n_hubs LIMIT 1)
 UNION ALL SELECT (100 + n_hubs)::INTEGER, printf('%d hubs: at least one hub at %.0f%% capacity', n_hubs, mx) FROM scored WHERE mx >= 99"""))
 def recommendation(spark, d):
     return E.recommendation(E.score(scenario_table(spark, d)))
@@ -273,7 +279,7 @@ def compare_runs(spark, d):
     return rounded(E.compare_runs(run(8), run(10)), {"baseline": 6, "updated": 6, "change": 6})
 
 
-@query("sensitivity_lines", with_views(["assignment"], _BASE + _ECON + _REV + """
+@query("sensitivity_lines", with_views(["assignment", "scenario_site"], _BASE + _ECON + _REV + """
 , b AS (SELECT * FROM cash WHERE n_hubs = 10)
 , t AS (SELECT *, unnest([1.5, 2.0, 2.5, 3.0, 3.5, 4.0])::DOUBLE AS rate, unnest([1,2,3,4,5,6]) AS rn FROM b)
 , c AS (SELECT *, unnest([1500000, 2000000, 2500000, 3000000])::DOUBLE AS cost, unnest([1,2,3,4]) AS rn FROM b)

@@ -114,14 +114,19 @@ def candidate_grid(spark, d):
     return rounded(B.candidate_grid(extent), {"longitude": 9, "latitude": 9})
 
 
-@query("demand_at_sites", with_views(["located", "raster", "edge"], _DEMAND + _MASKED + """
+#: the largest demand under each located permit
+AT_SITES = """
 , tiles AS (SELECT DISTINCT tile_id, -76.5::DOUBLE + 0.03::DOUBLE*tile_id AS west, 39.0::DOUBLE AS north FROM raster)
-, hit AS (SELECT permit_id, t.tile_id, floor((latitude - north)/(-0.0003::DOUBLE))::INTEGER AS row,
+, hitp AS (SELECT permit_id, t.tile_id, floor((latitude - north)/(-0.0003::DOUBLE))::INTEGER AS row,
     floor((longitude - west)/0.0003::DOUBLE)::INTEGER AS col
   FROM located JOIN tiles t ON longitude BETWEEN west AND west + 0.0003::DOUBLE*100 AND latitude BETWEEN north - 0.0003::DOUBLE*100 AND north)
-, best AS (SELECT permit_id, max(n_demand)::DOUBLE AS n_demand FROM hit JOIN dmap USING (tile_id, row, col) GROUP BY permit_id)
+, best AS (SELECT permit_id, max(n_demand)::DOUBLE AS n_demand FROM hitp JOIN dmap USING (tile_id, row, col) GROUP BY permit_id)
+"""
+
+
+@query("demand_at_sites", with_views(["located", "raster", "edge"], _DEMAND + _MASKED + AT_SITES + """
 SELECT l.permit_id AS site_id, coalesce(n_demand, 0) AS n_demand, coalesce(n_demand, 0)*0.5::DOUBLE AS penalty
-FROM located l LEFT JOIN best USING (permit_id)""".replace(", hit AS (SELECT permit_id", ", hitp AS (SELECT permit_id").replace("FROM hit JOIN", "FROM hitp JOIN")))
+FROM located l LEFT JOIN best USING (permit_id)"""))
 def demand_at_sites(spark, d):
     pixels = demand(spark, d)
     tiles = T.raster(spark, d).select("tile_id").distinct().select(

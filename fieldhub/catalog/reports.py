@@ -5,41 +5,43 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldhub.catalog.registry import query
-from fieldhub.catalog.siting import candidate_points, facilities
+from fieldhub.catalog.siting import facilities
 from fieldhub.fixtures import tables as T
 from fieldhub.fixtures.views import with_views
 from fieldhub.functions import nutrient
 from fieldhub.operators import profiles as A
 from fieldhub.operators import registry as R
 from fieldhub.operators import siting as G
-from fieldhub.plans import reports
+from fieldhub.plans import reports, scenarios
 
 R6 = lambda c: F.round(c, 6).alias(c)
 
 
+_BATCHES: dict[tuple[str, str], scenarios.Scenarios] = {}
+
+
+def batch(spark, d) -> scenarios.Scenarios:
+    """The siting runs of all scenario sizes; kept as long as their stored assignments are.
+
+    All scenarios have the same room per hub, 9 % of all animals, so the small ones leave facilities out.
+    """
+    key = spark.sparkContext.applicationId, d
+    found = _BATCHES.get(key)
+    if found is None or not found.stored():
+        permits = T.permit(spark, d)
+        room = (R.located(permits).agg(F.sum("headcount")).first()[0] or 0) * 9 // 100
+        found = _BATCHES[key] = scenarios.run(permits, T.SCENARIOS, room)
+    return found
+
+
 def assignment(spark, d):
-    """Nearest of the first n candidate sites, for each scenario size n."""
-    hubs = G.hubs_of(candidate_points(spark, d).filter(F.col("site_id") < max(T.SCENARIOS)))
-    scale = G.geo.distance_scale("km")
-    p = G.project(T.permit(spark, d), "farm_name", "animal_type", "county", "longitude", "latitude")
-    options = F.array(*[
-        F.struct(F.lit(n).alias("n_hubs"), G._nearest(hubs[:n], scale).alias("near"))
-        for n in T.SCENARIOS
-    ])
-    return p.withColumn("o", F.explode(options)).select(
-        F.col("o.n_hubs").alias("n_hubs"), "permit_id", "farm_name", "animal_type", "headcount",
-        "county", "longitude", "latitude", F.col("o.near.k").alias("assigned_site_idx"),
-        F.col("o.near.d").alias("distance_to_hub_km"),
-    )
+    """The facilities of every scenario with their hub, -1 where none has room."""
+    return batch(spark, d).assignments
 
 
 def scenario_sites(spark, d):
-    """(n_hubs, site_id): the sites that each scenario opens."""
-    sizes = F.array(*[F.lit(n) for n in T.SCENARIOS])
-    open_in = F.filter(sizes, lambda n: n > F.col("site_id"))
-    return T.candidate(spark, d).filter(F.col("site_id") < max(T.SCENARIOS)).select(
-        F.explode(open_in).alias("n_hubs"), "site_id"
-    )
+    """(n_hubs, site_id, x, y): the hubs of each scenario."""
+    return batch(spark, d).sites
 
 
 def ten_hubs(spark, d):
@@ -166,8 +168,8 @@ def hub_county_matrix(spark, d):
 
 _ZONES = """
 , zone AS (SELECT c.site_id, count(a.permit_id) AS zone_afos, coalesce(sum(a.headcount), 0)::BIGINT AS zone_animals
-  FROM candidate c LEFT JOIN assignment a ON a.assigned_site_idx = c.site_id AND a.n_hubs = 10
-  WHERE c.site_id < 10 GROUP BY c.site_id)
+  FROM scenario_site c LEFT JOIN assignment a ON a.assigned_site_idx = c.site_id AND a.n_hubs = 10
+  WHERE c.n_hubs = 10 GROUP BY c.site_id)
 """
 
 
@@ -176,35 +178,34 @@ def zones(spark, d):
     return A.zone_totals(ten_hubs(spark, d), hubs)
 
 
-@query("zone_totals", with_views(["assignment"], _ZONES + """
+@query("zone_totals", with_views(["assignment", "scenario_site"], _ZONES + """
 SELECT site_id, zone_afos, zone_animals FROM zone"""))
 def zone_totals(spark, d):
     return zones(spark, d)
 
 
-@query("zone_balance", with_views(["assignment"], _ZONES + """
+@query("zone_balance", with_views(["assignment", "scenario_site"], _ZONES + """
 SELECT site_id, round(zone_afos*100.0::DOUBLE/(SELECT sum(zone_afos) FROM zone), 6) AS pct_afos,
-  round(zone_animals*100.0::DOUBLE/(SELECT sum(zone_animals) FROM zone), 6) AS pct_animals
+  round(zone_animals*100.0::DOUBLE/(SELECT sum(headcount) FROM assignment WHERE n_hubs = 10), 6) AS pct_animals
 FROM zone WHERE zone_afos > 0"""))
 def zone_balance(spark, d):
-    return A.zone_balance(ten_hubs(spark, d)).select(F.col("site_id").cast("bigint"), R6("pct_afos"), R6("pct_animals"))
+    return A.zone_balance(ten_hubs(spark, d)).select("site_id", R6("pct_afos"), R6("pct_animals"))
 
 
-@query("hub_summary", with_views(["assignment"], _ZONES + """
+@query("hub_summary", with_views(["assignment", "scenario_site"], _ZONES + """
 SELECT site_id, zone_afos, zone_animals, round(zone_animals/5000000*100, 0) AS capacity_pct FROM zone"""))
 def hub_summary(spark, d):
     return A.hub_summary(zones(spark, d))
 
 
-@query("hubs_by_county", with_views(["assignment", "site_plane"], _ZONES + """
+@query("hubs_by_county", with_views(["assignment", "scenario_site"], _ZONES + """
 , snap AS (SELECT site_id, county FROM (SELECT s.site_id, p.county, row_number() OVER (PARTITION BY s.site_id
     ORDER BY sqrt((p.px-s.px)*(p.px-s.px) + (p.py-s.py)*(p.py-s.py)), p.permit_id) AS rn
-   FROM site_plane s CROSS JOIN plane p WHERE s.site_id < 10) WHERE rn = 1)
+   FROM scenario_site s CROSS JOIN plane p WHERE s.n_hubs = 10) WHERE rn = 1)
 SELECT county, count(*) AS hubs, sum(zone_afos)::BIGINT AS total_afos, sum(zone_animals)::BIGINT AS total_animals
 FROM zone JOIN snap USING (site_id) GROUP BY county"""))
 def hubs_by_county(spark, d):
-    hubs = G.hubs_of(candidate_points(spark, d).filter("site_id < 10"))
-    at = G.snap_hubs(facilities(spark, d), hubs)
+    at = G.snap_hubs(facilities(spark, d), batch(spark, d).runs[10].hubs)
     where = T.permit(spark, d).select("permit_id", "county").join(F.broadcast(at), "permit_id")
     return A.hubs_by_county(where.join(zones(spark, d), "site_id"))
 

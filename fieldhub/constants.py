@@ -154,3 +154,7 @@ KWH_PER_M3 = 6.0
 ELECTRIC_EFFICIENCY = 0.35
 DIGESTATE_FRACTION = 0.95
 GEOCODE_BATCH = 9_999
+
+# runoff risk: distances to water count as so many metres at least; part of the risk left with hubs
+RUNOFF_LEAST_METRES = 100.0
+RUNOFF_LEFT = 0.1

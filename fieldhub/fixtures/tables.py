@@ -24,7 +24,7 @@ RASTER_CODES = [1, 5, 24, 21, 4, 36, 37, 42, 0, 111]
 PIXEL = 0.0003
 WEST, NORTH, TILE_STEP = -76.5, 39.0, 0.03
 TILE_PX = 1000
-SCENARIOS = [8, 10, 15]
+SCENARIOS = [8, 10, 12, 15]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,6 +123,18 @@ def candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def waterway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line of three vertices (degrees) per supplier; every eleventh stays on one spot."""
+    k = F.col("s_suppkey")
+    lon, lat = _lon(k, 7393), _lat(k, 19919)
+    step = F.when(k % 11 == 0, 0.0).otherwise(1.0)
+    east, north = step * (k % 7 - 3) / 100.0, step * (k % 5 - 2) / 125.0
+    return read(spark, sf_dir, "supplier").select(
+        k.alias("line_id"),
+        F.array(geo.point(lon, lat), geo.point(lon + east, lat + north), geo.point(lon + 2 * east, lat + 0.5 * north)).alias("path"),
+    )
+
+
 def _grid_keys() -> list[Column]:
     k = F.col("o_orderkey")
     return [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fieldhub import constants as K
 from fieldhub.fixtures import tables as T
 from fieldhub.functions.geo import METRES_PER_US_FOOT, STATE_PLANE
 
@@ -71,7 +72,47 @@ def utm_sql(lon: str, lat: str) -> tuple[str, str]:
 _PX, _PY = plane_sql("longitude", "latitude")
 _UX, _UY = utm_sql("longitude", "latitude")
 
+_WLON, _WLAT = lonlat("s_suppkey", 7393, 19919)
+_WA, _WB = utm_sql("lon1", "lat1"), utm_sql("lon2", "lat2")
+
+_HUB_KM = f"(sqrt((p.px-hx)*(p.px-hx) + (p.py-hy)*(p.py-hy)) * {METRES_PER_US_FOOT / 1000.0!r}::DOUBLE)"
+SITING_ROUNDS = K.MAX_SITING_ROUNDS
+
+
+def _siting_round(n: int) -> dict[str, tuple[list[str], str]]:
+    """One round of every scenario: the serial rule down the facilities by size, then the centroids."""
+    choice = "coalesce(list_filter(f.prefs, lambda h: acc.loads[h + 1] + f.w <= room)[1], -1)"
+    blank = "[]::BIGINT[]"
+    return {
+        f"scenario_fill{n}": (["plane", "scenario_room", f"scenario_hub{n}"], f"""
+SELECT s, list(permit_id ORDER BY w DESC, permit_id) AS ids,
+  list_reduce(list({{'loads': {blank}, 'picks': {blank}, 'w': w, 'prefs': prefs}} ORDER BY w DESC, permit_id),
+    lambda acc, f: {{'loads': list_transform(acc.loads, lambda x, i: CASE WHEN i - 1 = {choice} THEN x + f.w ELSE x END),
+      'picks': list_append(acc.picks, {choice}), 'w': f.w, 'prefs': f.prefs}},
+    {{'loads': list_transform(range({max(T.SCENARIOS)}), lambda x: 0::BIGINT), 'picks': {blank}, 'w': 0::BIGINT, 'prefs': {blank}}}).picks AS picks
+FROM (SELECT s, permit_id, w, list(k ORDER BY km, k) AS prefs
+  FROM (SELECT s, permit_id, headcount AS w, k, {_HUB_KM} AS km FROM plane p CROSS JOIN scenario_hub{n}) GROUP BY ALL)
+CROSS JOIN scenario_room GROUP BY s, room"""),
+        f"scenario_done{n}": (["plane", f"scenario_fill{n}"], f"""
+SELECT l.s, permit_id, l.pick, p.px, p.py, h.hx, h.hy
+FROM (SELECT s, unnest(ids) AS permit_id, unnest(picks) AS pick FROM scenario_fill{n}) l JOIN plane p USING (permit_id)
+LEFT JOIN scenario_hub{n} h ON h.s = l.s AND h.k = l.pick"""),
+        f"scenario_hub{n + 1}": ([f"scenario_done{n}"], f"""
+SELECT s, k, CASE WHEN go THEN nx ELSE hx END AS hx, CASE WHEN go THEN ny ELSE hy END AS hy
+FROM (SELECT *, sqrt(sum((nx-hx)*(nx-hx) + (ny-hy)*(ny-hy)) OVER (PARTITION BY s)) >= {K.CONVERGED_MOVE} AS go
+  FROM (SELECT h.s, h.k, h.hx, h.hy, coalesce(mx, h.hx) AS nx, coalesce(my, h.hy) AS ny FROM scenario_hub{n} h
+    LEFT JOIN (SELECT s, pick AS k, avg(px) AS mx, avg(py) AS my FROM scenario_done{n} WHERE pick >= 0 GROUP BY ALL) m USING (s, k)))"""),
+    }
+
+
 VIEWS: dict[str, tuple[list[str], str]] = {
+    "waterway": ([], f"""
+SELECT line_id, {_WA[0]} AS ax, {_WA[1]} AS ay, {_WB[0]} AS bx, {_WB[1]} AS b_y
+FROM (SELECT line_id, lon + f1*east AS lon1, lat + g1*north AS lat1, lon + f2*east AS lon2, lat + g2*north AS lat2
+  FROM (SELECT s_suppkey AS line_id, {_WLON} AS lon, {_WLAT} AS lat,
+      CASE WHEN s_suppkey % 11 = 0 THEN 0.0::DOUBLE ELSE (s_suppkey % 7 - 3) / 100.0::DOUBLE END AS east,
+      CASE WHEN s_suppkey % 11 = 0 THEN 0.0::DOUBLE ELSE (s_suppkey % 5 - 2) / 125.0::DOUBLE END AS north FROM supplier)
+  CROSS JOIN (VALUES (0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), (1.0, 1.0, 2.0, 0.5)) AS v(f1, g1, f2, g2))"""),
     "permit": ([], f"""
 SELECT c_custkey AS permit_id, '  ' || c_name || ' ' AS farm_name,
   {_case("c_custkey % 3", T.DESIGNATIONS)} AS designation,
@@ -105,15 +146,18 @@ SELECT *, {_UX} AS ux, {_UY} AS uy FROM located"""),
 SELECT s_suppkey AS site_id, {SLON} AS longitude, {SLAT} AS latitude FROM supplier"""),
     "site_plane": (["candidate"], f"""
 SELECT *, {_PX} AS px, {_PY} AS py FROM candidate"""),
-    "assignment": (["plane", "site_plane"], f"""
-SELECT n_hubs, permit_id, farm_name, animal_type, headcount, county, longitude, latitude,
-  site_id AS assigned_site_idx, dist AS distance_to_hub_km
-FROM (SELECT s.n_hubs, p.*, c.site_id,
-    sqrt((p.px-c.px)*(p.px-c.px) + (p.py-c.py)*(p.py-c.py)) * {METRES_PER_US_FOOT / 1000.0!r} AS dist,
-    row_number() OVER (PARTITION BY s.n_hubs, p.permit_id ORDER BY
-      sqrt((p.px-c.px)*(p.px-c.px) + (p.py-c.py)*(p.py-c.py)) * {METRES_PER_US_FOOT / 1000.0!r}, c.site_id) AS rn
-  FROM plane p CROSS JOIN (SELECT unnest([8,10,15]) AS n_hubs) s
-  JOIN site_plane c ON c.site_id < s.n_hubs) WHERE rn = 1"""),
+    "scenario_room": (["plane"], """
+SELECT (sum(headcount) * 9 // 100)::BIGINT AS room FROM plane"""),
+    "scenario_hub0": (["plane"], f"""
+SELECT n AS s, (n - rk)::BIGINT AS k, px AS hx, py AS hy
+FROM (SELECT px, py, row_number() OVER (ORDER BY headcount DESC, permit_id) AS rk FROM plane)
+CROSS JOIN (SELECT unnest({T.SCENARIOS}) AS n) WHERE rk <= n"""),
+    "assignment": (["plane", f"scenario_done{SITING_ROUNDS - 1}"], f"""
+SELECT s AS n_hubs, permit_id, farm_name, animal_type, p.headcount, county, longitude, latitude,
+  pick::INTEGER AS assigned_site_idx, {_HUB_KM} AS distance_to_hub_km
+FROM plane p JOIN scenario_done{SITING_ROUNDS - 1} d USING (permit_id)"""),
+    "scenario_site": ([f"scenario_hub{SITING_ROUNDS}"], f"""
+SELECT s AS n_hubs, k::INTEGER AS site_id, hx AS px, hy AS py FROM scenario_hub{SITING_ROUNDS}"""),
     "raster": ([], f"""
 SELECT tile_id, row, col, {_case("(row//4 + col//6 + tile_id) % 10", T.RASTER_CODES)} AS code
 FROM (SELECT (o_orderkey // 10000)::INTEGER AS tile_id, ((o_orderkey % 10000) // 100)::INTEGER AS row,
@@ -147,6 +191,10 @@ SELECT c_custkey AS id, c_custkey % 3 <> 0 AS matched, c_custkey % 41 = 1 AS mal
 }
 
 
+for _n in range(SITING_ROUNDS):
+    VIEWS |= _siting_round(_n)
+
+
 def _collect(names: list[str], seen: list[str]) -> None:
     for n in names:
         if n not in seen:

@@ -1,10 +1,11 @@
-"""Nutrient balance per grid cell, candidate grids and demand at sites."""
+"""Nutrient balance per grid cell, candidate grids, demand at sites and runoff risk."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldhub import constants as K
 from fieldhub.functions import geo
 
 
@@ -95,3 +96,27 @@ def one_row_extent(spark: SparkSession, west: float, south: float, east: float,
         *[F.lit(float(v)).alias(k) for k, v in
           (("west", west), ("south", south), ("east", east), ("north", north))]
     )
+
+
+def runoff_risk(sources: DataFrame, least_metres: float = K.RUNOFF_LEAST_METRES) -> DataFrame:
+    """Add ``surplus_n`` and ``runoff_risk`` to rows with annual_n_lbs, n_demand and line_distance_m.
+
+    The risk is what the surroundings do not take up over the distance to water, which
+    counts as ``least_metres`` at least.  Nulls count as no nitrogen and no demand; without
+    any water the risk is 0.
+    """
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    surplus = F.greatest(F.lit(0.0), zero("annual_n_lbs") - zero("n_demand"))
+    near = F.greatest(F.col("line_distance_m"), F.lit(float(least_metres)))
+    return sources.withColumn("surplus_n", surplus).withColumn(
+        "runoff_risk", F.when(F.col("line_distance_m").isNull(), 0.0).otherwise(F.col("surplus_n") / near)
+    )
+
+
+def runoff_summary(risks: DataFrame, left: float = K.RUNOFF_LEFT) -> DataFrame:
+    """One row: total risk today, the part ``left`` with central processing, the reduction in per cent."""
+    total = risks.agg(F.coalesce(F.sum("runoff_risk"), F.lit(0.0)).alias("current_risk"))
+    after = total.withColumn("hub_risk", F.col("current_risk") * F.lit(float(left)))
+    return after.withColumn(
+        "reduction_pct", (1 - F.try_divide(F.col("hub_risk"), F.col("current_risk"))) * 100
+    )

@@ -29,7 +29,7 @@ STEP_ROWS = 4_096  # facilities that are looked at together
 
 _POINTS = "permit_id bigint, headcount bigint, x double, y double"
 _ASSIGNED = f"{_POINTS}, assigned_site_idx int, distance_to_hub_km double"
-_SUMS = "bucket int, added array<double>, up array<double>, down array<double>"
+_SUMS = "run int, bucket int, " + ", ".join(f"{c} array<double>" for c in ("added", "up", "down", "n", "x", "y"))
 
 
 def bucket_count(rows: int) -> int:
@@ -120,64 +120,133 @@ class Hubs:
         return rows, dist, fill(rows["headcount"].to_numpy(float), dist, start, self.capacity)
 
 
-def _sums(hubs: Hubs, starts: np.ndarray) -> Callable:
+@dataclass(frozen=True)
+class Problem:
+    """One assignment: hubs and room, and the loads that buckets are assumed to start with."""
+
+    hubs: Hubs
+    starts: np.ndarray
+
+
+def _sums(problems: dict[int, Problem], todo: dict[int, set[int]]) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         bucket = int(rows["bucket"].iloc[0])
-        _, _, found = hubs.fill(rows, starts[bucket])
-        return pd.DataFrame({"bucket": [bucket], "added": [found.added], "up": [found.up], "down": [found.down]})
+        out = []
+        for key, problem in problems.items():
+            if bucket not in todo[key]:
+                continue
+            ordered, _, found = problem.hubs.fill(rows, problem.starts[bucket])
+            some = found.choice >= 0
+            at = found.choice[some]
+            moments = [
+                np.bincount(at, weights, len(problem.hubs.ids))
+                for weights in (None, ordered["x"].to_numpy(float)[some], ordered["y"].to_numpy(float)[some])
+            ]
+            out.append((key, bucket, found.added, found.up, found.down, *(m.astype(float) for m in moments)))
+        return pd.DataFrame(out, columns=["run", "bucket", "added", "up", "down", "n", "x", "y"])
 
     return run
 
 
-def _assigned(hubs: Hubs, starts: np.ndarray) -> Callable:
+def _assigned(problems: dict[int, Problem]) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, dist, found = hubs.fill(rows, starts[int(rows["bucket"].iloc[0])])
-        some = found.choice >= 0
-        km = pd.array(np.where(some, dist[np.arange(len(rows)), found.choice], 0.0), dtype="Float64")
-        km[~some] = pd.NA
-        out = rows[["permit_id", "headcount", "x", "y"]].copy()
-        out["assigned_site_idx"] = np.where(some, hubs.ids[found.choice], -1).astype(np.int32)
-        out["distance_to_hub_km"] = km
-        return out
+        bucket, parts = int(rows["bucket"].iloc[0]), []
+        for key, problem in problems.items():
+            ordered, dist, found = problem.hubs.fill(rows, problem.starts[bucket])
+            some = found.choice >= 0
+            km = pd.array(np.where(some, dist[np.arange(len(ordered)), found.choice], 0.0), dtype="Float64")
+            km[~some] = pd.NA
+            out = ordered[["permit_id", "headcount", "x", "y"]].copy()
+            out.insert(0, "run", key)
+            out["assigned_site_idx"] = np.where(some, problem.hubs.ids[found.choice], -1).astype(np.int32)
+            out["distance_to_hub_km"] = km
+            parts.append(out)
+        return pd.concat(parts)
 
     return run
 
 
 @dataclass(frozen=True)
-class Assignment:
-    table: DataFrame  # worked out where it is used, from the settled starts
+class Settled:
     starts: np.ndarray  # (bucket, hub): loads when the bucket begins
     rounds: int
     worked: int  # buckets worked out in all rounds
+    count: np.ndarray  # by hub, in the order of hub numbers: facilities, and their mean position
+    x: np.ndarray
+    y: np.ndarray
+
+
+def settle_many(
+    ranged: DataFrame, runs: dict[int, tuple[Sequence, float]], unit: str = "km",
+    guesses: dict[int, np.ndarray] | None = None,
+) -> dict[int, Settled]:
+    """The assignments of bucketed facilities to several sets of hubs, worked out together.
+
+    ``runs`` has (hubs, capacity) by a number.  A round is one pass for all of them; one that has settled
+    drops out of the next.  ``guesses`` are starts to begin with, such as those of an
+    assignment to hubs nearby.
+    """
+    buckets = ranged.agg(F.max("bucket")).first()[0]
+    buckets = 0 if buckets is None else buckets + 1
+    hubs = {key: Hubs.of(given, capacity, unit) for key, (given, capacity) in runs.items()}
+    starts = {key: np.zeros((buckets, len(h.ids))) for key, h in hubs.items()}
+    for key, guess in (guesses or {}).items():
+        if guess.shape == starts[key].shape:
+            starts[key] = guess.copy()
+    blank = lambda key: np.zeros_like(starts[key])
+    added, up, down = ({key: blank(key) for key in hubs} for _ in range(3))
+    moments = {key: np.zeros((3, *starts[key].shape)) for key in hubs}
+    assumed = {key: start.copy() for key, start in starts.items()}
+    todo = {key: set(range(buckets)) for key in hubs}
+    rounds, worked = dict.fromkeys(hubs, 0), dict.fromkeys(hubs, 0)
+    while any(todo.values()):
+        wanted = set().union(*todo.values())
+        part = ranged if len(wanted) == buckets else ranged.filter(F.col("bucket").isin(sorted(wanted)))
+        active = {key: Problem(hubs[key], starts[key]) for key in hubs if todo[key]}
+        for r in part.groupBy("bucket").applyInPandas(_sums(active, todo), _SUMS).collect():
+            key, b = r["run"], r["bucket"]
+            added[key][b], up[key][b], down[key][b], assumed[key][b] = r["added"], r["up"], r["down"], starts[key][b]
+            moments[key][:, b] = r["n"], r["x"], r["y"]
+        for key in active:
+            rounds[key], worked[key] = rounds[key] + 1, worked[key] + len(todo[key])
+            starts[key] = np.cumsum(added[key], axis=0) - added[key]
+            moved = starts[key] - assumed[key]
+            todo[key] = {int(b) for b in np.flatnonzero(((moved > up[key]) | (moved <= down[key])).any(axis=1))}
+    out = {}
+    for key in hubs:
+        n, x, y = moments[key].sum(axis=1)
+        with np.errstate(invalid="ignore"):
+            out[key] = Settled(starts[key], rounds[key], worked[key], n, x / n, y / n)
+    return out
+
+
+def assigned_many(
+    ranged: DataFrame, runs: dict[int, tuple[Sequence, float]], settled: dict[int, Settled], unit: str = "km",
+) -> DataFrame:
+    """``run`` and the assigned facilities of every run, worked out where it is used."""
+    problems = {key: Problem(Hubs.of(*runs[key], unit), found.starts) for key, found in settled.items()}
+    return ranged.groupBy("bucket").applyInPandas(_assigned(problems), f"run int, {_ASSIGNED}")
+
+
+@dataclass(frozen=True)
+class Assignment:
+    table: DataFrame  # worked out where it is used, from the settled starts
+    starts: np.ndarray
+    rounds: int
+    worked: int
 
 
 def settle(
     ranged: DataFrame, hubs: Sequence, capacity: float, unit: str = "km", guess: np.ndarray | None = None,
 ) -> Assignment:
-    """The assignment of bucketed facilities.  ``guess`` are starts to begin with, such as
-    those of an assignment to hubs nearby.
+    """The assignment of bucketed facilities to one set of hubs.
 
     A facility that no hub has room for, or without a headcount, gets -1.
     """
-    known = Hubs.of(hubs, capacity, unit)
-    buckets = ranged.agg(F.max("bucket")).first()[0]
-    buckets = 0 if buckets is None else buckets + 1
-    starts = np.zeros((buckets, len(known.ids)))
-    if guess is not None and guess.shape == starts.shape:
-        starts = guess.copy()
-    added, up, down = np.zeros_like(starts), np.zeros_like(starts), np.zeros_like(starts)
-    assumed, todo, rounds, worked = starts.copy(), list(range(buckets)), 0, 0
-    while todo:
-        part = ranged if len(todo) == buckets else ranged.filter(F.col("bucket").isin(todo))
-        for r in part.groupBy("bucket").applyInPandas(_sums(known, starts), _SUMS).collect():
-            b = r["bucket"]
-            added[b], up[b], down[b], assumed[b] = r["added"], r["up"], r["down"], starts[b]
-        rounds, worked = rounds + 1, worked + len(todo)
-        starts = np.cumsum(added, axis=0) - added
-        moved = starts - assumed
-        todo = [int(b) for b in np.flatnonzero(((moved > up) | (moved <= down)).any(axis=1))]
-    table = ranged.groupBy("bucket").applyInPandas(_assigned(known, starts), _ASSIGNED)
-    return Assignment(table, starts, rounds, worked)
+    runs = {0: (hubs, capacity)}
+    found = settle_many(ranged, runs, unit, {} if guess is None else {0: guess})
+    done = found[0]
+    return Assignment(assigned_many(ranged, runs, found, unit).drop("run"), done.starts, done.rounds, done.worked)
 
 
 def assign_with_capacity(

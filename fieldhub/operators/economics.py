@@ -27,12 +27,13 @@ def transport_cost(animal_km: Column, rate: Column) -> Column:
 
 
 def scenario_base(assignments: DataFrame, sites: DataFrame) -> DataFrame:
-    """Per scenario: hubs, facilities, animals, effort.
+    """Per scenario: hubs, facilities (all, and those with a hub), animals, effort.
 
     One aggregation per input, joined on ``n_hubs`` (one row per scenario).
     """
     loads = assignments.groupBy("n_hubs").agg(
         F.count(F.lit(1)).alias("afos_served"),
+        F.count_if(F.col("assigned_site_idx") >= 0).alias("with_hub"),
         F.sum("headcount").alias("animals"),
         effort().alias("effort"),
     )
@@ -191,6 +192,7 @@ def comparison(base: DataFrame, zones: DataFrame, capacity: float = K.HUB_CAPACI
         "avg_distance_km",
         "max_capacity_pct",
         "min_capacity_pct",
+        (F.col("with_hub") * 100.0 / F.nullif(F.col("afos_served"), F.lit(0))).alias("coverage_pct"),
     )
 
 
@@ -221,7 +223,8 @@ def best(scored: DataFrame) -> DataFrame:
 
 
 def recommendation(scored: DataFrame, full_pct: float = 99.0) -> DataFrame:
-    """Report lines: the recommended scenario's figures, then over-capacity warnings."""
+    """Report lines: the recommended scenario's figures, the cheapest and the nearest alternative,
+    then over-capacity warnings."""
     rank = F.row_number().over(Window.orderBy(F.round("score", 9), "n_hubs"))  # one row per scenario
     top = scored.withColumn("_rank", rank).filter("_rank = 1")
     line = lambda ord_, fmt, *c: F.struct(F.lit(ord_).alias("ord"), F.format_string(fmt, *c).alias("line"))
@@ -234,6 +237,8 @@ def recommendation(scored: DataFrame, full_pct: float = 99.0) -> DataFrame:
         line(6, "5-year total: $%sM", fixed(F.col("total_5yr_m"), 1)),
         line(7, "Average distance: %s km", fixed(F.col("avg_distance_km"), 1)),
         line(8, "Cost per animal: $%s/year", fixed(F.col("cost_per_animal_per_year"), 2)),
+        line(9, "Hub capacity range: %s%%-%s%%", fixed(F.col("min_capacity_pct"), 0), fixed(F.col("max_capacity_pct"), 0)),
+        line(10, "Facilities with a hub: %s%%", fixed(F.col("coverage_pct"), 1)),
     )
     chosen = top.select(F.explode(lines).alias("l")).select("l.ord", "l.line")
     warnings = scored.filter(F.col("max_capacity_pct") >= full_pct).select(
@@ -243,7 +248,14 @@ def recommendation(scored: DataFrame, full_pct: float = 99.0) -> DataFrame:
             fixed(F.col("max_capacity_pct"), 0),
         ).alias("line"),
     )
-    return chosen.unionByName(warnings)
+    first = lambda *order: F.min_by(F.struct("n_hubs", "construction_m", "avg_distance_km"), F.struct(*order))
+    others = scored.agg(
+        first("construction_m", "n_hubs").alias("cheap"), first(F.round("avg_distance_km", 9), "n_hubs").alias("near"))
+    alternatives = others.filter("cheap is not null").select(F.explode(F.array(
+        line(11, "Budget-constrained: %d hubs ($%sM construction)", F.col("cheap.n_hubs"), fixed(F.col("cheap.construction_m"), 0)),
+        line(12, "Distance-optimized: %d hubs (%s km avg)", F.col("near.n_hubs"), fixed(F.col("near.avg_distance_km"), 1)),
+    )).alias("l")).select("l.ord", "l.line")
+    return chosen.unionByName(alternatives).unionByName(warnings)
 
 
 # --- run comparison ------------------------------------------------------------------------

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from fieldhub import constants as K
 from fieldhub.functions import geo
-from fieldhub.operators.capacity import assign_with_capacity, bucketed, settle  # noqa: F401
+from fieldhub.operators.capacity import (  # noqa: F401
+    assign_with_capacity, assigned_many, bucketed, settle, settle_many,
+)
 from fieldhub.session import Scratch, small_table
 
 MAX_HUBS = 256  # more hubs than this is not a run parameter any more
@@ -175,6 +177,12 @@ class SitingRun:
     settling: list[int] = field(default_factory=list)  # rounds of each assignment
 
 
+@dataclass(frozen=True)
+class SitingRuns:
+    runs: dict[int, SitingRun]  # by number of hubs
+    table: DataFrame  # run (that number) and the assigned facilities, of all runs
+
+
 def centroids(assigned: DataFrame, hubs: Sequence[Hub]) -> list[Hub]:
     """Mean position of each hub's facilities; an empty hub keeps its place."""
     means = {
@@ -187,38 +195,69 @@ def centroids(assigned: DataFrame, hubs: Sequence[Hub]) -> list[Hub]:
     return [Hub(h.site_id, *means.get(h.site_id, (h.x, h.y))) for h in hubs]
 
 
-def refine_hubs(
+def refine_many(
     facilities: DataFrame,
-    p: int,
+    sizes: Sequence[int],
     capacity: float | None = None,
     unit: str = "km",
     max_rounds: int = K.MAX_SITING_ROUNDS,
     tolerance: float = K.CONVERGED_MOVE,
-) -> SitingRun:
-    """Assign, move hubs to the centroids, repeat until the joint move is small.
-
-    On convergence the hubs stay where the last assignment saw them; when the rounds run
-    out they have moved once more.  Buckets of the priority order don't depend on the hubs,
-    so they are cut once, and each assignment begins with the loads of the one before.
+) -> SitingRuns:
+    """Siting runs for several numbers of hubs, together.
+
+    Each run assigns, moves its hubs to the centroids and repeats until the joint move is
+    small.  On convergence the hubs stay where the last assignment saw them; when the rounds
+    run out they have moved once more.  The facilities are cut in buckets once for all runs,
+    a pass works on all runs that still move, and each assignment begins with the loads
+    of the one before.  The pass that settles an assignment also sums its positions, so the
+    centroids take no other.  The assignments are written once; ``assigned`` reads them.
     """
-    points = bucketed(facilities, Scratch(facilities.sparkSession, "points"))
-    if capacity is None:
-        capacity = default_capacity(points, p)
-    hubs = initial_hubs(points, p)
-    run, starts = SitingRun(hubs, points, 0, False), None
-    for _ in range(max_rounds):
-        found = settle(points, run.hubs, capacity, unit, starts)
-        run.assigned, starts = found.table, found.starts
-        run.settling.append(found.rounds)
-        moved = centroids(run.assigned, run.hubs)
-        move = math.sqrt(sum((a.x - b.x) ** 2 + (a.y - b.y) ** 2 for a, b in zip(moved, run.hubs)))
-        run.rounds += 1
-        run.trail.append(move)
-        if move < tolerance:
-            run.converged = True
+    scratch = Scratch(facilities.sparkSession, "points", keep=len(sizes) + 2)
+    points = bucketed(facilities, scratch)
+    first = initial_hubs(points, max(sizes))
+    runs, room, at, found = {}, {}, {}, {}
+    for p in sizes:
+        hubs = [Hub(k, h.x, h.y) for k, h in enumerate(first[max(0, len(first) - p):])]
+        runs[p] = SitingRun(hubs, points, 0, False)
+        room[p] = default_capacity(points, p) if capacity is None else capacity
+    active = list(runs)
+    for _ in range(max(1, max_rounds)):
+        at |= {p: runs[p].hubs for p in active}
+        now = settle_many(
+            points, {p: (at[p], room[p]) for p in active}, unit, {p: found[p].starts for p in active if p in found})
+        found |= now
+        still = []
+        for p in active:
+            run, done = runs[p], now[p]
+            run.settling.append(done.rounds)
+            ordered = sorted(run.hubs, key=lambda h: h.site_id)
+            moved = [
+                Hub(h.site_id, float(x), float(y)) if n else h
+                for h, n, x, y in zip(ordered, done.count, done.x, done.y, strict=True)
+            ]
+            move = math.sqrt(sum((a.x - b.x) ** 2 + (a.y - b.y) ** 2 for a, b in zip(moved, ordered, strict=True)))
+            run.rounds += 1
+            run.trail.append(move)
+            if move < tolerance:
+                run.converged = True
+            else:
+                run.hubs = moved
+                still.append(p)
+        active = still
+        if not active:
             break
-        run.hubs = moved
-    return run
+    table = scratch.cut(assigned_many(points, {p: (at[p], room[p]) for p in found}, found, unit))
+    for p in found:
+        runs[p].assigned = table.filter(F.col("run") == p).drop("run")
+    return SitingRuns(runs, table)
+
+
+def refine_hubs(
+    facilities: DataFrame, p: int, capacity: float | None = None, unit: str = "km",
+    max_rounds: int = K.MAX_SITING_ROUNDS, tolerance: float = K.CONVERGED_MOVE,
+) -> SitingRun:
+    """One siting run of ``refine_many``."""
+    return refine_many(facilities, [p], capacity, unit, max_rounds, tolerance).runs[p]
 
 
 def snap_hubs(facilities: DataFrame, hubs: Sequence[Hub]) -> DataFrame:

@@ -102,5 +102,10 @@ class Scratch:
         self.generation += 1
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def stored(self) -> bool:
+        """Whether the latest generation is still there."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/g{self.generation - 1}")
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+
     def _drop(self, path: str) -> None:
         _remove(self.spark, path)

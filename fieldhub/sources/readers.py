@@ -14,6 +14,25 @@ def permits_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=False)
 
 
+def parse_permits_csv(lines: DataFrame, names: Sequence[str], value: str = "value") -> DataFrame:
+    """Registry lines (text column ``value``, without the header) to text columns, quote-aware.
+
+    Short lines leave nulls, fields beyond the names are dropped, empty fields are null.
+    """
+    schema = ", ".join(f"`{name}` string" for name in names)
+    parsed = F.from_csv(F.col(value), schema, {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    return lines.select(parsed.alias("r")).select("r.*")
+
+
+def parse_permits_json(texts: DataFrame, names: Sequence[str], value: str = "value") -> DataFrame:
+    """Registry texts (an array of records each) to a row per record with text values.
+
+    Absent keys and JSON nulls are null; a text that is no array of records gives no row.
+    """
+    records = F.explode(F.from_json(F.col(value), "array<map<string,string>>"))
+    return texts.select(records.alias("r")).select(*(F.col("r").getItem(name).alias(name) for name in names))
+
+
 def permits_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Registry records (one array per file, or one record per line) with text values."""
     return spark.read.json(path, multiLine=not lines, primitivesAsString=True)
@@ -49,6 +68,13 @@ def features(
     return rows.select("properties.*", "geometry")
 
 
+def parse_features(texts: DataFrame, properties: str, value: str = "value") -> DataFrame:
+    """FeatureCollection texts to a row per feature: property columns plus ``geometry``."""
+    feature = T.StructType([T.StructField("geometry", _GEOMETRY), T.StructField("properties", T.StructType.fromDDL(properties))])
+    whole = T.StructType([T.StructField("features", T.ArrayType(feature))])
+    return texts.select(F.explode(F.from_json(F.col(value), whole)["features"]).alias("f")).select("f.properties.*", "f.geometry")
+
+
 def feature_points(df: DataFrame) -> DataFrame:
     """Point features to longitude and latitude; other or empty geometries give nulls."""
     xy = F.from_json("geometry.coordinates", "array<double>")
@@ -92,11 +118,15 @@ def summaries(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     Thousands commas are dropped; a missing or unreadable value is null.  Giving the keys
     saves the extra pass that finding them would take.
     """
-    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return parse_summaries(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value"), keys)
+
+
+def parse_summaries(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Lines (file, value) of key/value texts to one row per file; of a repeated key one value counts."""
     pair = F.split("value", ":", 2)
     number = F.regexp_replace(F.trim(F.get(pair, F.lit(1))), ",", "").try_cast("double")
     return (
-        text.filter(F.col("value").contains(":"))
+        lines.filter(F.col("value").contains(":"))
         .select("file", F.lower(F.trim(pair[0])).alias("key"), number.alias("number"))
         .groupBy("file").pivot("key", list(keys)).agg(F.first("number", ignorenulls=True))
     )
@@ -120,13 +150,21 @@ def tiles(spark: SparkSession, path: str, limit: int | None = None, pattern: str
     return found if limit is None else found.limit(limit)
 
 
+_MANIFEST = (
+    "farm_name string, county string, headcount bigint, longitude double, latitude double, "
+    "tile_path string"
+)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Site to tile manifest."""
-    schema = (
-        "farm_name string, county string, headcount bigint, longitude double, latitude double, "
-        "tile_path string"
-    )
-    return spark.read.schema(schema).json(path, multiLine=True)
+    return spark.read.schema(_MANIFEST).json(path, multiLine=True)
+
+
+def parse_manifest(texts: DataFrame, value: str = "value") -> DataFrame:
+    """Manifest texts (an array of entries each) to a row per entry."""
+    entries = F.from_json(F.col(value), f"array<struct<{_MANIFEST.replace(' ', ': ').replace(',:', ',')}>>")
+    return texts.select(F.explode(entries).alias("e")).select("e.*")
 
 
 def scenarios(spark: SparkSession, path: str, n_hubs: Sequence[int] | None = None) -> DataFrame:

@@ -75,14 +75,14 @@ def test_grids(base):
 def test_scores(spark):
     rows = [
         (n, FACILITIES, ANIMALS / 1e6, n * 2.0, TRANSPORT[n] / 1e6, TRANSPORT[n] / 1e6 * 5 + n * 2.0,
-         0.1, ROUNDED_KM[n], MAX_CAPACITY[n], 0.0)
+         0.1, ROUNDED_KM[n], MAX_CAPACITY[n], 0.0, 100.0)
         for n in TRANSPORT
     ]
     table = spark.createDataFrame(
         rows,
         "n_hubs int, afos_served bigint, animals_m double, construction_m double, annual_transport_m double, "
         "total_5yr_m double, cost_per_animal_per_year double, avg_distance_km double, "
-        "max_capacity_pct double, min_capacity_pct double",
+        "max_capacity_pct double, min_capacity_pct double, coverage_pct double",
     )
     scored = E.score(table)
     got = by_hubs(scored)
@@ -94,6 +94,9 @@ def test_scores(spark):
         10, 15, 15, 10)
     lines = [r["line"] for r in E.recommendation(scored).orderBy("ord").collect()]
     assert lines[0] == "OPTIMAL SOLUTION: 10 regional hubs" and lines[5] == "5-year total: $50.2M"
+    assert lines[8:12] == [
+        "Hub capacity range: 0%-100%", "Facilities with a hub: 100.0%", "Budget-constrained: 8 hubs ($16M construction)",
+        f"Distance-optimized: 15 hubs ({ROUNDED_KM[15]:.1f} km avg)"]
     assert lines[-2:] == ["8 hubs: at least one hub at 100% capacity", "10 hubs: at least one hub at 100% capacity"]
 
 

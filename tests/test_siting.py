@@ -128,6 +128,49 @@ def test_refinement_keeps_hubs_on_convergence(spark):
         assert (got.x, got.y) == (pytest.approx(want.x), pytest.approx(want.y))
 
 
+@pytest.mark.parametrize("slack", [1.1, 0.8])
+def test_batched_runs_equal_single_ones(spark, slack):
+    """Scenarios share their passes and settle one by one; tight hubs leave facilities out."""
+    rows = make(120, 5)
+    df = spark.createDataFrame(rows, POINTS)
+    room = sum(r[1] for r in rows) * slack / 5
+    many = siting.refine_many(df, [3, 5, 7], room, max_rounds=6)
+    for p in (3, 5, 7):
+        alone, run = siting.refine_hubs(df, p, room, max_rounds=6), many.runs[p]
+        assert (run.rounds, run.converged) == (alone.rounds, alone.converged) and len(run.settling) == run.rounds
+        assert [(h.site_id, h.x, h.y) for h in run.hubs] == [(h.site_id, pytest.approx(h.x), pytest.approx(h.y)) for h in alone.hubs]
+        table = {r["permit_id"]: r["assigned_site_idx"] for r in many.table.filter(F.col("run") == p).collect()}
+        assert table == {r["permit_id"]: r["assigned_site_idx"] for r in run.assigned.collect()}
+        hubs = siting.initial_hubs(df, p)
+        for _ in range(run.rounds):
+            pick = serial(rows, hubs, room)
+            before, hubs = hubs, moved_hubs(rows, pick, hubs)
+        assert table == pick
+    assert slack > 1 or -1 in {r["assigned_site_idx"] for r in many.table.select("assigned_site_idx").distinct().collect()}
+
+
+def moved_hubs(rows, pick, hubs):
+    out = []
+    for h in hubs:
+        mine = [r for r in rows if pick[r[0]] == h.site_id]
+        out.append(Hub(h.site_id, sum(r[2] for r in mine) / len(mine), sum(r[3] for r in mine) / len(mine)) if mine else h)
+    return out
+
+
+def test_scenarios_are_stored_once(spark, sf):
+    from fieldhub.fixtures import tables as T
+    from fieldhub.plans import scenarios
+    from fieldhub.session import drop_scratch
+
+    done = scenarios.run(T.permit(spark, sf), [2, 3], capacity=None, max_rounds=3)
+    assert done.stored()
+    assert sorted((r["n_hubs"], r["count"]) for r in done.assignments.groupBy("n_hubs").count().collect())[0][1] == siting.project(
+        T.permit(spark, sf)).count()
+    assert sorted((r["n_hubs"], r["site_id"]) for r in done.sites.collect()) == [(2, 0), (2, 1), (3, 0), (3, 1), (3, 2)]
+    drop_scratch(spark)
+    assert not done.stored()
+
+
 def test_empty_hub_keeps_place(spark):
     df = spark.createDataFrame([(1, 5, 0.0, 0.0, 0)], POINTS + ", assigned_site_idx int")
     hubs = [Hub(0, 3.0, 4.0), Hub(1, 9.0, 9.0)]
