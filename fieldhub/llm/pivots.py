@@ -1,11 +1,12 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Pivots are a bounded sample of the vectors (``PER_PIVOT`` vectors per pivot, between ``FEWEST`` and ``MOST``), of
-which those within a cosine of ``APART`` of another are dropped, so a crowded place has as few as any other.
-Every vector is described by the pivots whose cosine is within ``MARGIN`` of its nearest one's, and each
-pivot has an inverted list of the vectors that name it.  Two vectors are candidates if they share
-a pivot; they are looked at in the list of their smallest common pivot and in no other, so no
-pair is counted twice and none is emitted.
+Pivots are a bounded sample of the vectors of each length (``PER_PIVOT`` vectors per pivot, ``FEWEST`` at least,
+``PIVOT_BYTES`` in all), of which those within a cosine of ``APART`` of another are dropped, so a crowded
+place has as few as any other.  A vector is described by its nearest pivots in order, nearest first, down to
+``MARGIN`` below the nearest one's cosine, and each pivot has an inverted list of the vectors that name it.
+Two vectors are candidates if the pivots they share are at least one in ``SHARED`` of the shorter
+description; shared pivots are counted in the list of their smallest common pivot and in no other, so no
+pair is looked at twice and none is emitted.
 Candidates are verified by their cosine in double precision.
 
 A list is cut in blocks of about ``BLOCK`` vectors by hash, and each pair of blocks is one group: a pivot
@@ -17,9 +18,11 @@ links that span what it found.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +30,13 @@ from fieldhub.llm.common import cut
 from fieldhub.operators.components import connected_components
 
 LEAST_COSINE = 0.95
-PER_PIVOT, FEWEST, MOST = 100, 64, 65_536
+PER_PIVOT, FEWEST = 100, 64
+PIVOT_BYTES = 32 << 20  # of the sample of all lengths together, about
 APART = 0.8  # cosine; a sampled pivot that is nearer to another one is dropped
 MARGIN = 0.1  # a pivot's cosines to two vectors of cosine 0.95 differ by about 0.04 in 64 dimensions
+SHARED = 3  # measured: strangers rarely pass, pairs above 0.95 hardly ever fail
 BLOCK = 2048
+STEP_CELLS = 4 << 20  # cosines that are held at once
 
 _DESCRIBED = "_vec long, _n long, _values binary, _near array<int>"
 _FOUND = "_a long, _b long, _links long"
@@ -49,10 +55,6 @@ def _units(values: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
-
-
 def _apart(pivots: np.ndarray) -> np.ndarray:
     """The pivots, in their order, without those nearer than ``APART`` to one that is kept."""
     kept = np.empty_like(pivots)
@@ -71,23 +73,38 @@ def _apart(pivots: np.ndarray) -> np.ndarray:
     return kept[:n]
 
 
-def _describe(pivots: np.ndarray):
-    """Pivots about as near as the nearest of each vector; batch: id, number of equal vectors, values."""
-    size = pivots.shape[1]
+def _ordered(cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, pivots) of the descriptions: each row's nearest pivots, nearest first."""
+    order = np.argsort(-cosines, axis=1, kind="stable")
+    ranked = np.take_along_axis(cosines, order, axis=1)
+    named = ranked >= ranked[:, :1] - MARGIN
+    return named.sum(axis=1), order[named]
+
+
+def _describe(pivots: dict[int, tuple[int, np.ndarray]]):
+    """The descriptions; ``pivots`` has (number of the first, unit rows) by vector length.  Vectors of a length without
+    pivots name one that stands for it.  Batch: id, number of equal vectors, values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, 1024):
-                batch = whole.slice(first, 1024)
-                values = _matrix(batch.column(2), size)
-                near = _units(values) @ pivots.T
-                named = near >= near.max(axis=1, keepdims=True) - MARGIN
-                ends = np.concatenate(([0], np.cumsum(named.sum(axis=1)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(named)[1].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([v.tobytes() for v in values], pa.binary()), lists],
-                    ["_vec", "_n", "_values", "_near"],
-                )
+            sizes = pc.list_value_length(whole.column(2)).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes):
+                first, known = pivots.get(int(size), (-int(size), None))
+                rows = np.flatnonzero(sizes == size)
+                step = max(16, STEP_CELLS // (1 if known is None else len(known)))
+                for at in range(0, len(rows), step):
+                    batch = whole.take(pa.array(rows[at : at + step]))
+                    values = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+                    if known is None:
+                        many, near = np.ones(len(values), np.int64), np.zeros(len(values), np.int64)
+                    else:
+                        many, near = _ordered(_units(values) @ known.T)
+                    ends = np.concatenate(([0], np.cumsum(many))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((near + first).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), batch.column(1), pa.array([v.tobytes() for v in values], pa.binary()), lists],
+                        ["_vec", "_n", "_values", "_near"],
+                    )
 
     return run
 
@@ -117,13 +134,16 @@ def _verify(least: float):
         lists = table.column("_near").to_pylist()
         near = np.concatenate(lists)
         row = np.repeat(np.arange(len(ids)), list(map(len, lists)))
-        # indicator of the smaller pivots each vector names
-        smaller = near < pivot
-        names, place = np.unique(near[smaller], return_inverse=True)
+        names, place = np.unique(near, return_inverse=True)
         mark = np.zeros((len(ids), len(names)), np.float32)
-        mark[row[smaller], place] = 1
+        mark[row, place] = 1
+        before = int(np.searchsorted(names, pivot))  # the smaller pivots are the first columns
+        length = mark.sum(axis=1)
         a, b = np.flatnonzero(side == low), np.flatnonzero(side == high)
-        linked = (mark[a] @ mark[b].T == 0) & (values[a] @ values[b].T >= least)
+        shared = mark[a] @ mark[b].T
+        here = mark[a, :before] @ mark[b, :before].T == 0
+        enough = SHARED * shared >= np.minimum(length[a][:, None], length[b][None, :])
+        linked = here & enough & (values[a] @ values[b].T >= least)
         if low == high:
             np.fill_diagonal(linked, False)
         links = np.zeros(len(ids), np.int64)
@@ -144,7 +164,7 @@ def _blocks(described: DataFrame) -> DataFrame:
     """Postings dealt to pairs of blocks of their pivot's list."""
     postings = described.select("*", F.explode("_near").alias("_pivot"))
     sizes = postings.groupBy("_pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_cuts"))
-    dealt = postings.join(F.broadcast(sizes), "_pivot").withColumn(  # at most MOST rows
+    dealt = postings.join(F.broadcast(sizes), "_pivot").withColumn(  # one row a pivot
         "_block", F.pmod(F.xxhash64("_vec", "_pivot"), F.col("_cuts"))
     )
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1)).alias("_other")
@@ -154,33 +174,42 @@ def _blocks(described: DataFrame) -> DataFrame:
     )
 
 
+def _pivots(classes: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """(number of the first, unit rows) of the pivots of each vector length, from a sample by hash."""
+    size = F.size("_vector")
+    lengths = classes.groupBy(size.alias("_size")).agg(F.count(F.lit(1)).alias("_many"))
+    wanted = F.least(F.col("_many"), F.greatest(F.lit(FEWEST), F.col("_many") / PER_PIVOT))
+    total = lengths.agg(F.sum(wanted * F.col("_size") * 8)).first()[0] or 0
+    rate = wanted / F.col("_many") * min(1.0, PIVOT_BYTES / max(total, 1))
+    rates = lengths.select("_size", rate.alias("_rate"))  # one row a length
+    draw = F.pmod(F.xxhash64("_vec"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = classes.withColumn("_size", size).join(F.broadcast(rates), "_size").filter(draw < F.col("_rate"))
+    rows = sample.select("_size", "_vector").orderBy("_size", F.xxhash64("_vec"), "_vec").collect()
+    out, first = {}, 0
+    for length, group in groupby(rows, key=lambda r: r["_size"]):
+        kept = _apart(_units(np.array([r["_vector"] for r in group])))
+        out[length] = first, kept
+        first += len(kept)
+    return out
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                  least: float = LEAST_COSINE) -> DataFrame:
     """(_id, _links, _component, _kept) for every row of ``vectors``.
 
     ``_links`` counts the other ids whose vector's cosine is ``least`` or more, ``_component`` is the
-    smallest id that links reach, the own included.  Vectors that are null, empty, all 0 or
-    hold null or non-finite numbers link with nothing, nor do rows without an id and vectors of
-    another length than the most common one.  Rows that share an id are one vector, of which the smallest
-    array counts; each of them is returned.
+    smallest id that links reach, the own included.  Vectors link with those of their own length.  Vectors that are
+    null, empty, all 0 or hold null or non-finite numbers link with nothing, nor do rows without
+    an id.  Rows that share an id are one vector, of which the smallest array counts; each of
+    them is returned.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_vector"))
     sound = rows.filter(F.col("_id").isNotNull() & usable(F.col("_vector")))
-    lengths = sound.groupBy(F.size("_vector").alias("n")).agg(F.count(F.lit(1)).alias("many")).orderBy(
-        F.desc("many"), "n").limit(1).collect()
-    size = lengths[0]["n"] if lengths else 0
-    single = sound.filter(F.size("_vector") == size).groupBy("_id").agg(F.min("_vector").alias("_vector"))
-    single = cut(single, "vectors")
+    single = cut(sound.groupBy("_id").agg(F.min("_vector").alias("_vector")), "vectors")
     classes = cut(single.groupBy("_vector").agg(F.min("_id").alias("_vec"), F.count(F.lit(1)).alias("_n"))
                   .select("_vec", "_n", "_vector"), "classes")
-    wanted = min(MOST, max(FEWEST, classes.count() // PER_PIVOT))
-    sample = classes.orderBy(F.xxhash64("_vec"), "_vec").limit(wanted).collect()
-    if len(sample) > 1:
-        pivots = _apart(_units(np.array([r["_vector"] for r in sample])))
-        described = classes.mapInArrow(_describe(pivots), _DESCRIBED)
-        found = cut(_blocks(cut(described, "described")).groupBy("_pivot", "_low", "_high").applyInArrow(_verify(least), _FOUND), "links")
-    else:
-        found = vectors.sparkSession.createDataFrame([], _FOUND)
+    described = cut(classes.mapInArrow(_describe(_pivots(classes)), _DESCRIBED), "described")
+    found = cut(_blocks(described).groupBy("_pivot", "_low", "_high").applyInArrow(_verify(least), _FOUND), "links")
     counts = found.groupBy(F.col("_a").alias("_vec")).agg(F.sum("_links").alias("_links"))
     roots = connected_components(found.filter("_a <> _b"), "_a", "_b").distinct().select(
         F.col("node").alias("_vec"), F.col("component").alias("_root"))

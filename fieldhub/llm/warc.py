@@ -26,6 +26,7 @@ from fieldhub.session import Scratch
 
 ENDS = "\r\n"
 PER_FILE = 6_000  # records of a file, at most; a reader holds one file
+FILE_BYTES = 64 << 20  # payload bytes of a file, about
 BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 SAME = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "1970-01-01T00:00:00Z"
@@ -70,27 +71,28 @@ def _one_line(text: Column) -> Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), "\r\n", "  ")
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-            min_bytes: int = 0) -> DataFrame:
-    """One text column ``value``: three records per page, without the line ends that close them.
-
-    Of pages with equal payloads of at least ``min_bytes`` the one with the largest id is a
-    response, the others are revisits of it; a null id is smaller than any.  Records are named by
-    the page's id, URL and payload, so pages that repeat in all three are one capture.
-    """
+def _captures_of(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their payload, light rows): the pages, and per capture its owner and repeats."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.select(
+    named = pages.select(
         F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), payload.alias("_payload"),
         base32_sha1(payload).alias("_digest"), F.octet_length(payload).cast("long").alias("_bytes"),
     )
-    owners = rows.groupBy(F.col("_digest").alias("_same"), F.col("_bytes").alias("_long")).agg(
-        F.max(F.struct("_id", "_url")).alias("_owner")
+    rows = named.withColumn("_capture", _urn("capture", F.col("_id"), F.col("_url"), F.col("_digest")))
+    light = rows.groupBy("_capture", "_id", "_url", "_digest", "_bytes").agg(F.count(F.lit(1)).alias("_repeats"))
+    owners = light.groupBy(F.col("_digest").alias("_same"), F.col("_bytes").alias("_long")).agg(
+        F.max(F.struct("_id", "_url", "_capture")).alias("_owner")
     )
-    met = rows.join(owners, (F.col("_digest") == F.col("_same")) & (F.col("_bytes") == F.col("_long")))
-    own = F.struct("_id", "_url").eqNullSafe(F.col("_owner")) | (F.col("_bytes") < min_bytes)
-    capture = _urn("capture", F.col("_id"), F.col("_url"), F.col("_digest"))
-    first = _urn("capture", F.col("_owner._id"), F.col("_owner._url"), F.col("_digest"))
-    uri = _one_line(F.col("_url"))
+    met = light.join(owners, (F.col("_digest") == F.col("_same")) & (F.col("_bytes") == F.col("_long")))
+    own = (F.col("_capture") == F.col("_owner._capture")) | (F.col("_bytes") < min_bytes)
+    return rows.select("_capture", "_payload"), met.withColumn("_own", own)
+
+
+def _records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int) -> DataFrame:
+    """(_capture, value): the three records of each capture, one after the other."""
+    texts, light = _captures_of(pages, id_col, url_col, payload_col, min_bytes)
+    met = texts.groupBy("_capture").agg(F.first("_payload").alias("_payload")).join(light, "_capture")
+    capture, uri = F.col("_capture"), _one_line(F.col("_url"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{ENDS}Content-Type: text/html; charset=utf-8{ENDS}Content-Length: "),
                     F.col("_bytes").cast("string"), F.lit(ENDS * 2))
     digest = F.concat(F.lit("sha1:"), F.col("_digest"))
@@ -98,19 +100,47 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     response = _record("response", capture, uri, F.concat(http, F.col("_payload")), Content_Type=http_type,
                        WARC_Payload_Digest=digest)
     revisit = _record("revisit", capture, uri, http, Content_Type=http_type, WARC_Payload_Digest=digest,
-                      WARC_Profile=SAME, WARC_Refers_To=first)
+                      WARC_Profile=SAME, WARC_Refers_To=F.col("_owner._capture"))
     asked = _record("request", _urn("request", capture), uri, F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{ENDS * 2}")),
                     Content_Type="application/http;msgtype=request", WARC_Concurrent_To=capture)
-    noted = F.concat(F.lit("page-id: "), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(ENDS))
+    noted = F.concat(F.lit("page-id: "), F.coalesce(F.col("_id").cast("string"), F.lit("")),
+                     F.lit(f"{ENDS}repeats: "), F.col("_repeats").cast("string"), F.lit(ENDS))
     about = _record("metadata", _urn("metadata", capture), uri, noted, Content_Type="application/warc-fields",
                     WARC_Concurrent_To=capture)
-    return met.select(F.explode(F.array(asked, F.when(own, response).otherwise(revisit), about)).alias("value"))
+    return met.select("_capture", F.explode(F.array(asked, F.when(F.col("_own"), response).otherwise(revisit), about)).alias("value"))
+
+
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
+            min_bytes: int = 0) -> DataFrame:
+    """One text column ``value``: three records per capture, without the line ends that close them.
+
+    Of pages with equal payloads of at least ``min_bytes`` the one with the largest id is a
+    response, the others are revisits of it; a null id is smaller than any.  Records are named by
+    the page's id, URL and payload; pages that repeat in all three are one capture, whose
+    metadata says how many there were.
+    """
+    return _records(pages, id_col, url_col, payload_col, min_bytes).select("value")
+
+
+def _files(pages: DataFrame, payload_col: str) -> int:
+    """So many parts that each holds about ``FILE_BYTES``; above the number of shuffle partitions a
+    multiple of it, so that a task's rows fall in few parts."""
+    total = pages.agg(F.sum(F.octet_length(F.col(payload_col).cast("string")))).first()[0] or 0
+    parts = max(1, -(-total // FILE_BYTES))
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts if parts <= tasks else -(-parts // tasks) * tasks
 
 
-def write(pages: DataFrame, path: str, **columns) -> None:
-    """Write the records of ``pages`` as gzip archives in the folder ``path``."""
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
+          min_bytes: int = 0) -> None:
+    """Write the records of ``pages`` as gzip archives below the folder ``path``.
+
+    A file holds about ``FILE_BYTES`` of payload, or one longer record, and ``PER_FILE`` records at most.
+    """
+    part = F.pmod(F.hash("_capture"), F.lit(_files(pages, payload_col)))
     (
-        records(pages, **columns).write.mode("overwrite").option("compression", "gzip")
+        _records(pages, id_col, url_col, payload_col, min_bytes).select("value", part.alias("part"))
+        .write.mode("overwrite").partitionBy("part").option("compression", "gzip")
         .option("lineSep", ENDS * 2).option("maxRecordsPerFile", PER_FILE).text(path)
     )
 
@@ -186,7 +216,8 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     smallest identifier is nested.  A capture without them has nulls there, and records that
     are concurrent to nothing known are left out.  A record that an archive repeats is read once.
     """
-    answers = read(spark, path, "response", "revisit").dropDuplicates(["record_id"])
+    values = ("type", "uri", "refers_to", "payload_digest", "payload_bytes", "digest_fits", "block")
+    answers = read(spark, path, "response", "revisit").select("record_id", *values).dropDuplicates(["record_id"])
     sides = read(spark, path, "request", "metadata").filter("concurrent_to IS NOT NULL")
     names = ("record_id", "uri", "block", "fields")
     of = {kind: F.when(F.col("type") == kind, F.col("record_id")) for kind in ("request", "metadata")}
@@ -194,16 +225,14 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     first = [F.min_by(name, of[kind]).alias(f"{kind}_{name}") for kind in of for name in names]
     grouped = sides.groupBy(F.col("concurrent_to").alias("capture_id")).agg(*first)
     side = lambda kind: F.when(F.col(f"{kind}_record_id").isNotNull(), F.struct(*(F.col(f"{kind}_{n}").alias(n) for n in names)))
-    response = F.struct("type", "uri", "refers_to", "payload_digest", "payload_bytes", "digest_fits", "block")
-    return answers.select(F.col("record_id").alias("capture_id"), response.alias("response")).join(
-        grouped, "capture_id", "left"
-    ).select("capture_id", "response", side("request").alias("request"), side("metadata").alias("metadata"))
+    met = answers.withColumnRenamed("record_id", "capture_id").join(grouped, "capture_id", "left")
+    return met.select("capture_id", F.struct(*values).alias("response"), side("request").alias("request"), side("metadata").alias("metadata"))
 
 
 def round_trip(pages: DataFrame, label: str = "warc", **columns) -> DataFrame:
-    """(_id, _bytes, _digest, _type, _refers_to) of each page, read back from written archives.
+    """(_id, _bytes, _digest, _type, _refers_to) of each row of ``pages``, read back from written archives.
 
-    Sizes and digests are of the full payload: a revisit takes them from the response it refers to.
+    Pages that repeat in id, URL and payload have a row each, all of the one capture's type.  Sizes and digests are of the full payload: a revisit takes them from the response it refers to.
     Null payloads are empty ones.  A capture whose payload doesn't fit its digest stops the run.
     """
     spark = pages.sparkSession
@@ -216,13 +245,15 @@ def round_trip(pages: DataFrame, label: str = "warc", **columns) -> DataFrame:
         "capture_id", F.try_element_at("metadata.fields", F.lit("page-id")).try_cast("long").alias("_id"),
         F.col("response.type").alias("_type"), F.col("response.refers_to").alias("_first"),
         F.col("response.payload_bytes").alias("_own_bytes"), sound.alias("_own_digest"),
+        F.coalesce(F.try_element_at("metadata.fields", F.lit("repeats")).try_cast("int"), F.lit(1)).alias("_repeats"),
     )
     light = cut(light, "captures")
     first = light.filter("_type = 'response'").select(
         F.col("capture_id").alias("_at"), F.col("_id").alias("_refers_to"), F.col("_own_bytes").alias("_first_bytes"),
         F.col("_own_digest").alias("_first_digest"),
     )
-    return light.join(first, F.col("_first") == F.col("_at"), "left").select(
+    met = light.join(first, F.col("_first") == F.col("_at"), "left")
+    return met.withColumn("_time", F.explode(F.sequence(F.lit(1), "_repeats"))).select(
         "_id", F.when(F.col("_type") == "revisit", F.col("_first_bytes")).otherwise(F.col("_own_bytes")).alias("_bytes"),
         F.when(F.col("_type") == "revisit", F.col("_first_digest")).otherwise(F.col("_own_digest")).alias("_digest"),
         "_type", "_refers_to",

@@ -63,6 +63,23 @@ def test_round_trip_of_odd_pages(spark):
         assert found[i] == (len((html or "").encode()), digest(html), "response" if first else "revisit", None if first else same)
 
 
+def test_repeated_and_nameless_pages_keep_their_rows(spark):
+    rows = [(1, "u", "same"), (1, "u", "same"), (2, "v", "same"), (2, "v", "same"), (None, None, "lone"), (None, None, "lone"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = sorted(((r["_id"], r["_type"], r["_refers_to"], r["_bytes"]) for r in warc.round_trip(pages).collect()), key=repr)
+    assert found == sorted([(1, "revisit", 2, 4)] * 2 + [(2, "response", None, 4)] * 2 + [(None, "response", None, 4)] * 2
+                           + [(None, "response", None, 0)], key=repr)
+
+
+def test_archives_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    pages = spark.createDataFrame([(i, f"u{i}", f"{i}" * 2_000) for i in range(60)], "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "a"))
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "a").rglob("*.gz")]
+    assert len(sizes) >= 8 and max(sizes) < 120_000
+    assert warc.captures(spark, str(tmp_path / "a")).count() == 60
+
+
 def test_small_payloads_and_no_pages(spark, tmp_path):
     pages = spark.createDataFrame([(1, "a", "xx"), (2, "b", "xx")], "page_id long, url string, html string")
     assert {r["_type"] for r in warc.round_trip(pages, min_bytes=3).collect()} == {"response"}
@@ -137,6 +154,43 @@ def test_links_inside_a_crowd(spark):
     assert len({found[i]["_component"] for i in range(10_000) if wanted[i]}) == 1
 
 
+def test_vectors_of_several_lengths(spark):
+    draw = np.random.default_rng(6)
+    rows = []
+    for size in (2, 8, 33):
+        for k in range(120):
+            base = draw.normal(size=size)
+            rows += [(len(rows), base.tolist()), (len(rows) + 1, (base * 2 + draw.normal(size=size) * 0.05).tolist())]
+    rows += [(5_000, [1.0, 2.0, 3.0]), (5_001, [2.0, 4.0, 6.0]), (5_002, [1.0]), (5_003, [-1.0]), (5_004, [3.0])]
+    wanted = brute_vectors_by_length(rows)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r["_id"]: tuple(r)[1:] for r in pivots.near_vectors(table).collect()}
+    assert all(found[i][0] <= wanted[i][0] for i in wanted)
+    assert sum(n for n, _, _ in found.values()) >= 0.98 * sum(n for n, _, _ in wanted.values())
+    assert found[5_000] == (1, 5_000, True) and found[5_001] == (1, 5_000, False) and found[5_004] == (1, 5_002, False)
+
+
+def brute_vectors_by_length(rows):
+    out = {}
+    for size in {len(v) for _, v in rows}:
+        out |= brute_vectors([r for r in rows if len(r[1]) == size])
+    return out
+
+
+def test_a_length_without_pivots_is_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "_pivots", lambda classes: {})
+    draw = np.random.default_rng(7)
+    rows = [(i, (draw.normal(size=4) * (1 if i < 60 else 0.1) + (i % 2)).tolist()) for i in range(90)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r["_id"]: tuple(r)[1:] for r in pivots.near_vectors(table).collect()} == brute_vectors(rows)
+
+
+def test_descriptions_are_ordered():
+    cosines = np.array([[0.5, 0.9, 0.85, 0.79], [0.2, 0.1, 0.2, 0.15]])
+    many, near = pivots._ordered(cosines)
+    assert many.tolist() == [2, 4] and near.tolist() == [1, 2, 0, 2, 3, 1]
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pivots.near_vectors(none).count() == 0
