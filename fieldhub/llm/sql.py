@@ -137,7 +137,7 @@ WITH rules(verdict, host, path) AS (
            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
            regexp_replace(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
                           '[^a-z0/._:?=&#%-]', '~', 'g') AS spelled,
-           CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 = 0 AS aside
+           CAST('0x' || substr(md5(spelled), 1, 8) AS BIGINT) % 5 = 0 AS aside
     FROM raw
 ), fits AS (
     SELECT p.page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule,

@@ -24,7 +24,7 @@ START, END = "^", "$"
 ORDER = 3  # symbols of context, at most
 PRIOR = 4.0  # weight of the shorter context's estimate
 MICRO = 1_000_000
-FOLDS = 5  # one of the folds of decided URLs, by the id's MD5, places the threshold
+FOLDS = 5  # one of the folds of decided URLs, by the spelled URL's MD5, places the threshold
 
 
 @dataclass(frozen=True)
@@ -167,7 +167,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     verdicts = F.array(*(F.lit(r.verdict) for r in rules))
     ruled = known.withColumn("_at", at).withColumn("_rule", F.get(names, F.col("_at"))).withColumn(
         "_ruled", F.get(verdicts, F.col("_at"))).drop("_at")
-    aside = md5_bits(F.coalesce(F.col("_id").cast("string"), F.lit(""))) % FOLDS == 0
+    aside = md5_bits(F.col("_spelled")) % FOLDS == 0
     train = (~aside).cast("long")
     weigh = lambda verdict: F.sum(F.when(F.col("_ruled") == verdict, train).otherwise(0))
     urls = cut(ruled.groupBy("_spelled").agg(weigh("allow").alias("_allow"), weigh("block").alias("_block")), "urls")
