@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from fieldhub.llm.common import WHITE, byte_texts, slices, text_of
 from fieldhub.llm.radix_trie import RadixTrie
@@ -152,10 +153,100 @@ def exact_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+class _Kept:
+    """Rows that own a text so far: a trie whose owners' ranks end in the place of the row."""
+
+    def __init__(self):
+        self.trie = RadixTrie()
+        self.batches: list[pa.RecordBatch] = []
+        self.held = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        """Batch: row, text, id, code points."""
+        place = len(self.batches)
+        self.batches.append(batch)
+        self.held += batch.nbytes
+        ids, points = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        for row, (key, row_id, size) in enumerate(zip(_normalised(batch.column(1)), ids, points, strict=True)):
+            self.trie.insert(key, (*_rank(size, row_id), place, row))
+
+    def rows(self) -> Iterator[tuple[pa.RecordBatch, list[int], list[int]]]:
+        """(rows, lengths, hashes) of the owners, by batch."""
+        at: list[list[tuple[int, int, int]]] = [[] for _ in self.batches]
+        for key, owner, _ in self.trie.terminals():
+            at[owner[-2]].append((owner[-1], len(key), _hash(key)))
+        for batch, found in zip(self.batches, at, strict=True):
+            if found:
+                places, lengths, hashes = zip(*sorted(found), strict=True)
+                yield batch.take(pa.array(places, pa.int64())), lengths, hashes
+
+
+def _fold_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pre-aggregation: of a task's rows those that own a text; batch: row, text, id, code points."""
+
+    def folded() -> Iterator[pa.RecordBatch]:
+        for rows, lengths, hashes in kept.rows():
+            numbers = [pa.array(lengths, pa.int64()), pa.array(hashes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *numbers], [*rows.schema.names, "_length", "_hash"])
+
+    kept = _Kept()
+    for whole in batches:
+        for batch in slices(whole, 1):
+            kept.add(batch)
+            if kept.held > FOLD_BYTES:
+                yield from folded()
+                kept = _Kept()
+    yield from folded()
+
+
+def _gathered(batches: list[pa.RecordBatch], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Small batches joined to batches of some megabytes."""
+    part: list[pa.RecordBatch] = []
+    held = 0
+    for k, batch in enumerate(batches, 1):
+        part.append(batch)
+        held += batch.nbytes
+        if held > most or k == len(batches):
+            yield from pa.Table.from_batches(part).combine_chunks().to_batches()
+            part, held = [], 0
+
+
+def _own_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The owners' rows of a partition that is sorted by (length, hash); batch as of ``_fold_rows``."""
+    kept, current = _Kept(), None
+    for batch in batches:
+        keys = list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True))
+        start, row = 0, batch.select(range(4))
+        done: list[pa.RecordBatch] = []
+        for at in range(1, len(keys) + 1):
+            if at < len(keys) and keys[at] == keys[start]:
+                continue
+            if keys[start] != current:  # the key before is complete
+                done += [rows.select(range(2)) for rows, _, _ in kept.rows()]
+                kept, current = _Kept(), keys[start]
+            kept.add(row.slice(start, at - start))
+            start = at
+        yield from _gathered(done)
+    yield from _gathered([rows.select(range(2)) for rows, _, _ in kept.rows()])
+
+
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that own their text, with all their columns.
+    """Of the rows of equal text the owner's, with all its columns: one row per different text.
 
-    Rows without an id stay only if no row of their text has one.
+    Owners are those of ``exact_owners``; of rows that are alike in id and code points one
+    stays.  The row travels as the payload of its text's terminal, so texts are shuffled once.
+    The text column is read as a string; null texts count as empty and stay null.
     """
-    kept = exact_owners(docs, id_col, text_col).filter("_kept").select(F.col("_id").alias("_kept_id"))
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(F.lit(True).alias("_"), *(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(others)))
+    given = docs.select(
+        row.alias("_row"), docs[f"`{text_col}`"].cast("string").alias("_text"), docs[f"`{id_col}`"].cast("long").alias("_id"),
+        F.length(text_of(text_col)).cast("long").alias("_points"))
+    numbers = [StructField("_length", LongType()), StructField("_hash", LongType())]
+    folded = given.mapInArrow(_fold_rows, StructType([*given.schema, *numbers]))
+    kept = (
+        folded.repartition("_length", "_hash").sortWithinPartitions("_length", "_hash")
+        .mapInArrow(_own_rows, given.select("_row", "_text").schema))
+    place = {c: k for k, c in enumerate(others)}
+    return kept.select(*(
+        F.col("_text").alias(c) if c == text_col else F.col(f"_row.c{place[c]}").alias(c) for c in docs.columns))

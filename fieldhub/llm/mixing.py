@@ -14,12 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldhub.llm.common import WORD, md5_bits, text_of
+from fieldhub.llm.common import WORD, cut, md5_bits, text_of
 
 WEIGHTS = (3, 1, 2)  # by rank of the source's name, repeating
 SHARE = (3, 2)  # the mix is 3/2 of all tokens
 MOST = 2  # no source is repeated more often
 CELL = 2_000  # documents of a cell, about
+MOST_SOURCES = 10_000  # targets of so many sources are broadcast, more are not
 SEED = "mix"
 
 
@@ -62,37 +63,43 @@ def source_targets(sized: DataFrame, source_col: str) -> DataFrame:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None,
-    seed: str = SEED,
+    seed: str = SEED, carried: Column | None = None, text_col: str = "text",
 ) -> DataFrame:
-    """(_id, _size, _source_size, _target, _copies) for every row of ``docs``.
+    """(_id, _size, _source_size, _target, _copies) for every row of ``docs``, and ``carried`` as _row if given.
 
     ``_copies`` is how often the mix takes the document: never more than MOST times.  ``size``
     counts tokens (words of ``text`` if not given); null sizes count as 0, null sources are a
     source of their own, ranked last.  A source without tokens has the target 0 and
-    gives no copies.  Draws depend on the ids, sizes and the seed only, so
-    reruns agree; repeated rows are documents of their own, each drawn in turn.
+    gives no copies.  Draws depend on the ids, sizes and the seed only (for rows without an id on the
+    text), so reruns agree; repeated rows are documents of their own, each drawn in turn.
     """
     size = words() if size is None else size
+    unnamed = F.md5(text_of(text_col)) if text_col in docs.columns else F.lit("")
     sized = docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_of"),
         F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("_size"),
+        F.coalesce(F.col(id_col).cast("string"), unnamed).alias("_key"),
+        *([] if carried is None else [carried.alias("_row")]),
     )
     targets = source_targets(sized, "_of")
+    if carried is not None:  # few sources go to the rows, many sources meet them by name
+        targets = cut(targets, "targets")
+        targets = F.broadcast(targets) if targets.count() <= MOST_SOURCES else targets
     met = sized.join(targets, F.col("_of").eqNullSafe(F.col("_source")))
     rate = F.coalesce(F.try_divide(F.col("_target"), F.col("_source_size")), F.lit(0.0))
     whole = F.floor("_rate")
-    key = F.coalesce(F.col("_id").cast("string"), F.lit(""))
-    cell = md5_bits(F.concat(F.lit(f"{seed}/"), key)) % F.ceil(F.col("_rows") / CELL)
+    cell = md5_bits(F.concat(F.lit(f"{seed}/"), "_key")) % F.ceil(F.col("_rows") / CELL)
     celled = met.withColumn("_rate", rate).withColumn("_cell", cell)
     turn = F.row_number().over(
-        Window.partitionBy("_source", "_cell").orderBy("_size", md5_bits(F.concat(F.lit(f"{seed}:"), key)), "_id")
+        Window.partitionBy("_source", "_cell").orderBy("_size", md5_bits(F.concat(F.lit(f"{seed}:"), "_key")), "_id")
     )
     name = F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("-"))
     uniform = md5_bits(F.concat(F.lit(f"{seed}#"), F.col("_cell").cast("string"), name)) / F.lit(4294967296.0)
     passed = lambda k: F.floor(k * (F.col("_rate") - whole) + uniform)
     extra = passed(F.col("_turn")) - passed(F.col("_turn") - 1)
     return celled.withColumn("_turn", turn).select(
-        "_id", "_size", "_source_size", "_target", (whole + extra).cast("long").alias("_copies")
+        "_id", "_size", "_source_size", "_target", (whole + extra).cast("long").alias("_copies"),
+        *([] if carried is None else ["_row"]),
     )
 
 
@@ -100,10 +107,11 @@ def mixed(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None,
     seed: str = SEED,
 ) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    taken = mix(docs, id_col, source_col, size, seed).groupBy(F.col("_id").alias("_mix_id")).agg(
-        F.max("_copies").alias("_copies")
-    )
-    met = docs.join(taken, docs[id_col].eqNullSafe(taken["_mix_id"]))
-    row = F.struct(*(docs[c] for c in docs.columns))
-    return met.select(F.explode(F.array_repeat(row, taken["_copies"].cast("int"))).alias("row")).select("row.*")
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns.
+
+    Every row has a count of its own, also where rows share an id or have none.  Nulls are as of ``mix``.
+    """
+    row = F.struct(*(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(docs.columns)))
+    taken = mix(docs, id_col, source_col, size, seed, row).filter("_copies > 0")
+    copies = taken.select(F.explode(F.array_repeat("_row", F.col("_copies").cast("int"))).alias("_row"))
+    return copies.select(*(F.col(f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)))

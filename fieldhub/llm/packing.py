@@ -24,6 +24,7 @@ from fieldhub.llm.common import cut, slices, text_of
 from fieldhub.llm.tokens import Ids
 
 SIZE = 2048
+SLICE = 4 << 20  # bytes of text whose words are held at once
 END = 0  # id that closes every document
 BUCKET = 20_000  # pieces of one length that are ranked in one window, about
 
@@ -49,7 +50,7 @@ def _pieces(tokenizer: str, size: int):
         ids = Ids.of(tokenizer)
         end = np.array([END], dtype="<u4").tobytes()
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, SLICE):
                 rows = []
                 encoded = ids.encode(batch.column(1).to_pylist())
                 for row_id, found in zip(batch.column(0).to_pylist(), encoded, strict=True):
@@ -121,12 +122,12 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[Run]:
 def _ranked(pieces: DataFrame) -> DataFrame:
     """``_rank`` of each piece among those of its length, from 0."""
     counted = pieces.groupBy("_length").agg(F.count(F.lit(1)).alias("_many"))
-    bucket = F.pmod(F.xxhash64("_id", "_piece"), F.ceil(F.col("_many") / BUCKET))
+    bucket = F.pmod(F.xxhash64("_id", "_piece", "_crc"), F.ceil(F.col("_many") / BUCKET))
     dealt = pieces.join(F.broadcast(counted), "_length").withColumn("_bucket", bucket)  # <= SIZE rows
     sums = dealt.groupBy("_length", "_bucket").agg(F.count(F.lit(1)).alias("_in"))
     before = Window.partitionBy("_length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0))).drop("_in")
-    own = Window.partitionBy("_length", "_bucket").orderBy("_id", "_piece")
+    own = Window.partitionBy("_length", "_bucket").orderBy("_id", "_piece", "_crc")
     return (
         dealt.withColumn("_own", F.row_number().over(own) - 1)
         .join(sums, ["_length", "_bucket"])

@@ -15,23 +15,26 @@ broadcast of them would have no size bound.  Each tree meets its own queries ins
 Near copies of a similarity (``similar_groups``, the corpus pipeline's stage) need another
 radius: documents of Jaccard 0.8 are about 10 of 64 bits apart, where neither blocks of bits
 nor a BK-tree leave anything out (strangers are about 32 apart).  There the shards are dealt
-by ``BANDS`` keys of ``ROWS`` minimum hashes of the shingles, the fingerprints only drop
-pairs more than ``FAR`` bits apart, and every pair is verified by the exact Jaccard similarity
-of its whole texts before it joins anything.  A document first meets one leader per shard;
-only pairs that this leaves in different groups are compared after it, so a large group costs
-its size and not its square.
+by ``BANDS`` keys of ``ROWS`` minimum hashes of the shingles, the fingerprints (of sets of shingles, so
+that repeats don't move them) and sizes only drop pairs that cannot be similar, and every pair is verified by the exact Jaccard similarity
+of its whole texts before it joins anything.  A document first meets one leader per shard.
+Members of shards that this leaves with several groups are then listed by their rarest
+shingles: a text that shares only common passages with others meets none of them there, so a
+large group costs its size and not its square.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fieldhub.llm.bktree import spanning_links
 from fieldhub.llm.common import byte_texts, cut, slices, text_of
@@ -46,33 +49,13 @@ STEP = 1 << 16  # shingles hashed at once
 CONTRACT_WIDTH = 3  # op10's shingles, for which RADIUS is given
 SIMILAR = 0.8  # least Jaccard similarity of near copies by other shingles
 BANDS, ROWS = 20, 5  # at Jaccard 0.8 a pair shares none of the keys in 0.04 % of cases
-FAR = 22  # bits; at Jaccard 0.8 the mean is 9.7 and the deviation 2.9
+FAR = 28  # bits of fingerprints of sets; at Jaccard 0.8 the mean is 9.7 to 12 (small sets) and the deviation about 3
+LISTED = 32  # members of a list that are compared with each other at once
+COMMON_BITS = 18  # buckets that tell common shingles from rare ones
 SLICE = 4 << 20  # bytes of text that are worked on at once
 MINIMA_STEP = 1024  # shingles that meet all multipliers at once
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """SimHash of a text's ``width``-word shingles, repeats counted; 0 without words."""
-    words = text.lower().split()  # bytes: only A-Z is lowered, only ASCII white space splits
-    if not words:
-        return 0
-    sums, total = np.zeros(64, dtype=np.int64), max(1, len(words) - width + 1)
-    for first in range(0, total, STEP):
-        part = words[first : min(first + STEP, total) + width - 1]
-        joined = b" ".join(part)
-        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))[: max(1, len(part) - width + 1)].tolist()
-        stops = (ends[min(width, len(part)) - 1 :] - 1).tolist()
-        shingles = [joined[a:b] for a, b in zip(starts, stops, strict=True)]
-        hashes = np.fromiter(
-            map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, len(shingles)
-        )
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8), bitorder="little")
-        sums += bits.reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    majority = np.packbits(2 * sums > total, bitorder="little")
-    return int.from_bytes(majority.tobytes(), "little", signed=True)
-
-
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -151,19 +134,50 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
         masks = sorted({block for mask in masks for block in _blocks(mask, parts)})
 
 
-def _shingles(words: list[bytes], width: int) -> set[bytes]:
-    """Different shingles; a text with fewer words, also none, is one."""
-    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+def _hashed(words: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """The shingles' XXH64, repeats included, ``STEP`` at a time; fewer words than ``width`` are one."""
+    total = max(1, len(words) - width + 1)
+    for first in range(0, total, STEP):
+        part = words[first : min(first + STEP, total) + width - 1]
+        joined = b" ".join(part)
+        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+        starts = np.concatenate(([0], ends[:-1]))[: max(1, len(part) - width + 1)].tolist()
+        stops = (ends[min(width, len(part)) - 1 :] - 1).tolist()
+        shingles = [joined[a:b] for a, b in zip(starts, stops, strict=True)]
+        yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, len(shingles))
+
+
+def _majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of the hashes have."""
+    sums, total = np.zeros(64, dtype=np.int64), 0
+    for hashes in parts:
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8), bitorder="little")
+        sums += bits.reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        total += len(hashes)
+    majority = np.packbits(2 * sums > total, bitorder="little")
+    return int.from_bytes(majority.tobytes(), "little", signed=True)
 
 
-def _key(words: list[bytes]) -> int:
-    """Names a text up to case and white space."""
-    return _signed(xxhash.xxh64_intdigest(b" ".join(words), 7))
+def fingerprint(text: bytes, width: int) -> int:
+    """SimHash of a text's ``width``-word shingles, repeats counted; 0 without words."""
+    words = text.lower().split()  # bytes: only A-Z is lowered, only ASCII white space splits
+    return _majority(_hashed(words, width)) if words else 0
+
+
+def _shingle_set(words: list[bytes], width: int) -> np.ndarray:
+    """Different shingles' hashes, sorted; a text without words has the empty shingle's."""
+    if not words:
+        return np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
+    return np.unique(np.concatenate([np.unique(part) for part in _hashed(words, width)]))
 
 
-def _band_keys(shingles: set[bytes], factors: np.ndarray) -> list[int]:
+def _key(words: list[bytes]) -> str:
+    """Names a text up to case and white space, by 128 bits."""
+    return xxhash.xxh3_128_hexdigest(b" ".join(words), 7)
+
+
+def _band_keys(hashes: np.ndarray, factors: np.ndarray) -> list[int]:
     """Shard keys: each hashes some of the minima of the multiplied shingle hashes."""
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, len(shingles))
     minima = np.full(len(factors), ALL_BITS, np.uint64)
     for first in range(0, len(hashes), MINIMA_STEP):
         part = hashes[first : first + MINIMA_STEP]
@@ -172,60 +186,68 @@ def _band_keys(shingles: set[bytes], factors: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(row.tobytes(), band)) for band, row in enumerate(rows)]
 
 
+_DESCRIBED = "_id long, _key string, _print long, _size long, _bands array<long>"
+
+
 def _described(width: int):
     factors = np.random.default_rng(5).integers(0, ALL_BITS, BANDS * ROWS, np.uint64, endpoint=True) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1, SLICE):
-                keys, prints, bands = [], [], []
+                rows = []
                 for text in byte_texts(batch.column(1)):
                     words = text.lower().split()
-                    keys.append(_key(words))
-                    prints.append(fingerprint(text, width))
-                    bands.append(_band_keys(_shingles(words, width), factors))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(keys, pa.int64()), pa.array(prints, pa.int64()),
-                     pa.array(bands, pa.list_(pa.int64()))], ["_id", "_key", "_print", "_bands"])
+                    hashes = _shingle_set(words, width)
+                    rows.append((_key(words), _majority([hashes]), len(hashes), _band_keys(hashes, factors)))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                arrays = [pa.array(values, kind) for values, kind in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["_id", "_key", "_print", "_size", "_bands"])
 
     return run
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the text's key; batch: row, text."""
     for whole in batches:
-        for batch in slices(whole, 0, SLICE):
-            texts = [b" ".join(text.lower().split()) for text in byte_texts(batch.column(0))]
-            keys = [_key(text.split()) for text in texts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(texts, pa.binary())], ["_key", "_words"])
+        for batch in slices(whole, 1, SLICE):
+            keys = [_key(text.lower().split()) for text in byte_texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], ["_row", "_text", "_key"])
 
 
 def _hash_sets(width: int):
-    """The different shingles' hashes of each text; batch: key, normalised text."""
+    """The different shingles' hashes of each text; batch: key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1, SLICE):
-                sets = [
-                    np.unique(np.fromiter(map(xxhash.xxh64_intdigest, _shingles(text.split(), width)), np.uint64)).view(np.int64)
-                    for text in byte_texts(batch.column(1))
-                ]
+                sets = [_shingle_set(text.lower().split(), width).view(np.int64) for text in byte_texts(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["_key", "_set"])
 
     return run
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) that are similar by all shingles of their whole texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+def _sets(wanted: DataFrame, docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(_key, _set): the shingle sets of the texts with the keys wanted, each once."""
+    given = docs.select(F.lit(0).alias("_row"), text_of(text_col).alias("_text"))
     texts = (
-        docs.select(text_of(text_col).alias("_text")).mapInArrow(_keyed, "_key long, _words binary")
-        .join(wanted, "_key", "left_semi").groupBy("_key").agg(F.first("_words").alias("_words")))
-    sets = cut(texts.mapInArrow(_hash_sets(width), "_key long, _set array<long>"), "sets")
+        given.mapInArrow(_keyed, "_row int, _text string, _key string").join(wanted, "_key", "left_semi")
+        .groupBy("_key").agg(F.first("_text").alias("_text")))
+    return cut(texts.mapInArrow(_hash_sets(width), "_key string, _set array<long>"), "sets")
+
+
+def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, _jaccard): the similarity of pairs by all shingles of their whole texts."""
     one, other = sets.toDF("a", "_one"), sets.toDF("b", "_other")
     met = pairs.join(one, "a").join(other, "b").withColumn("_both", F.size(F.array_intersect("_one", "_other")))
     union = F.size("_one") + F.size("_other") - F.col("_both")
-    return cut(met.filter(F.col("_both") / union >= least).select("a", "b"), "similar")
+    return met.select("a", "b", (F.col("_both") / union).alias("_jaccard"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of a similarity of ``least`` or more."""
+    return cut(_similarities(pairs, sets).filter(F.col("_jaccard") >= least).select("a", "b"), "similar")
 
 
 def _rooted(classes: DataFrame, found: DataFrame) -> DataFrame:
@@ -234,47 +256,168 @@ def _rooted(classes: DataFrame, found: DataFrame) -> DataFrame:
     return classes.join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
 
 
+def _alike(one: str, other: str, least: float) -> Column:
+    """What every pair of similarity ``least`` fulfils: sizes alike, fingerprints not ``FAR`` apart."""
+    a, b = F.col(f"{one}._size"), F.col(f"{other}._size")
+    bits = F.bit_count(F.col(f"{one}._print").bitwiseXOR(F.col(f"{other}._print")))
+    return (bits <= FAR) & (F.least(a, b) >= least * F.greatest(a, b) - 1e-6)
+
+
+def _pairs(met: DataFrame, one: str, other: str, least: float) -> DataFrame:
+    a, b = F.col(f"{one}._key"), F.col(f"{other}._key")
+    return met.filter((a != b) & _alike(one, other, least)).select(
+        F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+# --- what the shards leave open ---------------------------------------------------------------
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - COMMON_BITS)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's shingles fall in each bucket; batch: set."""
+    counts = np.zeros(1 << COMMON_BITS, np.int64)
+    for batch in batches:
+        values = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+        counts += np.bincount(_bucket(values), minlength=len(counts))
+    found = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["_bucket", "_n"])
+
+
+_LISTED = "_token long, _node long, _head long, _common float"
+
+
+def _prefixes(shared, least: float):
+    """The rarest shingles of each set, so many that sets without one in common are under ``least``;
+    batch: node, head, set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            owners, tokens, common = [], [], []
+            for row in range(batch.num_rows):
+                hashes = batch.column(2)[row].values.to_numpy(zero_copy_only=False)
+                often = counts[_bucket(hashes)]
+                size = len(hashes) - math.ceil(least * len(hashes) - 1e-6) + 1
+                rarest = np.lexsort((hashes, often))[:size]
+                owners.append(np.full(len(rarest), row))
+                tokens.append(hashes[rarest])
+                common.append(np.full(len(rarest), often.mean()))
+            if owners:
+                at = pa.array(np.concatenate(owners))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(tokens)), *(batch.column(c).take(at) for c in range(2)),
+                     pa.array(np.concatenate(common).astype(np.float32))],
+                    ["_token", "_node", "_head", "_common"])
+
+    return run
+
+
+def _lists(members: DataFrame, least: float) -> DataFrame:
+    """The members (_node, _head, _set) by their rarest shingles: two sets of similarity ``least``
+    meet in a list.  ``_many`` counts a list; lists of one group are left out.
+
+    Any one order of the shingles gives that; the order by bucket counts only makes lists
+    short.  Counts are 2^COMMON_BITS numbers whatever there is to count.
+    """
+    sums = members.select("_set").mapInArrow(_counted, "_bucket long, _n long").groupBy("_bucket").agg(F.sum("_n").alias("_n"))
+    counts = np.zeros(1 << COMMON_BITS, np.int64)
+    for row in sums.collect():  # one row a bucket at most
+        counts[row["_bucket"]] = row["_n"]
+    shared = members.sparkSession.sparkContext.broadcast(counts)
+    lists = cut(members.select("_node", "_head", "_set").mapInArrow(_prefixes(shared, least), _LISTED), "lists")
+    spans = lists.groupBy("_token").agg(
+        F.min("_head").alias("_low"), F.max("_head").alias("_high"), F.count(F.lit(1)).alias("_many"))
+    return cut(lists.join(spans.filter("_low < _high").select("_token", "_many"), "_token"), "open")
+
+
+def _listed_pairs(lists: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """(a, b) of members of different groups in a list.  ``_far`` is a member's distance to a text
+    that is the same in the whole list: the Jaccard distance is a metric, so two such
+    distances that differ by more than 1 - ``least`` are those of texts that cannot be similar."""
+    light = members.select("_node", "_print", "_size")
+    rows = lists.join(light, "_node").select("_token", F.struct("_node", "_head", "_print", "_size", "_far").alias("_one"))
+    a, b = F.col("_one"), F.col("_other")
+    apart = (a["_node"] < b["_node"]) & (a["_head"] != b["_head"])
+    near = F.abs(a["_far"] - b["_far"]) <= 1 - least + 1e-9
+    met = rows.join(rows.withColumnRenamed("_one", "_other"), "_token").filter(apart & near & _alike("_one", "_other", least))
+    return met.select(a["_node"].alias("a"), b["_node"].alias("b")).distinct()
+
+
+def _listed_links(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links between members of different groups that the shards' leaders have not found.
+
+    In a list of up to ``LISTED`` members pairs of different groups are compared.  In a longer one all members first
+    meet one leader, the one whose shingles are the most common (of a group of near copies
+    that is what they are copies of), which joins groups and gives each member a distance that rules out most others.
+    """
+    nodes = cut(left.withColumn("_node", F.monotonically_increasing_id()), "nodes")
+    heads = nodes.groupBy("_root").agg(F.min("_node").alias("_head"))
+    members = cut(nodes.join(heads, "_root").join(sets, "_key").select("_node", "_head", "_print", "_size", "_set"), "members")
+    known = members.select("_node", "_set")
+    lists = _lists(members, least)
+    pairs = _listed_pairs(lists.filter(F.col("_many") <= LISTED).withColumn("_far", F.lit(0.0)), members, least)
+
+    long = lists.filter(F.col("_many") > LISTED)
+    leaders = long.groupBy("_token").agg(F.max_by("_node", F.struct("_common", "_node")).alias("_first"))
+    met = cut(long.join(leaders, "_token").select("_token", "_node", "_head", "_first"), "led")
+    asked = met.filter("_node <> _first").select(F.col("_node").alias("a"), F.col("_first").alias("b")).distinct()
+    measured = cut(_similarities(asked, known), "measured")
+    found = measured.filter(F.col("_jaccard") >= least).select("a", "b")
+    of = members.select("_node", "_head")
+    between = found.join(of.toDF("a", "_a"), "a").join(of.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    merged = _rooted(of.select(F.col("_head").alias("_key")).distinct(), between).toDF("_head", "_now")
+    far = measured.select(F.col("a").alias("_node"), F.col("b").alias("_first"), (1 - F.col("_jaccard")).alias("_far"))
+    placed = met.join(far, ["_node", "_first"], "left").join(merged, "_head").select(
+        "_token", "_node", F.col("_now").alias("_head"), F.coalesce("_far", F.lit(0.0)).alias("_far"))
+    placed = cut(placed, "placed")
+    spans = placed.groupBy("_token").agg(F.min("_head").alias("_low"), F.max("_head").alias("_high")).filter("_low < _high")
+    rest = _listed_pairs(placed.join(spans.select("_token"), "_token"), members, least)
+    compared = cut(pairs.unionByName(rest).distinct(), "pairs")
+    links = found.unionByName(_similar(compared, known, least))
+    names = nodes.select("_node", "_key")
+    return links.join(names.toDF("a", "_a"), "a").join(names.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+
+
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
     least: float = SIMILAR,
 ) -> DataFrame:
-    """(_id, _print, _group) as of ``near_groups``, by links of texts whose sets of
+    """(_id, _key, _print, _root, _group) for every row, by links of texts whose sets of
     ``width``-word shingles have a Jaccard similarity of ``least`` or more.
 
-    No pair under ``least`` links.  Pairs are found by shared keys, which miss some of those
-    near ``least`` (README: measured recall); keys are made for 0.8 and more.
+    ``_root`` names the group, ``_group`` is the smallest id in it (null if no row of it has one), ``_key`` the
+    text up to case and white space, ``_print`` the SimHash of its set of shingles.  No pair
+    under ``least`` links.  Texts without words are one text.  Pairs are found by shared keys,
+    which miss some of those near ``least`` (README: measured recall); keys are made for 0.8 and more.
     """
     given = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
-    rows = cut(given.mapInArrow(_described(width), "_id long, _key long, _print long, _bands array<long>"), "prints")
+    rows = cut(given.mapInArrow(_described(width), _DESCRIBED), "prints")
     classes = cut(rows.groupBy("_key").agg(
-        F.min("_id").alias("_least"), F.first("_print").alias("_print"), F.first("_bands").alias("_bands")), "classes")
-    dealt = classes.select("_key", "_print", F.explode("_bands").alias("_shard"))
+        F.min("_id").alias("_least"), *(F.first(c).alias(c) for c in ("_print", "_size", "_bands"))), "classes")
+    dealt = classes.select("_key", "_print", "_size", F.explode("_bands").alias("_shard"))
     leaders = dealt.groupBy("_shard").agg(
-        F.min_by(F.struct("_key", "_print"), F.xxhash64("_key", "_shard")).alias("_first"),
+        F.min_by(F.struct("_key", "_print", "_size"), F.xxhash64("_key", "_shard")).alias("_first"),
         F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     members = cut(dealt.join(leaders, "_shard"), "members")
-    near = F.bit_count(F.col("_print").bitwiseXOR(F.col("_first._print"))) <= FAR
-    met = cut(members.filter((F.col("_key") != F.col("_first._key")) & near).select(
-        F.col("_key").alias("a"), F.col("_first._key").alias("b")).distinct(), "pairs")
-    found = _similar(met, docs, text_col, width, least)
+    met = members.select(F.struct("_key", "_print", "_size").alias("_one"), "_first")
+    tested = cut(_pairs(met, "_one", "_first", least), "pairs")
+    wanted = tested.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+    found = _similar(tested, _sets(wanted, docs, text_col, width), least)
 
-    labelled = _rooted(members.select("_shard", "_key", "_print"), found)
+    labelled = cut(_rooted(members.select("_shard", "_key", "_print", "_size"), found), "labelled")
     open_shards = labelled.groupBy("_shard").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).filter(
         "_low < _high").select("_shard")
-    left = cut(labelled.join(open_shards, "_shard"), "open")
-    one = left.toDF("_shard", "a", "_print_a", "_root_a")
-    other = left.toDF("_shard", "b", "_print_b", "_root_b")
-    near = F.bit_count(F.col("_print_a").bitwiseXOR(F.col("_print_b"))) <= FAR
-    apart = (F.col("a") < F.col("b")) & (F.col("_root_a") != F.col("_root_b")) & near
-    tested = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(one.join(other, "_shard").filter(apart).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        found = cut(found.unionByName(_similar(rest, docs, text_col, width, least)), "links")
-
-    rooted = _rooted(classes.select("_key", "_least"), found)
+    left = cut(labelled.join(open_shards, "_shard").groupBy("_key").agg(
+        *(F.first(c).alias(c) for c in ("_print", "_size", "_root"))), "left")
+    if not left.isEmpty():
+        sets = _sets(left.select("_key"), docs, text_col, width)
+        found = cut(found.unionByName(_listed_links(left, sets, least)), "links")
+
+    rooted = cut(_rooted(classes.select("_key", "_least"), found), "rooted")
     groups = rooted.groupBy("_root").agg(F.min("_least").alias("_group"))
-    named = rooted.join(groups, "_root").select("_key", "_group")
-    return rows.select("_id", "_key", "_print").join(named, "_key").select("_id", "_print", "_group")
+    named = rooted.join(groups, "_root").select("_key", "_root", "_group")
+    return rows.select("_id", "_key", "_print").join(named, "_key").select("_id", "_key", "_print", "_root", "_group")
 
 
 def near_groups(
@@ -293,7 +436,7 @@ def near_groups(
     an id.  Repeated rows stay and share their group.
     """
     if radius is None and width != CONTRACT_WIDTH:
-        return similar_groups(docs, id_col, text_col, width)
+        return similar_groups(docs, id_col, text_col, width).select("_id", "_print", "_group")
     radius = RADIUS if radius is None else radius
     rows = cut(fingerprints(docs, id_col, text_col, width), "prints")
     prints = rows.groupBy("_print").agg(F.min("_id").alias("_least"))
@@ -312,9 +455,20 @@ def drop_near(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
     least: float = SIMILAR,
 ) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their near-duplicate group: links are
-    verified Jaccard similarities of ``least`` or more."""
-    kept = similar_groups(docs, id_col, text_col, width, least).filter(
-        F.col("_id").eqNullSafe(F.col("_group"))
-    ).select(F.col("_id").alias("_kept_id"))
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
+    """One row of each near-duplicate group, with all columns: links are verified Jaccard
+    similarities of ``least`` or more.
+
+    The row with the smallest id stays, a row without one only if the group has no other; of rows that share that id
+    the one with the least text key, of equal rows one.  The text column is read as a string; null texts count as empty.
+    """
+    groups = similar_groups(docs, id_col, text_col, width, least)
+    kept = groups.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key")).alias("_best"))
+    name = lambda key, row_id: F.concat(key, F.lit(":"), F.coalesce(row_id.cast("string"), F.lit("")))
+    names = kept.select(name(F.col("_best._key"), F.col("_best._id")).alias("_name"))
+    row = F.struct(*(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(docs.columns)))
+    given = docs.select(row.alias("_row"), text_of(text_col).alias("_text"))
+    keyed = given.mapInArrow(_keyed, StructType([*given.schema, StructField("_key", StringType())]))
+    row_id = F.col(f"_row.c{docs.columns.index(id_col)}").cast("long")
+    named = keyed.select("_row", name(F.col("_key"), row_id).alias("_name")).join(names, "_name", "left_semi")
+    one = named.groupBy("_name").agg(F.first("_row").alias("_row"))
+    return one.select(*(F.col(f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)))

@@ -64,3 +64,34 @@ def test_hash_collisions_branch_in_the_trie(spark, monkeypatch):
 def test_drop_keeps_columns_and_empty_tables(odd_docs, no_docs):
     assert exact.drop_exact(odd_docs).columns == odd_docs.columns
     assert exact.drop_exact(no_docs).count() == 0 and exact.exact_owners(no_docs).count() == 0
+
+
+def brute_kept(rows):
+    best = {}
+    for row in rows:
+        text = row[1] or ""
+        rank = (-len(text), row[0] is None, row[0] or 0)
+        key = text.translate(str.maketrans("", "", " \t\n\x0b\f\r"))
+        if key not in best or rank < best[key][0]:
+            best[key] = rank, row[:2]
+    return sorted((row for _, row in best.values()), key=repr)
+
+
+def test_drop_decides_by_row(spark, odd_docs, docs):
+    kind = "doc_id long, text string, _row string, _text int"
+    given = [(1, "ab"), (None, "a b"), (None, "ab"), (None, "zzz"), (2, "ab"), (2, "qq"), (2, "qq"), (None, None), (None, "")]
+    frame = spark.createDataFrame([(*row, "r", 1) for row in given], kind).repartition(3)
+    out = exact.drop_exact(frame)
+    assert out.schema == frame.schema
+    assert sorted((tuple(r)[:2] for r in out.collect()), key=lambda r: repr((r[1], r[0]))) == sorted(
+        [(None, "a b"), (None, "zzz"), (2, "qq"), (None, [r for r in out.collect() if not r["text"]][0]["text"])], key=lambda r: repr((r[1], r[0])))
+    for table in (odd_docs, docs):
+        kept = sorted(((r["doc_id"], r["text"]) for r in exact.drop_exact(table).collect()), key=repr)
+        want = brute_kept(rows_of(table))
+        blank = lambda rows: [(i, t) for i, t in rows if (t or "").strip()]
+        assert blank(kept) == blank(want) and len(kept) == len(want)
+
+
+def test_rows_survive_small_folds(spark, monkeypatch, docs):
+    monkeypatch.setattr(exact, "FOLD_BYTES", 1_000)
+    assert sorted(r["doc_id"] for r in exact.drop_exact(docs).collect()) == sorted(i for i, _ in brute_kept(rows_of(docs)))

@@ -66,3 +66,14 @@ def test_mixed_repeats_rows(odd_docs, no_docs):
     copies = {r["_id"]: r["_copies"] for r in mixing.mix(odd_docs).collect()}
     assert out.filter("doc_id = 7").count() == copies[7]
     assert mixing.mixed(no_docs).count() == 0
+
+
+def test_rows_of_one_id_have_counts_of_their_own(spark):
+    text = "one two three four five six"
+    frame = spark.createDataFrame([(i, text, "a", "x") for i in (1, 1, 1, None, None, 2)], "doc_id long, text string, source string, _row string")
+    counts = sorted(r["_copies"] for r in mixing.mix(frame).collect())
+    out = mixing.mixed(frame)
+    assert out.schema == frame.schema
+    assert out.count() == sum(counts)
+    assert abs(6 * sum(counts) - 54) <= 6
+    assert mixing.mixed(frame.limit(0)).count() == 0
