@@ -244,7 +244,7 @@ def baseline_findings(spark, d):
 SELECT permit_id, CASE WHEN headcount = 0 THEN 2 WHEN headcount < 10000 THEN 3 WHEN headcount < 100000 THEN 5
    WHEN headcount < 1000000 THEN 8 ELSE 12 END AS radius,
   CASE WHEN headcount < 100000 THEN 5 ELSE 8 END AS simple_radius,
-  ['red','blue','green','purple','orange','darkred','darkblue','darkgreen','cadetblue','pink'][assigned_site_idx % 10 + 1] AS colour
+  ['red','blue','green','purple','orange','darkred','darkblue','darkgreen','cadetblue','pink'][(assigned_site_idx + 10) % 10 + 1] AS colour
 FROM assignment WHERE n_hubs = 10"""))
 def map_markers(spark, d):
     return A.map_markers(ten_hubs(spark, d)).select("permit_id", "radius", "simple_radius", "colour")
