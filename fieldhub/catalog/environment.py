@@ -60,11 +60,11 @@ _RISK_VIEWS = ["permit", "located", "raster", "edge", "utm", "waterway"]
 
 @query("runoff_risk", with_views(_RISK_VIEWS, _RISK + """
 SELECT permit_id, round(surplus_n, 2) AS surplus_n, round(m, 3) AS distance_m,
-  round(surplus_n / greatest(m, 100), 6) AS runoff_risk FROM risk"""))
+  round(surplus_n / greatest(m, 100), 3) AS runoff_risk FROM risk"""))
 def runoff_risk(spark, d):
     return _risks(spark, d).select(
         "permit_id", F.round("surplus_n", 2).alias("surplus_n"), F.round("line_distance_m", 3).alias("distance_m"),
-        F.round("runoff_risk", 6).alias("runoff_risk"),
+        F.round("runoff_risk", 3).alias("runoff_risk"),
     )
 
 
