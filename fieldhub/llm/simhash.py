@@ -52,6 +52,7 @@ BANDS, ROWS = 20, 5  # at Jaccard 0.8 a pair shares none of the keys in 0.04 % o
 FAR = 28  # bits of fingerprints of sets; at Jaccard 0.8 the mean is 9.7 to 12 (small sets) and the deviation about 3
 LISTED = 32  # members of a list that are compared with each other at once
 COMMON_BITS = 18  # buckets that tell common shingles from rare ones
+MOST_KEYS = 500_000  # texts asked for that are broadcast by key (some 40 MB), more are joined
 SLICE = 4 << 20  # bytes of text that are worked on at once
 MINIMA_STEP = 1024  # shingles that meet all multipliers at once
 
@@ -231,6 +232,9 @@ def _hash_sets(width: int):
 def _sets(wanted: DataFrame, docs: DataFrame, text_col: str, width: int) -> DataFrame:
     """(_key, _set): the shingle sets of the texts with the keys wanted, each once."""
     given = docs.select(F.lit(0).alias("_row"), text_of(text_col).alias("_text"))
+    wanted = cut(wanted, "wanted")
+    if wanted.count() <= MOST_KEYS:  # then the texts that nobody wants are not shuffled
+        wanted = F.broadcast(wanted)
     texts = (
         given.mapInArrow(_keyed, "_row int, _text string, _key string").join(wanted, "_key", "left_semi")
         .groupBy("_key").agg(F.first("_text").alias("_text")))
