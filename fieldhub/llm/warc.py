@@ -44,7 +44,11 @@ _SCHEMA = pa.schema([
 
 def base32_sha1(payload: Column) -> Column:
     """The SHA-1 of a binary or string column in upper-case base 32 (32 characters)."""
-    digits = F.sha1(payload)
+    return _base32(F.sha1(payload))
+
+
+def _base32(digits: Column) -> Column:
+    """40 hexadecimal digits in upper-case base 32."""
     groups = (F.lpad(F.conv(F.substring(digits, 5 * g + 1, 5), 16, 32), 4, "0") for g in range(8))
     return F.translate(F.concat(*groups), *BASE32)
 
@@ -76,10 +80,11 @@ def _captures_of(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     named = pages.select(
         F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), payload.alias("_payload"),
-        base32_sha1(payload).alias("_digest"), F.octet_length(payload).cast("long").alias("_bytes"),
+        F.sha1(payload).alias("_hex"), F.octet_length(payload).cast("long").alias("_bytes"),
     )
-    rows = named.withColumn("_capture", _urn("capture", F.col("_id"), F.col("_url"), F.col("_digest")))
-    light = rows.groupBy("_capture", "_id", "_url", "_digest", "_bytes").agg(F.count(F.lit(1)).alias("_repeats"))
+    rows = named.withColumn("_capture", _urn("capture", F.col("_id"), F.col("_url"), F.col("_hex")))
+    light = rows.groupBy("_capture", "_id", "_url", "_hex", "_bytes").agg(
+        F.count(F.lit(1)).alias("_repeats")).withColumn("_digest", _base32(F.col("_hex")))
     owners = light.groupBy(F.col("_digest").alias("_same"), F.col("_bytes").alias("_long")).agg(
         F.max(F.struct("_id", "_url", "_capture")).alias("_owner")
     )
