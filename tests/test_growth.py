@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from fieldhub.operators import components, merging
+from fieldhub.operators import components, merging, spatial
 
 
 def physical(df) -> str:
@@ -46,3 +46,23 @@ def test_merging_links_neighbouring_cells_without_a_broadcast(spark, monkeypatch
     assert "BroadcastHashJoin" not in physical(edges)
     # a cell carries plain numbers, one per line and side, not its centres
     assert not any("struct" in kind for _, kind in nodes.dtypes)
+
+
+def test_dense_points_far_from_a_polygon_are_not_measured(spark, monkeypatch):
+    """Pairs that get an exact distance, with and without a crowd of points within the radius."""
+    ring = lambda x, y: [(x, y), (x + 20.0, y), (x + 20.0, y + 20.0), (x, y + 20.0), (x, y)]
+    polys = spark.createDataFrame(
+        [(i, ring(40.0 * i, 500.0)) for i in range(25)], "polygon_id bigint, ring array<struct<x:double,y:double>>")
+    grid = [(k, 31.0 * (k % 40), 31.0 * (k // 40)) for k in range(1600)]
+    points = spark.createDataFrame(grid + [(5000, 31.0, 31.0)], "permit_id bigint, x double, y double")
+    met = []
+    inner = spatial._candidates
+    monkeypatch.setattr(spatial, "_candidates", lambda *a, **kw: met.append(inner(*a, **kw)) or met[-1])
+    rows = spatial.nearest_within(polys, points, 400.0).collect()
+    for r in rows:
+        x = 40.0 * r["polygon_id"]
+        gaps = sorted((math.hypot(max(x - px, 0, px - x - 20), max(500 - py, 0, py - 520)), k) for k, px, py in grid)
+        assert math.isclose(r["join_distance_m"], gaps[0][0], abs_tol=1e-9)
+        assert r["join_ties"] == sum(math.isclose(g, gaps[0][0], abs_tol=1e-9) for g, _ in gaps)
+    assert len(rows) == 25
+    assert sum(df.count() for df in met) <= 25 * 20
