@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import random
 
+import duckdb
 import pytest
 
+from fieldhub.catalog import all_entries
 from fieldhub.operators import components, merging, spatial
 
 
@@ -66,3 +68,16 @@ def test_dense_points_far_from_a_polygon_are_not_measured(spark, monkeypatch):
         assert r["join_ties"] == sum(math.isclose(g, gaps[0][0], abs_tol=1e-9) for g, _ in gaps)
     assert len(rows) == 25
     assert sum(df.count() for df in met) <= 25 * 20
+
+
+def test_report_of_billions_of_animals_matches_its_sql(spark, sf, tmp_path):
+    with duckdb.connect() as con:
+        con.execute(f"copy (select * replace (c_acctbal * 100000 as c_acctbal) from '{sf}/customer.parquet') "
+                    f"to '{tmp_path}/customer.parquet' (format parquet)")
+        for name in ("supplier", "orders", "events", "embeddings"):
+            con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
+        con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet'")
+        entry = all_entries()["report_lines"]
+        got = sorted(tuple(r) for r in entry.run(spark, str(tmp_path)).collect())
+        assert any(len(line.split("AFOs, ")[1].split(" animals")[0]) > 12 for s, _, line in got if s == 2)
+        assert got == sorted(con.execute(entry.sql).fetchall())
