@@ -6,6 +6,10 @@ by subgradient steps towards the sources that are served too rarely or too often
 from the source's own place, the sites chosen so far and the steps taken, so it is worked out where
 it is needed: nothing is stored between rounds, and a round is two passes over the sources that
 return one number per site and a few sums.  No table of sources by sites exists.
+
+Only the p sites worth most count.  Many candidates are therefore cut in cells; a cell as near to every
+source as its nearest edge is worth at least what any of its sites is, and only sites of cells that may hold
+one of the best are worked out.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from fieldhub.session import Scratch
 
 MAX_SITES = 65_536  # candidates whose places go along with the tasks
 CELLS = 1 << 21  # distances that a task holds at once
+AT_ONCE = 2_048  # sites worked out in a pass; up to so many candidates need no cells
+SIDE = 32  # cells of candidates along a side
 
 
 @dataclass(frozen=True)
@@ -71,7 +77,15 @@ def _batches(batches: Iterator[pa.RecordBatch], wide: int) -> Iterator[tuple[np.
             yield xy[at : at + step], weight[at : at + step]
 
 
-def _worth(prices: _Prices, sites: np.ndarray) -> Callable:
+def _gaps(xy: np.ndarray, weight: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """Costs to the nearest point of each box (x0, y0, x1, y1)."""
+    x, y = xy[:, :1], xy[:, 1:]
+    across = np.maximum(0, np.maximum(boxes[:, 0] - x, x - boxes[:, 2]))
+    along = np.maximum(0, np.maximum(boxes[:, 1] - y, y - boxes[:, 3]))
+    return weight[:, None] * np.sqrt(across * across + along * along)
+
+
+def _worth(prices: _Prices, sites: np.ndarray, costs_of: Callable = _costs) -> Callable:
     """Per site what its sources save; at -1 the sum of all prices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +93,7 @@ def _worth(prices: _Prices, sites: np.ndarray) -> Callable:
         for xy, weight in _batches(batches, len(sites)):
             price = prices.of(xy, weight)
             total += price.sum()
-            saved += np.minimum(_costs(xy, weight, sites) - price[:, None], 0).sum(axis=0)
+            saved += np.minimum(costs_of(xy, weight, sites) - price[:, None], 0).sum(axis=0)
         found = np.append(np.flatnonzero(saved), -1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(found.astype(np.int32)), pa.array(np.append(saved[found[:-1]], total))], ["at", "worth"])
@@ -87,6 +101,49 @@ def _worth(prices: _Prices, sites: np.ndarray) -> Callable:
     return run
 
 
+def _cells(sites: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The boxes of the candidates' cells and who is in each."""
+    low = sites.min(axis=0)
+    size = max((sites.max(axis=0) - low).max(), 1e-9) / (SIDE - 1)
+    at = np.floor((sites - low) / size).astype(int)
+    _, cell = np.unique(at[:, 0] * SIDE + at[:, 1], return_inverse=True)
+    members = np.split(np.argsort(cell, kind="stable"), np.cumsum(np.bincount(cell))[:-1])
+    return np.array([[*sites[m].min(axis=0), *sites[m].max(axis=0)] for m in members]), members
+
+
+def _sums(places: DataFrame, run: Callable) -> DataFrame:
+    return places.mapInArrow(run, "at int, worth double").groupBy("at").agg(F.sum("worth").alias("worth"))
+
+
+def _most_worth(
+    places: DataFrame, prices: _Prices, sites: np.ndarray, p: int, cells: tuple[np.ndarray, list[np.ndarray]] | None,
+    known: Sequence[int],
+) -> tuple[float, list[tuple[float, int]]]:
+    """The sum of all prices, and the p sites worth most: (worth, number), sites of no worth left out."""
+    if cells is None:
+        rows = _sums(places, _worth(prices, sites)).orderBy(F.col("at") >= 0, "worth", "at").limit(p + 1).collect()
+        return sum(r["worth"] for r in rows if r["at"] < 0), [(r["worth"], r["at"]) for r in rows if r["at"] >= 0]
+    boxes, members = cells
+    # the sites of the last round go along as boxes of one point: at least p sites are worth as much
+    points = np.hstack((sites[list(known)], sites[list(known)]))
+    rows = _sums(places, _worth(prices, np.vstack((boxes, points)), _gaps)).collect()  # cells, p sites and the total
+    worth = {r["at"]: r["worth"] for r in rows}
+    total = worth.pop(-1, 0.0)
+    least = max(worth.get(len(boxes) + k, 0.0) for k in range(len(known))) * (1 - 1e-9)
+    order = sorted((w, c) for c, w in worth.items() if c < len(boxes))
+    best: list[tuple[float, int]] = []
+    while order and order[0][0] * (1 + 1e-9) <= least:
+        batch: list[np.ndarray] = []
+        while order and order[0][0] * (1 + 1e-9) <= least and sum(map(len, batch)) < AT_ONCE:
+            batch.append(members[order.pop(0)[1]])
+        ids = np.sort(np.concatenate(batch))
+        rows = _sums(places, _worth(prices, sites[ids])).filter("at >= 0").orderBy("worth", "at").limit(p).collect()
+        best = sorted(best + [(r["worth"], int(ids[r["at"]])) for r in rows])[:p]
+        if len(best) == p:
+            least = min(least, best[-1][0])
+    return total, best
+
+
 def _served(prices: _Prices, chosen: np.ndarray) -> Callable:
     """Sums over the sources: squared misses, and the cost of the chosen sites."""
 
@@ -124,15 +181,16 @@ def median_bound(
     places = Scratch(sources.sparkSession, "bound").cut(
         sources.select(F.greatest(F.col("headcount").cast("double"), F.lit(0.0)).alias("w"), "x", "y").dropna())
     best, upper, lower = known.sites, known.objective / scale, 0.0
+    numbers = {h.site_id: k for k, h in enumerate(hubs)}
+    cells = _cells(sites) if len(sites) > AT_ONCE else None
+    picked = [numbers[h.site_id] for h in best if h.site_id in numbers] if len(best) == p else list(range(p))
+    picked = picked if len(picked) == p else list(range(p))
     prices, trail, pace, idle = _Prices(_xy(best), []), [], 1.0, 0
     for _ in range(rounds):
-        worth = places.mapInArrow(_worth(prices, sites), "at int, worth double").groupBy("at").agg(
-            F.sum("worth").alias("worth"))
-        first = worth.orderBy(F.col("at") >= 0, "worth", "at").limit(p + 1).collect()
-        total = sum(r["worth"] for r in first if r["at"] < 0)
-        picked = [r["at"] for r in first if r["at"] >= 0]
+        total, worth = _most_worth(places, prices, sites, p, cells, picked)
+        picked = [k for _, k in worth]
         picked += [k for k in range(len(sites)) if k not in set(picked)][: p - len(picked)]  # of no worth
-        value = total + sum(r["worth"] for r in first if r["at"] >= 0)
+        value = total + sum(w for w, _ in worth)
         trail.append(value * scale)
         idle = 0 if value > lower * (1 + 1e-6) else idle + 1
         lower = max(lower, value)

@@ -9,7 +9,8 @@ import duckdb
 import pytest
 
 from fieldhub.catalog import all_entries
-from fieldhub.operators import components, merging, spatial
+from fieldhub.operators import components, median_bound, merging, siting, spatial
+from fieldhub.operators.siting import Median
 
 
 def physical(df) -> str:
@@ -81,3 +82,22 @@ def test_report_of_billions_of_animals_matches_its_sql(spark, sf, tmp_path):
         got = sorted(tuple(r) for r in entry.run(spark, str(tmp_path)).collect())
         assert any(len(line.split("AFOs, ")[1].split(" animals")[0]) > 12 for s, _, line in got if s == 2)
         assert got == sorted(con.execute(entry.sql).fetchall())
+
+
+def test_the_bound_works_out_few_of_many_candidates(spark, monkeypatch):
+    rng = random.Random(4)
+    place = lambda: (rng.uniform(0, 3e5), rng.uniform(0, 5e5))
+    sources = spark.createDataFrame([(rng.randrange(5_000), *place()) for _ in range(400)], "headcount bigint, x double, y double")
+    sites = [(k, *place()) for k in range(4_000)]
+    table = spark.createDataFrame(sites, "site_id bigint, x double, y double")
+    start = Median([siting.Hub(*sites[k]) for k in (5, 900, 3_100)], 1e12, False)
+    asked = []
+    inner = median_bound._worth
+    monkeypatch.setattr(median_bound, "_worth", lambda prices, given, *rest: asked.append(len(given)) or inner(prices, given, *rest))
+    found = median_bound.median_bound(sources, table, 3, start=start, rounds=4)
+    cut, asked[:] = list(asked), []
+    monkeypatch.setattr(median_bound, "AT_ONCE", 10_000)
+    whole = median_bound.median_bound(sources, table, 3, start=start, rounds=4)
+    assert asked == [4_000] * 4
+    assert found.trail == pytest.approx(whole.trail, rel=1e-12) and found.sites == whole.sites
+    assert max(cut) < 2_500 and sum(cut) < 4 * 4_000
