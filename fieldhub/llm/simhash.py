@@ -51,6 +51,7 @@ SIMILAR = 0.8  # least Jaccard similarity of near copies by other shingles
 BANDS, ROWS = 20, 5  # at Jaccard 0.8 a pair shares none of the keys in 0.04 % of cases
 FAR = 28  # bits of fingerprints of sets; at Jaccard 0.8 the mean is 9.7 to 12 (small sets) and the deviation about 3
 LISTED = 32  # members of a list that are compared with each other at once
+WIDE, WIDE_FAR = 8, 140  # words of a list member's longer fingerprint, and the FAR of its 512 bits (mean 78 to 96, deviation up to 9)
 COMMON_BITS = 18  # buckets that tell common shingles from rare ones
 MOST_KEYS = 500_000  # texts asked for that are broadcast by key (some 40 MB), more are joined
 SLICE = 4 << 20  # bytes of text that are worked on at once
@@ -288,7 +289,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["_bucket", "_n"])
 
 
-_LISTED = "_token long, _node long, _head long, _common float"
+_LISTED = "_token long, _node long, _head long, _rank int, _common float"
+_MIXERS = np.random.default_rng(9).integers(0, ALL_BITS, (WIDE, 2), np.uint64, endpoint=True) | np.uint64(1)
+
+
+def _wide_print(hashes: np.ndarray) -> list[int]:
+    """SimHash of a set by ``WIDE`` further hashes of each member."""
+    found = []
+    for one, other in _MIXERS:
+        mixed = hashes * one
+        mixed = (mixed ^ mixed >> np.uint64(32)) * other
+        found.append(_majority([mixed ^ mixed >> np.uint64(29)]))
+    return found
+
+
+def _wide_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the longer fingerprint; batch: key, set."""
+    for batch in batches:
+        found = [_wide_print(one.values.to_numpy(zero_copy_only=False).view(np.uint64)) for one in batch.column(1)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(found, pa.list_(pa.int64())), batch.column(1)], ["_key", "_wide", "_set"])
 
 
 def _prefixes(shared, least: float):
@@ -298,7 +318,7 @@ def _prefixes(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            owners, tokens, common = [], [], []
+            owners, tokens, ranks, common = [], [], [], []
             for row in range(batch.num_rows):
                 hashes = batch.column(2)[row].values.to_numpy(zero_copy_only=False)
                 often = counts[_bucket(hashes)]
@@ -306,13 +326,14 @@ def _prefixes(shared, least: float):
                 rarest = np.lexsort((hashes, often))[:size]
                 owners.append(np.full(len(rarest), row))
                 tokens.append(hashes[rarest])
+                ranks.append(np.arange(len(rarest), dtype=np.int32))
                 common.append(np.full(len(rarest), often.mean()))
             if owners:
                 at = pa.array(np.concatenate(owners))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(tokens)), *(batch.column(c).take(at) for c in range(2)),
-                     pa.array(np.concatenate(common).astype(np.float32))],
-                    ["_token", "_node", "_head", "_common"])
+                     pa.array(np.concatenate(ranks)), pa.array(np.concatenate(common).astype(np.float32))],
+                    ["_token", "_node", "_head", "_rank", "_common"])
 
     return run
 
@@ -338,13 +359,21 @@ def _lists(members: DataFrame, least: float) -> DataFrame:
 def _listed_pairs(lists: DataFrame, members: DataFrame, least: float) -> DataFrame:
     """(a, b) of members of different groups in a list.  ``_far`` is a member's distance to a text
     that is the same in the whole list: the Jaccard distance is a metric, so two such
-    distances that differ by more than 1 - ``least`` are those of texts that cannot be similar."""
-    light = members.select("_node", "_print", "_size")
-    rows = lists.join(light, "_node").select("_token", F.struct("_node", "_head", "_print", "_size", "_far").alias("_one"))
+    distances that differ by more than 1 - ``least`` are those of texts that cannot be similar.
+
+    ``_rank`` counts the member's rarer shingles.  What a pair shares comes from its first shared shingle on,
+    so there each has enough left for the overlap that ``least`` asks for; a list where one has not gives no pair.
+    """
+    light = members.select("_node", "_print", "_size", "_wide")
+    rows = lists.join(light, "_node").select(
+        "_token", F.struct("_node", "_head", "_print", "_size", "_far", "_wide", (F.col("_size") - F.col("_rank")).alias("_rest")).alias("_one"))
     a, b = F.col("_one"), F.col("_other")
     apart = (a["_node"] < b["_node"]) & (a["_head"] != b["_head"])
     near = F.abs(a["_far"] - b["_far"]) <= 1 - least + 1e-9
-    met = rows.join(rows.withColumnRenamed("_one", "_other"), "_token").filter(apart & near & _alike("_one", "_other", least))
+    enough = F.least(a["_rest"], b["_rest"]) >= least / (1 + least) * (a["_size"] + b["_size"]) - 1e-6
+    bits = sum((F.bit_count(F.get(a["_wide"], k).bitwiseXOR(F.get(b["_wide"], k))) for k in range(WIDE)), F.lit(0))
+    kept = apart & near & enough & _alike("_one", "_other", least) & (bits <= WIDE_FAR)
+    met = rows.join(rows.withColumnRenamed("_one", "_other"), "_token").filter(kept)
     return met.select(a["_node"].alias("a"), b["_node"].alias("b")).distinct()
 
 
@@ -357,14 +386,15 @@ def _listed_links(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """
     nodes = cut(left.withColumn("_node", F.monotonically_increasing_id()), "nodes")
     heads = nodes.groupBy("_root").agg(F.min("_node").alias("_head"))
-    members = cut(nodes.join(heads, "_root").join(sets, "_key").select("_node", "_head", "_print", "_size", "_set"), "members")
+    wide = sets.mapInArrow(_wide_prints, "_key string, _wide array<long>, _set array<long>")
+    members = cut(nodes.join(heads, "_root").join(wide, "_key").select("_node", "_head", "_print", "_size", "_wide", "_set"), "members")
     known = members.select("_node", "_set")
     lists = _lists(members, least)
     pairs = _listed_pairs(lists.filter(F.col("_many") <= LISTED).withColumn("_far", F.lit(0.0)), members, least)
 
     long = lists.filter(F.col("_many") > LISTED)
     leaders = long.groupBy("_token").agg(F.max_by("_node", F.struct("_common", "_node")).alias("_first"))
-    met = cut(long.join(leaders, "_token").select("_token", "_node", "_head", "_first"), "led")
+    met = cut(long.join(leaders, "_token").select("_token", "_node", "_head", "_rank", "_first"), "led")
     asked = met.filter("_node <> _first").select(F.col("_node").alias("a"), F.col("_first").alias("b")).distinct()
     measured = cut(_similarities(asked, known), "measured")
     found = measured.filter(F.col("_jaccard") >= least).select("a", "b")
@@ -373,7 +403,7 @@ def _listed_links(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     merged = _rooted(of.select(F.col("_head").alias("_key")).distinct(), between).toDF("_head", "_now")
     far = measured.select(F.col("a").alias("_node"), F.col("b").alias("_first"), (1 - F.col("_jaccard")).alias("_far"))
     placed = met.join(far, ["_node", "_first"], "left").join(merged, "_head").select(
-        "_token", "_node", F.col("_now").alias("_head"), F.coalesce("_far", F.lit(0.0)).alias("_far"))
+        "_token", "_node", "_rank", F.col("_now").alias("_head"), F.coalesce("_far", F.lit(0.0)).alias("_far"))
     placed = cut(placed, "placed")
     spans = placed.groupBy("_token").agg(F.min("_head").alias("_low"), F.max("_head").alias("_high")).filter("_low < _high")
     rest = _listed_pairs(placed.join(spans.select("_token"), "_token"), members, least)

@@ -10,7 +10,7 @@ from types import ModuleType
 
 import numpy as np
 
-REMEMBERED = 250_000  # words of a generation; a worker holds two of them
+REMEMBERED = 120_000  # words of a generation; a worker holds two of them
 TOGETHER = 1_000  # words that are encoded as one text
 #: tasks get this package by value, so what outlives a task hangs on a module of the worker
 _MEMORY = "fieldhub_worker_memory"

@@ -1,7 +1,10 @@
 import random
+from itertools import combinations
 
+import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fieldhub.llm import simhash
 from fieldhub.llm.bktree import BKTree, spanning_links
@@ -141,3 +144,24 @@ def test_similar_texts_are_dropped(spark):
     assert found == sorted(repr((i, g)) for (i, _), g in zip(rows, wanted, strict=True))
     kept = sorted(r["doc_id"] for r in simhash.drop_near(table).collect())
     assert kept == sorted({g for g in wanted if g is not None})
+
+
+def test_lists_keep_similar_pairs_and_few_others(spark):
+    """Texts that share one or two of four passages meet in lists and are no candidates; near copies are."""
+    rnd = np.random.default_rng(4)
+    draw = lambda n: rnd.integers(0, 1 << 63, n, np.uint64)
+    passages, near = [draw(30) for _ in range(12)], set()
+    chosen = random.Random(4).sample(list(combinations(range(12), 4)), 30)
+    sets = [np.unique(np.concatenate([passages[i] for i in four])) for four in chosen]
+    for k in range(30, 60, 2):
+        size = 4 if k < 40 else 90
+        one = draw(size)
+        sets += [np.unique(one), np.unique(np.concatenate([one[: size - size // 10], draw(size // 10 or 1)]))]
+        near.add((k, k + 1))
+    rows = [(k, k, simhash._majority([s]), len(s), simhash._wide_print(s), s.view(np.int64).tolist()) for k, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "_node long, _head long, _print long, _size int, _wide array<long>, _set array<long>")
+    lists = simhash._lists(members, 0.8).withColumn("_far", F.lit(0.0))
+    found = {(r["a"], r["b"]) for r in simhash._listed_pairs(lists, members, 0.8).collect()}
+    met = lists.alias("x").join(lists.alias("y"), "_token").filter("x._node < y._node and y._node < 30").count()
+    close = {(a, b) for a, b in combinations(range(30), 2) if len({*chosen[a]} & {*chosen[b]}) == 3}
+    assert near <= found <= near | close and met > 400
