@@ -101,3 +101,9 @@ def test_the_bound_works_out_few_of_many_candidates(spark, monkeypatch):
     assert asked == [4_000] * 4
     assert found.trail == pytest.approx(whole.trail, rel=1e-12) and found.sites == whole.sites
     assert max(cut) < 2_500 and sum(cut) < 4 * 4_000
+
+
+def test_detection_columns_are_worked_out_once(spark, sf):
+    """The events' text is parsed once a row, however many vertices read what comes of it."""
+    plan = all_entries()["geojson_polygons"].run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 1
