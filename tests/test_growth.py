@@ -6,11 +6,13 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from fieldhub.catalog import all_entries
-from fieldhub.operators import components, median_bound, merging, siting, spatial
+from fieldhub.operators import capacity, components, median_bound, merging, siting, spatial
 from fieldhub.operators.siting import Median
+from fieldhub.session import Scratch
 
 
 def physical(df) -> str:
@@ -107,3 +109,32 @@ def test_detection_columns_are_worked_out_once(spark, sf):
     """The events' text is parsed once a row, however many vertices read what comes of it."""
     plan = all_entries()["geojson_polygons"].run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("get_json_object") == 1
+
+
+@pytest.mark.parametrize("slack", [0.5, 0.9, 1.2, 3.0])
+def test_rows_without_a_full_hub_are_chosen_together(monkeypatch, slack):
+    rng = np.random.default_rng(int(slack * 10))
+    for most in (1, 3, 1_000):
+        weights = np.sort(rng.integers(0, most + 1, 5_000).astype(float))[::-1]
+        dist, start = np.round(rng.random((5_000, 4)) * 3), rng.integers(0, 50, 4).astype(float)
+        given = weights, dist, start, slack * weights.sum() / 4
+        with monkeypatch.context() as one_by_one:
+            one_by_one.setattr(capacity, "_plain", lambda *_: None)
+            wanted = capacity.fill(*given)
+        got = capacity.fill(*given)
+        assert all(np.array_equal(getattr(got, c), getattr(wanted, c)) for c in ("choice", "added", "up", "down"))
+
+
+def test_settling_reads_a_row_per_bucket_without_a_shuffle(spark):
+    rows = [(i, (i * 37) % 500, float(i % 91), float(i % 57)) for i in range(3_000)]
+    scratch = Scratch(spark, "test", keep=4)
+    points = capacity.bucketed(spark.createDataFrame(rows, "permit_id bigint, headcount bigint, x double, y double"), scratch, 6)
+    table = siting.packed(points, scratch)
+    problems = {0: capacity.Problem(capacity.Hubs.of([siting.Hub(0, 1.0, 1.0)], 1e9, "km"), np.zeros((6, 1)))}
+    sums = table.mapInPandas(capacity._sums(problems, {0: set(range(6))}), capacity._SUMS)
+    assert table.count() == 6 and "Exchange" not in physical(sums)
+    assert sum(r["n"][0] for r in sums.collect()) == 3_000
+    for r in table.collect():
+        order = points.filter(points["bucket"] == r["bucket"]).orderBy("headcount", "permit_id", ascending=[False, True])
+        weights = np.frombuffer(bytes(r["body"])).reshape(3, -1)[0].tolist()
+        assert weights == [o["headcount"] for o in order.collect()]
