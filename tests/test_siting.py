@@ -278,3 +278,30 @@ def test_median_says_whether_swaps_came_to_an_end(spark):
     sites = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "site_id bigint, x double, y double")
     assert not siting.p_median(sources, sites, 2, max_sweeps=0).converged
     assert siting.p_median(sources, sites, 2).converged
+
+
+def test_an_addition_evaluates_few_of_many_candidates(spark, monkeypatch):
+    """Also with several candidates on one spot, of which the lowest id counts."""
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    demand = [(int(w), float(x), float(y)) for w, x, y in zip(
+        draw.integers(1, 900, 2_000), draw.uniform(0, 1e5, 2_000), draw.uniform(0, 1e5, 2_000), strict=True)]
+    spots = [(float(x), float(y)) for x, y in draw.uniform(0, 1e5, (60_000, 2))]
+    sites = [(j, *spots[j % 60_000]) for j in range(60_100)]
+    evaluated = []
+    plain = siting._exact_totals
+    monkeypatch.setattr(siting, "_exact_totals", lambda s, o, batch: evaluated.append(len(batch)) or plain(s, o, batch))
+    got = siting.p_median(
+        spark.createDataFrame(demand, "headcount int, x double, y double"),
+        spark.createDataFrame(sites[::-1], "site_id bigint, x double, y double"), 2, unit="raw", swap=False)
+
+    w, xy, at = np.array(demand)[:, 0], np.array(demand)[:, 1:], np.array(spots)
+    now, want = np.full(len(w), np.inf), []
+    for _ in range(2):
+        cost = [float((w * np.minimum(now, np.hypot(*(xy - p).T))).sum()) for p in at]
+        want.append(int(np.argmin(cost)))
+        now = np.minimum(now, np.hypot(*(xy - at[want[-1]]).T))
+    assert [s.site_id for s in got.sites] == sorted(want)
+    assert got.objective == pytest.approx(min(cost) * siting.geo.distance_scale("raw"))
+    assert sum(evaluated) <= 150, evaluated
