@@ -15,6 +15,7 @@ from fieldhub.functions import geo
 from fieldhub.operators import balance as B
 from fieldhub.operators import registry as R
 from fieldhub.operators.nearest_line import nearest_line, segments_of
+from fieldhub.session import Scratch, spread
 
 
 def water_segments(spark, d):
@@ -25,9 +26,9 @@ def water_segments(spark, d):
 def near_water(spark, d):
     """Located permits with their nearest waterway."""
     ux, uy = geo.utm18(F.col("longitude"), F.col("latitude"))
-    points = R.located(with_supply(T.permit(spark, d))).select(
+    points = with_supply(spread(R.located(T.permit(spark, d)), "permit_id")).select(
         "permit_id", "annual_n_lbs", ux.alias("x"), uy.alias("y"))
-    return nearest_line(points, water_segments(spark, d))
+    return nearest_line(Scratch(spark, "points").cut(points), water_segments(spark, d))
 
 
 #: every permit against every segment

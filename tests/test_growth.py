@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from fieldhub.catalog import all_entries
+from fieldhub.catalog import all_entries, environment, geometry
 from fieldhub.operators import capacity, components, median_bound, merging, siting, spatial
 from fieldhub.operators.siting import Median
 from fieldhub.session import Scratch
@@ -138,3 +138,15 @@ def test_settling_reads_a_row_per_bucket_without_a_shuffle(spark):
         order = points.filter(points["bucket"] == r["bucket"]).orderBy("headcount", "permit_id", ascending=[False, True])
         weights = np.frombuffer(bytes(r["body"])).reshape(3, -1)[0].tolist()
         assert weights == [o["headcount"] for o in order.collect()]
+
+
+def test_tiles_of_a_file_of_one_split_are_made_by_all_cores(spark, sf):
+    tiles = geometry.tile_grid(spark, sf)
+    assert tiles.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+
+
+def test_points_near_water_are_worked_out_once_and_by_all_cores(spark, sf, monkeypatch):
+    monkeypatch.setattr(environment, "nearest_line", lambda points, segments: points)
+    points = environment.near_water(spark, sf)
+    assert 1 < len(points.inputFiles()) <= spark.sparkContext.defaultParallelism
+    assert "cos" not in physical(points).lower()
