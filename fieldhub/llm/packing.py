@@ -24,7 +24,7 @@ from fieldhub.llm.common import cut, slices, text_of
 from fieldhub.llm.tokens import Ids
 
 SIZE = 2048
-SLICE = 4 << 20  # bytes of text whose words are held at once
+SLICE = 1 << 19  # bytes of text whose words are held at once
 END = 0  # id that closes every document
 BUCKET = 20_000  # pieces of one length that are ranked in one window, about
 

@@ -10,7 +10,7 @@ from types import ModuleType
 
 import numpy as np
 
-REMEMBERED = 120_000  # words of a generation; a worker holds two of them
+REMEMBERED = 40_000  # words of a generation; a worker holds two of them at most between its batches
 TOGETHER = 1_000  # words that are encoded as one text
 #: tasks get this package by value, so what outlives a task hangs on a module of the worker
 _MEMORY = "fieldhub_worker_memory"
@@ -82,10 +82,13 @@ class Ids:
         self._remember(set().union(*rests))
         known = self.fresh.__getitem__
         found = self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)
-        return [
+        encoded = [
             np.array(head.ids, "<u4").tobytes() + b"".join(map(known, rest))
             for head, rest in zip(found, rests, strict=True)
         ]
+        if len(self.fresh) > REMEMBERED:  # one text's words may be more
+            self.fresh = {}
+        return encoded
 
     def _remember(self, pieces: set[str]) -> None:
         absent = pieces - self.fresh.keys()

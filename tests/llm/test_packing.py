@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from fieldhub.llm import packing
+from fieldhub.llm import packing, tokens
 from fieldhub.llm.packing import default_tokenizer, plan
 from fieldhub.llm.tokens import Ids
 
@@ -86,3 +86,11 @@ def test_pack_odd_rows(odd_docs, no_docs, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET", 3)
     check(odd_docs, 64)
     assert packing.pack(no_docs).count() == 0
+
+
+def test_a_worker_keeps_few_words_between_batches():
+    ids = tokens.Ids(packing.default_tokenizer())
+    text = " ".join(f"w{i:x}" for i in range(150_000))
+    assert ids.encode([text]) == ids.encode([text])
+    ids.encode(["a b c"])
+    assert len(ids.fresh) + len(ids.old) <= 2 * tokens.REMEMBERED <= 100_000
