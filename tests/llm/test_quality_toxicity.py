@@ -62,3 +62,15 @@ def test_network_pools_long_texts_in_steps(monkeypatch):
     monkeypatch.setattr(toxicity, "_STEP", 256)
     assert net.many([codes]) == pytest.approx(whole, abs=1e-5)
     assert len(net.many([codes[:0], codes[:1], codes[:2]])) == 3
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, big, monkeypatch):
+    """In lessons whose networks are averaged; the rows of all of them are counted."""
+    monkeypatch.setattr(toxicity, "LESSON", 1_000)
+    learnt = []
+    plain = toxicity._seed
+    monkeypatch.setattr(toxicity, "_seed", lambda net, seen, rows: learnt.append(int(rows.sum())) or plain(net, seen, rows))
+    _, held = outcome(spark, big, "op5_toxicity", "toxic")
+    known = spark.read.parquet(f"{big}/labels.parquet").filter("toxic IN (0, 1) AND crc32(cast(doc_id AS string)) % 3 <> 1").count()
+    assert 0.75 * known < learnt[0] < 0.85 * known
+    assert held.predicted[held.toxic == 1].mean() > 0.75 and held.predicted[held.toxic == 0].mean() < 0.02
