@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from fieldhub.llm import quality, toxicity
+from fieldhub.llm import common, quality, toxicity
+from fieldhub.llm import labels as labelled
 from fieldhub.llm.queries import QUERIES
 
 
@@ -74,3 +76,23 @@ def test_toxicity_learns_from_every_labelled_row(spark, big, monkeypatch):
     known = spark.read.parquet(f"{big}/labels.parquet").filter("toxic IN (0, 1) AND crc32(cast(doc_id AS string)) % 3 <> 1").count()
     assert 0.75 * known < learnt[0] < 0.85 * known
     assert held.predicted[held.toxic == 1].mean() > 0.75 and held.predicted[held.toxic == 0].mean() < 0.02
+
+
+def test_unlabelled_texts_stay_where_they_are(spark):
+    """Only rows of labelled ids (and the few that share a hash) reach the join with the labels."""
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"), F.lit("en").alias("lang"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "a", "en"), (-8, "b", None)], "doc_id long, text string, lang string"))
+    labels = spark.range(-8, 200_000, 8).select(F.col("id").cast("int").alias("doc_id"), (F.col("id") % 16 == 0).cast("int").alias("toxic"))
+    known = labelled.known_labels(labels, "toxic")
+    found = {r[0] for r in labelled.maybe_known(docs, known).select("doc_id").collect()}
+    wanted = {r[0] for r in known.select("_of").collect()}
+    assert -8 in wanted and wanted <= found and len(found) < len(wanted) + 200
+
+
+def test_training_joins_labels_alike_at_any_size(spark, docs, labels, monkeypatch):
+    """The plan of the labelled rows has no broadcast of labels, which would turn into a shuffle of whole texts."""
+    plans = []
+    monkeypatch.setattr(toxicity, "cut", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or common.cut(df, name))
+    toxicity.train(docs, labels)
+    plan = plans[0].split("== Physical Plan ==")[1]
+    assert 0 < plan.find("SortMergeJoin") < plan.find("MapInArrow")  # what moves is what the step below made of the texts
