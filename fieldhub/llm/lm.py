@@ -1,28 +1,25 @@
-"""Language-model scores of texts: logistic context mixing under counts of words and segments.
+"""Language-model scores of texts: logistic context mixing of the bits of whole texts.
 
-The model has three levels, each of which leaves some probability to the next:
+* The bits of every word are predicted by the context mixer (``mixer.py``) from hashed contexts that reach over the word
+  before; their counts and weights come from every use of every training word, each use left out of its own counts.
+* How often the text itself had a word before (an adaptive share) joins in while scoring.
+* A segment (some sentences, ended by what its last word is) that training texts repeat
+  is also predicted from its count, and from the text's own past.
 
-* a segment (some sentences, ended by what its last word is) that training texts repeat
-  is predicted from its count,
-* a word is predicted from its count,
-  and both also from how often the text itself had them before (an adaptive share),
-* a word is spelled bit by bit by the context mixer (``mixer.py``), which learned from every
-  different training word, each left out of its own counts.
+Discounted counts and shares keep a proper distribution, so a text's probability is the product
+over its segments.  The counts cover all training texts; the mixer's tables have a fixed size.
 
-Discounted counts make each level a proper distribution, so a text's probability is the product
-over its segments.  The counts cover all training texts and grow with them; the mixer's
-tables have a fixed size.
-
-Plan: input tasks cut their texts in chunks and write each chunk's different words and segments
-as rows, and its texts as numbers of those; counts are one aggregation over these rows;
-the vocabulary is spelled once, each word one time however often it occurs; counts
-and spelling scores return to the chunks by a join, and a chunk is scored where its rows
+Plan: input tasks cut their texts in chunks and write each chunk's different words, segments and heads (class of the word
+before, first bytes) as rows, and its texts as numbers of those; counts are one aggregation over these rows.  The mixer
+predicts equal bits in equal contexts alike: the rest of a word is worked out once a word and a head once a chunk, however
+often they occur.  Counts and bits return to the chunks by a join, and a chunk is scored where its rows
 meet.  No table row per token exists.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -38,10 +35,10 @@ from fieldhub.llm.common import byte_texts, cut, fold, slices, text_of
 
 FOLDS, HELD_OUT = 7, 2
 CHUNK = 32 << 20  # bytes of text of a chunk, about
-WORD, SEGMENT, TEXT = 0, 1, 2
+WORD, SEGMENT, TEXT, PAIR = 0, 1, 2, 3  # a pair: class of the word before, and a head
 MARK = b" "  # begins a segment's key; words hold no white space
 WORD_HALF, SEGMENT_HALF = 400, 20  # items of a text after which 1/4 goes to its own past
-LESSON = 20_000  # words that train one set of weights, about; the sets are averaged
+LESSON = 20_000  # words and heads that train one set of weights, about; the sets are averaged
 SLICES = 64  # parts in which a task's table is summed
 
 _CHUNKS = "chunk long, kind int, idx int, key binary, n long, id long, held boolean, bytes long, body binary"
@@ -53,15 +50,19 @@ _SCORES = "_id long, _held boolean, _tokens long, _known long, _base double, _sc
 
 
 class _Words(dict):
-    """Numbers of words in the order of their first use, and whether a word ends a segment."""
+    """Numbers of words in the order of their first use, whether a word ends a segment, its class and its head's number."""
 
     def __init__(self):
         super().__init__()
-        self.ends = bytearray()
+        self.ends, self.classes = bytearray(), bytearray()
+        self.heads: dict[bytes, int] = {}
+        self.head = array("i")
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
         self.ends.append(word == mixer.END or (word[-1] in b".!?" and zlib.crc32(word) % 4 == 0))
+        self.classes.append(mixer.class_of(word))
+        self.head.append(self.heads.setdefault(mixer.head(word), len(self.heads)))
         return number
 
 
@@ -114,7 +115,8 @@ class _Chunk:
         word_n = np.bincount(np.concatenate(self.word_n or [none]), minlength=len(self.words))
         segment_n = np.bincount(np.array(self.segment_n, np.int64), minlength=len(self.segments))
         segments = [MARK + hashed for hashed in self.segments]
-        for kind, keys, n in ((WORD, list(self.words), word_n), (SEGMENT, segments, segment_n)):
+        pairs, pair_n = self._pairs()
+        for kind, keys, n in ((WORD, list(self.words), word_n), (SEGMENT, segments, segment_n), (PAIR, pairs, pair_n)):
             for first in range(0, len(keys), 100_000):
                 part = keys[first : first + 100_000]
                 yield self._batch(len(part), kind=[kind] * len(part), idx=np.arange(first, first + len(part), dtype=np.int32),
@@ -123,6 +125,15 @@ class _Chunk:
             ids, held, size, body = zip(*self.texts[first : first + 2_000], strict=True)
             yield self._batch(len(ids), kind=[TEXT] * len(ids), id=ids, held=held, bytes=size, body=body)
 
+    def _pairs(self) -> tuple[list[bytes], np.ndarray]:
+        """Keys of the training uses' pairs (class of the word before, head) and how many they are; an end's class begins a text."""
+        numbers = np.concatenate(self.word_n or [np.zeros(0, np.int64)])
+        classes = np.frombuffer(self.words.classes, np.uint8)[numbers].astype(np.int64)
+        before = np.concatenate(([0], classes[:-1]))[: len(numbers)]
+        heads = list(self.words.heads)
+        codes, n = np.unique(before * len(heads) + np.frombuffer(self.words.head, np.int32)[numbers], return_counts=True)
+        return [bytes([code // len(heads)]) + heads[code % len(heads)] for code in codes.tolist()], n
+
     def _batch(self, rows: int, **columns) -> pa.RecordBatch:
         columns["chunk"] = [self.number] * rows
         arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _CHUNK_SCHEMA]
@@ -196,19 +207,37 @@ def _totals(counts: DataFrame) -> dict[int, Counts]:
     return {kind: by.get(kind, Counts(0, 0, 0.5)) for kind in (WORD, SEGMENT)}
 
 
+def _columns(batch: pa.RecordBatch) -> tuple[list[int], list[bytes], list[int]]:
+    return tuple(batch.column(name).to_pylist() for name in ("kind", "key", "c"))
+
+
+def _kinds(kinds: list[int], keys: list[bytes], uses: list[int]) -> Iterator[tuple]:
+    """Words, then pairs, as (words or heads, uses, None or classes)."""
+    times = np.array(uses, np.float64)
+    pair = np.array(kinds) == PAIR
+    for here in (np.flatnonzero(~pair), np.flatnonzero(pair)):
+        if len(here):
+            own = [keys[i] for i in here]
+            if pair[here[0]]:
+                yield [key[1:] for key in own], times[here], np.array([key[0] for key in own], np.int64)
+            else:
+                yield own, times[here], None
+
+
 def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = np.zeros(256, np.int64)
     for batch in batches:
-        sums += mixer.byte_counts(batch.column(0).to_pylist())
+        sums += mixer.byte_counts(batch.column(0).to_pylist(), batch.column(1).to_numpy())
     yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(sums)], ["byte", "n"])
 
 
 def _tables(code: mixer.Code):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((1 << mixer.SLOTS, 2), np.float32)
+        table = np.zeros((1 << mixer.SLOTS, 2))
         some = False
         for batch in batches:
-            mixer.count(batch.column(0).to_pylist(), code, table)
+            for keys, times, classes in _kinds(*_columns(batch)):
+                mixer.count(keys, code, table, times, classes)
             some = some or batch.num_rows > 0
         for i, part in enumerate(np.split(table, SLICES)) if some else ():
             yield pa.RecordBatch.from_arrays(
@@ -222,7 +251,7 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            part = np.frombuffer(zlib.decompress(body.as_py()), np.float32)
+            part = np.frombuffer(zlib.decompress(body.as_py()), np.float64)
             sums[i] = sums[i] + part if i in sums else part
     for i, part in sums.items():
         yield pa.RecordBatch.from_arrays(
@@ -242,17 +271,18 @@ def _learned(code: mixer.Code, table):
         def learn() -> None:
             nonlocal words
             weights = mixer.start_weights()
-            mixer.learn(lesson, code, table.value, weights, refine)
+            for keys, times, classes in _kinds(*zip(*lesson, strict=True)):
+                mixer.learn(keys, code, table.value, weights, refine, times, classes, mixer.HEAD if classes is None else 0)
             np.add(sums, weights * len(lesson), out=sums)
             words += len(lesson)
 
         for batch in batches:
-            for number, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for number, *row in zip(batch.column("lesson").to_pylist(), *_columns(batch), strict=True):
                 if number != current and lesson:
                     learn()
                     lesson = []
                 current = number
-                lesson.append(key)
+                lesson.append(row)
         if lesson:
             learn()
         for what, values in ((0, sums.ravel()), (1, refine.ravel())) if words else ():
@@ -263,27 +293,29 @@ def _learned(code: mixer.Code, table):
     return run
 
 
-def train_mixer(words: DataFrame) -> mixer.Mixer:
-    """The mixer of the training words (column ``key``, each once); ``once`` marks those used
-    once, which are what new words look like and train the weights."""
-    spark = words.sparkSession
-    keys = words.select("key")
+def train_mixer(uses: DataFrame) -> mixer.Mixer:
+    """The mixer of the training words and pairs (columns kind, key, c: each once, with its uses).
+
+    Weights learn from the rests of words and from heads; what is used once is predicted as new.
+    """
+    spark = uses.sparkSession
     sums = np.zeros(256, np.int64)
-    for r in keys.mapInArrow(_byte_counts, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+    for r in uses.filter(F.col("kind") == WORD).select("key", "c").mapInArrow(_byte_counts, "byte int, n long").groupBy("byte").agg(
+            F.sum("n").alias("n")).collect():
         sums[r["byte"]] = r["n"]
     code = mixer.huffman(sums)
     table = np.zeros((1 << mixer.SLOTS, 2), np.float32)
     parts = np.split(table, SLICES)
-    summed = keys.mapInArrow(_tables(code), "slice int, body binary").repartition(SLICES, "slice").mapInArrow(
+    summed = uses.mapInArrow(_tables(code), "slice int, body binary").repartition(SLICES, "slice").mapInArrow(
         _sum_slices, "slice int, body binary")
     for r in summed.collect():  # the table: of a fixed size
-        parts[r["slice"]][:] = np.frombuffer(r["body"], np.float32).reshape(-1, 2)
+        parts[r["slice"]][:] = np.frombuffer(r["body"], np.float64).reshape(-1, 2)
     shared = spark.sparkContext.broadcast(table)
-    once = words.filter("once").select("key", F.xxhash64("key").alias("turn"))
-    lessons = max(1, once.count() // LESSON)
-    dealt = once.withColumn("lesson", F.pmod("turn", F.lit(lessons))).repartition("lesson").sortWithinPartitions("lesson", "turn", "key")
+    lessons = max(1, uses.count() // LESSON)
+    dealt = uses.withColumn("turn", F.xxhash64("kind", "key")).withColumn("lesson", F.pmod("turn", F.lit(lessons))).repartition(
+        "lesson").sortWithinPartitions("lesson", "turn", "key")
     rows = (
-        dealt.select("lesson", "key").mapInArrow(_learned(code, shared), "what int, place int, value double, words long")
+        dealt.select("lesson", "kind", "key", "c").mapInArrow(_learned(code, shared), "what int, place int, value double, words long")
         .groupBy("what", "place").agg(F.sum("value").alias("value"), F.sum("words").alias("words")).collect()
     )
     weights, refine = mixer.start_weights(), np.zeros((mixer.GATES * mixer.BINS, 2))
@@ -296,24 +328,35 @@ def train_mixer(words: DataFrame) -> mixer.Mixer:
     return mixer.Mixer.of(code, table, weights, refine)
 
 
-def _spelled(light: mixer.Mixer, odds):
-    """``light`` is the mixer without its large table, which is broadcast."""
+def _whole(light: mixer.Mixer, shared) -> mixer.Mixer:
+    odds, levels = shared.value
+    return replace(light, odds=odds, levels=levels)
+
+
+def _spelled(light: mixer.Mixer, shared):
+    """The rests of words, and each word's head and class in one number; ``light`` is the mixer without its large tables,
+    which are broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = replace(light, odds=odds.value)
+        whole = _whole(light, shared)
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            bits = np.zeros(len(keys), np.float32)
+            bits, marks = np.zeros(len(keys), np.float32), np.zeros(len(keys), np.int32)
             here = [i for i, key in enumerate(keys) if key[:1] != MARK]
-            bits[here] = whole.log2([keys[i] for i in here])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits)], ["key", "c", "bits"])
+            words = [keys[i] for i in here]
+            bits[here] = whole.log2(words, skip=mixer.HEAD)
+            marks[here] = [int.from_bytes(mixer.head(word).ljust(mixer.HEAD, b"\0")) * mixer.CLASSES + mixer.class_of(word)
+                           for word in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits), pa.array(marks)],
+                                             ["key", "c", "bits", "mark"])
 
     return run
 
 
-def _scored(words: Counts, segments: Counts):
+def _scored(words: Counts, segments: Counts, light: mixer.Mixer, shared):
     def run(key: tuple, texts: pa.Table, units: pa.Table) -> pa.Table:
-        kind, idx = units.column("kind").to_numpy(), units.column("idx").to_numpy()
+        at = units.column("at").to_numpy()
+        kind, idx = at % 2, at // 2
         counts, bits = units.column("c").to_numpy(), units.column("bits").to_numpy()
 
         def by_number(of: int, values: np.ndarray) -> np.ndarray:
@@ -322,13 +365,30 @@ def _scored(words: Counts, segments: Counts):
             out[idx[here]] = values[here]
             return out
 
-        word_c, segment_c = by_number(WORD, counts), by_number(SEGMENT, counts)
-        word_bits = words.log2(word_c, by_number(WORD, bits).astype(np.float64))
+        word_c, segment_c, rest_bits = by_number(WORD, counts), by_number(SEGMENT, counts), by_number(WORD, bits)
+        marks = by_number(WORD, units.column("mark").to_numpy())
+        classes = marks % mixer.CLASSES
+        heads, head = np.unique(marks // mixer.CLASSES, return_inverse=True)
+
+        def pairs(numbers: np.ndarray) -> np.ndarray:
+            before = np.zeros(len(numbers), np.int64)
+            before[1:] = classes[numbers[:-1]]
+            return before * len(heads) + head[numbers]
+
+        bodies = texts.column("body").to_pylist()
+        head_bits = np.zeros(mixer.CLASSES * len(heads), np.float32)
+        for body in bodies:
+            head_bits[pairs(_unpacked(body)[0])] = 1
+        used = np.flatnonzero(head_bits)
+        own_heads = [int(heads[i]).to_bytes(mixer.HEAD) for i in used % len(heads)]
+        head_bits[used] = _whole(light, shared).log2(
+            [mixer.END if own[:1] == mixer.END else own for own in own_heads], used // len(heads))
         base = np.log10((word_c + 1) / (words.total + words.kinds + 1))
         rows = []
-        for row_id, held, size, body in zip(*(texts.column(n).to_pylist() for n in ("id", "held", "bytes", "body")), strict=True):
+        for row_id, held, size, body in zip(*(texts.column(n).to_pylist() for n in ("id", "held", "bytes")), bodies, strict=True):
             numbers, ends, own = _unpacked(body)
-            below = np.add.reduceat(_adapted(numbers, word_bits[numbers], WORD_HALF), np.concatenate(([0], ends[:-1])))
+            spelled = rest_bits[numbers].astype(np.float64) + head_bits[pairs(numbers)]
+            below = np.add.reduceat(_adapted(numbers, spelled, WORD_HALF), np.concatenate(([0], ends[:-1])))
             score = _adapted(own, segments.log2(segment_c[own], below), SEGMENT_HALF).sum() * np.log10(2)
             rows.append((row_id, held, len(numbers), int((word_c[numbers] > 0).sum()), float(base[numbers].sum()), float(score), size))
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
@@ -353,12 +413,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     units = chunks.filter(F.col("kind") != TEXT).select("chunk", "kind", "idx", "key", "n")
     counts = cut(units.groupBy("key", "kind").agg(F.sum("n").alias("c")), "counts")
     totals = _totals(counts)
-    words = counts.filter((F.col("kind") == WORD) & (F.col("c") > 0)).select("key", (F.col("c") == 1).alias("once"))
-    trained = train_mixer(words)
-    odds = docs.sparkSession.sparkContext.broadcast(trained.odds)  # 2^SLOTS numbers
-    light = replace(trained, odds=trained.odds[:0])
-    spelled = counts.select("key", "c").mapInArrow(_spelled(light, odds), "key binary, c long, bits float")
-    found = units.select("chunk", "kind", "idx", "key").join(spelled, "key").select("chunk", "kind", "idx", "c", "bits")
+    trained = train_mixer(counts.filter((F.col("kind") != SEGMENT) & (F.col("c") > 0)).select("kind", "key", "c"))
+    shared = docs.sparkSession.sparkContext.broadcast((trained.odds, trained.levels))  # 2^SLOTS numbers
+    light = replace(trained, odds=trained.odds[:0], levels=trained.levels[:0])
+    spelled = counts.filter(F.col("kind") < TEXT).select("key", "c").mapInArrow(
+        _spelled(light, shared), "key binary, c long, bits float, mark int")
+    found = units.filter(F.col("kind") < TEXT).select("chunk", (F.col("idx") * 2 + F.col("kind")).alias("at"), "key").join(
+        spelled, "key").select("chunk", "at", "c", "bits", "mark")
     texts = chunks.filter(F.col("kind") == TEXT).select(F.col("chunk").alias("of"), "id", "held", "bytes", "body")
-    scored = texts.groupBy("of").cogroup(found.groupBy("chunk")).applyInArrow(_scored(totals[WORD], totals[SEGMENT]), _SCORES)
+    scored = texts.groupBy("of").cogroup(found.groupBy("chunk")).applyInArrow(
+        _scored(totals[WORD], totals[SEGMENT], light, shared), _SCORES)
     return scored.withColumn("_train", F.lit(totals[WORD].total).cast("long"))

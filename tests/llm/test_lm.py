@@ -105,3 +105,69 @@ def test_word_numbers_of_any_size():
     for words in ([0, 5, 255], [0, 70_000], [3, (1 << 24) + 7, 1 << 31], []):
         numbers, ends, segments = lm._unpacked(lm._packed(np.array(words, np.int64), np.array([len(words)]), [4]))
         assert (numbers.tolist(), ends.tolist(), segments.tolist()) == (words, [len(words)], [4])
+
+
+def test_the_word_before_is_a_context(spark):
+    """Known words with the same counts: their order decides, as training texts have it."""
+    draw = np.random.default_rng(3)
+    ids = [i for i in range(400) if not held(i)]
+    rows = [(i, " ".join(("xa yonder", "ub volume")[k] for k in draw.integers(2, size=12))) for i in ids]
+    like, unlike = [i for i in range(1_000, 1_100) if held(i)][:2]
+    rows += [(like, "xa yonder ub volume ub volume xa yonder"), (unlike, "xa volume ub yonder ub yonder xa volume")]
+    found = {r["_id"]: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[like]["_known"] == found[unlike]["_known"] == 9
+    assert found[like]["_score"] > found[unlike]["_score"] + 3
+
+
+def test_scores_are_products_of_mixed_bits(spark, docs, monkeypatch):
+    """Of every word, known or new: spelled one use after another, without numbers, chunks and joins."""
+    kept = []
+    for name in ("train_mixer", "_totals"):
+        monkeypatch.setattr(lm, name, lambda df, plain=getattr(lm, name): kept.append(plain(df)) or kept[-1])
+    few = docs.limit(40)
+    found = {r["_id"]: r for r in lm.score_texts(few).collect()}
+    totals, model = sorted(kept, key=lambda k: isinstance(k, mixer.Mixer))
+    level = totals[lm.SEGMENT]
+
+    def pieces(text):
+        out, piece = [], []
+        for word in tokens(text):
+            piece.append(word)
+            if word == b"\n" or (word[-1] in b".!?" and zlib.crc32(word) % 4 == 0):
+                out.append(piece)
+                piece = []
+        return out
+
+    rows = few.collect()
+    uses = Counter(b" ".join(p) for r in rows if not held(r["doc_id"]) for p in pieces(r["text"]))
+
+    def adapted(p, past, key, half):
+        at = sum(past.values())
+        share = 0.5 * at / (at + half)
+        p = math.log2((1 - share) * 2**p + share * past[key] / max(at, 1)) if share and past[key] else p + math.log2(1 - share)
+        past[key] += 1
+        return p
+
+    for r in rows[:12]:
+        before, words, segments, total = 0, Counter(), Counter(), 0.0
+        for piece in pieces(r["text"]):
+            below = 0.0
+            for word in piece:
+                bits = model.log2([mixer.head(word)], np.array([before]))[0] + model.log2([word], skip=mixer.HEAD)[0]
+                before = mixer.class_of(word)
+                below += adapted(bits, words, word, lm.WORD_HALF)
+            key = b" ".join(piece)
+            static = level.log2(np.array([uses[key]]), np.array([below]))[0]
+            total += adapted(static, segments, key, lm.SEGMENT_HALF)
+        assert found[r["doc_id"]]["_score"] == pytest.approx(total * math.log10(2), rel=1e-4)
+
+
+def test_heads_of_a_class_are_a_distribution(trained):
+    """Heads (two bytes, or one and the word's end, or the text's end) share what the code leaves."""
+    _, model = trained
+    own = [b for b in range(256) if b not in b" \n"]
+    firsts = [bytes([b]) for b in own]
+    one = np.exp2(model.log2([*firsts, b"\n"], np.full(len(own) + 1, 7))).sum()
+    assert 0.9 < one < 1
+    after = [b"t" + bytes([b]) for b in range(256)]
+    assert np.exp2(model.log2(after, np.full(256, 7))).sum() == pytest.approx(np.exp2(model.log2([b"t"], np.array([7]))[0]), rel=0.01)
