@@ -19,7 +19,6 @@ meet.  No table row per token exists.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -46,23 +45,20 @@ _CHUNK_SCHEMA = pa.schema([
     ("chunk", pa.int64()), ("kind", pa.int32()), ("idx", pa.int32()), ("key", pa.binary()), ("n", pa.int64()),
     ("id", pa.int64()), ("held", pa.bool_()), ("bytes", pa.int64()), ("body", pa.binary()),
 ])
+_MARKS = mixer.CLASSES << 8 * mixer.HEAD
 _SCORES = "_id long, _held boolean, _tokens long, _known long, _base double, _score double, _bytes long"
 
 
 class _Words(dict):
-    """Numbers of words in the order of their first use, whether a word ends a segment, its class and its head's number."""
+    """Numbers of words in the order of their first use, and whether a word ends a segment."""
 
     def __init__(self):
         super().__init__()
-        self.ends, self.classes = bytearray(), bytearray()
-        self.heads: dict[bytes, int] = {}
-        self.head = array("i")
+        self.ends = bytearray()
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
         self.ends.append(word == mixer.END or (word[-1] in b".!?" and zlib.crc32(word) % 4 == 0))
-        self.classes.append(mixer.class_of(word))
-        self.head.append(self.heads.setdefault(mixer.head(word), len(self.heads)))
         return number
 
 
@@ -127,12 +123,16 @@ class _Chunk:
 
     def _pairs(self) -> tuple[list[bytes], np.ndarray]:
         """Keys of the training uses' pairs (class of the word before, head) and how many they are; an end's class begins a text."""
-        numbers = np.concatenate(self.word_n or [np.zeros(0, np.int64)])
-        classes = np.frombuffer(self.words.classes, np.uint8)[numbers].astype(np.int64)
-        before = np.concatenate(([0], classes[:-1]))[: len(numbers)]
-        heads = list(self.words.heads)
-        codes, n = np.unique(before * len(heads) + np.frombuffer(self.words.head, np.int32)[numbers], return_counts=True)
-        return [bytes([code // len(heads)]) + heads[code % len(heads)] for code in codes.tolist()], n
+        marks = mixer.marks(list(self.words))
+        heads, first, head = np.unique(marks // mixer.CLASSES, return_index=True, return_inverse=True)
+        n = np.zeros(mixer.CLASSES * len(heads), np.int64)
+        for numbers in self.word_n:
+            before = np.zeros(len(numbers), np.int64)
+            before[1:] = marks[numbers[:-1]] % mixer.CLASSES
+            np.add.at(n, before * len(heads) + head[numbers], 1)
+        used = np.flatnonzero(n)
+        spelled = [mixer.head_of(mark) for mark in marks[first]]
+        return [bytes([code // len(heads)]) + spelled[code % len(heads)] for code in used.tolist()], n[used]
 
     def _batch(self, rows: int, **columns) -> pa.RecordBatch:
         columns["chunk"] = [self.number] * rows
@@ -247,7 +247,7 @@ def _tables(code: mixer.Code):
 
 
 def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the slices that arrive at a task, one row after another."""
+    """Sums of the slices that arrive at a task, one row after another; packed, as the driver takes all of them."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -255,7 +255,8 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums[i] = sums[i] + part if i in sums else part
     for i, part in sums.items():
         yield pa.RecordBatch.from_arrays(
-            [pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "body"])
+            [pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype(np.float32).tobytes(), 1)], pa.binary())],
+            ["slice", "body"])
 
 
 def _learned(code: mixer.Code, table):
@@ -309,7 +310,7 @@ def train_mixer(uses: DataFrame) -> mixer.Mixer:
     summed = uses.mapInArrow(_tables(code), "slice int, body binary").repartition(SLICES, "slice").mapInArrow(
         _sum_slices, "slice int, body binary")
     for r in summed.collect():  # the table: of a fixed size
-        parts[r["slice"]][:] = np.frombuffer(r["body"], np.float64).reshape(-1, 2)
+        parts[r["slice"]][:] = np.frombuffer(zlib.decompress(r["body"]), np.float32).reshape(-1, 2)
     shared = spark.sparkContext.broadcast(table)
     lessons = max(1, uses.count() // LESSON)
     dealt = uses.withColumn("turn", F.xxhash64("kind", "key")).withColumn("lesson", F.pmod("turn", F.lit(lessons))).repartition(
@@ -324,7 +325,7 @@ def train_mixer(uses: DataFrame) -> mixer.Mixer:
             weights.flat[r["place"]] = r["value"] / r["words"]
         else:
             refine.flat[r["place"]] = r["value"]
-    shared.unpersist()
+    shared.destroy()  # the driver's copy too
     return mixer.Mixer.of(code, table, weights, refine)
 
 
@@ -345,8 +346,7 @@ def _spelled(light: mixer.Mixer, shared):
             here = [i for i, key in enumerate(keys) if key[:1] != MARK]
             words = [keys[i] for i in here]
             bits[here] = whole.log2(words, skip=mixer.HEAD)
-            marks[here] = [int.from_bytes(mixer.head(word).ljust(mixer.HEAD, b"\0")) * mixer.CLASSES + mixer.class_of(word)
-                           for word in words]
+            marks[here] = mixer.marks(words)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits), pa.array(marks)],
                                              ["key", "c", "bits", "mark"])
 
@@ -355,7 +355,7 @@ def _spelled(light: mixer.Mixer, shared):
 
 def _scored(words: Counts, segments: Counts, light: mixer.Mixer, shared):
     def run(key: tuple, texts: pa.Table, units: pa.Table) -> pa.Table:
-        at = units.column("at").to_numpy()
+        at, all_marks = np.divmod(units.column("at").to_numpy(), _MARKS)
         kind, idx = at % 2, at // 2
         counts, bits = units.column("c").to_numpy(), units.column("bits").to_numpy()
 
@@ -366,7 +366,7 @@ def _scored(words: Counts, segments: Counts, light: mixer.Mixer, shared):
             return out
 
         word_c, segment_c, rest_bits = by_number(WORD, counts), by_number(SEGMENT, counts), by_number(WORD, bits)
-        marks = by_number(WORD, units.column("mark").to_numpy())
+        marks = by_number(WORD, all_marks)
         classes = marks % mixer.CLASSES
         heads, head = np.unique(marks // mixer.CLASSES, return_inverse=True)
 
@@ -380,15 +380,14 @@ def _scored(words: Counts, segments: Counts, light: mixer.Mixer, shared):
         for body in bodies:
             head_bits[pairs(_unpacked(body)[0])] = 1
         used = np.flatnonzero(head_bits)
-        own_heads = [int(heads[i]).to_bytes(mixer.HEAD) for i in used % len(heads)]
-        head_bits[used] = _whole(light, shared).log2(
-            [mixer.END if own[:1] == mixer.END else own for own in own_heads], used // len(heads))
+        spelled = [mixer.head_of(own * mixer.CLASSES) for own in heads]
+        head_bits[used] = _whole(light, shared).log2([spelled[i] for i in used % len(heads)], used // len(heads))
         base = np.log10((word_c + 1) / (words.total + words.kinds + 1))
         rows = []
         for row_id, held, size, body in zip(*(texts.column(n).to_pylist() for n in ("id", "held", "bytes")), bodies, strict=True):
             numbers, ends, own = _unpacked(body)
-            spelled = rest_bits[numbers].astype(np.float64) + head_bits[pairs(numbers)]
-            below = np.add.reduceat(_adapted(numbers, spelled, WORD_HALF), np.concatenate(([0], ends[:-1])))
+            static = rest_bits[numbers].astype(np.float64) + head_bits[pairs(numbers)]
+            below = np.add.reduceat(_adapted(numbers, static, WORD_HALF), np.concatenate(([0], ends[:-1])))
             score = _adapted(own, segments.log2(segment_c[own], below), SEGMENT_HALF).sum() * np.log10(2)
             rows.append((row_id, held, len(numbers), int((word_c[numbers] > 0).sum()), float(base[numbers].sum()), float(score), size))
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
@@ -415,11 +414,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     totals = _totals(counts)
     trained = train_mixer(counts.filter((F.col("kind") != SEGMENT) & (F.col("c") > 0)).select("kind", "key", "c"))
     shared = docs.sparkSession.sparkContext.broadcast((trained.odds, trained.levels))  # 2^SLOTS numbers
-    light = replace(trained, odds=trained.odds[:0], levels=trained.levels[:0])
+    light = replace(trained, odds=np.zeros(0, np.float32), levels=np.zeros(0, np.uint8))
+    del trained
     spelled = counts.filter(F.col("kind") < TEXT).select("key", "c").mapInArrow(
         _spelled(light, shared), "key binary, c long, bits float, mark int")
     found = units.filter(F.col("kind") < TEXT).select("chunk", (F.col("idx") * 2 + F.col("kind")).alias("at"), "key").join(
-        spelled, "key").select("chunk", "at", "c", "bits", "mark")
+        spelled, "key").select("chunk", (F.col("at").cast("long") * _MARKS + F.col("mark")).alias("at"), "c", "bits")
     texts = chunks.filter(F.col("kind") == TEXT).select(F.col("chunk").alias("of"), "id", "held", "bytes", "body")
     scored = texts.groupBy("of").cogroup(found.groupBy("chunk")).applyInArrow(
         _scored(totals[WORD], totals[SEGMENT], light, shared), _SCORES)

@@ -13,7 +13,6 @@ and the rests of words are spelled apart, each with the number of its uses.
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -99,8 +98,27 @@ def head(word: bytes) -> bytes:
 
 
 def class_of(word: bytes) -> int:
-    """Class of a word for the next one."""
-    return 0 if word == END else zlib.crc32(word[-2:]) % (CLASSES - 1) + 1
+    """Class of a word for the next one, by its last two bytes; 0 is the end's, and so that of a text's begin."""
+    return 0 if word == END else (int.from_bytes(word[-2:]) * 40503 >> 4) % (CLASSES - 1) + 1
+
+
+def marks(words: list[bytes]) -> np.ndarray:
+    """Head and class of each word in one number: the head's two bytes, then the class."""
+    if not words:
+        return np.zeros(0, np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.int64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    last = starts + sizes - 1
+    ending = flat[last] + np.where(sizes > 1, flat[last - 1] << 8, 0)
+    end = flat[starts] == END[0]  # words hold no white space
+    heads = (flat[starts] << 8) + np.where(end, 0, flat[starts + 1])
+    return heads * CLASSES + np.where(end, 0, (ending * 40503 >> 4) % (CLASSES - 1) + 1)
+
+
+def head_of(mark: int) -> bytes:
+    own = int(mark // CLASSES).to_bytes(HEAD)
+    return END if own[:1] == END else own
 
 
 def _prefixes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

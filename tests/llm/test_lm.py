@@ -171,3 +171,10 @@ def test_heads_of_a_class_are_a_distribution(trained):
     assert 0.9 < one < 1
     after = [b"t" + bytes([b]) for b in range(256)]
     assert np.exp2(model.log2(after, np.full(256, 7))).sum() == pytest.approx(np.exp2(model.log2([b"t"], np.array([7]))[0]), rel=0.01)
+
+
+def test_marks_are_heads_and_classes():
+    words = [b"a", b"\n", b"it", b"x.", b"\xc3\xa9t\xc3\xa9", b"\x00", b"\x00\x00b"]
+    for word, mark in zip(words, mixer.marks(words).tolist(), strict=True):
+        assert (mixer.head_of(mark), mark % mixer.CLASSES) == (mixer.head(word), mixer.class_of(word))
+    assert len(mixer.marks([])) == 0
