@@ -7,9 +7,11 @@ from the source's own place, the sites chosen so far and the steps taken, so it
 it is needed: nothing is stored between rounds, and a round is two passes over the sources that
 return one number per site and a few sums.  No table of sources by sites exists.
 
-Only the p sites worth most count.  Many candidates are therefore cut in cells; a cell as near to every
-source as its nearest edge is worth at least what any of its sites is, and only sites of cells that may hold
-one of the best are worked out.
+Only the p sites worth most count.  Many candidates are therefore cut in cells.  A pass gives each cell a plane
+that no site of it is worth more than: what a site saves of one source follows from their distance, which is convex,
+and a saving that ends somewhere in the cell lies above its chord.  So the error shrinks with the square of a cell's size.
+Sites that may still be among the best are cut in finer cells, and what is then left is worked out over all sources.
+Sources on one spot are one source.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from fieldhub.operators.siting import Hub, Median, p_median
 from fieldhub.session import Scratch
 
 MAX_SITES = 65_536  # candidates whose places go along with the tasks
-CELLS = 1 << 21  # distances that a task holds at once
+CELLS = 1 << 16  # distances that a task holds at once, few enough for a core's cache
 AT_ONCE = 2_048  # sites worked out in a pass; up to so many candidates need no cells
-SIDE = 32  # cells of candidates along a side
+FIRST = 64  # sites of the best planes, worked out before finer cells
+SIDES = (32, 128, 512)  # cells of candidates along a side
 
 
 @dataclass(frozen=True)
@@ -63,8 +66,8 @@ class _Prices:
 
 
 def _costs(xy: np.ndarray, weight: np.ndarray, sites: np.ndarray) -> np.ndarray:
-    gap = xy[:, None, :] - sites[None, :, :]
-    return weight[:, None] * np.sqrt((gap * gap).sum(axis=2))
+    dx, dy = xy[:, :1] - sites[:, 0], xy[:, 1:] - sites[:, 1]
+    return weight[:, None] * np.sqrt(dx * dx + dy * dy)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -77,15 +80,7 @@ def _batches(batches: Iterator[pa.RecordBatch], wide: int) -> Iterator[tuple[np.
             yield xy[at : at + step], weight[at : at + step]
 
 
-def _gaps(xy: np.ndarray, weight: np.ndarray, boxes: np.ndarray) -> np.ndarray:
-    """Costs to the nearest point of each box (x0, y0, x1, y1)."""
-    x, y = xy[:, :1], xy[:, 1:]
-    across = np.maximum(0, np.maximum(boxes[:, 0] - x, x - boxes[:, 2]))
-    along = np.maximum(0, np.maximum(boxes[:, 1] - y, y - boxes[:, 3]))
-    return weight[:, None] * np.sqrt(across * across + along * along)
-
-
-def _worth(prices: _Prices, sites: np.ndarray, costs_of: Callable = _costs) -> Callable:
+def _worth(prices: _Prices, sites: np.ndarray) -> Callable:
     """Per site what its sources save; at -1 the sum of all prices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +88,7 @@ def _worth(prices: _Prices, sites: np.ndarray, costs_of: Callable = _costs) -> C
         for xy, weight in _batches(batches, len(sites)):
             price = prices.of(xy, weight)
             total += price.sum()
-            saved += np.minimum(costs_of(xy, weight, sites) - price[:, None], 0).sum(axis=0)
+            saved += np.minimum(_costs(xy, weight, sites) - price[:, None], 0).sum(axis=0)
         found = np.append(np.flatnonzero(saved), -1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(found.astype(np.int32)), pa.array(np.append(saved[found[:-1]], total))], ["at", "worth"])
@@ -101,46 +96,106 @@ def _worth(prices: _Prices, sites: np.ndarray, costs_of: Callable = _costs) -> C
     return run
 
 
-def _cells(sites: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The boxes of the candidates' cells and who is in each."""
+def _planes(prices: _Prices, centres: np.ndarray, half: np.ndarray) -> Callable:
+    """Per disc of sites (centre and radius) a plane under what its sites are worth: at the centre, and
+    its slopes; at -1 the sum of all prices.  A disc of radius 0 gets the worth itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ones, across, along, total = np.zeros(len(half)), np.zeros(len(half)), np.zeros(len(half)), np.zeros(len(half)), 0.0
+        for xy, weight in _batches(batches, len(half)):
+            price = prices.of(xy, weight)
+            total += price.sum()
+            dx, dy = xy[:, :1] - centres[:, 0], xy[:, 1:] - centres[:, 1]
+            far = np.sqrt(dx * dx + dy * dy)
+            net = weight[:, None] * far - price[:, None]  # at the centre; in the disc it is within ``reach`` of that
+            reach = weight[:, None] * half
+            most = np.maximum(net + reach, 0)
+            part = np.clip((reach - net) / np.maximum(2 * reach, 1e-9), 0, 1)  # the chord's slope
+            part[net + reach <= 0] = 1
+            at += (part * (net - most)).sum(axis=0)
+            part *= weight[:, None] / np.maximum(far, 1e-9)
+            across -= (part * dx).sum(axis=0)
+            along -= (part * dy).sum(axis=0)
+        rows = [np.append(np.arange(len(half)), -1).astype(np.int32), np.append(at, total), np.append(across, 0), np.append(along, 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["at", "worth", "across", "along"])
+
+    return run
+
+
+def _cells(sites: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each site's cell, and the cells' centres and radii."""
     low = sites.min(axis=0)
-    size = max((sites.max(axis=0) - low).max(), 1e-9) / (SIDE - 1)
+    size = max((sites.max(axis=0) - low).max(), 1e-9) / (side - 1)
     at = np.floor((sites - low) / size).astype(int)
-    _, cell = np.unique(at[:, 0] * SIDE + at[:, 1], return_inverse=True)
-    members = np.split(np.argsort(cell, kind="stable"), np.cumsum(np.bincount(cell))[:-1])
-    return np.array([[*sites[m].min(axis=0), *sites[m].max(axis=0)] for m in members]), members
+    _, cell = np.unique(at[:, 0] * side + at[:, 1], return_inverse=True)
+    ends = np.full((2, cell.max() + 1, 2), np.inf)
+    np.minimum.at(ends[0], cell, sites)
+    np.minimum.at(ends[1], cell, -sites)
+    centres = (ends[0] - ends[1]) / 2
+    half = np.zeros(len(centres))
+    np.maximum.at(half, cell, np.hypot(*(sites - centres[cell]).T))
+    return cell, centres, half * (1 + 1e-9)
 
 
 def _sums(places: DataFrame, run: Callable) -> DataFrame:
     return places.mapInArrow(run, "at int, worth double").groupBy("at").agg(F.sum("worth").alias("worth"))
 
 
+def _under(places: DataFrame, prices: _Prices, sites: np.ndarray, known: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """What each site is worth at most (by its cell's plane), what the sites known are worth, and the sum of all prices."""
+    cell, centres, half = _cells(sites, side)
+    given = np.vstack((centres, known)), np.append(half, np.zeros(len(known)))
+    sums = places.mapInArrow(_planes(prices, *given), "at int, worth double, across double, along double").groupBy("at").agg(
+        *(F.sum(c).alias(c) for c in ("worth", "across", "along")))
+    planes = np.zeros((len(half) + len(known) + 1, 3))  # the last row is that of -1
+    for r in sums.collect():  # cells, p sites and the total
+        planes[r["at"]] = r["worth"], r["across"], r["along"]
+    off = sites - centres[cell]
+    return planes[cell, 0] + (planes[cell, 1:] * off).sum(axis=1), planes[len(half) : -1, 0], float(planes[-1, 0])
+
+
 def _most_worth(
-    places: DataFrame, prices: _Prices, sites: np.ndarray, p: int, cells: tuple[np.ndarray, list[np.ndarray]] | None,
-    known: Sequence[int],
+    places: DataFrame, prices: _Prices, sites: np.ndarray, p: int, known: Sequence[int],
 ) -> tuple[float, list[tuple[float, int]]]:
     """The sum of all prices, and the p sites worth most: (worth, number), sites of no worth left out."""
-    if cells is None:
+    if len(sites) <= AT_ONCE:
         rows = _sums(places, _worth(prices, sites)).orderBy(F.col("at") >= 0, "worth", "at").limit(p + 1).collect()
         return sum(r["worth"] for r in rows if r["at"] < 0), [(r["worth"], r["at"]) for r in rows if r["at"] >= 0]
-    boxes, members = cells
-    # the sites of the last round go along as boxes of one point: at least p sites are worth as much
-    points = np.hstack((sites[list(known)], sites[list(known)]))
-    rows = _sums(places, _worth(prices, np.vstack((boxes, points)), _gaps)).collect()  # cells, p sites and the total
-    worth = {r["at"]: r["worth"] for r in rows}
-    total = worth.pop(-1, 0.0)
-    least = max(worth.get(len(boxes) + k, 0.0) for k in range(len(known))) * (1 - 1e-9)
-    order = sorted((w, c) for c, w in worth.items() if c < len(boxes))
+    # the sites of the last round go along as discs of one point: at least p sites are worth as much
+    under, now, total = _under(places, prices, sites, sites[list(known)], SIDES[0])
+    least = now.max() * (1 - 1e-9)
+    left = np.arange(len(sites))
     best: list[tuple[float, int]] = []
-    while order and order[0][0] * (1 + 1e-9) <= least:
-        batch: list[np.ndarray] = []
-        while order and order[0][0] * (1 + 1e-9) <= least and sum(map(len, batch)) < AT_ONCE:
-            batch.append(members[order.pop(0)[1]])
-        ids = np.sort(np.concatenate(batch))
+
+    def possible() -> None:
+        nonlocal left, under
+        kept = (under < 0) & (under * (1 + 1e-9) <= least)
+        left, under = left[kept], under[kept]
+
+    def work_out(many: int) -> None:
+        """The sites of the best planes over all sources."""
+        nonlocal left, under, best, least
+        order = np.argsort(under, kind="stable")
+        ids, rest = np.sort(left[order[:many]]), np.sort(order[many:])
         rows = _sums(places, _worth(prices, sites[ids])).filter("at >= 0").orderBy("worth", "at").limit(p).collect()
         best = sorted(best + [(r["worth"], int(ids[r["at"]])) for r in rows])[:p]
         if len(best) == p:
             least = min(least, best[-1][0])
+        left, under = left[rest], under[rest]
+        possible()
+
+    possible()
+    for side in SIDES[1:]:
+        if len(left) <= 2 * FIRST:
+            break
+        work_out(FIRST)
+        if len(left) <= 2 * FIRST:
+            break
+        finer, _, _ = _under(places, prices, sites[left], sites[:0], side)
+        under = np.maximum(under, finer)
+        possible()
+    while len(left):
+        work_out(AT_ONCE)
     return total, best
 
 
@@ -179,15 +234,16 @@ def median_bound(
         raise ValueError(f"{p} sites of {len(hubs)} candidates")
     sites = np.array([(h.x, h.y) for h in hubs], dtype=float).reshape(-1, 2)
     places = Scratch(sources.sparkSession, "bound").cut(
-        sources.select(F.greatest(F.col("headcount").cast("double"), F.lit(0.0)).alias("w"), "x", "y").dropna())
+        sources.filter("headcount > 0").select(F.col("headcount").cast("double").alias("w"), "x", "y").dropna()
+        .groupBy("x", "y").agg(F.sum("w").alias("w")).select("w", "x", "y")
+        .repartition(sources.sparkSession.sparkContext.defaultParallelism))  # a file of one split would be one task
     best, upper, lower = known.sites, known.objective / scale, 0.0
     numbers = {h.site_id: k for k, h in enumerate(hubs)}
-    cells = _cells(sites) if len(sites) > AT_ONCE else None
     picked = [numbers[h.site_id] for h in best if h.site_id in numbers] if len(best) == p else list(range(p))
     picked = picked if len(picked) == p else list(range(p))
     prices, trail, pace, idle = _Prices(_xy(best), []), [], 1.0, 0
     for _ in range(rounds):
-        total, worth = _most_worth(places, prices, sites, p, cells, picked)
+        total, worth = _most_worth(places, prices, sites, p, picked)
         picked = [k for _, k in worth]
         picked += [k for k in range(len(sites)) if k not in set(picked)][: p - len(picked)]  # of no worth
         value = total + sum(w for w, _ in worth)

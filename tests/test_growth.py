@@ -105,6 +105,30 @@ def test_the_bound_works_out_few_of_many_candidates(spark, monkeypatch):
     assert max(cut) < 2_500 and sum(cut) < 4 * 4_000
 
 
+def test_the_bound_works_out_next_to_no_candidates_and_deals_its_sources(spark, monkeypatch):
+    """Planes leave few of many sites, also of sites on a line and on one spot; sources on one spot are one."""
+    rng = random.Random(6)
+    place = lambda: (rng.uniform(0, 3e5), rng.uniform(0, 5e5))
+    spots = [place() for _ in range(300)]
+    rows = [(rng.randrange(-50, 5_000), *spots[k % 300]) for k in range(900)] + [(None, 1.0, 1.0), (7, None, 1.0)]
+    sources = spark.createDataFrame(rows, "headcount bigint, x double, y double").coalesce(1)
+    sites = [(k, *place()) for k in range(2_600)]
+    sites += [(3_000 + k, 1e5, 2e5 + 40.0 * k) for k in range(200)] + [(4_000 + k, 1.5e5, 2.4e5) for k in range(100)]
+    table = spark.createDataFrame(sites, "site_id bigint, x double, y double")
+    start = Median([siting.Hub(*sites[k]) for k in (5, 900)], 1e12, False)
+    asked, read = [], []
+    inner, most = median_bound._worth, median_bound._most_worth
+    monkeypatch.setattr(median_bound, "_worth", lambda prices, given, *rest: asked.append(len(given)) or inner(prices, given, *rest))
+    monkeypatch.setattr(median_bound, "_most_worth", lambda places, *rest: read.append(places) or most(places, *rest))
+    found = median_bound.median_bound(sources, table, 2, start=start, rounds=5)
+    assert len(read[0].inputFiles()) > 1 and read[0].count() <= 300
+    cut, asked[:] = list(asked), []
+    monkeypatch.setattr(median_bound, "AT_ONCE", 10_000)
+    whole = median_bound.median_bound(sources, table, 2, start=start, rounds=5)
+    assert asked == [2_900] * 5 and sum(cut) < 5 * 290
+    assert found.trail == pytest.approx(whole.trail, rel=1e-12) and found.sites == whole.sites
+
+
 def test_detection_columns_are_worked_out_once(spark, sf):
     """The events' text is parsed once a row, however many vertices read what comes of it."""
     plan = all_entries()["geojson_polygons"].run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
