@@ -59,6 +59,22 @@ def test_nearest_within(spark, crowd_limit, seed):
     assert single == {min((w for w in want if w[0] == pid), key=lambda w: w[1] or 0) for pid, *_ in boxes}
 
 
+@pytest.mark.parametrize("crowd_limit", [2048, 1])
+def test_points_exactly_as_far_as_the_radius_are_found(spark, crowd_limit):
+    """Squares of this distance exceed the radius's square by rounding, the distance is the radius."""
+    dy = math.nextafter(120.0, 200.0)
+    assert 90.0 * 90.0 + dy * dy > 150.0 * 150.0 and math.sqrt(90.0 * 90.0 + dy * dy) == 150.0
+    polys = spark.createDataFrame([(1, ring_of(0.0, 0.0, 10.0, 10.0)), (2, ring_of(9_000.0, 0.0, 10.0, 10.0))], POLY)
+    points = spark.createDataFrame(
+        [(7, -90.0, -dy), (8, 8_850.0, 5.0), (9, 8_910.0, -dy), (10, 5_000.0, 9_000.0)], "permit_id bigint, x double, y double")
+    for radius in (150.0, 16 * 150.0):  # the last and the first reach
+        found = spatial.nearest_within(polys, points, radius, crowd_limit=crowd_limit).collect()
+        rows = sorted((r["polygon_id"], r["permit_id"], r["join_distance_m"], r["join_ties"]) for r in found)
+        assert rows == [(1, 7, 150.0, 1), (2, 8, 150.0, 2)]
+        every = spatial.nearest_within(polys, points, radius, crowd_limit=crowd_limit, ties=True).collect()
+        assert sorted((r["polygon_id"], r["permit_id"]) for r in every) == [(1, 7), (2, 8), (2, 9)]
+
+
 def test_close_centers_and_merge(spark):
     rng = random.Random(5)
     dets = []
