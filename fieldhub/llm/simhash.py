@@ -14,19 +14,20 @@ broadcast of them would have no size bound.  Each tree meets its own queries ins
 
 Near copies of a similarity (``similar_groups``, the corpus pipeline's stage) need another
 radius: documents of Jaccard 0.8 are about 10 of 64 bits apart, where neither blocks of bits
-nor a BK-tree leave anything out (strangers are about 32 apart).  There the shards are dealt
-by ``BANDS`` keys of ``ROWS`` minimum hashes of the shingles, the fingerprints (of sets of shingles, so
-that repeats don't move them) and sizes only drop pairs that cannot be similar, and every pair is verified by the exact Jaccard similarity
-of its whole texts before it joins anything.  A document first meets one leader per shard.
-Members of shards that this leaves with several groups are then listed by their rarest
-shingles: a text that shares only common passages with others meets none of them there, so a
-large group costs its size and not its square.
+nor a BK-tree leave anything out (strangers are about 32 apart).  A first pass joins most of them cheaply: each document
+meets one leader in each of ``BANDS`` shards, dealt by keys of ``ROWS`` minimum hashes of the shingles, if their
+fingerprints (of sets of shingles, so that repeats don't move them) are near.  A second pass
+leaves no similar pair out: every document is listed by its rarest shingles, so many that two
+similar sets have one in common, and members of a list that are not in one group yet are compared.  What drops a
+pair before that are bounds that no similar pair exceeds.  In both passes every pair is verified by the exact Jaccard similarity
+of its whole texts before it joins anything.  A text that shares only common passages with others meets none of them
+there, so a large group costs its size and not its square.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -49,9 +50,9 @@ STEP = 1 << 16  # shingles hashed at once
 CONTRACT_WIDTH = 3  # op10's shingles, for which RADIUS is given
 SIMILAR = 0.8  # least Jaccard similarity of near copies by other shingles
 BANDS, ROWS = 20, 5  # at Jaccard 0.8 a pair shares none of the keys in 0.04 % of cases
-FAR = 28  # bits of fingerprints of sets; at Jaccard 0.8 the mean is 9.7 to 12 (small sets) and the deviation about 3
+FAR = 28  # bits of fingerprints that meet in the first pass; at Jaccard 0.8 the mean is 9.7 to 12 (small sets) and the deviation about 3
 LISTED = 32  # members of a list that are compared with each other at once
-WIDE, WIDE_FAR = 8, 140  # words of a list member's longer fingerprint, and the FAR of its 512 bits (mean 78 to 96, deviation up to 9)
+WIDE = 8  # words of a set's parities
 COMMON_BITS = 18  # buckets that tell common shingles from rare ones
 MOST_KEYS = 500_000  # texts asked for that are broadcast by key (some 40 MB), more are joined
 SLICE = 4 << 20  # bytes of text that are worked on at once
@@ -188,7 +189,7 @@ def _band_keys(hashes: np.ndarray, factors: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(row.tobytes(), band)) for band, row in enumerate(rows)]
 
 
-_DESCRIBED = "_id long, _key string, _print long, _size long, _bands array<long>"
+_DESCRIBED = "_id long, _key string, _print long, _size long, _bands array<long>, _wide array<long>"
 
 
 def _described(width: int):
@@ -201,11 +202,11 @@ def _described(width: int):
                 for text in byte_texts(batch.column(1)):
                     words = text.lower().split()
                     hashes = _shingle_set(words, width)
-                    rows.append((_key(words), _majority([hashes]), len(hashes), _band_keys(hashes, factors)))
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                    rows.append((_key(words), _majority([hashes]), len(hashes), _band_keys(hashes, factors), _wide_print(hashes)))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 arrays = [pa.array(values, kind) for values, kind in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["_id", "_key", "_print", "_size", "_bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["_id", "_key", "_print", "_size", "_bands", "_wide"])
 
     return run
 
@@ -261,20 +262,20 @@ def _rooted(classes: DataFrame, found: DataFrame) -> DataFrame:
     return classes.join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
 
 
-def _alike(one: str, other: str, least: float) -> Column:
-    """What every pair of similarity ``least`` fulfils: sizes alike, fingerprints not ``FAR`` apart."""
-    a, b = F.col(f"{one}._size"), F.col(f"{other}._size")
-    bits = F.bit_count(F.col(f"{one}._print").bitwiseXOR(F.col(f"{other}._print")))
-    return (bits <= FAR) & (F.least(a, b) >= least * F.greatest(a, b) - 1e-6)
+def _sized(one: Column, other: Column, least: float) -> Column:
+    """Sizes alike, as those of every pair of similarity ``least`` are."""
+    return F.least(one["_size"], other["_size"]) >= least * F.greatest(one["_size"], other["_size"]) - 1e-6
 
 
 def _pairs(met: DataFrame, one: str, other: str, least: float) -> DataFrame:
-    a, b = F.col(f"{one}._key"), F.col(f"{other}._key")
-    return met.filter((a != b) & _alike(one, other, least)).select(
-        F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    """Pairs of a first pass: what it leaves out is found by lists."""
+    a, b = F.col(one), F.col(other)
+    bits = F.bit_count(a["_print"].bitwiseXOR(b["_print"]))
+    return met.filter((a["_key"] != b["_key"]) & (bits <= FAR) & _sized(a, b, least)).select(
+        F.least(a["_key"], b["_key"]).alias("a"), F.greatest(a["_key"], b["_key"]).alias("b")).distinct()
 
 
-# --- what the shards leave open ---------------------------------------------------------------
+# --- what the first pass leaves open ---------------------------------------------------------------
 def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes.view(np.uint64) >> np.uint64(64 - COMMON_BITS)).astype(np.int64)
 
@@ -289,38 +290,51 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["_bucket", "_n"])
 
 
-_LISTED = "_token long, _node long, _head long, _rank int, _common float"
-_MIXERS = np.random.default_rng(9).integers(0, ALL_BITS, (WIDE, 2), np.uint64, endpoint=True) | np.uint64(1)
+def _wide_print(hashes: np.ndarray) -> list[int]:
+    """Of each of 64 * ``WIDE`` buckets whether an odd number of the set falls in it: two sets differ in no more bits than members."""
+    counts = np.bincount((hashes & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
-def _wide_print(hashes: np.ndarray) -> list[int]:
-    """SimHash of a set by ``WIDE`` further hashes of each member."""
-    found = []
-    for one, other in _MIXERS:
-        mixed = hashes * one
-        mixed = (mixed ^ mixed >> np.uint64(32)) * other
-        found.append(_majority([mixed ^ mixed >> np.uint64(29)]))
-    return found
+_NODE = "_node long"
 
 
-def _wide_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the longer fingerprint; batch: key, set."""
-    for batch in batches:
-        found = [_wide_print(one.values.to_numpy(zero_copy_only=False).view(np.uint64)) for one in batch.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(found, pa.list_(pa.int64())), batch.column(1)], ["_key", "_wide", "_set"])
+def _noded(width: int):
+    """(_node, _set): the different shingles' hashes of each text by 64 bits of its key, ``F.xxhash64`` of it; batch: row, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1, SLICE):
+                split = [text.lower().split() for text in byte_texts(batch.column(1))]
+                nodes = [_signed(xxhash.xxh64_intdigest(_key(words).encode(), 42)) for words in split]
+                sets = [_shingle_set(words, width).view(np.int64) for words in split]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["_node", "_set"])
+
+    return run
+
+
+def _then(*steps):
+    """Steps over batches as one, so that nothing between them is moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return run
 
 
 def _prefixes(shared, least: float):
     """The rarest shingles of each set, so many that sets without one in common are under ``least``;
-    batch: node, head, set."""
+    batch: columns to carry, set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
             owners, tokens, ranks, common = [], [], [], []
+            sets, carried = batch.column(batch.num_columns - 1), range(batch.num_columns - 1)
             for row in range(batch.num_rows):
-                hashes = batch.column(2)[row].values.to_numpy(zero_copy_only=False)
+                hashes = sets[row].values.to_numpy(zero_copy_only=False)
                 often = counts[_bucket(hashes)]
                 size = len(hashes) - math.ceil(least * len(hashes) - 1e-6) + 1
                 rarest = np.lexsort((hashes, often))[:size]
@@ -331,29 +345,52 @@ def _prefixes(shared, least: float):
             if owners:
                 at = pa.array(np.concatenate(owners))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)), *(batch.column(c).take(at) for c in range(2)),
+                    [pa.array(np.concatenate(tokens)), *(batch.column(c).take(at) for c in carried),
                      pa.array(np.concatenate(ranks)), pa.array(np.concatenate(common).astype(np.float32))],
-                    ["_token", "_node", "_head", "_rank", "_common"])
+                    ["_token", *(batch.schema.names[c] for c in carried), "_rank", "_common"])
 
     return run
 
 
+def _common_ones(counted: DataFrame):
+    """How many shingles fall in each bucket, for all tasks: 2^COMMON_BITS numbers whatever there is to count."""
+    sums = counted.groupBy("_bucket").agg(F.sum("_n").alias("_n")).toArrow()  # one row a bucket at most
+    counts = np.zeros(1 << COMMON_BITS, np.int64)
+    counts[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
+    return counted.sparkSession.sparkContext.broadcast(counts)
+
+
+def _open(lists: DataFrame) -> DataFrame:
+    """The rows of lists of more than one group; ``_many`` counts a list."""
+    spans = lists.groupBy("_token").agg(F.min("_head").alias("_low"), F.max("_head").alias("_high"))
+    tokens = cut(spans.filter("_low < _high").select("_token"), "tokens")
+    some = F.broadcast(tokens) if tokens.count() <= MOST_KEYS else tokens  # then rows of other lists are not shuffled
+    left = cut(lists.join(some, "_token", "left_semi").distinct(), "open")  # equal texts are one member
+    return left.join(left.groupBy("_token").agg(F.count(F.lit(1)).alias("_many")), "_token")
+
+
 def _lists(members: DataFrame, least: float) -> DataFrame:
     """The members (_node, _head, _set) by their rarest shingles: two sets of similarity ``least``
     meet in a list.  ``_many`` counts a list; lists of one group are left out.
 
     Any one order of the shingles gives that; the order by bucket counts only makes lists
-    short.  Counts are 2^COMMON_BITS numbers whatever there is to count.
+    short.
     """
-    sums = members.select("_set").mapInArrow(_counted, "_bucket long, _n long").groupBy("_bucket").agg(F.sum("_n").alias("_n"))
-    counts = np.zeros(1 << COMMON_BITS, np.int64)
-    for row in sums.collect():  # one row a bucket at most
-        counts[row["_bucket"]] = row["_n"]
-    shared = members.sparkSession.sparkContext.broadcast(counts)
-    lists = cut(members.select("_node", "_head", "_set").mapInArrow(_prefixes(shared, least), _LISTED), "lists")
-    spans = lists.groupBy("_token").agg(
-        F.min("_head").alias("_low"), F.max("_head").alias("_high"), F.count(F.lit(1)).alias("_many"))
-    return cut(lists.join(spans.filter("_low < _high").select("_token", "_many"), "_token"), "open")
+    shared = _common_ones(members.select("_set").mapInArrow(_counted, "_bucket long, _n long"))
+    kinds = f"_token long, {_NODE}, _head long, _rank int, _common float"
+    return _open(cut(members.select("_node", "_head", "_set").mapInArrow(_prefixes(shared, least), kinds), "lists"))
+
+
+def _text_lists(docs: DataFrame, text_col: str, width: int, least: float, nodes: DataFrame) -> DataFrame:
+    """``_lists`` of whole texts, whose sets are not moved.  ``nodes`` (_node, _head) names groups."""
+    texts = docs.select(F.lit(0).alias("_row"), text_of(text_col).alias("_text"))
+    sets_only = lambda batches: (b.select(["_set"]) for b in batches)
+    shared = _common_ones(texts.mapInArrow(_then(_noded(width), sets_only, _counted), "_bucket long, _n long"))
+    kinds = f"_token long, {_NODE}, _rank int, _common float"
+    listed = cut(texts.mapInArrow(_then(_noded(width), _prefixes(shared, least)), kinds), "lists")
+    grouped = cut(nodes.filter("_node <> _head").select("_node", "_head"), "grouped")
+    grouped = F.broadcast(grouped) if grouped.count() <= MOST_KEYS else grouped
+    return _open(listed.join(grouped, "_node", "left").withColumn("_head", F.coalesce("_head", "_node")))
 
 
 def _listed_pairs(lists: DataFrame, members: DataFrame, least: float) -> DataFrame:
@@ -363,54 +400,56 @@ def _listed_pairs(lists: DataFrame, members: DataFrame, least: float) -> DataFra
 
     ``_rank`` counts the member's rarer shingles.  What a pair shares comes from its first shared shingle on,
     so there each has enough left for the overlap that ``least`` asks for; a list where one has not gives no pair.
+    The parities differ in no more bits than the sets in members.  None of these bounds drops a similar pair.
     """
-    light = members.select("_node", "_print", "_size", "_wide")
+    light = members.select("_node", "_size", "_wide")
     rows = lists.join(light, "_node").select(
-        "_token", F.struct("_node", "_head", "_print", "_size", "_far", "_wide", (F.col("_size") - F.col("_rank")).alias("_rest")).alias("_one"))
+        "_token", F.struct("_node", "_head", "_size", "_far", "_wide", (F.col("_size") - F.col("_rank")).alias("_rest")).alias("_one"))
     a, b = F.col("_one"), F.col("_other")
     apart = (a["_node"] < b["_node"]) & (a["_head"] != b["_head"])
     near = F.abs(a["_far"] - b["_far"]) <= 1 - least + 1e-9
     enough = F.least(a["_rest"], b["_rest"]) >= least / (1 + least) * (a["_size"] + b["_size"]) - 1e-6
     bits = sum((F.bit_count(F.get(a["_wide"], k).bitwiseXOR(F.get(b["_wide"], k))) for k in range(WIDE)), F.lit(0))
-    kept = apart & near & enough & _alike("_one", "_other", least) & (bits <= WIDE_FAR)
+    few = bits <= (1 - least) / (1 + least) * (a["_size"] + b["_size"]) + 1e-6
+    kept = apart & near & enough & _sized(a, b, least) & few
     met = rows.join(rows.withColumnRenamed("_one", "_other"), "_token").filter(kept)
     return met.select(a["_node"].alias("a"), b["_node"].alias("b")).distinct()
 
 
-def _listed_links(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links between members of different groups that the shards' leaders have not found.
+def _listed_links(nodes: DataFrame, lists: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """Links between members (_node, _head, _key, _size, _wide) of different groups, as keys.
 
     In a list of up to ``LISTED`` members pairs of different groups are compared.  In a longer one all members first
     meet one leader, the one whose shingles are the most common (of a group of near copies
     that is what they are copies of), which joins groups and gives each member a distance that rules out most others.
     """
-    nodes = cut(left.withColumn("_node", F.monotonically_increasing_id()), "nodes")
-    heads = nodes.groupBy("_root").agg(F.min("_node").alias("_head"))
-    wide = sets.mapInArrow(_wide_prints, "_key string, _wide array<long>, _set array<long>")
-    members = cut(nodes.join(heads, "_root").join(wide, "_key").select("_node", "_head", "_print", "_size", "_wide", "_set"), "members")
-    known = members.select("_node", "_set")
-    lists = _lists(members, least)
-    pairs = _listed_pairs(lists.filter(F.col("_many") <= LISTED).withColumn("_far", F.lit(0.0)), members, least)
+    names = nodes.select("_node", "_key")
+    keyed = lambda pairs: pairs.join(names.toDF("a", "_a"), "a").join(names.toDF("b", "_b"), "b").select(
+        F.col("_a").alias("a"), F.col("_b").alias("b"))
+    pairs = _listed_pairs(lists.filter(F.col("_many") <= LISTED).withColumn("_far", F.lit(0.0)), nodes, least)
 
     long = lists.filter(F.col("_many") > LISTED)
     leaders = long.groupBy("_token").agg(F.max_by("_node", F.struct("_common", "_node")).alias("_first"))
     met = cut(long.join(leaders, "_token").select("_token", "_node", "_head", "_rank", "_first"), "led")
-    asked = met.filter("_node <> _first").select(F.col("_node").alias("a"), F.col("_first").alias("b")).distinct()
-    measured = cut(_similarities(asked, known), "measured")
-    found = measured.filter(F.col("_jaccard") >= least).select("a", "b")
-    of = members.select("_node", "_head")
-    between = found.join(of.toDF("a", "_a"), "a").join(of.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    merged = _rooted(of.select(F.col("_head").alias("_key")).distinct(), between).toDF("_head", "_now")
-    far = measured.select(F.col("a").alias("_node"), F.col("b").alias("_first"), (1 - F.col("_jaccard")).alias("_far"))
-    placed = met.join(far, ["_node", "_first"], "left").join(merged, "_head").select(
-        "_token", "_node", "_rank", F.col("_now").alias("_head"), F.coalesce("_far", F.lit(0.0)).alias("_far"))
-    placed = cut(placed, "placed")
-    spans = placed.groupBy("_token").agg(F.min("_head").alias("_low"), F.max("_head").alias("_high")).filter("_low < _high")
-    rest = _listed_pairs(placed.join(spans.select("_token"), "_token"), members, least)
-    compared = cut(pairs.unionByName(rest).distinct(), "pairs")
-    links = found.unionByName(_similar(compared, known, least))
-    names = nodes.select("_node", "_key")
-    return links.join(names.toDF("a", "_a"), "a").join(names.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    found = None
+    if not met.isEmpty():
+        asked = cut(met.filter("_node <> _first").select(F.col("_node").alias("a"), F.col("_first").alias("b")).distinct(), "asked")
+        wanted = asked.select(F.explode(F.array("a", "b")).alias("_node")).distinct().join(names, "_node")
+        known = sets_of(wanted.select("_key")).join(names, "_key").select("_node", "_set")
+        measured = cut(_similarities(asked, known), "measured")
+        found = measured.filter(F.col("_jaccard") >= least).select("a", "b")
+        of = nodes.select("_node", "_head")
+        between = found.join(of.toDF("a", "_a"), "a").join(of.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+        merged = _rooted(of.select(F.col("_head").alias("_key")).distinct(), between).toDF("_head", "_now")
+        far = measured.select(F.col("a").alias("_node"), F.col("b").alias("_first"), (1 - F.col("_jaccard")).alias("_far"))
+        placed = met.join(far, ["_node", "_first"], "left").join(merged, "_head").select(
+            "_token", "_node", "_rank", F.col("_now").alias("_head"), F.coalesce("_far", F.lit(0.0)).alias("_far"))
+        placed = cut(placed, "placed")
+        spans = placed.groupBy("_token").agg(F.min("_head").alias("_low"), F.max("_head").alias("_high")).filter("_low < _high")
+        pairs = pairs.unionByName(_listed_pairs(placed.join(spans.select("_token"), "_token"), nodes, least))
+    compared = cut(keyed(pairs.distinct()), "pairs")
+    links = _similar(compared, sets_of(compared.select(F.explode(F.array("a", "b")).alias("_key")).distinct()), least)
+    return links if found is None else links.unionByName(keyed(found))
 
 
 def similar_groups(
@@ -422,13 +461,12 @@ def similar_groups(
 
     ``_root`` names the group, ``_group`` is the smallest id in it (null if no row of it has one), ``_key`` the
     text up to case and white space, ``_print`` the SimHash of its set of shingles.  No pair
-    under ``least`` links.  Texts without words are one text.  Pairs are found by shared keys,
-    which miss some of those near ``least`` (README: measured recall); keys are made for 0.8 and more.
+    under ``least`` links and no pair of ``least`` or more is left out.  Texts without words are one text.
     """
     given = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
     rows = cut(given.mapInArrow(_described(width), _DESCRIBED), "prints")
     classes = cut(rows.groupBy("_key").agg(
-        F.min("_id").alias("_least"), *(F.first(c).alias(c) for c in ("_print", "_size", "_bands"))), "classes")
+        F.min("_id").alias("_least"), *(F.first(c).alias(c) for c in ("_print", "_size", "_bands", "_wide"))), "classes")
     dealt = classes.select("_key", "_print", "_size", F.explode("_bands").alias("_shard"))
     leaders = dealt.groupBy("_shard").agg(
         F.min_by(F.struct("_key", "_print", "_size"), F.xxhash64("_key", "_shard")).alias("_first"),
@@ -439,14 +477,13 @@ def similar_groups(
     wanted = tested.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
     found = _similar(tested, _sets(wanted, docs, text_col, width), least)
 
-    labelled = cut(_rooted(members.select("_shard", "_key", "_print", "_size"), found), "labelled")
-    open_shards = labelled.groupBy("_shard").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).filter(
-        "_low < _high").select("_shard")
-    left = cut(labelled.join(open_shards, "_shard").groupBy("_key").agg(
-        *(F.first(c).alias(c) for c in ("_print", "_size", "_root"))), "left")
-    if not left.isEmpty():
-        sets = _sets(left.select("_key"), docs, text_col, width)
-        found = cut(found.unionByName(_listed_links(left, sets, least)), "links")
+    rooted = cut(_rooted(classes.select("_key", "_size", "_wide"), found), "rooted").withColumn("_node", F.xxhash64("_key"))
+    heads = rooted.groupBy("_root").agg(F.min("_node").alias("_head"))
+    nodes = cut(rooted.join(heads, "_root").select("_node", "_head", "_key", "_size", "_wide"), "nodes")
+    lists = cut(_text_lists(docs, text_col, width, least, nodes), "listed")
+    if not lists.isEmpty():
+        sets_of = lambda wanted: _sets(wanted, docs, text_col, width)
+        found = cut(found.unionByName(_listed_links(nodes, lists, sets_of, least)), "links")
 
     rooted = cut(_rooted(classes.select("_key", "_least"), found), "rooted")
     groups = rooted.groupBy("_root").agg(F.min("_least").alias("_group"))

@@ -165,3 +165,20 @@ def test_lists_keep_similar_pairs_and_few_others(spark):
     met = lists.alias("x").join(lists.alias("y"), "_token").filter("x._node < y._node and y._node < 30").count()
     close = {(a, b) for a, b in combinations(range(30), 2) if len({*chosen[a]} & {*chosen[b]}) == 3}
     assert near <= found <= near | close and met > 400
+
+
+def test_similar_pairs_without_a_shared_key_link(spark):
+    """Pairs of Jaccard 0.8 whose minimum hashes agree on no key of the first pass."""
+    factors = np.random.default_rng(5).integers(0, simhash.ALL_BITS, simhash.BANDS * simhash.ROWS, np.uint64, endpoint=True) | np.uint64(1)
+    rows = []
+    for seed in (26, 196, 6498, 7178, 11455):
+        rnd = random.Random(seed)
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(24)]
+        pair = [words[:22], [*words[22:], *words[2:22]]]
+        keys = [simhash._band_keys(simhash._shingle_set([w.encode() for w in one], 5), factors) for one in pair]
+        assert not any(a == b for a, b in zip(*keys, strict=True))
+        assert jaccard(*(shingle_set(" ".join(one)) for one in pair)) == 0.8
+        rows += [(len(rows) + k, " ".join(one)) for k, one in enumerate(pair)]
+    rows += [(100 + k, text) for k, (_, text) in enumerate(rows[:4])]
+    found = {r["_id"]: r["_group"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i // 2 * 2 for i in range(10)} | {100 + k: k // 2 * 2 for k in range(4)}
