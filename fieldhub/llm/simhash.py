@@ -33,7 +33,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -296,9 +296,6 @@ def _wide_print(hashes: np.ndarray) -> list[int]:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
-_NODE = "_node long"
-
-
 def _noded(width: int):
     """(_node, _set): the different shingles' hashes of each text by 64 bits of its key, ``F.xxhash64`` of it; batch: row, text."""
 
@@ -361,12 +358,11 @@ def _common_ones(counted: DataFrame):
 
 
 def _open(lists: DataFrame) -> DataFrame:
-    """The rows of lists of more than one group; ``_many`` counts a list."""
-    spans = lists.groupBy("_token").agg(F.min("_head").alias("_low"), F.max("_head").alias("_high"))
-    tokens = cut(spans.filter("_low < _high").select("_token"), "tokens")
-    some = F.broadcast(tokens) if tokens.count() <= MOST_KEYS else tokens  # then rows of other lists are not shuffled
-    left = cut(lists.join(some, "_token", "left_semi").distinct(), "open")  # equal texts are one member
-    return left.join(left.groupBy("_token").agg(F.count(F.lit(1)).alias("_many")), "_token")
+    """The rows of lists of more than one group; ``_many`` counts a list.  The rows move once, at every size."""
+    of = Window.partitionBy("_token")
+    spans = lists.withColumns({"_low": F.min("_head").over(of), "_high": F.max("_head").over(of)})
+    left = spans.filter("_low < _high").drop("_low", "_high").dropDuplicates(["_token", "_node"])  # equal texts are one member
+    return cut(left.withColumn("_many", F.count(F.lit(1)).over(of)), "open")
 
 
 def _lists(members: DataFrame, least: float) -> DataFrame:
@@ -377,7 +373,7 @@ def _lists(members: DataFrame, least: float) -> DataFrame:
     short.
     """
     shared = _common_ones(members.select("_set").mapInArrow(_counted, "_bucket long, _n long"))
-    kinds = f"_token long, {_NODE}, _head long, _rank int, _common float"
+    kinds = "_token long, _node long, _head long, _rank int, _common float"
     return _open(cut(members.select("_node", "_head", "_set").mapInArrow(_prefixes(shared, least), kinds), "lists"))
 
 
@@ -386,7 +382,7 @@ def _text_lists(docs: DataFrame, text_col: str, width: int, least: float, nodes:
     texts = docs.select(F.lit(0).alias("_row"), text_of(text_col).alias("_text"))
     sets_only = lambda batches: (b.select(["_set"]) for b in batches)
     shared = _common_ones(texts.mapInArrow(_then(_noded(width), sets_only, _counted), "_bucket long, _n long"))
-    kinds = f"_token long, {_NODE}, _rank int, _common float"
+    kinds = "_token long, _node long, _rank int, _common float"
     listed = cut(texts.mapInArrow(_then(_noded(width), _prefixes(shared, least)), kinds), "lists")
     grouped = cut(nodes.filter("_node <> _head").select("_node", "_head"), "grouped")
     grouped = F.broadcast(grouped) if grouped.count() <= MOST_KEYS else grouped
@@ -480,7 +476,7 @@ def similar_groups(
     rooted = cut(_rooted(classes.select("_key", "_size", "_wide"), found), "rooted").withColumn("_node", F.xxhash64("_key"))
     heads = rooted.groupBy("_root").agg(F.min("_node").alias("_head"))
     nodes = cut(rooted.join(heads, "_root").select("_node", "_head", "_key", "_size", "_wide"), "nodes")
-    lists = cut(_text_lists(docs, text_col, width, least, nodes), "listed")
+    lists = _text_lists(docs, text_col, width, least, nodes)
     if not lists.isEmpty():
         sets_of = lambda wanted: _sets(wanted, docs, text_col, width)
         found = cut(found.unionByName(_listed_links(nodes, lists, sets_of, least)), "links")
